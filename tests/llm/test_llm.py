@@ -482,7 +482,7 @@ def test_oracles_at_small_scale(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     for name, sql in queries.ORACLE.items():
-        want = con.execute(sql).fetch_arrow_table().to_pylist()
+        want = con.execute(sql).to_arrow_table().to_pylist()
         got = [r.asDict() for r in queries.QUERIES[name](spark, SF).collect()]
         order = lambda rows: sorted(repr(sorted(r.items())) for r in rows)
         assert order(want) == order(got), name
