@@ -1,0 +1 @@
+"""Document quality analytics on Spark."""
