@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 WHITE = "\t\n\x0b\x0c\r"
 
 
+#: Most rows and bytes of an Arrow batch that a Python worker gets at once; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 500, 2_000_000
+
+
 def seen_by_workers(spark: SparkSession) -> None:
-    """Python workers find this library where the driver does, installed or not."""
+    """Python workers find this library where the driver does, installed or not, and get batches of bounded size."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = "".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-")
+        if not 0 < int(now) <= most:
+            spark.conf.set(key, most)
     root, env = str(Path(__file__).parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))

@@ -176,7 +176,7 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    return place_pieces(stored(cut_documents(docs, window)), window)
+    return place_pieces(stored(cut_documents(docs, window), "lz4"), window)
 
 
 def with_crc(placed: DataFrame) -> DataFrame:

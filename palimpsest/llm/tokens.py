@@ -6,18 +6,19 @@ which that is not sure are given to the library whole.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterable
 
 import numpy as np
 
-CACHED = 400_000
+CACHED = 100_000  # chunks of each of the two generations of a cache
 DTYPE = np.dtype("<u2")  # both vocabularies have fewer than 65,536 ids
 
-#: White space next to white space, or other than space and newline, or the separator used below.
-BYTE_ODD = re.compile(r"[^\S \n]|\s\s|^ | $|[\x00\x1c-\x1f\x85]")
-#: Marks whose treatment depends on what stands before them, and a final sigma.
-WORD_ODD = re.compile("[\x00\x1c-\x1f\x85̀-ͯΣ]")
+#: White space other than space and newline, and the separator used below.
+RARE = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: White space next to white space.
+DOUBLED = ("  ", " \n", "\n ", "\n\n")
+#: Separators that the word tokenizer's library may not take for white space.
+UNSURE = "\x00\x1c\x1d\x1e\x1f\x85"
 
 
 @functools.cache
@@ -37,25 +38,59 @@ class Encoder:
     """by: "byte" keeps the space with the word after it, "word" drops white space."""
 
     def __init__(self, name: str, by: str):
-        self.name, self.by, self.cache = name, by, {}
+        self.name, self.by, self.cache, self.old = name, by, {}, {}
 
     def _chunks(self, text: str) -> list[str] | None:
         if self.by == "byte":
-            return None if BYTE_ODD.search(text) else text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-        return None if WORD_ODD.search(text) else text.split()
+            if any(c in text for c in RARE) or any(c in text for c in DOUBLED) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+                return None
+            return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+        try:
+            text.encode("latin-1")  # lower case is one to one there, and no mark joins the character before it
+        except UnicodeEncodeError:
+            return None
+        return None if any(c in text for c in UNSURE) else text.lower().split()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Sees to it that the cache holds the chunks; what is used again outlives a change of generation. A comma or full stop after a letter is a pre-token of its own."""
+        if len(self.cache) > CACHED:
+            self.cache, self.old = {}, self.cache
+        t, cache, old = tokenizer(self.name), self.cache, self.old
+        missing = chunks - cache.keys()
+        ended = [c for c in missing if len(c) > 1 and c[-1] in ".," and c[-2].isalpha()]
+        missing.difference_update(ended)
+        missing.update(c[:-1] for c in ended)
+        if ended:
+            missing.update(".,")
+        new = []
+        for c in missing - cache.keys():
+            if (ids := old.get(c)) is not None:
+                cache[c] = ids
+            else:
+                new.append(c)
+        plain = [c for c in new if c.strip(" ").isalpha()]
+        rest = [c for c in new if not c.strip(" ").isalpha()]
+        for c, e in zip(rest, t.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            cache[c] = np.array(e.ids, DTYPE).tobytes()
+        # Words of letters alone are encoded many at a time, with a pre-token between them that no such word contains.
+        between = "\n" if self.by == "byte" else " | "
+        mark = t.encode(between, add_special_tokens=False).ids[0]
+        for k in range(0, len(plain), 2000):
+            some = plain[k : k + 2000]
+            ids = np.array(t.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, DTYPE)
+            ends = [*(2 * np.flatnonzero(ids == mark)).tolist(), 2 * len(ids)]
+            raw, at = ids.tobytes(), 0
+            for c, end in zip(some, ends, strict=True):
+                cache[c] = raw[at:end]
+                at = end + 2
+        for c in ended:
+            cache[c] = cache[c[:-1]] + cache[c[-1]]
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
-        t, cache, out = tokenizer(self.name), self.cache, []
         chunks = [self._chunks(x) for x in texts]
-        if len(cache) > CACHED:
-            cache.clear()
-        new = list({c for x in chunks if x is not None for c in x if c not in cache})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for c, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, DTYPE).tobytes()
-        of = cache.__getitem__
+        self._learn(set().union(*(x for x in chunks if x is not None)))
+        t, of, out = tokenizer(self.name), self.cache.__getitem__, []
         for x, text in zip(chunks, texts, strict=True):
             if x is None:
                 out.append(np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, DTYPE))
