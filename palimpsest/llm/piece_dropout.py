@@ -28,7 +28,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 OWN_MARK = "\udc81"  # stands for a mark that is in the text itself; no text that Spark holds has it
 DROPOUT, SEED, VARIANTS = 0.1, 1, 4
-CACHED = 300_000
+CACHED = 350_000  # words of each of the two generations of a cache
 
 
 @functools.cache
@@ -104,14 +104,29 @@ def encode_word(word: str, dropout: float = 0.0, seed: int = 0, variant: int = 0
     return out, skipped
 
 
-#: A word begins at a mark that follows another character; no piece has such a mark inside.
-WORDS = re.compile("▁+[^▁]*|[^▁]+")
+#: A word begins at a mark that follows another character, and ends at a newline: no piece has such a mark or a newline inside.
+WORDS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 
 
 class Encoder:
     def __init__(self, dropout: float, seed: int, variants: int):
         self.dropout, self.seed, self.variants = dropout, seed, max(1, variants) if dropout else 1
         self.cache: dict[tuple[str, int], tuple[bytes, int]] = {}
+        self.old: dict[tuple[str, int], tuple[bytes, int]] = {}
+        self.apart = not any(a.isalpha() and b in ".," for t in pieces().id for a, b in zip(t, t[1:]))
+
+    def _word(self, key: tuple[str, int]) -> tuple[bytes, int]:
+        """A comma or full stop after a letter is a word of its own where no piece joins the two."""
+        if (got := self.old.get(key)) is None:
+            word, variant = key
+            if self.apart and len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+                a, b = (self.cache.get((w, variant)) or self._word((w, variant)) for w in (word[:-1], word[-1]))
+                got = a[0] + b[0], a[1] + b[1]
+            else:
+                ids, skipped = encode_word(word, self.dropout, self.seed, variant)
+                got = np.array(ids, np.uint16).tobytes(), skipped
+        self.cache[key] = got
+        return got
 
     def encode(self, text: str | None, doc_id: int | None) -> tuple[np.ndarray, int]:
         """ids and the number of skipped candidates."""
@@ -127,13 +142,13 @@ class Encoder:
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
             which = ((x >> np.uint64(40)) % np.uint64(self.variants)).tolist()
         if len(cache) > CACHED:
-            cache.clear()
+            self.old, self.cache = cache, {}
+            cache = self.cache
         out, skipped = [], 0
         for key in zip(words, which, strict=True):
             got = cache.get(key)
             if got is None:
-                ids, s = encode_word(key[0], self.dropout, self.seed, key[1])
-                got = cache[key] = (np.array(ids, np.uint16).tobytes(), s)
+                got = self._word(key)
             out.append(got[0])
             skipped += got[1]
         return np.frombuffer(b"".join(out), np.uint16), skipped
