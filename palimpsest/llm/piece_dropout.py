@@ -62,32 +62,45 @@ def pieces() -> Pieces:
     return Pieces()
 
 
+def _mixed(x):  # noqa: ANN001, ANN202
+    """64 mixed bits of a Python integer or an array of unsigned ones."""
+    of, mask = (np.uint64, None) if isinstance(x, np.ndarray) else (int, (1 << 64) - 1)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53), (32, 1)):
+        x = (x ^ (x >> of(shift))) * of(factor)
+        x = x if mask is None else x & mask
+    return x
+
+
+def _key(word: str, seed: int, variant: int) -> int:
+    return xxhash.xxh64_intdigest(f"{seed}:{variant}:{word}".encode("utf-8", "surrogatepass"))
+
+
+def _limit(dropout: float) -> int:
+    """Hashes under it are skipped."""
+    return min(int(dropout * (1 << 64)), (1 << 64) - 1)
+
+
+#: The keyed hash of a candidate mixes the word's key, plus these times the place and the lengths of the two sides.
+PLACE, LEFT, RIGHT = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
 def encode_word(word: str, dropout: float = 0.0, seed: int = 0, variant: int = 0) -> tuple[list[int], int]:
-    """ids of a word and how many candidates were skipped."""
+    """ids of a word and how many candidates were skipped; the agenda is a heap."""
     p = pieces()
     score = p.score
     sym = list(word)
     n = len(sym)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda: list[tuple[float, int, str, str]] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and after[i] < n:
-            both = sym[i] + sym[after[i]]
-            if both in score:
-                agenda.append((-score[both], i, sym[i], sym[after[i]]))
-
-    for i in range(n - 1):
-        offer(i)
+    agenda = [(-score[both], i, sym[i], sym[i + 1]) for i in range(n - 1) if (both := sym[i] + sym[i + 1]) in score]
     heapq.heapify(agenda)
-    limit, skipped = int(dropout * (1 << 64)), 0
-    key = f"{seed}:{variant}:{word}:".encode("utf-8", "surrogatepass") if dropout else b""
+    limit, skipped = _limit(dropout), 0
+    key = _key(word, seed, variant) if dropout else 0
     while agenda:
         _, i, a, b = heapq.heappop(agenda)
         j = after[i]
         if sym[i] != a or j >= n or sym[j] != b or not a:
             continue
-        if dropout and xxhash.xxh64_intdigest(key + f"{i}:{len(a)}:{len(b)}".encode()) < limit:
+        if dropout and _mixed((key + PLACE * i + LEFT * len(a) + RIGHT * len(b)) & ((1 << 64) - 1)) < limit:
             skipped += 1
             continue
         sym[i], sym[j] = a + b, ""
@@ -104,6 +117,105 @@ def encode_word(word: str, dropout: float = 0.0, seed: int = 0, variant: int = 0
     return out, skipped
 
 
+LONG = 48  # words of more characters go to encode_word, whose agenda grows better with length
+LANES = 4096
+NONE = np.int32(2**31 - 1)
+
+
+class Merges:
+    """Symbols (pieces, and characters inside pieces) by number, and which neighbours merge: rank of the piece they form and its number."""
+
+    def __init__(self) -> None:
+        p = pieces()
+        chars = {c for t in p.id for c in t}
+        self.names = [*p.id, *sorted(chars - p.id.keys())]
+        self.number = {t: k for k, t in enumerate(self.names)}
+        self.length = np.array([*map(len, self.names), 0], np.uint64)  # the last: a character in no piece
+        self.single = np.array([*(p.id.get(t, -1) for t in self.names), -1], np.int32)  # -1: spelt in bytes
+        self.of_char = np.full(max(map(ord, chars)) + 1, len(self.names), np.int32)
+        for c in chars | {t for t in self.names if len(t) == 1}:
+            self.of_char[ord(c)] = self.number[c]
+        place = {s: k for k, s in enumerate(sorted({-s for s in p.score.values()}))}
+        found = sorted((a * 65536 + b, place[-p.score[t]], self.number[t]) for t in p.id for k in range(1, len(t)) if (a := self.number.get(t[:k])) is not None and (b := self.number.get(t[k:])) is not None)
+        self.key, self.rank, self.into = (np.array(x, d) for x, d in zip(zip(*found, strict=True), (np.int64, np.int32, np.int32), strict=True))
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NONE where nothing is formed) and number of the piece that each pair forms."""
+        key = a.astype(np.int64) * 65536 + b
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], NONE), self.into[at]
+
+
+@functools.cache
+def merges() -> Merges:
+    return Merges()
+
+
+def encode_words(words: list[tuple[str, int]], dropout: float, seed: int) -> list[tuple[bytes, int]]:
+    """encode_word for many (word, variant) pairs: the agendas of up to LANES words of similar length advance in step, one candidate of each a round."""
+    out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
+    order = sorted(range(len(words)), key=lambda k: len(words[k][0]))
+    while order and len(words[order[-1]][0]) > LONG:
+        k = order.pop()
+        ids, skipped = encode_word(words[k][0], dropout, seed, words[k][1])
+        out[k] = np.array(ids, np.uint16).tobytes(), skipped
+    for k in range(0, len(order), LANES):
+        some = order[k : k + LANES]
+        for at, got in zip(some, _in_step([words[i] for i in some], dropout, seed), strict=True):
+            out[at] = got
+    return out
+
+
+def _in_step(words: list[tuple[str, int]], dropout: float, seed: int) -> list[tuple[bytes, int]]:
+    m, limit = merges(), np.uint64(_limit(dropout))
+    n, most = len(words), max(len(w) for w, _ in words)
+    unknown, end = len(m.names), most
+    sym = np.full((n, most + 1), -1, np.int32)  # -1: merged away, or past the word's end
+    ends = np.array([len(w) for w, _ in words])
+    code = np.frombuffer("".join([w for w, _ in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sym[np.arange(most + 1) < ends[:, None]] = np.where(code < len(m.of_char), m.of_char[np.minimum(code, len(m.of_char) - 1)], unknown)
+    there = np.arange(1, most + 1) < ends[:, None]
+    rank, into = np.full((n, most), NONE, np.int32), np.zeros((n, most), np.int32)
+    rank[there], into[there] = m.find(sym[:, :-1][there], sym[:, 1:][there])
+    after = np.where(there, np.arange(1, most + 1), end).astype(np.int16)
+    before = np.tile(np.arange(-1, most, dtype=np.int16), (n, 1))
+    key = np.array([_key(w, seed, v) if dropout else 0 for w, v in words], np.uint64)
+    skipped, rows = np.zeros(n, np.int64), np.arange(n)
+    while len(rows):
+        i = rank[rows].argmin(axis=1)
+        alive = rank[rows, i] != NONE
+        rows, i = rows[alive], i[alive]
+        j = after[rows, i].astype(np.int64)
+        r, merged = rows, np.ones(len(rows), bool)
+        if dropout:
+            h = _mixed(key[r] + np.uint64(PLACE) * i.astype(np.uint64) + np.uint64(LEFT) * m.length[sym[r, i]] + np.uint64(RIGHT) * m.length[sym[r, j]])
+            merged = h >= limit
+            gone = ~merged
+            rank[r[gone], i[gone]] = NONE
+            skipped[r[gone]] += 1
+            r, i, j = r[merged], i[merged], j[merged]
+        sym[r, i], sym[r, j] = into[r, i], -1
+        rank[r, j] = rank[r, i] = NONE
+        then = after[r, j].astype(np.int64)
+        after[r, i] = then
+        before[r, then] = i
+        for left, right in ((before[r, i].astype(np.int64), i), (i, then)):
+            ok = (left >= 0) & (right < end)
+            q, a, b = r[ok], left[ok], right[ok]
+            rank[q, a], into[q, a] = m.find(sym[q, a], sym[q, b])
+    live = sym >= 0
+    flat, counts = m.single[sym[live]], live.sum(axis=1)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    odd = np.unique(np.searchsorted(begin, np.flatnonzero(flat < 0), "right") - 1)
+    raw, cuts = flat.astype(np.uint16).tobytes(), (2 * begin).tolist()
+    out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    for row in odd.tolist():  # a symbol that is spelt in bytes
+        w = words[row][0]
+        ids = [i for c, x in enumerate(sym[row].tolist()) if x >= 0 for i in pieces().spell(m.names[x] if x < unknown else w[c])]
+        out[row] = np.array(ids, np.uint16).tobytes()
+    return list(zip(out, skipped.tolist(), strict=True))
+
+
 #: A word begins at a mark that follows another character, and ends at a newline: no piece has such a mark or a newline inside.
 WORDS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 
@@ -115,43 +227,43 @@ class Encoder:
         self.old: dict[tuple[str, int], tuple[bytes, int]] = {}
         self.apart = not any(a.isalpha() and b in ".," for t in pieces().id for a, b in zip(t, t[1:]))
 
-    def _word(self, key: tuple[str, int]) -> tuple[bytes, int]:
-        """A comma or full stop after a letter is a word of its own where no piece joins the two."""
-        if (got := self.old.get(key)) is None:
-            word, variant = key
-            if self.apart and len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-                a, b = (self.cache.get((w, variant)) or self._word((w, variant)) for w in (word[:-1], word[-1]))
-                got = a[0] + b[0], a[1] + b[1]
-            else:
-                ids, skipped = encode_word(word, self.dropout, self.seed, variant)
-                got = np.array(ids, np.uint16).tobytes(), skipped
-        self.cache[key] = got
-        return got
-
-    def encode(self, text: str | None, doc_id: int | None) -> tuple[np.ndarray, int]:
-        """ids and the number of skipped candidates."""
-        if not text:
-            return np.zeros(0, np.uint16), 0
-        words = WORDS.findall((" " + text).replace(MARK, OWN_MARK).replace(" ", MARK))
-        n, cache = len(words), self.cache
+    def _which(self, n: int, doc_id: int | None) -> list[int]:
+        """The variant that each of n words of a document takes."""
         if self.variants == 1:
-            which = [0] * n
-        else:
-            x = np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{-1 if doc_id is None else doc_id}"))
-            x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-            which = ((x >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-        if len(cache) > CACHED:
-            self.old, self.cache = cache, {}
-            cache = self.cache
-        out, skipped = [], 0
-        for key in zip(words, which, strict=True):
-            got = cache.get(key)
-            if got is None:
-                got = self._word(key)
-            out.append(got[0])
-            skipped += got[1]
-        return np.frombuffer(b"".join(out), np.uint16), skipped
+            return [0] * n
+        x = np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{-1 if doc_id is None else doc_id}"))
+        return ((_mixed(x) >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+
+    def _learn(self, keys: set[tuple[str, int]]) -> None:
+        """Sees to it that the cache holds the keys. A comma or full stop after a letter is a word of its own where no piece joins the two."""
+        if len(self.cache) > CACHED:
+            self.cache, self.old = {}, self.cache
+        cache, old = self.cache, self.old
+        missing = {k for k in keys if k not in cache}
+        ended = [(w, v) for w, v in missing if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()] if self.apart else []
+        missing.difference_update(ended)
+        for w, v in ended:
+            missing.add((w[:-1], v))
+            missing.add((w[-1], v))
+        new = []
+        for k in missing:
+            if k not in cache:
+                if (got := old.get(k)) is not None:
+                    cache[k] = got
+                else:
+                    new.append(k)
+        cache.update(zip(new, encode_words(new, self.dropout, self.seed), strict=True))
+        for w, v in ended:
+            a, b = cache[w[:-1], v], cache[w[-1], v]
+            cache[w, v] = a[0] + b[0], a[1] + b[1]
+
+    def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[tuple[np.ndarray, int]]:
+        """Of each text its ids and the number of skipped candidates."""
+        words = [WORDS.findall((" " + t).replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
+        keys = [list(zip(w, self._which(len(w), d), strict=True)) for w, d in zip(words, doc_ids, strict=True)]
+        self._learn(set().union(*keys))
+        got = [list(map(self.cache.__getitem__, k)) for k in keys]
+        return [(np.frombuffer(b"".join([x for x, _ in g]), np.uint16), sum(n for _, n in g)) for g in got]
 
 
 @functools.cache
@@ -172,10 +284,9 @@ def segment(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variant
         enc = encoder(dropout, seed, variants)
         for p in parts:
             for k in range(0, len(p), 500):
-                rows = []
-                for doc, text in zip(p["doc_id"].iloc[k : k + 500], p["text"].iloc[k : k + 500], strict=True):
-                    doc = None if pd.isna(doc) else int(doc)
-                    ids, skipped = enc.encode(text, doc)
+                docs = [None if pd.isna(d) else int(d) for d in p["doc_id"].iloc[k : k + 500]]
+                texts, rows = p["text"].iloc[k : k + 500].tolist(), []
+                for doc, text, (ids, skipped) in zip(docs, texts, enc.encode(texts, docs), strict=True):
                     rows.append((doc, ids.tobytes(), len(ids), skipped, zlib.crc32(ids.astype("<u4").tobytes()), decode(ids) == (text or "")))
                 yield pd.DataFrame(rows, columns=["doc_id", "ids", "n_tokens", "n_skipped", "ids_crc32", "lossless"]).astype({"doc_id": "Int64"})
 

@@ -460,22 +460,31 @@ def test_hashed_tokens():
 
 def test_piece_dropout(spark, odd, none):
     texts = [r[1] for r in odd_rows()] + pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:60]
-    plain, varied = piece_dropout.Encoder(0.0, 1, 4), piece_dropout.Encoder(0.3, 1, 4)
-    for k, t in enumerate(texts):
-        ids, skipped = plain.encode(t, k)
-        assert skipped == 0 and piece_dropout.decode(ids) == (t or "")
+    plain, varied, again = (piece_dropout.Encoder(share, 1, 4) for share in (0.0, 0.3, 0.3))
+    numbers = list(range(len(texts)))
+    for t, (ids, skipped), (other, _), (same, _) in zip(texts, plain.encode(texts, numbers), varied.encode(texts, numbers), [again.encode([t], [k])[0] for k, t in enumerate(texts)], strict=True):
+        assert skipped == 0 and piece_dropout.decode(ids) == piece_dropout.decode(other) == (t or "") and (other == same).all()
         if "▁" not in (t or ""):
             assert ids.tolist() == piece_dropout.library().encode(t or "")
-        ids, _ = varied.encode(t, k)
-        assert piece_dropout.decode(ids) == (t or "") and (ids == piece_dropout.Encoder(0.3, 1, 4).encode(t, k)[0]).all()
-        if "▁" not in (t or ""):
-            assert piece_dropout.library().decode(ids.tolist()) == (t or "")
+            assert piece_dropout.library().decode(other.tolist()) == (t or "")
     long = max((t or "" for t in texts), key=lambda t: len(t.split()))
-    assert len({varied.encode(long, k)[0].tobytes() for k in range(5)} | {piece_dropout.Encoder(0.3, 2, 4).encode(long, 0)[0].tobytes()}) == 6
+    assert len({ids.tobytes() for ids, _ in varied.encode([long] * 5, list(range(5)))} | {piece_dropout.Encoder(0.3, 2, 4).encode([long], [0])[0][0].tobytes()}) == 6
     got = piece_dropout.segment(odd).collect()
     assert len(got) == odd.count() and all(r["lossless"] for r in got) and piece_dropout.segment(none).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.6, 1.0])
+def test_agendas_in_step_equal_heaps(share):
+    rng = random.Random(5)
+    texts = pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:40]
+    words = sorted({w for t in texts for w in piece_dropout.WORDS.findall((" " + t).replace(" ", piece_dropout.MARK))})[:4000]
+    words += ["".join(rng.choice("abethnr éß日😀.,0" + piece_dropout.OWN_MARK) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    pairs = [(w, k % 4) for k, w in enumerate(words)]
+    got = piece_dropout.encode_words(pairs, share, 9)
+    assert [(np.frombuffer(ids, np.uint16).tolist(), n) for ids, n in got] == [piece_dropout.encode_word(w, share, 9, v) for w, v in pairs]
+    assert piece_dropout.encode_words([], share, 9) == []
+
+
 def test_oracles_at_small_scale(spark):
     import duckdb
 
