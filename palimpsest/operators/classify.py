@@ -39,3 +39,9 @@ def repeated_lines(docs: DataFrame, least_docs: int, low: int = 15, high: int =
     """Lines of low to high characters that `least_docs` documents of a source or more hold."""
     lines = docs.select("source", "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.length("line").between(low, high))
     return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least_docs)
+
+
+def pattern_books(docs: DataFrame, patterns: dict[str, tuple[Column, str]]) -> DataFrame:
+    """How many documents of each source and language have each pattern."""
+    d = docs.select("source", "lang", F.explode(detect_issues(patterns)).alias("i"))
+    return d.groupBy(F.col("i.pattern").alias("pattern"), "source", "lang").agg(F.count(F.lit(1)).alias("n"))

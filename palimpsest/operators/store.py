@@ -102,3 +102,27 @@ def recommend(books: DataFrame, conversions: DataFrame) -> DataFrame:
     by = by.groupBy("publisher").agg(F.max(F.struct("s", "path")).alias("b"), F.max("n").alias("n")).where("n >= 2").select("publisher", F.col("b.path").alias("theirs"), F.least(F.lit(70), 30 + 10 * F.col("n")).alias("their_sure"))
     d = books.join(own, "book_id", "left").join(by, "publisher", "left")
     return d.select("book_id", F.coalesce("own", "theirs", F.lit("default")).alias("path"), F.coalesce("own_sure", "their_sure", F.lit(30)).cast("long").alias("sure"))
+
+
+def cache_stats(entries: DataFrame) -> DataFrame:
+    """Entries, serves and cost saved: in all, by tier and by method (null where not grouped by)."""
+    return entries.groupingSets([[], ["tier"], ["method"]], "tier", "method").agg(F.count(F.lit(1)).alias("n"), F.sum("served").alias("served"), F.sum(F.when(F.col("served") > 0, F.col("cost_cents") * F.col("served")).otherwise(0)).alias("saved_cents"))
+
+
+def best_cached(entries: DataFrame, least: int, *order: str) -> DataFrame:
+    """Of each hash the entry of the highest tier, then quality; entries without quality pass the filter."""
+    w = W.partitionBy("hash").orderBy(F.desc("tier"), F.desc_nulls_last("quality"), *order)
+    return entries.where(F.col("quality").isNull() | (F.col("quality") >= least)).withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+
+
+def quality_tiers(conversions: DataFrame, books: DataFrame) -> DataFrame:
+    """Median score of each publisher, sample deviation and tier."""
+    d = conversions.where("score IS NOT NULL").join(books, "book_id").groupBy("publisher").agg(F.median("score").alias("middle"), F.stddev_samp("score").alias("spread"))
+    whole = F.floor("middle")
+    return d.withColumn("tier", F.when(whole >= 75, "clean").when(whole >= 50, "moderate").otherwise("poor"))
+
+
+def top_categories(issues: DataFrame, books: DataFrame, most: int) -> DataFrame:
+    """The most common issue categories of each publisher; ties by name."""
+    d = issues.join(books, "book_id").groupBy(F.coalesce("publisher", F.lit("unknown")).alias("publisher"), "category").agg(F.count(F.lit(1)).alias("n"))
+    return d.withColumn("place", F.row_number().over(W.partitionBy("publisher").orderBy(F.desc("n"), "category"))).where(F.col("place") <= most)

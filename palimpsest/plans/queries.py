@@ -1,28 +1,12 @@
 """Every query: an operator applied to whole tables, and the SQL whose rows it must equal (None where SQL has no form)."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, runs, search, store
-from ..sources.tables import table, view, with_views
 from ..streaming import events as ev
-
-Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-
-
-def query(name: str, sql: str, *inputs: str) -> Callable:
-    """Registers a function of the named tables and views (views end in _v)."""
-
-    def put(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        Q[name] = (lambda spark, sf: f(*((view if i.endswith("_v") else table)(spark, sf, i) for i in inputs)), with_views(sql))
-        return f
-
-    return put
-
+from .registry import Q, query
 
 SCORED = """scored AS (SELECT doc_id, source, lang, length(text) AS n_chars, length(text) - length(replace(text, '�', '')) AS n_replaced, len(regexp_extract_all(text, 'th e |o f |fi nd|fl ow|ef fect')) AS n_ligatures, len(regexp_extract_all(text, '  +')) AS n_doubles,
   len(list_filter(regexp_split_to_array(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda x: x <> '')) AS n_words FROM dirty_v),
@@ -230,5 +214,7 @@ def delivery_state(e):
     return ev.delivery_state(e, "user_id", ("purchase",), "click")
 
 
+from . import reports  # noqa: E402, F401  (registers its queries)
+
 QUERIES = {k: v[0] for k, v in Q.items()}
 ORACLE = {k: v[1] for k, v in Q.items()}

@@ -14,6 +14,11 @@ VIEWS = {
     "issues_v": "SELECT event_id AS issue_id, event_id % (SELECT count(*) FROM {documents}) AS book_id, event_type AS category, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, event_id % 3 = 0 AS fix_attempted, event_id % 6 = 0 AS fix_succeeded FROM {events}",
     "dirty_v": "SELECT doc_id, source, lang, CASE doc_id % 5 WHEN 0 THEN replace(replace(text, ', ', ' ,    '), 'the ', 'th e ') WHEN 1 THEN replace(text, '. ', concat('.  ', '�', ' ')) ELSE text END AS text FROM {documents}",
     "runs_v": "SELECT cast(extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS int) AS run, o_custkey AS file_id, CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' ELSE 'WARN' END AS status, o_orderkey FROM {orders}",
+    "vqa_v": "SELECT l_suppkey % 50 AS book_id, l_partkey % 60 AS page_number, CASE l_returnflag WHEN 'R' THEN 'candidate' WHEN 'A' THEN 'baseline' ELSE 'other' END AS report, cast(l_quantity * 2 AS int) AS score, l_linenumber % 3 AS n_issues, CASE l_linenumber % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' WHEN 2 THEN 'moderate' WHEN 3 THEN 'minor' ELSE 'odd' END AS severity, CASE l_orderkey % 4 WHEN 0 THEN 'text_integrity' WHEN 1 THEN 'page_layout' WHEN 2 THEN 'paragraph_flow' END AS category, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM {lineitem}",
+    "blocks_v": "SELECT l_suppkey AS doc_id, l_partkey % 30 AS page, CASE l_linenumber WHEN 1 THEN concat('PART ', cast(l_suppkey % 7 AS string)) WHEN 2 THEN 'A  Running head' WHEN 3 THEN concat('Chapter ', cast(l_partkey % 90 AS string)) ELSE concat('words on a line ', cast(l_orderkey % 40 AS string)) END AS text, l_returnflag AS font_name, CASE l_linenumber WHEN 1 THEN 18 WHEN 3 THEN 15 ELSE 10 + l_partkey % 2 END AS font_size, l_linestatus = 'O' AS is_bold, CASE WHEN l_linenumber <= 2 THEN 50 ELSE cast(l_quantity * 10 AS int) END AS y0 FROM {lineitem}",
+    "lines_v": "SELECT doc_id, replace(replace(text, ', ', concat(',', chr(10), '  ')), '. ', concat('.', chr(10))) AS text FROM {documents}",
+    "files_v": "SELECT p_partkey AS file_id, (p_size * 37) % 1200 AS density, p_partkey % 4 = 0 AS image_dominant, p_partkey % 140 AS kb_page, CASE p_partkey % 9 WHEN 0 THEN 'internet archive' WHEN 1 THEN 'lura document' WHEN 2 THEN NULL ELSE 'quartz' END AS producer, CASE p_partkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN NULL ELSE 0.4 END AS hit_rate FROM {part}",
+    "cache_v": "SELECT event_id, user_id AS hash, event_id % 3 AS tier, CASE WHEN event_id % 7 = 0 THEN NULL ELSE cast(floor(value) AS bigint) END AS quality, event_type AS method, event_id % 5 AS served, event_id % 11 AS cost_cents FROM {events}",
     "posts_v": "SELECT conv_id, turn, role, text AS body FROM {conversations}",
 }
 

@@ -51,3 +51,18 @@ def delivery_state(events: DataFrame, key: str, terminal: tuple[str, ...], delay
     seen = F.coalesce(F.max(F.when(F.col("event_type").isin(*terminal), 1).otherwise(0)).over(w), F.lit(0))
     d = events.withColumn("_late", (F.col("event_type") == delayed) & (seen == 1)).where("NOT _late")
     return d.groupBy(key).agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e")).select(key, F.col("e.event_type").alias("state"))
+
+
+def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
+    """Sessions of each key: when they began and how many events they have; events may be a stream."""
+    d = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if d.isStreaming:
+        d = d.withWatermark("ts", gap)
+    d = d.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return d.select(key, F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
+
+
+def over_limit(events: DataFrame, key: str, most: int, seconds: int) -> DataFrame:
+    """Events that are more than the `most`-th of their key within the last `seconds`, in whole seconds."""
+    at = F.unix_timestamp("ts")
+    return events.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(key).orderBy(at).rangeBetween(1 - seconds, 0))).where(F.col("n") > most)

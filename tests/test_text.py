@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import lines as L
 from palimpsest.functions import text as T
 from palimpsest.operators.search import boolean_column
 
@@ -20,3 +21,14 @@ def test_golden(spark):
 @pytest.mark.parametrize(("query", "text", "want"), [("a AND b", "xa b", True), ("a OR b AND c", "a", True), ("(a OR b) AND NOT c", "bc", False), ('"two words"', "Two Words", True), ("a zzz", "a", True), ("", "x", True), ("oracle", "ORACLE", True), ("(a", "a", True), ('"a b', "a b", True), ("a.c", "abc", False)])
 def test_boolean(spark, query, text, want):
     assert one(spark, text, lambda t: boolean_column(query, t)) is want
+
+
+@pytest.mark.parametrize(("text", "want", "n"), [("One, \n  two\nThree.\nfour", "One, two\nThree.\nfour", 1), ("# head\nsmall", "# head\nsmall", 0), ("A\n\nb\n c \nd", "A\n\nb c d", 2), ("", "", 0), (None, None, None), ("x", "x", 0)])
+def test_merge_continuations(spark, text, want, n):
+    got = one(spark, text, L.merged)
+    assert (got["text"], got["n_merged"]) == (want, n)
+
+
+def test_merge_continuations_in_a_long_text(spark):
+    got = one(spark, "Begin\n" + "so it goes\n" * 50_000 + "on", L.merged)
+    assert got["n_merged"] == 50_001 and "\n" not in got["text"]
