@@ -136,14 +136,14 @@ class Merges:
         for c in chars | {t for t in self.names if len(t) == 1}:
             self.of_char[ord(c)] = self.number[c]
         place = {s: k for k, s in enumerate(sorted({-s for s in p.score.values()}))}
-        found = sorted((a * 65536 + b, place[-p.score[t]], self.number[t]) for t in p.id for k in range(1, len(t)) if (a := self.number.get(t[:k])) is not None and (b := self.number.get(t[k:])) is not None)
+        found = sorted([((1 << 40), 0, 0), *((a * 65536 + b, place[-p.score[t]], self.number[t]) for t in p.id for k in range(1, len(t)) if (a := self.number.get(t[:k])) is not None and (b := self.number.get(t[k:])) is not None)])  # the last is above all keys
         self.key, self.rank, self.into = (np.array(x, d) for x, d in zip(zip(*found, strict=True), (np.int64, np.int32, np.int32), strict=True))
 
     def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where nothing is formed) and number of the piece that each pair forms."""
         key = a.astype(np.int64) * 65536 + b
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.rank[at], NONE), self.into[at]
+        at = self.key.searchsorted(key)
+        return np.where(self.key.take(at) == key, self.rank.take(at), NONE), self.into.take(at)
 
 
 @functools.cache
@@ -175,34 +175,40 @@ def _in_step(words: list[tuple[str, int]], dropout: float, seed: int) -> list[tu
     code = np.frombuffer("".join([w for w, _ in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
     sym[np.arange(most + 1) < ends[:, None]] = np.where(code < len(m.of_char), m.of_char[np.minimum(code, len(m.of_char) - 1)], unknown)
     there = np.arange(1, most + 1) < ends[:, None]
-    rank, into = np.full((n, most), NONE, np.int32), np.zeros((n, most), np.int32)
-    rank[there], into[there] = m.find(sym[:, :-1][there], sym[:, 1:][there])
-    after = np.where(there, np.arange(1, most + 1), end).astype(np.int16)
-    before = np.tile(np.arange(-1, most, dtype=np.int16), (n, 1))
+    rank, into = np.full((n, most + 1), NONE, np.int32), np.zeros((n, most + 1), np.int32)
+    rank[:, :-1][there], into[:, :-1][there] = m.find(sym[:, :-1][there], sym[:, 1:][there])
+    after = np.full((n, most + 1), end)
+    after[:, :-1] = np.where(there, np.arange(1, most + 1), end)
+    before = np.tile(np.arange(-1, most), (n, 1))
     key = np.array([_key(w, seed, v) if dropout else 0 for w, v in words], np.uint64)
     skipped, rows = np.zeros(n, np.int64), np.arange(n)
+    flat_sym, flat_rank, flat_into, flat_after, flat_before = (x.ravel() for x in (sym, rank, into, after, before))
     while len(rows):
-        i = rank[rows].argmin(axis=1)
-        alive = rank[rows, i] != NONE
-        rows, i = rows[alive], i[alive]
-        j = after[rows, i].astype(np.int64)
-        r, merged = rows, np.ones(len(rows), bool)
+        i = rank.take(rows, axis=0).argmin(axis=1)
+        at = rows * (most + 1)  # where the row begins in the flat views
+        alive = flat_rank.take(at + i) != NONE
+        rows = r = rows[alive]
+        i, at = i[alive], at[alive]
+        x = at + i
+        j = flat_after.take(x)
         if dropout:
-            h = _mixed(key[r] + np.uint64(PLACE) * i.astype(np.uint64) + np.uint64(LEFT) * m.length[sym[r, i]] + np.uint64(RIGHT) * m.length[sym[r, j]])
-            merged = h >= limit
+            h = key.take(r) + np.uint64(PLACE) * i.astype(np.uint64) + np.uint64(LEFT) * m.length.take(flat_sym.take(x)) + np.uint64(RIGHT) * m.length.take(flat_sym.take(at + j))
+            merged = _mixed(h) >= limit
             gone = ~merged
-            rank[r[gone], i[gone]] = NONE
+            flat_rank[x[gone]] = NONE
             skipped[r[gone]] += 1
-            r, i, j = r[merged], i[merged], j[merged]
-        sym[r, i], sym[r, j] = into[r, i], -1
-        rank[r, j] = rank[r, i] = NONE
-        then = after[r, j].astype(np.int64)
-        after[r, i] = then
-        before[r, then] = i
-        for left, right in ((before[r, i].astype(np.int64), i), (i, then)):
-            ok = (left >= 0) & (right < end)
-            q, a, b = r[ok], left[ok], right[ok]
-            rank[q, a], into[q, a] = m.find(sym[q, a], sym[q, b])
+            i, j, at, x = i[merged], j[merged], at[merged], x[merged]
+        new = flat_into.take(x)
+        then, left = flat_after.take(at + j), flat_before.take(x)
+        flat_sym[x], flat_sym[at + j] = new, -1
+        flat_rank[x] = flat_rank[at + j] = NONE
+        flat_after[x], flat_before[at + then] = then, i
+        ok = left >= 0
+        q = (at + left)[ok]
+        flat_rank[q], flat_into[q] = m.find(flat_sym.take(q), new[ok])
+        ok = then < end
+        q = x[ok]
+        flat_rank[q], flat_into[q] = m.find(new[ok], flat_sym.take((at + then)[ok]))
     live = sym >= 0
     flat, counts = m.single[sym[live]], live.sum(axis=1)
     begin = np.concatenate([[0], np.cumsum(counts)])
