@@ -5,7 +5,7 @@ of high recall propose spans that may overlap: bare phone numbers, written-out e
 loosely grouped card numbers, social security numbers, IBANs, and keys or passwords. Each candidate gets features
 of its form and of the CONTEXT characters on both sides; boosted trees (see pii_model) score it as
 one Column expression, and the threshold of its kind, calibrated on held-out rows, selects it.
-A selected span that overlaps a base span is dropped: the base span stands.
+Base spans stand; a selected span may overlap them, and only one equal to a base span in kind, start and end is dropped.
 
 Offsets count code points, ends are exclusive. Null text counts as empty. Matches are found in one pass
 without backtracking over repeated groups, so very long texts are safe. Repeated rows are
@@ -39,8 +39,8 @@ GENERATORS = {
     "loose_card": ("card", r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){2}[\x20._/-]{1,2}[0-9]{1,7}(?![0-9])"),
     "ssn": ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "named_secret": ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api_?key)\x20?[=:]\x20?[^\x20\x09-\x0D]{6,200}"),
-    "key_like": ("secret", r"(?<![A-Za-z0-9_])[A-Z0-9_]{16,128}(?![A-Za-z0-9_])"),
+    "named_secret": ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api_?key)\x20?[=:]\x20?[^\x20\x09-\x0D]{6,}+"),
+    "key_like": ("secret", r"(?<![A-Za-z0-9_])[A-Z0-9_]{16,}+(?![A-Za-z0-9_])"),
 }
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 
@@ -150,8 +150,8 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = (), model: pii_model.Model
     t = F.col("_t")
 
     def chosen(base: Column) -> Column:
-        apart = F.filter(candidate_spans(t, model), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        return let(F.concat(base, F.array_distinct(apart)), lambda every: F.struct(base.alias("base"), F.concat(*(of_kind(every, k) for k in KINDS)).alias("spans")))
+        added = F.array_except(candidate_spans(t, model), base)
+        return let(F.concat(base, added), lambda every: F.struct(base.alias("base"), F.concat(*(of_kind(every, k) for k in KINDS)).alias("spans")))
 
     of_kind = lambda every, k: F.sort_array(F.filter(every, lambda x: x["kind"] == k))
     d = d.withColumn("_found", let(F.concat(*(base_spans(t, k) for k in BASE)), chosen))
