@@ -2,10 +2,11 @@
 
 A word (white space as the mark before it) starts as characters; an agenda holds its neighbouring
 pairs that form a piece, best score first, leftmost on ties. A candidate that comes up is skipped for
-good if a keyed hash of seed, variant, word, place and pair falls under the dropout share; otherwise
-it is merged and its new neighbours join the agenda. Share 0 gives the library's own pieces. Each
-occurrence of a word takes one of VARIANTS segmentations, by keyed hash of seed, doc_id and place, so a word's
-segmentations can be kept and reused while texts vary; the same seed always gives the same ids.
+good with the dropout share's probability; otherwise it is merged and its new neighbours join the
+agenda. Share 0 gives the library's own pieces. Each occurrence of a word draws for each of its
+candidates: the gaps between its skipped candidates are geometric numbers, by keyed hash of seed, doc_id and
+the word's place in the text. What a word becomes follows from the numbers of the candidates that are
+skipped, so results are kept by word and skips and reused; the same seed always gives the same ids.
 
 Characters that no piece covers, and marks in the text itself, are spelt in bytes, so every text decodes to itself. Null text counts
 as empty; repeated rows get equal ids, a null doc_id hashes as -1. Other columns are ignored. An empty table gives an empty result.
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 OWN_MARK = "\udc81"  # stands for a mark that is in the text itself; no text that Spark holds has it
-DROPOUT, SEED, VARIANTS = 0.1, 1, 4
-CACHED = 350_000  # words of each of the two generations of a cache
+DROPOUT, SEED = 0.1, 1
+CACHED = 350_000  # words and skips of each of the two generations of a cache
 
 
 @functools.cache
@@ -75,17 +78,25 @@ def _key(word: str, seed: int, variant: int) -> int:
     return xxhash.xxh64_intdigest(f"{seed}:{variant}:{word}".encode("utf-8", "surrogatepass"))
 
 
-def _limit(dropout: float) -> int:
-    """Hashes under it are skipped."""
-    return min(int(dropout * (1 << 64)), (1 << 64) - 1)
+PLACE = 0x9E3779B97F4A7C15
+NEVER = 1 << 40  # a gap that no word reaches
 
 
-#: The keyed hash of a candidate mixes the word's key, plus these times the place and the lengths of the two sides.
-PLACE, LEFT, RIGHT = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+def _gaps(keys: np.ndarray, draw: int, dropout: float) -> np.ndarray:
+    """How many candidates each key merges before it skips one: its draw-th geometric number."""
+    u = (_mixed(keys + np.uint64(PLACE * (draw + 1) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    if dropout >= 1:
+        return np.zeros(len(keys), np.int64)
+    return np.minimum(np.log1p(-u) / math.log1p(-dropout), NEVER).astype(np.int64)
 
 
 def encode_word(word: str, dropout: float = 0.0, seed: int = 0, variant: int = 0) -> tuple[list[int], int]:
-    """ids of a word and how many candidates were skipped; the agenda is a heap."""
+    """ids of a word and how many candidates were skipped, by the draws of one key."""
+    return _by_heap(word, dropout, _key(word, seed, variant))
+
+
+def _by_heap(word: str, dropout: float, key: int) -> tuple[list[int], int]:
+    """encode_word with the agenda in a heap."""
     p = pieces()
     score = p.score
     sym = list(word)
@@ -93,16 +104,18 @@ def encode_word(word: str, dropout: float = 0.0, seed: int = 0, variant: int = 0
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda = [(-score[both], i, sym[i], sym[i + 1]) for i in range(n - 1) if (both := sym[i] + sym[i + 1]) in score]
     heapq.heapify(agenda)
-    limit, skipped = _limit(dropout), 0
-    key = _key(word, seed, variant) if dropout else 0
+    keys, skipped = np.array([key], np.uint64), 0
+    left = int(_gaps(keys, 0, dropout)[0]) if dropout else NEVER  # candidates until the next that is skipped
     while agenda:
         _, i, a, b = heapq.heappop(agenda)
         j = after[i]
         if sym[i] != a or j >= n or sym[j] != b or not a:
             continue
-        if dropout and _mixed((key + PLACE * i + LEFT * len(a) + RIGHT * len(b)) & ((1 << 64) - 1)) < limit:
+        if dropout and not left:
             skipped += 1
+            left = int(_gaps(keys, skipped, dropout)[0])
             continue
+        left -= 1
         sym[i], sym[j] = a + b, ""
         after[i] = after[j]
         if after[i] < n:
@@ -117,7 +130,7 @@ def encode_word(word: str, dropout: float = 0.0, seed: int = 0, variant: int = 0
     return out, skipped
 
 
-LONG = 48  # words of more characters go to encode_word, whose agenda grows better with length
+LONG = 48  # words of more characters go to heaps, which grow better with length, and are not kept
 LANES = 4096
 NONE = np.int32(2**31 - 1)
 
@@ -130,8 +143,7 @@ class Merges:
         chars = {c for t in p.id for c in t}
         self.names = [*p.id, *sorted(chars - p.id.keys())]
         self.number = {t: k for k, t in enumerate(self.names)}
-        self.length = np.array([*map(len, self.names), 0], np.uint64)  # the last: a character in no piece
-        self.single = np.array([*(p.id.get(t, -1) for t in self.names), -1], np.int32)  # -1: spelt in bytes
+        self.single = np.array([*(p.id.get(t, -1) for t in self.names), -1], np.int32)  # -1: spelt in bytes; the last: a character in no piece
         self.of_char = np.full(max(map(ord, chars)) + 1, len(self.names), np.int32)
         for c in chars | {t for t in self.names if len(t) == 1}:
             self.of_char[ord(c)] = self.number[c]
@@ -152,22 +164,41 @@ def merges() -> Merges:
 
 
 def encode_words(words: list[tuple[str, int]], dropout: float, seed: int) -> list[tuple[bytes, int]]:
-    """encode_word for many (word, variant) pairs: the agendas of up to LANES words of similar length advance in step, one candidate of each a round."""
-    out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
+    """encode_word for many (word, variant) pairs."""
+    keys = np.array([_key(w, seed, v) for w, v in words], np.uint64)
+    skips: list[int] = [0] * len(words)
+    short = np.array([k for k, (w, _) in enumerate(words) if len(w) <= LONG], np.int64) if dropout else np.zeros(0, np.int64)
+    at, draw = _gaps(keys[short], 0, dropout) if dropout else short, 0
+    while len(short):
+        inside = at < 3 * LONG
+        short, at, draw = short[inside], at[inside], draw + 1
+        for k, x in zip(short.tolist(), at.tolist(), strict=True):
+            skips[k] |= 1 << x
+        at = at + 1 + _gaps(keys[short], draw, dropout)
+    long = [k for k, (w, _) in enumerate(words) if len(w) > LONG]
+    out = {k: _packed(_by_heap(words[k][0], dropout, int(keys[k]))) for k in long}
+    rest = [k for k in range(len(words)) if k not in out]
+    out |= {k: got[:2] for k, got in zip(rest, with_skips([(words[k][0], skips[k]) for k in rest]), strict=True)}
+    return [out[k] for k in range(len(words))]
+
+
+def _packed(got: tuple[list[int], int]) -> tuple[bytes, int]:
+    return np.array(got[0], np.uint16).tobytes(), got[1]
+
+
+def with_skips(words: list[tuple[str, int]]) -> list[tuple[bytes, int, int]]:
+    """ids, skipped and all candidates of words of LONG characters or fewer. Bit c of the number beside a word tells to skip its candidate c; the agendas of up to LANES words of similar length advance in step, one candidate of each a round."""
+    out: list[tuple[bytes, int, int]] = [(b"", 0, 0)] * len(words)
     order = sorted(range(len(words)), key=lambda k: len(words[k][0]))
-    while order and len(words[order[-1]][0]) > LONG:
-        k = order.pop()
-        ids, skipped = encode_word(words[k][0], dropout, seed, words[k][1])
-        out[k] = np.array(ids, np.uint16).tobytes(), skipped
     for k in range(0, len(order), LANES):
         some = order[k : k + LANES]
-        for at, got in zip(some, _in_step([words[i] for i in some], dropout, seed), strict=True):
+        for at, got in zip(some, _in_step([words[i] for i in some]), strict=True):
             out[at] = got
     return out
 
 
-def _in_step(words: list[tuple[str, int]], dropout: float, seed: int) -> list[tuple[bytes, int]]:
-    m, limit = merges(), np.uint64(_limit(dropout))
+def _in_step(words: list[tuple[str, int]]) -> list[tuple[bytes, int, int]]:
+    m = merges()
     n, most = len(words), max(len(w) for w, _ in words)
     unknown, end = len(m.names), most
     sym = np.full((n, most + 1), -1, np.int32)  # -1: merged away, or past the word's end
@@ -180,8 +211,11 @@ def _in_step(words: list[tuple[str, int]], dropout: float, seed: int) -> list[tu
     after = np.full((n, most + 1), end)
     after[:, :-1] = np.where(there, np.arange(1, most + 1), end)
     before = np.tile(np.arange(-1, most), (n, 1))
-    key = np.array([_key(w, seed, v) if dropout else 0 for w, v in words], np.uint64)
-    skipped, rows = np.zeros(n, np.int64), np.arange(n)
+    width = max(1, -(-3 * most // 8))  # a word of n characters has fewer than 3 * n candidates
+    low = (1 << 8 * width) - 1
+    skip = np.unpackbits(np.frombuffer(b"".join([(x & low).to_bytes(width, "little") for _, x in words]), np.uint8).reshape(n, width), axis=1, bitorder="little").astype(bool)
+    skipped, met, rows, turn = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), 0
+    dropping = bool(skip.any())
     flat_sym, flat_rank, flat_into, flat_after, flat_before = (x.ravel() for x in (sym, rank, into, after, before))
     while len(rows):
         i = rank.take(rows, axis=0).argmin(axis=1)
@@ -191,13 +225,14 @@ def _in_step(words: list[tuple[str, int]], dropout: float, seed: int) -> list[tu
         i, at = i[alive], at[alive]
         x = at + i
         j = flat_after.take(x)
-        if dropout:
-            h = key.take(r) + np.uint64(PLACE) * i.astype(np.uint64) + np.uint64(LEFT) * m.length.take(flat_sym.take(x)) + np.uint64(RIGHT) * m.length.take(flat_sym.take(at + j))
-            merged = _mixed(h) >= limit
+        met[r] += 1
+        if dropping:
+            merged = ~skip[r, turn]
             gone = ~merged
             flat_rank[x[gone]] = NONE
             skipped[r[gone]] += 1
             i, j, at, x = i[merged], j[merged], at[merged], x[merged]
+        turn += 1
         new = flat_into.take(x)
         then, left = flat_after.take(at + j), flat_before.take(x)
         flat_sym[x], flat_sym[at + j] = new, -1
@@ -219,7 +254,7 @@ def _in_step(words: list[tuple[str, int]], dropout: float, seed: int) -> list[tu
         w = words[row][0]
         ids = [i for c, x in enumerate(sym[row].tolist()) if x >= 0 for i in pieces().spell(m.names[x] if x < unknown else w[c])]
         out[row] = np.array(ids, np.uint16).tobytes()
-    return list(zip(out, skipped.tolist(), strict=True))
+    return list(zip(out, skipped.tolist(), met.tolist(), strict=True))
 
 
 #: A word begins at a mark that follows another character, and ends at a newline: no piece has such a mark or a newline inside.
@@ -227,30 +262,23 @@ WORDS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 
 
 class Encoder:
-    def __init__(self, dropout: float, seed: int, variants: int):
-        self.dropout, self.seed, self.variants = dropout, seed, max(1, variants) if dropout else 1
-        self.cache: dict[tuple[str, int], tuple[bytes, int]] = {}
-        self.old: dict[tuple[str, int], tuple[bytes, int]] = {}
+    def __init__(self, dropout: float, seed: int, cached: int = CACHED):
+        self.dropout, self.seed, self.cached = dropout, seed, cached
+        self.cache: dict[tuple[str, int], tuple[bytes, int, int]] = {}
+        self.old: dict[tuple[str, int], tuple[bytes, int, int]] = {}
         self.apart = not any(a.isalpha() and b in ".," for t in pieces().id for a, b in zip(t, t[1:]))
 
-    def _which(self, n: int, doc_id: int | None) -> list[int]:
-        """The variant that each of n words of a document takes."""
-        if self.variants == 1:
-            return [0] * n
-        x = np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{-1 if doc_id is None else doc_id}"))
-        return ((_mixed(x) >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-
-    def _learn(self, keys: set[tuple[str, int]]) -> None:
-        """Sees to it that the cache holds the keys. A comma or full stop after a letter is a word of its own where no piece joins the two."""
-        if len(self.cache) > CACHED:
+    def _learn(self, keys: list[tuple[str, int]]) -> list[tuple[bytes, int, int]]:
+        """with_skips by the cache. A comma or full stop after a letter is a word of its own where no piece joins the two."""
+        if len(self.cache) > self.cached:
             self.cache, self.old = {}, self.cache
         cache, old = self.cache, self.old
         missing = {k for k in keys if k not in cache}
-        ended = [(w, v) for w, v in missing if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()] if self.apart else []
+        ended = [(w, x) for w, x in missing if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()] if self.apart else []
         missing.difference_update(ended)
-        for w, v in ended:
-            missing.add((w[:-1], v))
-            missing.add((w[-1], v))
+        for w, x in ended:
+            missing.add((w[:-1], x))
+            missing.add((w[-1], 0))
         new = []
         for k in missing:
             if k not in cache:
@@ -258,23 +286,61 @@ class Encoder:
                     cache[k] = got
                 else:
                     new.append(k)
-        cache.update(zip(new, encode_words(new, self.dropout, self.seed), strict=True))
-        for w, v in ended:
-            a, b = cache[w[:-1], v], cache[w[-1], v]
-            cache[w, v] = a[0] + b[0], a[1] + b[1]
+        cache.update(zip(new, with_skips(new), strict=True))
+        for w, x in ended:
+            a, b = cache[w[:-1], x], cache[w[-1], 0]
+            cache[w, x] = a[0] + b[0], a[1], a[2]
+        return [cache[k] for k in keys]
+
+    def _keys(self, counts: list[int], doc_ids: list[int | None]) -> np.ndarray:
+        """A key for each occurrence of a word: of the seed, its document and its place there."""
+        of = np.array([xxhash.xxh64_intdigest(f"{self.seed}:{-1 if d is None else d}") for d in doc_ids], np.uint64)
+        n = np.array(counts, np.int64)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return _mixed(np.repeat(of, n) + np.uint64(PLACE) * place.astype(np.uint64))
 
     def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[tuple[np.ndarray, int]]:
         """Of each text its ids and the number of skipped candidates."""
         words = [WORDS.findall((" " + t).replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
-        keys = [list(zip(w, self._which(len(w), d), strict=True)) for w, d in zip(words, doc_ids, strict=True)]
-        self._learn(set().union(*keys))
-        got = [list(map(self.cache.__getitem__, k)) for k in keys]
-        return [(np.frombuffer(b"".join([x for x, _ in g]), np.uint16), sum(n for _, n in g)) for g in got]
+        counts = list(map(len, words))
+        every = list(itertools.chain.from_iterable(words))
+        nodes = [(w, 0) for w in dict.fromkeys(every)]  # a word and the skips so far
+        number = {w: k for k, (w, _) in enumerate(nodes)}
+        node = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        short = [k for k, (w, _) in enumerate(nodes) if len(w) <= LONG]
+        got: list[tuple] = [(b"", 0, -1)] * len(nodes)
+        for k, x in zip(short, self._learn([nodes[k] for k in short]), strict=True):
+            got[k] = x
+        candidates = np.array([x[2] for x in got], np.int64)
+        keys = self._keys(counts, doc_ids)
+        for k in np.flatnonzero(candidates[node] < 0).tolist() if len(short) < len(got) else []:
+            got.append(_packed(_by_heap(every[k], self.dropout, int(keys[k]))))
+            nodes.append(("", 0))
+            node[k] = len(got) - 1
+        candidates = np.append(candidates, np.full(len(got) - len(candidates), -1))
+        going, draw = np.arange(len(every)), 0
+        at = _gaps(keys, 0, self.dropout) if self.dropout else np.full(len(every), NEVER)
+        while len(going):
+            skip = at < candidates[node[going]]
+            going, at, draw = going[skip], at[skip], draw + 1
+            if not len(going):
+                break
+            step, back = np.unique(node[going] << 8 | at, return_inverse=True)
+            new = [(nodes[x >> 8][0], nodes[x >> 8][1] | 1 << (x & 255)) for x in step.tolist()]
+            node[going] = len(nodes) + back
+            nodes += new
+            got += self._learn(new)
+            candidates = np.append(candidates, [x[2] for x in got[len(candidates) :]])
+            at = at + 1 + _gaps(keys[going], draw, self.dropout)
+        ids, skipped = [x[0] for x in got], np.array([x[1] for x in got], np.int64)
+        raw, lost = list(map(ids.__getitem__, node.tolist())), np.concatenate(([0], np.cumsum(skipped[node])))
+        cuts = [0, *itertools.accumulate(counts)]
+        return [(np.frombuffer(b"".join(raw[a:b]), np.uint16), int(lost[b] - lost[a])) for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.cache
-def encoder(dropout: float, seed: int, variants: int) -> Encoder:
-    return Encoder(dropout, seed, variants)
+def encoder(dropout: float, seed: int) -> Encoder:
+    return Encoder(dropout, seed)
 
 
 def decode(ids: np.ndarray) -> str:
@@ -283,11 +349,11 @@ def decode(ids: np.ndarray) -> str:
     return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")[1:]
 
 
-def segment(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def segment(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, ids (binary, 16-bit little-endian), n_tokens, n_skipped, ids_crc32 (as 32-bit little-endian), lossless (they decode to the text)."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(dropout, seed, variants)
+        enc = encoder(dropout, seed)
         for p in parts:
             for k in range(0, len(p), 500):
                 docs = [None if pd.isna(d) else int(d) for d in p["doc_id"].iloc[k : k + 500]]
