@@ -10,8 +10,9 @@ Pieces of a length are numbered by the part they lie in (counted once, offsets b
 parts' counts), so no length, however common, meets in one task. Only histogram and plan, both bounded by
 WINDOW, pass the driver.
 
-Null text counts as empty (one token, the end). Repeated rows are packed each. Other columns are ignored. An empty table gives an
-empty result.
+ids_crc32 is of a piece's ids as 32-bit little-endian integers. Null text counts as empty (one token, the end). Repeated rows are
+packed each; which of equally long pieces goes where follows from their order in the parts. A very long text makes as many full windows as it needs.
+Other columns are ignored. An empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -21,40 +22,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import encoder
+from .tokens import encoder, lots, with_end
 
 WINDOW = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-BATCH = 256
+SHALLOW = 128  # lengths that triples are made of
+LISTED = 4_000_000  # counts by part and length that may be broadcast, some 20 bytes each; more are joined by a shuffle
 PIECES = "doc_id long, start long, length int, doc_tokens long, part int, place long, ids binary"
-PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, ids_crc32 long"
 
 
 def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """PIECES: full windows and rests; place counts the pieces of the same length in the part."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seen, enc = TaskContext.get().partitionId(), defaultdict(int), encoder(TOKENIZER, "word")
-        for b in batches:
-            for k in range(0, len(b), BATCH):
-                some, rows = b.iloc[k : k + BATCH], []
-                for doc, ids in zip(some["doc_id"], enc.encode(some["text"]), strict=True):
-                    ids = np.append(ids, np.uint16(END)).astype("<u2")
-                    for at in range(0, len(ids), window):
-                        piece = ids[at : at + window]
-                        rows.append((doc, at, len(piece), len(ids), part, seen[len(piece)], piece.tobytes()))
-                        seen[len(piece)] += 1
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "part", "place", "ids"])
-                yield out.astype({"doc_id": "Int64"})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, enc = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), encoder(TOKENIZER, "word")
+        for b in lots(batches):
+            ids, n = with_end(*enc.encode(b["text"]), END)
+            pieces = -(-n // window)
+            of = np.repeat(np.arange(len(n)), pieces)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            length = np.minimum(n[of] - start, window)
+            order = np.argsort(length, kind="stable")
+            ranked = length[order]
+            place = np.empty(len(of), np.int64)
+            place[order] = np.arange(len(of)) - np.searchsorted(ranked, ranked) + seen[ranked]
+            seen += np.bincount(length, minlength=window + 1)
+            columns = [b["doc_id"].take(pa.array(of)), start, length.astype(np.int32), n[of], np.full(len(of), part, np.int32), place, binaries(ids, length)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "start", "length", "doc_tokens", "part", "place", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, PIECES)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, PIECES)
+def binaries(ids: np.ndarray, length: np.ndarray) -> pa.Array:
+    """A binary value for each run of `length` 16-bit ids."""
+    offsets = np.concatenate(([0], np.cumsum(length) * 2)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u2"))])
 
 
 def combinations(hist: np.ndarray, window: int) -> np.ndarray:
@@ -62,7 +73,7 @@ def combinations(hist: np.ndarray, window: int) -> np.ndarray:
     there = np.flatnonzero(hist)
     rows = [(window, 0, 0)] if hist[window] else []
     rows += [(a, window - a, 0) for a in there if a < window and a >= window - a and hist[window - a]]
-    common = there[np.argsort(-hist[there], kind="stable")][:128]
+    common = there[np.argsort(-hist[there], kind="stable")][:SHALLOW]
     a, b = (x.ravel() for x in np.meshgrid(common, common))
     c = window - a - b
     fit = (a >= b) & (c > 0)
@@ -151,40 +162,39 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts)
     hist = np.zeros(window + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most WINDOW rows
+    listed = 0
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect():  # at most WINDOW rows
         hist[r["length"]] = r["n"]
-    plan = make_plan(hist, window)
-    table = {int(k): g.drop(columns="length").to_numpy(np.int64) for k, g in plan.groupby("length")}
+        listed += r["rows"]
+    plan = make_plan(hist, window).sort_values(["length", "first"], kind="stable")
+    key = plan["length"].to_numpy(np.int64) << 44 | plan["first"].to_numpy(np.int64)
+    runs = {c: plan[c].to_numpy(np.int64) for c in ("first", "sequence", "offset", "take", "next")}
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     begin = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    begin = F.broadcast(begin) if listed <= LISTED else begin.hint("merge")
     numbered = pieces.join(begin, ["part", "length"]).withColumn("place", F.col("place") + F.col("begin")).drop("begin", "part")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, start, length, tokens, place, ids in b[["doc_id", "start", "length", "doc_tokens", "place", "ids"]].itertuples(index=False):
-                at = 0
-                while length:
-                    runs = table[length]
-                    first, _, seq, offset, take, then = runs[np.searchsorted(runs[:, 0], place, "right") - 1].tolist()
-                    rows.append((doc, start + at, take, tokens, seq + place - first, offset, ids[2 * at : 2 * (at + take)]))
-                    at, length, place = at + take, length - take, then + place - first
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return numbered.mapInPandas(each, PLACED)
+            if not b.num_rows:
+                continue
+            start, length, place = (b[c].to_numpy().astype(np.int64) for c in ("start", "length", "place"))
+            row, at = np.arange(len(length)), np.zeros(len(length), np.int64)
+            found = []  # row, at (ids before, in the piece), take, sequence, offset; a cut piece goes round again
+            while len(row):
+                k = np.searchsorted(key, length << 44 | place, "right") - 1
+                take, on = runs["take"][k], place - runs["first"][k]
+                found.append((row, at, take, runs["sequence"][k] + on, runs["offset"][k]))
+                cut = take < length
+                row, at, length, place = row[cut], (at + take)[cut], (length - take)[cut], (runs["next"][k] + on)[cut]
+            row, at, take, sequence, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+            ids = [x[2 * a : 2 * (a + n)] for x, a, n in zip(b["ids"].take(pa.array(row)).to_pylist(), at.tolist(), take.tolist(), strict=True)]
+            crc = np.fromiter((zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for x in ids), np.int64, len(ids))
+            columns = [b["doc_id"].take(pa.array(row)), start[row] + at, take, b["doc_tokens"].take(pa.array(row)), sequence, offset, pa.array(ids, pa.binary()), crc]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "ids_crc32"])
+
+    return numbered.select("doc_id", "start", "length", "doc_tokens", "place", "ids").mapInArrow(each, PLACED)
 
 
 def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return place_pieces(stored(cut_documents(docs, window), "lz4"), window)
-
-
-def with_crc(placed: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32 (of ids as 32-bit little-endian integers) in place of ids."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["ids_crc32"] = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b["ids"]]
-            yield b.drop(columns="ids").astype({"doc_id": "Int64"})
-
-    return placed.mapInPandas(each, PLACED.replace("ids binary", "ids_crc32 long"))

@@ -8,9 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from palimpsest.llm import exact_dedup, html_blocks, html_labeller, id_coder, kneser_ney, packing, pii, pii_model, piece_dropout, quality_rules, queries, simhash, token_output, tokens, warc
@@ -43,6 +46,11 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def library(name):
+    """The tokenizer as its own library loads it."""
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def key(rows, *cols):
     return sorted((tuple(str(r[c]) for c in cols) for r in rows))
 
@@ -71,25 +79,32 @@ def test_quality_base_and_lines(spark, odd, none):
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == b, r["doc_id"]
             assert r["base_failed"] == (b[0] < 50 or 100 * b[4] > 50 * b[0])
     by = {r["doc_id"]: r for r in got}
-    assert by[13]["removed_words"] == 26 and by[13]["owned_words"] == 26 and by[14]["owned_words"] == 0
-    assert by[14]["kept"] and not by[27]["kept"]
+    assert by[13]["removed_words"] == 26 and by[14]["removed_words"] == 26
+    assert by[13]["kept"] and by[14]["kept"] and not by[27]["kept"]
     clean = {r["doc_id"]: r for r in quality_rules.apply_quality_rules(odd).collect()}
     assert "very same line" not in clean[14]["text"] and clean[14]["n_chars"] == len(clean[14]["text"]) and clean[14]["_id"] == 5
     assert set(clean) == {r["doc_id"] for r in got if r["kept"]}
     assert quality_rules.quality_verdicts(none).count() == 0
 
 
-def test_quality_rejects_depleted_and_spares_the_first(spark):
+def test_quality_rejects_depleted_documents_and_counts_copies_once(spark):
     line = " ".join(f"w{i}" for i in range(40))
-    rows = [(i, f"{line}\n" + " ".join(f"u{i}_{k}" for k in range(20)), "h") for i in range(30)] + [(100, f"{line}\n" + " ".join(f"u0_{k}" for k in range(20)), "h"), (101, line + "\n" + " ".join(f"v{k}" for k in range(20)), "other")]
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert [k for k, v in got.items() if v] and {k for k, v in got.items() if v} == {0, 100, 101}
+    whole = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, f"{line}\n" + " ".join(f"u{i}_{k}" for k in range(20)), "h") for i in range(30)]
+    rows += [(100, f"{line}\n" + " ".join(f"u0_{k}" for k in range(20)), "h"), (101, line + "\n" + " ".join(f"v{k}" for k in range(20)), "other")]
+    rows += [(200 + i, whole, "h") for i in range(30)]  # copies of one text are one document
+    rows += [(300 + i, "Read  more\n" * (i % 3 + 1) + " ".join(f"x{i}_{k}" for k in range(60)), "h") for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(d).collect()}
+    assert {k for k, v in got.items() if v["kept"]} == {101, *range(200, 230), *range(300, 312)}
+    assert [got[300 + i]["removed_words"] for i in range(12)] == [2 * (i % 3 + 1) for i in range(12)]
+    assert {r["doc_id"]: r["text"] for r in quality_rules.apply_quality_rules(d).collect()}[301] == " ".join(f"x1_{k}" for k in range(60))
 
 
 def test_token_blocks_round_trip(spark, odd, none):
     blocks = token_output.write_blocks(odd)
     got = token_output.read_blocks(blocks).collect()
-    t = tokens.tokenizer(token_output.TOKENIZER)
+    t = library(token_output.TOKENIZER)
     want, at = [], 0
     rows = sorted(((r[0], r[1]) for r in odd_rows()), key=lambda r: (r[0] is not None, r[0] or 0))
     for doc, text in rows:
@@ -119,17 +134,32 @@ def test_id_coder(n):
 
 
 def test_id_coder_compresses():
-    t = tokens.encoder(token_output.TOKENIZER, "byte").encode(pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:300])
-    ids = np.concatenate(t).astype(np.int64)
+    ids, _ = tokens.encoder(token_output.TOKENIZER, "byte").encode(pq.read_table(f"{SF}/documents.parquet")["text"].combine_chunks()[:300])
     assert len(id_coder.encode_ids(ids, 50257)) < 1.3 * len(ids)
 
 
 def test_encoders_equal_the_library():
     texts = [r[1] for r in odd_rows()] + pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:150] + ["a \nb", " a", "a ", "x\n \ny", "ΣΑΣ ς", "don't I'll", "1234 5", "a b", "İ ı"]
     for name, by in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
-        t = tokens.tokenizer(name)
-        for x, ids in zip(texts, tokens.Encoder(name, by).encode(texts)):
-            assert ids.tolist() == t.encode(x or "", add_special_tokens=False).ids, (name, x)
+        t = library(name)
+        enc = tokens.Encoder(name, by)
+        for _ in range(3):
+            flat, n = enc.encode(pa.array(texts))
+            for x, ids in zip(texts, np.split(flat, np.cumsum(n)[:-1]), strict=True):
+                assert ids.tolist() == t.encode(x or "", add_special_tokens=False).ids, (name, x)
+            enc._rank()
+            assert len(enc.hot)
+
+
+def test_encoder_forgets_rare_chunks(monkeypatch):
+    monkeypatch.setattr(tokens, "PENDING", 100)
+    monkeypatch.setattr(tokens, "HOT", 50)
+    texts = pq.read_table(f"{SF}/documents.parquet")["text"].combine_chunks()[:40]
+    for name, by in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        enc, t = tokens.Encoder(name, by), library(name)
+        for k in range(0, 40, 5):
+            flat, n = enc.encode(texts[k : k + 5])
+            assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [t.encode(x.as_py() or "", add_special_tokens=False).ids for x in texts[k : k + 5]]
 
 
 def test_warc_round_trip(spark):
@@ -204,8 +234,8 @@ def test_pii_features_agree(spark):
 
     for g in range(7):
         mine = [m for m in made if m[0] == g]
-        d = spark.createDataFrame([(k, m[1] + m[2] + m[3], len(m[1]), len(m[1] + m[2]), m[2]) for k, m in enumerate(mine)], "k int, t string, start int, end int, text string")
-        got = {r["k"]: r["f"] for r in d.select("k", pii._features(F.col("t"), names[g], F.struct("start", "end", "text")).alias("f")).collect()}
+        d = spark.createDataFrame([(k, m[1], m[3], m[2]) for k, m in enumerate(mine)], "k int, before string, after string, text string")
+        got = {r["k"]: r["f"] for r in d.select("k", pii._features(names[g], F.struct(F.struct("text").alias("c"), "before", "after")).alias("f")).collect()}
         for k, m in enumerate(mine):
             assert got[k] == [float(x) for x in pii_model.features(*m[:4])]
 
@@ -334,7 +364,7 @@ def test_allocation_is_the_cheapest():
 
 
 def test_packing(spark, odd, none):
-    t = tokens.tokenizer(packing.TOKENIZER)
+    t = library(packing.TOKENIZER)
     for d, rows in ((odd, [(r[0], r[1]) for r in odd_rows()]), (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), None)):
         rows = rows or [tuple(r) for r in d.collect()]
         got = packing.pack(d).collect()
@@ -360,7 +390,7 @@ def test_packing(spark, odd, none):
         total = sum(r["length"] for r in got)
         assert len(by) * packing.WINDOW - total < max(packing.WINDOW, 0.01 * total)
     assert packing.pack(none).count() == 0
-    crc = packing.with_crc(packing.pack(odd.where("doc_id = 6").limit(1))).first()
+    crc = packing.pack(odd.where("doc_id = 6").limit(1)).first()
     ids = np.array([*t.encode(odd_rows()[6][1], add_special_tokens=False).ids, 1], "<u4")
     assert crc["ids_crc32"] == zlib.crc32(ids.tobytes())
 
@@ -513,7 +543,7 @@ def test_pipeline(spark):
     lengths = collections.defaultdict(int)
     for r in got:
         lengths[r["doc_id"]] += r["length"]
-    t = tokens.tokenizer(packing.TOKENIZER)
+    t = library(packing.TOKENIZER)
     spans = {r["doc_id"]: r["spans"] for r in queries.op4_pii(spark, SF).collect()}
     for d in docs:
         if d["doc_id"] in stay:
