@@ -8,11 +8,13 @@ one Column expression, and the threshold of its kind, calibrated on held-out row
 Base spans stand; a selected span may overlap them, and only one equal to a base span in kind, start and end is dropped.
 
 Offsets count code points, ends are exclusive. Null text counts as empty. Matches are found in one pass
-without backtracking over repeated groups, so very long texts are safe. Repeated rows are
-judged alike, other columns are ignored, an empty table gives an empty result.
+without backtracking over repeated groups, and places follow from blocks of lengths, so very long texts with very many
+spans are safe. Repeated rows are judged alike, other columns are ignored, an empty table gives an empty result.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from . import pii_model
 from .common import boxed, let, text_or_empty, unboxed
 
 CONTEXT = 24
+PAGE = 1024  # characters of the pieces that a text is redacted by
 
 #: Base kinds, in the order of the results. A start inside a run that an earlier start covers cannot
 #: match, so those are ruled out at once; runs are possessive because what follows cannot be in them.
@@ -35,7 +38,7 @@ NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "ph
 #: name -> (kind of the span, pattern)
 GENERATORS = {
     "bare_phone": ("phone", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
-    "spelt_email": ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[a-z0-9-]{1,63}\x20?(?:[\[(]dot[\])]|\.)\x20?[a-z]{2,24}(?![a-z0-9])"),
+    "spelt_email": ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[a-z0-9-]++\x20?(?:[\[(]dot[\])]|\.)\x20?[a-z]{2,}+(?![a-z0-9])"),
     "loose_card": ("card", r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){2}[\x20._/-]{1,2}[0-9]{1,7}(?![0-9])"),
     "ssn": ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -52,18 +55,55 @@ def _span(start: Column, end: Column, kind: str | Column, text: Column) -> Colum
 EMPTY = "array<struct<kind:string,start:int,end:int,text:string>>"
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """All matches with their places: the lengths of what lies between them and of themselves add up to the offsets."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("out"))
+def running(values: Column, zero: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each element what those before it come to by plus (associative): blocks of about the square root of their number, so no long array is copied for each element."""
+
+    def scan(some: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(some, begin, lambda a, x: F.struct(plus(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def over(size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda k: F.slice(values, k * size + 1, size))
+
+        def joined(b: Column) -> Column:
+            heads = scan(F.transform(b, lambda some: F.aggregate(some, zero, plus)), zero)
+            return F.flatten(let(heads, lambda h: F.zip_with(b, h, scan)))
+
+        return let(blocks, joined)
+
+    return F.when(F.size(values) > 0, let(F.ceil(F.sqrt(F.size(values))).cast("int"), over)).otherwise(F.array().cast("array<int>"))
+
+
+def _near(between: Column, found: Column, i: Column) -> tuple[Column, Column]:
+    """CONTEXT characters on both sides of match i; they reach over one other match at most."""
+    tail = lambda x: F.coalesce(F.substring(x, -CONTEXT, CONTEXT), F.lit(""))
+    head = lambda x: F.coalesce(F.substring(x, 1, CONTEXT), F.lit(""))
+    before = F.concat(tail(F.get(between, i - 1)), tail(F.get(found, i - 1)), tail(F.get(between, i)))
+    after = F.concat(head(F.get(between, i + 1)), head(F.get(found, i + 1)), head(F.get(between, i + 2)))
+    return F.substring(before, -CONTEXT, CONTEXT), F.substring(after, 1, CONTEXT)
+
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(F.coalesce(end, a["at"]).alias("at"), F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(_span(start, end, kind, x["m"])))).alias("out"))
+def matches(text: Column, pattern: str, kind: str, near: bool = False) -> Column:
+    """All matches with their places: the lengths of what lies between them and of themselves add up to the offsets. near: with before and after, the text around them."""
 
-    return F.aggregate(pairs, first, step, lambda a: a["out"])
+    def placed(p: Column) -> Column:
+        between, found = p["between"], p["found"]
+        sizes = F.zip_with(F.slice(between, 1, F.greatest(F.lit(1), F.size(found))), found, lambda b, m: F.coalesce(F.length(b) + F.length(m), F.lit(0)))
+
+        def spans(at: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                start = F.get(at, i) + F.length(F.get(between, i))
+                span = _span(start, start + F.length(m), kind, m)
+                if not near:
+                    return span
+                before, after = _near(between, found, i)
+                return F.struct(span.alias("c"), before.alias("before"), after.alias("after"))
+
+            return F.transform(found, one)
+
+        return let(running(sizes, F.lit(0), lambda a, x: a + x), spans)
+
+    return let(F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), placed)
 
 
 def _digits(text: Column) -> Column:
@@ -91,11 +131,9 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast(EMPTY))
 
 
-def _features(text: Column, name: str, c: Column) -> Column:
+def _features(name: str, c: Column) -> Column:
     """Numbers of a candidate's form and of what stands around it, in pii_model.FEATURES's order."""
-    m = c["text"]
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), c["start"] - (CONTEXT - 1)), F.least(F.lit(CONTEXT), c["start"])))
-    after = F.lower(F.substring(text, c["end"] + 1, F.lit(CONTEXT)))
+    m, before, after = c["c"]["text"], F.lower(c["before"]), F.lower(c["after"])
     digits = _digits(m)
     size = F.length(m)
     has = lambda x, words: x.rlike("(?:" + "|".join(words) + ")").cast("int")
@@ -131,7 +169,7 @@ def score(f: Column, model: pii_model.Model) -> Column:
 
 
 def _selected(text: Column, name: str, kind: str, pattern: str, model: pii_model.Model) -> Column:
-    described = F.transform(matches(text, pattern, kind), lambda c: F.struct(c.alias("c"), _features(text, name, c).alias("f")))
+    described = F.transform(matches(text, pattern, kind, near=True), lambda c: F.struct(c["c"].alias("c"), _features(name, c).alias("f")))
     return F.transform(F.filter(described, lambda x: score(x["f"], model) >= model.thresholds[kind]), lambda x: x["c"])
 
 
@@ -150,10 +188,12 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = (), model: pii_model.Model
     t = F.col("_t")
 
     def chosen(base: Column) -> Column:
-        added = F.array_except(candidate_spans(t, model), base)
-        return let(F.concat(base, added), lambda every: F.struct(base.alias("base"), F.concat(*(of_kind(every, k) for k in KINDS)).alias("spans")))
+        return let(F.concat(base, candidate_spans(t, model)), lambda every: F.struct(base.alias("base"), F.concat(*(of_kind(every, k) for k in KINDS)).alias("spans")))
+
+    def of_kind(every: Column, kind: str) -> Column:
+        """In order; equal spans are neighbours then, and one of them stays."""
+        return let(F.sort_array(F.filter(every, lambda x: x["kind"] == kind)), lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) != x, F.lit(True))))
 
-    of_kind = lambda every, k: F.sort_array(F.filter(every, lambda x: x["kind"] == k))
     d = d.withColumn("_found", let(F.concat(*(base_spans(t, k) for k in BASE)), chosen))
     return d.select("doc_id", *keep, F.col("_found.base").alias("base"), F.col("_found.spans").alias("spans"))
 
@@ -166,12 +206,24 @@ def redact(docs: DataFrame, model: pii_model.Model | None = None) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; overlapping spans become one. n_chars follows where it is there; null texts stay null."""
     d = find_pii(boxed(docs), ("text", "__rest"), model)
     by_start = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    pages = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+    def clean(at: Column) -> Column:
+        spans, pages = at["spans"], at["pages"]
+
+        def cut(start: Column, end: Column) -> Column:
+            """text[start:end] by way of its pages, so that a far place costs no more than a near one."""
+            first = F.floor(start / PAGE).cast("int")
+            some = F.array_join(F.slice(pages, first + 1, F.floor(end / PAGE).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(some, start - first * PAGE + 1, end - start)).otherwise(F.lit(""))
+
+        def marked(reach: Column) -> Column:
+            told = F.transform(spans, lambda x, i: F.when(x["s"] >= F.get(reach, i), F.concat(cut(F.get(reach, i), x["s"]), F.lit("["), F.upper(x["k"]), F.lit("]"))).otherwise(F.lit("")))
+            last = F.greatest(F.get(reach, F.size(reach) - 1), F.get(spans, F.size(spans) - 1)["e"])
+            return F.concat(F.array_join(told, ""), cut(last, F.length("text")))
 
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"])
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(gap, F.concat(F.lit("["), F.upper(x["k"]), F.lit("]"))))).alias("out"))
+        ends = F.transform(spans, lambda x: x["e"])
+        return let(running(ends, F.lit(0), lambda a, x: F.greatest(a, x)), marked)
 
-    d = d.withColumn("_r", F.when(F.size("spans") > 0, F.aggregate(by_start, first, step)))
-    clean = F.concat(F.array_join("_r.out", ""), F.substring(F.col("text"), F.col("_r.at") + 1, F.length("text")))
-    return unboxed(d.withColumn("text", F.when(F.col("_r").isNotNull(), clean).otherwise(F.col("text"))), docs)
+    redacted = let(F.struct(by_start.alias("spans"), pages.alias("pages")), clean)
+    return unboxed(d.withColumn("text", F.when(F.size("spans") > 0, redacted).otherwise(F.col("text"))), docs)

@@ -26,4 +26,15 @@ def test_selected_spans_may_overlap_base_ones(spark):
     assert [b["kind"] for b in got[0]["base"]] == ["email"] and f"secret:3:{3 + len(secret)}" in got[0]["s"].split(",")
     assert got[2]["s"].split(",").count("card:5:24") == 1
     assert pii.redact(d).where("doc_id = 0").first()["text"] == "wh [SECRET] enes"
-    print(got)
+
+
+def test_very_many_spans_and_long_addresses(spark):
+    many = " ".join(f"u{k}@ho{k % 97}.example.com and" for k in range(50_000))
+    spelt = "a" * 90 + " [at] " + "b" * 80 + " [dot] example"
+    phones = " ".join(f"+1 (988) 555-{k % 10_000:04d} call 988-555-{k % 10_000:04d}," for k in range(20_000))
+    d = spark.createDataFrame([(1, many), (2, f"mail {spelt} now"), (3, phones), (4, "😀 a@b.co é a@b.co"), (5, "")], "doc_id long, text string")
+    red = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert red[1] == " ".join(["[EMAIL] and"] * 50_000)
+    assert red[2] == "mail [EMAIL] now"
+    assert red[3] == " ".join(["[PHONE] call [PHONE],"] * 20_000)
+    assert red[4] == "😀 [EMAIL] é [EMAIL]" and red[5] == ""
