@@ -9,8 +9,8 @@ bytes are compared with the digest, so no stranger is ever taken for a member. M
 slot's group; the others form groups of their own.
 
 Null text counts as empty. A null doc_id loses to any other. Of equal texts the row of the
-smallest doc_id stays; of rows that repeat both doc_id and text one stays. Other columns are
-ignored, an empty table gives an empty result.
+smallest doc_id stays; of rows that repeat both doc_id and text one stays. Texts of any length cost the memory of one row. Other
+columns are ignored, an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -50,7 +50,9 @@ def _keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_mph(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds by bucket, and the slot of each digest; slots are 0..n-1, each used once."""
+    """Seeds by bucket, and the slot of each digest; slots are 0..n-1, each used once.
+
+    Buckets of one size, the largest first, try the same seed at once; of those that want one slot the first gets it."""
     a, b = _keys(blob)
     n = len(a)
     buckets = max(1, -(-n // LOAD))
@@ -59,26 +61,28 @@ def build_mph(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = np.bincount(of, minlength=buckets)
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
     seeds, slot, used = np.zeros(buckets, np.uint32), np.full(n, -1, np.int64), np.zeros(n, bool)
-    free = None
-    at = 0
-    for k in np.argsort(-size, kind="stable"):
-        if size[k] == 0:
-            break
-        mine = order[start[k] : start[k] + size[k]]
-        if size[k] == 1:  # the rest are single keys: their seed names a free slot outright
-            if free is None:
-                free = np.flatnonzero(~used)
-            seeds[k] = (1 << 31) | int(free[at])
-            slot[mine[0]] = free[at]
-            at += 1
-            continue
-        keys = b[mine]
-        for seed in range(1, 1 << 31):
-            to = (_mix(keys, np.full(1, seed, np.uint64)) % np.uint64(n)).astype(np.int64)
-            if not used[to].any() and len(set(to.tolist())) == len(to):
-                seeds[k], slot[mine] = seed, to
-                used[to] = True
-                break
+    for s in range(int(size.max()) if n else 0, 1, -1):
+        todo = np.flatnonzero(size == s)
+        rows = order[start[todo][:, None] + np.arange(s)]
+        seed = 0
+        while len(todo):
+            seed += 1
+            to = (_mix(b[rows], np.full(1, seed, np.uint64)) % np.uint64(n)).astype(np.int64)
+            ordered = np.sort(to, axis=1)
+            fit = np.flatnonzero(~used[to].any(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1))
+            wanted = to[fit].ravel()
+            won = np.zeros(len(wanted), bool)
+            won[np.unique(wanted, return_index=True)[1]] = True
+            fit = fit[won.reshape(-1, s).all(axis=1)]
+            used[to[fit]] = True
+            seeds[todo[fit]], slot[rows[fit]] = seed, to[fit]
+            rest = np.ones(len(todo), bool)
+            rest[fit] = False
+            todo, rows = todo[rest], rows[rest]
+    single = np.flatnonzero(size == 1)  # a bucket of one names a free slot outright
+    free = np.flatnonzero(~used)
+    seeds[single] = free.astype(np.uint32) | np.uint32(1 << 31)
+    slot[order[start[single]]] = free
     return seeds, slot
 
 
@@ -109,7 +113,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
     """history: digests(). A row of binary arrays for each shard."""
-    return _grouped(history, shards).groupBy("shard").applyInPandas(_build, INDEX)
+    return _grouped(history, shards).repartition(shards, "shard").groupBy("shard").applyInPandas(_build, INDEX)
 
 
 def _min_id(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,9 +154,10 @@ def exact_groups(docs: DataFrame, is_history: Column) -> DataFrame:
     shards = fit_in(d.count(), SHARD, 64)
     index = stored(build_index(d.where(old), shards))
     groups = look_up(index, d.where(~old), shards)
-    out = d.join(groups, "digest")
-    place = F.row_number().over(W.partitionBy("doc_id", "digest").orderBy(F.lit(0)))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (place == 1))
+    # Repeated rows are counted first: after the join by digest nothing needs its partitions, so that a hot digest's can be split.
+    rows = d.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    out = rows.join(groups, "digest").select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("place"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("place") == 1)).drop("rows", "place")
 
 
 def drop_exact_copies(docs: DataFrame, is_history: Column) -> DataFrame:
