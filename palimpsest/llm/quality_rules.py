@@ -1,27 +1,25 @@
 """Quality rules with cross-document line frequency; DataFrame functions only.
 
-A normalised line (lower case, runs of blanks as one, trimmed, MIN_LINE_WORDS words or more) is
-hashed with its host. Lines that more than LINE_LIMIT documents of one host hold are boilerplate.
-They are removed from a document, and a document that would lose more than MAX_REMOVED of its
-words is rejected, unless the lines it would lose come first in it (the document of the smallest
-doc_id that holds a line owns it, and so do its exact copies): such a document stays whole, so one
-copy of a passage always survives.
-
-Null text counts as no text (base_failed), a null host as the host "". Repeated rows count as
-separate documents and get equal verdicts; an empty table gives an empty result; other columns are
-ignored. Line state is 64-bit hashes, never text.
+A normalised line (lower case, runs of blanks as one, trimmed, not empty) is hashed with its host. Lines that more than
+LINE_LIMIT distinct documents of one host hold are boilerplate; exact copies of a text are one document, so copying alone
+makes no line boilerplate and copies share their verdict. Such lines are removed from a document, and a document
+that would lose more than MAX_REMOVED of its words is rejected.
+
+Null text counts as no text (base_failed), a null host as the host "". Repeated rows get equal verdicts; an empty table gives
+an empty result; other columns are ignored. Line state is 64-bit hashes, never text; a very long text costs memory in
+proportion to its words.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, let, text_or_empty, unboxed, words_of
+from .common import boxed, let, stored, text_or_empty, unboxed, words_of
 
 LINE_LIMIT = 10
-MIN_LINE_WORDS = 3
 MAX_REMOVED = 0.5
 MIN_WORDS = 50
+LISTED = 2_000_000  # frequent lines that may be broadcast, 8 bytes each
 
 
 def _lines(text: Column) -> Column:
@@ -69,36 +67,31 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame, host: str) -> DataFrame:
-    """A row for each line that counts: h, doc_id, digest, i, words, first (1 at the line's first place in its document)."""
+    """A row for each line that is not empty: h, doc_id, digest (of the whole text), i, words."""
     t = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_or_empty().alias("t"))
     t = t.withColumn("digest", F.xxhash64("t"))
-    rows = F.transform(_normal_lines(F.col("t")), lambda x, i: F.struct(F.xxhash64("host", x).alias("h"), i.alias("i"), F.size(F.split(x, " ")).alias("words")))
-    ordered = F.sort_array(F.filter(rows, lambda r: r["words"] >= MIN_LINE_WORDS))
-    marked = let(ordered, lambda s: F.transform(s, lambda r, k: F.struct(r["h"].alias("h"), r["i"].alias("i"), r["words"].alias("words"), F.when(F.get(s, k - 1)["h"] == r["h"], 0).otherwise(1).alias("first"))))
-    t = t.select("doc_id", "digest", F.explode(marked).alias("l"))
-    return t.select("l.h", "doc_id", "digest", "l.i", "l.words", "l.first")
+    rows = F.transform(_normal_lines(F.col("t")), lambda x, i: F.when(F.length(x) > 0, F.struct(F.xxhash64("host", x).alias("h"), i.alias("i"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))))
+    t = t.select("doc_id", "digest", F.explode(F.array_compact(rows)).alias("l"))
+    return t.select("l.h", "doc_id", "digest", "l.i", "l.words")
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
-    """h, n_docs, owner (digest of the text whose document comes first) of the lines above the limit."""
-    lines = _line_rows(docs, host)
-    met = lines.groupBy("h").agg(F.sum("first").alias("n_docs"), F.min(F.struct("doc_id", "digest")).alias("o"))
-    return met.where(F.col("n_docs") > limit).select("h", "n_docs", F.col("o.digest").alias("owner"))
+    """h and n_docs (distinct texts) of the lines above the limit."""
+    held = _line_rows(docs, host).groupBy("h", "digest").agg(F.lit(1).alias("one"))
+    return held.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > limit)
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """Base counts, removed_words, owned_words, drop (places of the lines to remove) and kept, for each row of docs."""
-    hit = _line_rows(docs, host).join(frequent_lines(docs, host, limit), "h").select("doc_id", "digest", F.struct("i", "words", (F.col("owner") == F.col("digest")).alias("own")).alias("l"))
-    hit = hit.groupBy("doc_id", "digest").agg(F.collect_set("l").alias("hits"))
+    """Base counts, removed_words, drop (places of the lines to remove) and kept, for each row of docs."""
+    often = stored(frequent_lines(docs, host, limit).select("h"))
+    often = F.broadcast(often) if often.count() <= LISTED else often
+    hit = _line_rows(docs, host).join(often, "h").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("i", "words")).alias("hits"))
     hit = hit.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "hits")
     d = base_metrics(docs)
     d = d.join(hit, d["doc_id"].eqNullSafe(hit["_id"]) & (d["digest"] == hit["_digest"]), "left").drop("_id", "_digest")
-    total = lambda own: F.coalesce(F.aggregate(F.filter("hits", lambda x: x["own"] if own else ~F.isnull(x["i"])), F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long"))
-    d = d.withColumn("removed_words", total(False)).withColumn("owned_words", total(True))
-    light = F.col("removed_words") <= max_removed * F.col("n_words")
-    owner = (F.col("removed_words") - F.col("owned_words")) <= max_removed * F.col("n_words")
-    d = d.withColumn("drop", F.when(light, F.transform("hits", lambda x: x["i"])))
-    return d.withColumn("kept", ~F.col("base_failed") & (light | owner)).drop("hits")
+    d = d.withColumn("removed_words", F.coalesce(F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long")))
+    d = d.withColumn("drop", F.transform("hits", lambda x: x["i"]))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words"))).drop("hits")
 
 
 def apply_quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:

@@ -10,7 +10,7 @@ from .common import load
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_verdicts(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "owned_words")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,12 @@ base AS (
     coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)),
 lines AS (SELECT doc_id, host, t, trim(unnest(string_split(regexp_replace(lower(t), '[\\t\\x0B\\f\\r ]+', ' ', 'g'), chr(10))), ' ') AS line FROM base),
-counted AS (SELECT *, len(string_split(line, ' ')) AS words FROM lines WHERE len(string_split(line, ' ')) >= 3),
-often AS (SELECT host, line, arg_min(t, doc_id) AS owner FROM counted GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 10),
-hit AS (SELECT doc_id, sum(words) AS removed_words, sum(CASE WHEN owner = t THEN words ELSE 0 END) AS owned_words FROM counted JOIN often USING (host, line) GROUP BY 1),
-v AS (SELECT base.*, coalesce(removed_words, 0) AS removed_words, coalesce(owned_words, 0) AS owned_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM base LEFT JOIN hit USING (doc_id))
+counted AS (SELECT *, len(string_split(line, ' ')) AS words FROM lines WHERE line <> ''),
+often AS (SELECT host, line FROM counted GROUP BY 1, 2 HAVING count(DISTINCT t) > 10),
+hit AS (SELECT doc_id, sum(words) AS removed_words FROM counted JOIN often USING (host, line) GROUP BY 1),
+v AS (SELECT base.*, coalesce(removed_words, 0) AS removed_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM base LEFT JOIN hit USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND removed_words - owned_words <= 0.5 * n_words AS kept, removed_words::BIGINT AS removed_words, owned_words::BIGINT AS owned_words
+  NOT base_failed AND removed_words <= 0.5 * n_words AS kept, removed_words::BIGINT AS removed_words
 FROM v
 """
 
