@@ -45,3 +45,22 @@ def common_share(text: Column, first: int = 200, least: int = 50) -> Column:
     """Share of common words among the first words of 3 to 15 characters; null under `least` of them."""
     words = F.filter(F.split(F.lower(text), "[ \t\n\r\f\x0b]+"), lambda w: F.length(w).between(3, 15))
     return once(words, lambda w: F.when(F.size(w) >= least, F.size(F.filter(F.slice(w, 1, first), lambda x: x.isin(*COMMON))) / F.least(F.size(w), F.lit(first))))
+
+
+def latest(marks: Column) -> Column:
+    """For each place the greatest value so far (itself included) of an array of int; blocks of about the square root of its size keep it near linear."""
+
+    def scan(some: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(some, begin, lambda a, x: F.struct(F.greatest(a["at"], x).alias("at"), F.concat(a["out"], F.array(F.greatest(a["at"], x))).alias("out")), lambda a: a["out"])
+
+    def over(size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / size).cast("int")), lambda k: F.slice(marks, k * size + 1, size))
+
+        def joined(b: Column) -> Column:
+            tops = scan(F.transform(b, lambda some: F.array_max(some)), F.lit(-1))
+            return F.flatten(once(tops, lambda t: F.transform(b, lambda some, i: scan(some, F.coalesce(F.get(t, i - 1), F.lit(-1))))))
+
+        return once(blocks, joined)
+
+    return F.when(F.size(marks) > 0, once(F.ceil(F.sqrt(F.size(marks))).cast("int"), over)).otherwise(F.array().cast("array<int>"))

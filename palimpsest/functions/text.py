@@ -1,10 +1,18 @@
 """Column expressions over text."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LIGATURES = "th e |o f |fi nd|fl ow|ef fect"
+from .lines import once
+
+#: Letters torn apart where a ligature stood.
+LIGATURES = r"\b(?:[Tt]h (?:e|is|at|ey|en|ere|ose|us|an|eir|em|ese)\b|(?:fi|fl|ffi|ffl) [a-z])"
+#: White space in the Unicode sense, as a character class without its brackets; LINE_WHITE is without the newline.
+LINE_WHITE = r" \t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITE = r"\n" + LINE_WHITE
 #: Stop words of title keys.
 TITLE_STOPS = ("the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "by", "with", "from", "is", "was", "are")
 
@@ -14,32 +22,44 @@ def count_of(text: Column, literal: str) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, r"\s+"), ""))
+    return F.regexp_count(text, F.lit(f"[^{WHITE}]+"))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def penalties(text: Column) -> dict[str, Column]:
     """Counts from which the segment score is made."""
-    return {"n_replaced": count_of(text, "�"), "n_ligatures": F.regexp_count(text, F.lit(LIGATURES)).cast("long"), "n_doubles": F.regexp_count(text, F.lit("  +")).cast("long"), "n_words": word_count(text).cast("long")}
+    controls = "".join(map(chr, [*range(9), 11, 12, *range(14, 32)]))
+    return {"n_replaced": count_of(text, "�"), "n_ligatures": F.regexp_count(text, F.lit(LIGATURES)).cast("long"), "n_doubles": count_of(text, "  "), "n_controls": (F.length(text) - F.length(F.translate(text, controls, ""))).cast("long"), "n_words": word_count(text).cast("long")}
 
 
 def segment_score(replaced: Column, ligatures: Column, doubles: Column, controls: Column, chars: Column) -> Column:
-    """100 less bounded penalties for each thousand characters; 0 for empty text."""
-    k = chars / 1000.0
-    rate = lambda n, weight, most: F.least(F.lit(float(most)), weight * n / k)
-    return F.when(chars > 0, 100.0 - rate(replaced, 5.0, 40) - rate(ligatures, 2.0, 20) - rate(doubles, 1.0, 10) - rate(controls, 3.0, 10)).otherwise(0.0)
+    """100 less bounded penalties for each thousand characters, rounded half to even; 0 for empty text."""
+    k = 1000.0 / chars
+    rate = lambda n, weight, most: F.least(F.lit(float(most)), n * k * weight)
+    return F.when(chars > 0, F.greatest(F.lit(0.0), F.bround(100.0 - rate(replaced, 5.0, 40) - rate(ligatures, 2.0, 20) - rate(doubles, 1.0, 10) - rate(controls, 3.0, 10)))).otherwise(0.0).cast("long")
+
+
+#: What whitespace editing replaces, and by what. Order matters: tabs become spaces after runs of spaces have gone.
+WHITESPACE = ((" {3,}", " "), (" +([.,;:!?])", "$1"), ("\n{4,}", "\n\n\n"), (f"(?md)[{LINE_WHITE}]+$", ""), ("\t", " "))
 
 
-#: Order matters: tabs become spaces after runs of spaces have gone.
-WHITESPACE = ((" {3,}", " "), (" +([.,;:!?])", "$1"), ("\n{4,}", "\n\n\n"), ("(?m)[ \t]+$", ""), ("\t", " "))
+def edited(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """Struct of the text after all replacements in order, and n, how many places they changed. Each stage is computed once."""
 
+    def stage(pattern: str, to: str) -> Callable[[Column], Column]:
+        return lambda v: F.struct(F.regexp_replace(v["text"], pattern, to).alias("text"), (v["n"] + F.regexp_count(v["text"], F.lit(pattern))).alias("n"))
 
-def fix_whitespace(text: Column) -> tuple[Column, Column]:
-    """The text after all passes, and how many places they changed."""
-    changed = F.lit(0)
-    for pattern, to in WHITESPACE:
-        changed = changed + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, to)
-    return text, changed.cast("long")
+    value = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
+    for pattern, to in rules:
+        value = once(value, stage(pattern, to))
+    return value
+
+
+def fix_whitespace(text: Column) -> Column:
+    return edited(text, WHITESPACE)
 
 
 def clean_html(html: Column) -> Column:
@@ -47,9 +67,9 @@ def clean_html(html: Column) -> Column:
     for tag in ("script", "style"):
         html = F.regexp_replace(html, f"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
     html = F.regexp_replace(html, "<[^>]+>", " ")
-    for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, to in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&nbsp;", " ")):
         html = F.replace(html, F.lit(entity), F.lit(to))
-    return F.trim(F.regexp_replace(F.regexp_replace(html, "&#[0-9]+;", ""), "[ \t\n\r\f\x0b]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(html, "&#[0-9]+;", ""), f"[{WHITE}]+", " "))
 
 
 def redact_addresses(text: Column) -> Column:
@@ -62,11 +82,18 @@ def normal_heading(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.trim(text), " *[0-9]{1,3}$", "")))
 
 
-def title_key(title: Column) -> Column:
-    """Key of a title: subtitle and punctuation cut, stop words dropped, order kept."""
-    head = F.lower(F.split(title, "[:(]", 2)[0])
-    words = F.split(F.regexp_replace(head, "[^a-z0-9 ]", ""), " +")
-    return F.concat_ws(" ", F.filter(words, lambda w: (w != "") & ~w.isin(*TITLE_STOPS)))
+def _plain_words(text: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}_{WHITE}]", " "), f"[{WHITE}]+"), "")
+
+
+def title_key(title: Column, author: Column | None = None) -> Column:
+    """Key of a title: the subtitle after a colon or long dash cut, punctuation as spaces, stop words dropped, order kept, the author's last name behind. Null without words."""
+    words = F.filter(_plain_words(F.lower(F.split(title, "[:—]", 2)[0])), lambda w: ~w.isin(*TITLE_STOPS))
+    if author is not None:
+        parts = F.filter(_plain_words(author), lambda w: F.length(w) > 1)
+        last = F.when(F.contains(author, F.lit(",")), F.get(parts, F.lit(0))).otherwise(F.get(parts, F.size(parts) - 1))
+        words = F.concat(words, F.array_compact(F.array(F.lower(last))))
+    return F.when(F.size(words) > 0, F.array_join(words, " "))
 
 
 def valid_isbn(text: Column) -> Column:
@@ -75,20 +102,27 @@ def valid_isbn(text: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Host of a URL in lower case; leading w's and dots go, whatever they belong to."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/:?#]+)", 1)), "^[w.]+", "")
+    """Host of a URL, its port with it, in lower case; leading w's and dots go, whatever they belong to."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, "https?://([^/]+)", 1)), "^[w.]+", "")
 
 
-MEDIA = r"\.(?:jpg|jpeg|png|gif|webp|svg|mp4|webm|mp3|pdf|zip)$"
+#: Endings of media files, and hosts whose pages are not fetched.
+MEDIA = r"\.(?:jpg|jpeg|png|gif|webp|svg|mp4|webm|mov|avi|mp3|pdf|bmp|ico|tiff)$"
+SKIPPED_HOSTS = tuple("twitter.com x.com facebook.com instagram.com reddit.com youtube.com youtu.be tiktok.com discord.com discord.gg twitch.tv imgur.com giphy.com gfycat.com tenor.com i.ytimg.com cdn.drawception.com pbs.twimg.com schema.org xenforo.com dragonbyte-tech.com firesofheaven.org".split())
 
 
-def fetchable(url: Column, skipped: tuple[str, ...]) -> Column:
-    """A link worth fetching: long enough, no media file, no campaign tag, host and its parents not skipped."""
+def fetchable(url: Column, skipped: tuple[str, ...] = SKIPPED_HOSTS) -> Column:
+    """A link worth fetching: long enough, no media file, no footer campaign, host and its parents not skipped."""
     host = host_of(url)
     on_list = F.lit(False)
     for s in skipped:
         on_list = on_list | (host == s) | host.endswith(f".{s}")
-    return (F.length(url) >= 12) & url.rlike("^https?://") & ~F.lower(F.split(url, "[?#]")[0]).rlike(MEDIA) & ~F.contains(url, F.lit("utm_")) & ~on_list
+    footer = F.contains(url, F.lit("utm_medium=footer")) | F.contains(url, F.lit("utm_content=footer"))
+    return F.coalesce((F.length(url) >= 12) & url.startswith("http") & ~F.lower(F.split(url, r"\?", 2)[0]).rlike(MEDIA) & ~footer & (host != "") & ~on_list, F.lit(False))
+
+
+def is_tweet(url: Column) -> Column:
+    return F.coalesce(host_of(url).isin("twitter.com", "x.com") & url.rlike("/status/[0-9]+"), F.lit(False))
 
 
 def structure(html: Column) -> dict[str, Column]:

@@ -20,7 +20,7 @@ def status(issues: Column, failed: Column) -> Column:
 def text_quality(docs: DataFrame) -> DataFrame:
     """Counts, score, issues and status of each document's text, in one pass."""
     d = docs.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), *(c.alias(n) for n, c in penalties(F.col("text")).items()))
-    d = d.withColumn("score", segment_score(F.col("n_replaced"), F.col("n_ligatures"), F.col("n_doubles"), F.lit(0), F.col("n_chars")))
+    d = d.withColumn("score", segment_score(F.col("n_replaced"), F.col("n_ligatures"), F.col("n_doubles"), F.col("n_controls"), F.col("n_chars")))
     words, score = F.col("n_words"), F.col("score")
     patterns = {"LIGATURE_SPLITS_HIGH": (F.col("n_ligatures") > 20, "medium"), "DOUBLE_SPACES": (F.col("n_doubles") > 20, "low"), "LIKELY_SCAN_NO_OCR": (words < 100, "medium"), "TEXT_LAYER_LOW_QUALITY": ((score < 50) & (words > 100), "high"), "TEXT_LAYER_BORDERLINE": ((score >= 50) & (score < 75) & (words > 100), "medium")}
     d = d.withColumn("issues", detect_issues(patterns))
@@ -35,13 +35,14 @@ def quality_by_source(docs: DataFrame) -> DataFrame:
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), n(F.col("status") == "PASS").alias("n_pass"), n(F.col("status") == "WARN").alias("n_warn"), has("LIGATURE_SPLITS_HIGH").alias("n_ligature"), has("DOUBLE_SPACES").alias("n_double"), has("LIKELY_SCAN_NO_OCR").alias("n_short"), has("TEXT_LAYER_LOW_QUALITY").alias("n_low"), has("TEXT_LAYER_BORDERLINE").alias("n_borderline"), F.sum("n_words").alias("n_words"))
 
 
-def repeated_lines(docs: DataFrame, least_docs: int, low: int = 15, high: int = 150) -> DataFrame:
-    """Lines of low to high characters that `least_docs` documents of a source or more hold."""
-    lines = docs.select("source", "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.length("line").between(low, high))
-    return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least_docs)
+#: Characters by which a line is taken for program code.
+CODE = "[{}();=]"
 
 
-def pattern_books(docs: DataFrame, patterns: dict[str, tuple[Column, str]]) -> DataFrame:
-    """How many documents of each source and language have each pattern."""
-    d = docs.select("source", "lang", F.explode(detect_issues(patterns)).alias("i"))
-    return d.groupBy(F.col("i.pattern").alias("pattern"), "source", "lang").agg(F.count(F.lit(1)).alias("n"))
+def repeated_lines(blocks: DataFrame, least_pages: int = 5, density: float = 0.1, low: int = 15, high: int = 150) -> DataFrame:
+    """Running headers: texts of low to high characters, not code, on `least_pages` pages and that share of the document's pages or more. Only hashes are shuffled until the texts that count are known."""
+    lines = blocks.where(F.length("text").between(low, high) & ~F.col("text").rlike(CODE)).select("doc_id", "page", "text", F.xxhash64("text").alias("h"))
+    pages = blocks.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
+    met = lines.select("doc_id", "h", "page").distinct().groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    met = met.join(pages, "doc_id").where(F.col("n") >= density * F.col("n_pages")).select("doc_id", "h", "n")
+    return lines.join(met, ["doc_id", "h"]).groupBy("doc_id", "text").agg(F.first("n").alias("n"))

@@ -60,3 +60,9 @@ def uniform_scores(pages: DataFrame, least: int = 3, share: float = 0.75) -> Dat
     top = d.groupBy("book_id").agg(F.sum("n").alias("n_scored"), F.max(F.struct("n", (-F.col("first")).alias("first"), "score")).alias("t"))
     top = top.where((F.col("t.n") >= least) & (F.col("t.n") >= share * F.col("n_scored"))).select("book_id", F.col("t.score").alias("score"))
     return pages.join(top, ["book_id", "score"], "left_semi")
+
+
+def exit_codes(findings: DataFrame, key: str, codes: dict[str, int], kind: str) -> DataFrame:
+    """The gravest code of each key's findings, 0 without one."""
+    code = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))[F.col(kind)]
+    return findings.groupBy(key).agg(F.max(F.coalesce(code, F.lit(0))).alias("code"))

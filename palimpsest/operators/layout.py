@@ -49,3 +49,28 @@ def heading_levels(headings: DataFrame, deepest: int = 3) -> DataFrame:
     sizes = headings.select("doc_id", "font_size").distinct()
     ranked = sizes.withColumn("level", F.least(F.lit(deepest), F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.desc("font_size")))))
     return headings.join(ranked, ["doc_id", "font_size"])
+
+
+def dedup_key(text: Column) -> Column:
+    """A heading's text without its number, in lower case, white space as one."""
+    bare = F.trim(text)
+    for lead in (r"(?i)^(?:chapter|part|section)\s+[0-9ivxlc]+[.:)]*\s*", r"^[0-9]+[.:)]\s*", r"^[IVXLC]+[.:)]\s*"):
+        bare = F.regexp_replace(bare, lead, "")
+    return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+
+
+def without_twin(headings: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
+    """Headings whose key no known one of the same document has."""
+    d = headings.withColumn("_k", dedup_key(F.col("text")))
+    return d.join(known.select(*keys, dedup_key(F.col("text")).alias("_k")).distinct(), [*keys, "_k"], "left_anti").drop("_k")
+
+
+def footnote(height: Column, size_ratio: Column) -> Column:
+    """A block low on its page (share of its height from below) in smaller type is a footnote."""
+    return ((height <= 0.15) & (size_ratio < 0.95)) | ((height <= 0.40) & (size_ratio < 0.85))
+
+
+def demoted(toc: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """Levels of a flat table of contents: of more than `most` entries all at the first level, all go to the second."""
+    flat = toc.groupBy(key).agg((F.bool_and(F.col("level") == 1) & (F.count(F.lit(1)) > most)).alias("_flat"))
+    return toc.join(flat, key).withColumn("level", F.when(F.col("_flat"), 2).otherwise(F.col("level"))).drop("_flat")

@@ -24,10 +24,3 @@ def status_counts(runs: DataFrame, old: int, new: int) -> DataFrame:
     """Counts by status in both runs; a status that one lacks counts 0."""
     a, b = (_latest(runs, r).groupBy("status").agg(F.count(F.lit(1)).alias(n)) for r, n in ((old, "n_old"), (new, "n_new")))
     return a.join(b, "status", "full").select("status", F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
-
-
-def file_correlation(issues: DataFrame, books: DataFrame, share: float = 0.75) -> DataFrame:
-    """Categories of which one format has `share` of the books or more, two at least."""
-    d = issues.join(books.select("book_id", "format"), "book_id").groupBy("category", "format").agg(F.countDistinct("book_id").alias("n"))
-    total = d.groupBy("category").agg(F.sum("n").alias("total"))
-    return d.join(total, "category").where((F.col("n") >= 2) & (F.col("n") >= share * F.col("total")))

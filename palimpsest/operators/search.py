@@ -1,7 +1,7 @@
-"""Boolean text queries compiled to predicates that Spark can push down."""
+"""Text predicates that Spark can push down."""
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,47 +14,7 @@ def keyword_filter(posts: DataFrame, keywords: list[str], *columns: str) -> Data
     return posts.where(reduce(lambda a, b: a | b, (F.contains(body, F.lit(k.lower())) for k in keywords), F.lit(False)))
 
 
-def boolean_column(query: str, text: Column) -> Column:
-    """NOT binds closer than AND, AND closer than OR; words and "phrases" match as substrings, whatever their case.
-
-    Two words without an operator between them: what follows the first is ignored. NOT takes one word, phrase or
-    parenthesis. An empty query matches everything.
-    """
-    low, words = F.lower(text), re.findall(r'"[^"]*"?|[()]|[^\s()"]+', query)
-    at = 0
-
-    def peek() -> str:
-        return words[at] if at < len(words) else ""
-
-    def primary() -> Column:
-        nonlocal at
-        word = peek()
-        at += 1
-        if word == "(":
-            inside = either()
-            at += peek() == ")"
-            return inside
-        return F.contains(low, F.lit(word.strip('"').lower()))
-
-    def negated() -> Column:
-        nonlocal at
-        if peek().upper() == "NOT":
-            at += 1
-            return ~primary()
-        return primary()
-
-    def chain(part, word: str, join) -> Column:  # noqa: ANN001
-        nonlocal at
-        out = part()
-        while peek().upper() == word:
-            at += 1
-            out = join(out, part())
-        return out
-
-    def both() -> Column:
-        return chain(negated, "AND", lambda a, b: a & b)
-
-    def either() -> Column:
-        return chain(both, "OR", lambda a, b: a | b)
-
-    return either() if words else F.lit(True)
+def holds(text: Column) -> Callable[[str], Column]:
+    """A predicate maker: the text has a word or phrase as a substring, whatever its case. Queries are made of these with &, | and ~."""
+    low = F.lower(text)
+    return lambda phrase: F.contains(low, F.lit(phrase.lower()))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def source_profile(conversions: DataFrame, books: DataFrame) -> DataFrame:
-    """By publisher: books, conversions, mean first and overall score, and the mean over conversions of their book's last iteration."""
-    last = conversions.groupBy("book_id").agg(F.max("iteration").alias("last"))
-    d = conversions.join(books, "book_id").join(last, "book_id", "left")
-    return d.groupBy(F.coalesce("publisher", F.lit("unknown")).alias("publisher")).agg(F.countDistinct("book_id").alias("n_books"), F.count(F.lit(1)).alias("n_conversions"), F.avg(F.when(F.col("iteration") == 1, F.col("score"))).alias("first_score"), F.avg("score").alias("mean_score"), F.avg("last").alias("mean_iterations"))
+    """By publisher: books, conversions, mean first and overall score, and the mean over conversions of their book's last iteration. Conversions are summed by book before they meet the books."""
+    first = F.when(F.col("iteration") == 1, F.col("score"))
+    d = conversions.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("first"), F.count(first).alias("n_first"), F.sum("score").alias("score"), F.count("score").alias("n_score"), F.max("iteration").alias("last"))
+    by = d.join(books, "book_id").groupBy(F.coalesce("publisher", F.lit("unknown")).alias("publisher"))
+    of = lambda a, b: F.sum(a) / F.when(F.sum(b) > 0, F.sum(b))
+    return by.agg(F.count(F.lit(1)).alias("n_books"), F.sum("n").alias("n_conversions"), of("first", "n_first").alias("first_score"), of("score", "n_score").alias("mean_score"), (F.sum(F.col("last") * F.col("n")) / F.sum("n")).alias("mean_iterations"))
 
 
 def best_paths(conversions: DataFrame, books: DataFrame) -> DataFrame:
@@ -36,17 +38,20 @@ def publisher_report(books: DataFrame, conversions: DataFrame, least: int) -> Da
     return d.where(F.col("n_books") >= least)
 
 
-def amortised(conversions: DataFrame) -> DataFrame:
-    """Cost by conversion of each book and where it stands: free, amortized, recovering, sunk."""
-    d = conversions.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost_cents").alias("cost_cents")).withColumn("each", F.col("cost_cents") / F.col("n"))
-    return d.withColumn("state", F.when(F.col("cost_cents") == 0, "free").when(F.col("each") < 300, "amortized").when(F.col("each") < 400, "recovering").otherwise("sunk"))
+def amortised(books: DataFrame, conversions: DataFrame, paid_off: float = 50, recovering: float = 200) -> DataFrame:
+    """Cost by conversion of each book, in cents rounded to hundredths, and where it stands: free, amortized, recovering, sunk."""
+    d = conversions.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost_cents").alias("cost_cents"), F.max("score").alias("best"))
+    d = books.select("book_id").join(d, "book_id", "left").select("book_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cost_cents", F.lit(0)).alias("cost_cents"), "best")
+    d = d.withColumn("each", F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.col("cost_cents") / F.col("n"), 2)))
+    return d.withColumn("state", F.when(F.col("each") == 0, "free").when(F.col("each") < paid_off, "amortized").when(F.col("each") < recovering, "recovering").otherwise("sunk"))
 
 
 def best_conversion(conversions: DataFrame, min_score: int = 0) -> DataFrame:
-    """Of each book: the highest score, then the newest; min_score <= 0 lets unscored ones in."""
+    """Of each book: the highest score, then the newest; min_score <= 0 lets unscored ones in. One struct is compared before the shuffle; no book's rows are sorted."""
     d = conversions.where(F.col("score") >= min_score) if min_score > 0 else conversions
-    order = W.partitionBy("book_id").orderBy(F.desc_nulls_last("score"), F.desc("created_at"), "l_orderkey", "l_partkey", "l_suppkey", "iteration", "cost_cents")
-    return d.withColumn("place", F.row_number().over(order)).where("place = 1").select("book_id", "score", "created_at", "path", "iteration")
+    ties = [(-F.col(c)).alias(f"_{c}") for c in ("l_orderkey", "l_partkey", "l_suppkey", "iteration", "cost_cents")]
+    best = F.max(F.struct("score", "created_at", *ties, "path"))
+    return d.groupBy("book_id").agg(best.alias("b")).select("book_id", "b.score", "b.created_at", "b.path", (-F.col("b._iteration")).alias("iteration"))
 
 
 def iteration_scores(conversions: DataFrame) -> DataFrame:
@@ -126,3 +131,13 @@ def top_categories(issues: DataFrame, books: DataFrame, most: int) -> DataFrame:
     """The most common issue categories of each publisher; ties by name."""
     d = issues.join(books, "book_id").groupBy(F.coalesce("publisher", F.lit("unknown")).alias("publisher"), "category").agg(F.count(F.lit(1)).alias("n"))
     return d.withColumn("place", F.row_number().over(W.partitionBy("publisher").orderBy(F.desc("n"), "category"))).where(F.col("place") <= most)
+
+
+def fix_stats(issues: DataFrame) -> DataFrame:
+    """By kind of fix: how many, how many tried, and a rounded mean."""
+    return issues.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("fix_attempted"), 1).otherwise(0)).alias("attempted"), F.bround(F.avg("book_id"), 1).alias("mean_book"))
+
+
+def histograms(rows: DataFrame, *columns: str) -> DataFrame:
+    """Counts by each of the columns, one pass for all."""
+    return rows.groupingSets([[c] for c in columns], *columns).agg(F.count(F.lit(1)).alias("n"))

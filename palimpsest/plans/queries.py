@@ -8,9 +8,14 @@ from ..operators import classify, runs, search, store
 from ..streaming import events as ev
 from .registry import Q, query
 
-SCORED = """scored AS (SELECT doc_id, source, lang, length(text) AS n_chars, length(text) - length(replace(text, '�', '')) AS n_replaced, len(regexp_extract_all(text, 'th e |o f |fi nd|fl ow|ef fect')) AS n_ligatures, len(regexp_extract_all(text, '  +')) AS n_doubles,
-  len(list_filter(regexp_split_to_array(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda x: x <> '')) AS n_words FROM dirty_v),
-judged AS (SELECT *, CASE WHEN n_chars > 0 THEN 100.0::DOUBLE - least(40.0::DOUBLE, 5.0::DOUBLE * n_replaced / (n_chars / 1000.0::DOUBLE)) - least(20.0::DOUBLE, 2.0::DOUBLE * n_ligatures / (n_chars / 1000.0::DOUBLE)) - least(10.0::DOUBLE, 1.0::DOUBLE * n_doubles / (n_chars / 1000.0::DOUBLE)) ELSE 0 END AS score FROM scored)"""
+def score_sql(t: str) -> str:
+    """Score of a text by its replacement characters, torn ligatures, doubled blanks and control characters."""
+    k = f"(1000.0::DOUBLE / length({t}))"
+    ligatures = r"\b(?:[Tt]h e\b|[Tt]h is\b|[Tt]h at\b|[Tt]h ey\b|[Tt]h en\b|[Tt]h ere\b|[Tt]h ose\b|[Tt]h us\b|[Tt]h an\b|[Tt]h eir\b|[Tt]h em\b|[Tt]h ese\b|fi [a-z]|fl [a-z]|ffi [a-z]|ffl [a-z])"
+    return f"""CASE WHEN length({t}) > 0 THEN greatest(0, round_even(100.0::DOUBLE - least(40.0::DOUBLE, (length({t}) - length(replace({t}, '�', ''))) * {k} * 5) - least(20.0::DOUBLE, len(regexp_extract_all({t}, '{ligatures}')) * {k} * 2) - least(10.0::DOUBLE, len(regexp_extract_all({t}, '  ')) * {k}) - least(10.0::DOUBLE, len(regexp_extract_all({t}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) * {k} * 3), 0)) ELSE 0 END::BIGINT"""
+
+
+SCORED = f"""judged AS (SELECT doc_id, source, lang, length(text) - length(replace(text, '�', '')) AS n_replaced, len(regexp_extract_all(text, '\\b(?:[Tt]h (?:e|is|at|ey|en|ere|ose|us|an|eir|em|ese)\\b|(?:fi|fl|ffi|ffl) [a-z])')) AS n_ligatures, len(regexp_extract_all(text, '  ')) AS n_doubles, len(regexp_extract_all(text, '[^{T.WHITE}]+')) AS n_words, {score_sql('text')} AS score FROM dirty_v)"""
 
 
 @query("quality_by_source", f"WITH {SCORED} SELECT source, count(*) AS n_docs, count_if(NOT (score < 50 AND n_words > 100)) AS n_pass, count_if(score < 50 AND n_words > 100) AS n_warn, count_if(n_ligatures > 20) AS n_ligature, count_if(n_doubles > 20) AS n_double, count_if(n_words < 100) AS n_short, count_if(score < 50 AND n_words > 100) AS n_low, count_if(score >= 50 AND score < 75 AND n_words > 100) AS n_borderline, sum(n_words)::BIGINT AS n_words FROM judged GROUP BY source", "dirty_v")
@@ -18,9 +23,9 @@ def quality_by_source(d):
     return classify.quality_by_source(d)
 
 
-@query("segment_quality", f"WITH {SCORED} SELECT doc_id, n_replaced, n_ligatures, n_doubles, n_words, round(score * 1000)::BIGINT AS score_milli FROM judged", "dirty_v")
+@query("segment_quality", f"WITH {SCORED} SELECT doc_id, n_replaced, n_ligatures, n_doubles, n_words, score FROM judged", "dirty_v")
 def segment_quality(d):
-    return classify.text_quality(d).select("doc_id", "n_replaced", "n_ligatures", "n_doubles", "n_words", F.round(F.col("score") * 1000).cast("long").alias("score_milli"))
+    return classify.text_quality(d).select("doc_id", "n_replaced", "n_ligatures", "n_doubles", "n_words", "score")
 
 
 @query("source_profile", "WITH last AS (SELECT book_id, max(iteration) AS last FROM conversions_v GROUP BY 1) SELECT coalesce(publisher, 'unknown') AS publisher, count(DISTINCT book_id) AS n_books, count(*) AS n_conversions, avg(CASE WHEN iteration = 1 THEN score END) AS first_score, avg(score) AS mean_score, avg(last) AS mean_iterations FROM conversions_v JOIN books_v USING (book_id) LEFT JOIN last USING (book_id) GROUP BY 1", "conversions_v", "books_v")
@@ -48,9 +53,9 @@ def publisher_report(b, c):
     return store.publisher_report(b, c, 10)
 
 
-@query("amortisation", "SELECT *, CASE WHEN cost_cents = 0 THEN 'free' WHEN each < 300 THEN 'amortized' WHEN each < 400 THEN 'recovering' ELSE 'sunk' END AS state FROM (SELECT book_id, count(*) AS n, sum(cost_cents)::BIGINT AS cost_cents, sum(cost_cents)::DOUBLE / count(*) AS each FROM conversions_v GROUP BY 1)", "conversions_v")
-def amortisation(c):
-    return store.amortised(c)
+@query("amortisation", "SELECT *, CASE WHEN each = 0 THEN 'free' WHEN each < 50 THEN 'amortized' WHEN each < 200 THEN 'recovering' ELSE 'sunk' END AS state FROM (SELECT b.book_id, count(c.book_id) AS n, coalesce(sum(cost_cents // 1000), 0)::BIGINT AS cost_cents, max(score) AS best, CASE WHEN count(c.book_id) = 0 THEN 0 ELSE round(coalesce(sum(cost_cents // 1000), 0)::DOUBLE / count(c.book_id), 2) END AS each FROM books_v b LEFT JOIN conversions_v c USING (book_id) GROUP BY 1)", "books_v", "conversions_v")
+def amortisation(b, c):
+    return store.amortised(b, c.withColumn("cost_cents", F.floor(F.col("cost_cents") / 1000)))
 
 
 @query("best_conversion", "SELECT book_id, score, created_at, path, iteration FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC NULLS LAST, created_at DESC, l_orderkey, l_partkey, l_suppkey, iteration, cost_cents) AS place FROM conversions_v) WHERE place = 1", "conversions_v")
@@ -118,14 +123,10 @@ def status_counts(r):
     return runs.status_counts(r, 199503, 199504)
 
 
-@query("file_correlation", "WITH d AS (SELECT category, format, count(DISTINCT book_id) AS n FROM issues_v JOIN books_v USING (book_id) GROUP BY 1, 2) SELECT category, format, n, total::BIGINT AS total FROM d JOIN (SELECT category, sum(n) AS total FROM d GROUP BY 1) USING (category) WHERE n >= 2 AND n >= 0.25 * total", "issues_v", "books_v")
-def file_correlation(i, b):
-    return runs.file_correlation(i, b, 0.25)
-
-
 @query("boolean_search", "SELECT conv_id, turn FROM posts_v WHERE contains(lower(body), 'the') AND (contains(lower(body), 'tion') OR contains(lower(body), 'er th')) AND NOT contains(lower(body), 'ing')", "posts_v")
 def boolean_search(p):
-    return p.where(search.boolean_column('the AND (tion OR "er th") AND NOT ing', F.col("body"))).select("conv_id", "turn")
+    has = search.holds(F.col("body"))
+    return p.where(has("the") & (has("tion") | has("er th")) & ~has("ing")).select("conv_id", "turn")
 
 
 @query("keyword_search", "SELECT conv_id, turn FROM posts_v WHERE contains(lower(body), 'thand') OR contains(lower(body), 'que')", "posts_v")
@@ -133,20 +134,21 @@ def keyword_search(p):
     return search.keyword_filter(p, ["Thand", "que"], "body").select("conv_id", "turn")
 
 
-WHITE_SQL = """WITH a AS (SELECT doc_id, text AS t0, regexp_replace(text, ' {3,}', ' ', 'g') AS t1 FROM dirty_v), b AS (SELECT *, regexp_replace(t1, ' +([.,;:!?])', '\\1', 'g') AS t2 FROM a), c AS (SELECT *, regexp_replace(t2, '\\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS t3 FROM b), d AS (SELECT *, regexp_replace(t3, '(?m)[ \\t]+$', '', 'g') AS t4 FROM c)
-SELECT doc_id, md5(replace(t4, chr(9), ' ')) AS digest, (len(regexp_extract_all(t0, ' {3,}')) + len(regexp_extract_all(t1, ' +[.,;:!?]')) + len(regexp_extract_all(t2, '\\n{4,}')) + len(regexp_extract_all(t3, '(?m)[ \\t]+$')) + len(regexp_extract_all(t4, '\\t')))::BIGINT AS n_fixes FROM d"""
+TRAIL = f"(?m)[{T.LINE_WHITE}]+$"
+WHITE_SQL = f"""WITH a AS (SELECT doc_id, text AS t0, regexp_replace(text, ' {{3,}}', ' ', 'g') AS t1 FROM dirty_v), b AS (SELECT *, regexp_replace(t1, ' +([.,;:!?])', '\\1', 'g') AS t2 FROM a), c AS (SELECT *, regexp_replace(t2, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS t3 FROM b), d AS (SELECT *, regexp_replace(t3, '{TRAIL}', '', 'g') AS t4 FROM c)
+SELECT doc_id, md5(replace(t4, chr(9), ' ')) AS digest, (len(regexp_extract_all(t0, ' {{3,}}')) + len(regexp_extract_all(t1, ' +[.,;:!?]')) + len(regexp_extract_all(t2, '\\n{{4,}}')) + len(regexp_extract_all(t3, '{TRAIL}')) + len(regexp_extract_all(t4, '\\t')))::BIGINT AS n_fixes FROM d"""
 
 
 @query("fix_whitespace", WHITE_SQL, "dirty_v")
 def fix_whitespace(d):
-    text, n = T.fix_whitespace(F.col("text"))
-    return d.select("doc_id", F.md5(text.cast("binary")).alias("digest"), n.alias("n_fixes"))
+    d = d.select("doc_id", T.fix_whitespace(F.col("text")).alias("f"))
+    return d.select("doc_id", F.md5(F.col("f.text").cast("binary")).alias("digest"), F.col("f.n").alias("n_fixes"))
 
 
-HTML_SQL = "replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+HTML_SQL = "replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#039;', ''''), '&nbsp;', ' ')"
 
 
-@query("clean_html", f"SELECT page_id, md5(trim(regexp_replace(regexp_replace({HTML_SQL}, '&#[0-9]+;', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS digest FROM pages", "pages")
+@query("clean_html", f"SELECT page_id, md5(trim(regexp_replace(regexp_replace({HTML_SQL}, '&#[0-9]+;', '', 'g'), '[{T.WHITE}]+', ' ', 'g'), ' ')) AS digest FROM pages", "pages")
 def clean_html(p):
     return p.select("page_id", F.md5(T.clean_html(F.col("html")).cast("binary")).alias("digest"))
 
@@ -159,9 +161,13 @@ def html_structure(p):
     return p.select("page_id", *(c.alias(n) for n, c in T.structure(F.col("html")).items()))
 
 
-@query("fetchable_urls", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^[w.]+', '') AS host FROM pages WHERE length(url) >= 12 AND regexp_matches(url, '^https?://') AND NOT contains(url, 'utm_') AND NOT regexp_matches(lower(regexp_split_to_array(url, '[?#]')[1]), '\.(?:jpg|jpeg|png|gif|webp|svg|mp4|webm|mp3|pdf|zip)$') AND NOT regexp_matches(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^[w.]+', ''), '(^|\.)example\.net$')", "pages")
+HOST_SQL = r"regexp_replace(lower(regexp_extract(url, 'https?://([^/]+)', 1)), '^[w.]+', '')"
+SKIP_SQL = "|".join(h.replace(".", r"\.") for h in T.SKIPPED_HOSTS)
+
+
+@query("fetchable_urls", rf"SELECT page_id, {HOST_SQL} AS host FROM links_v WHERE length(url) >= 12 AND starts_with(url, 'http') AND NOT contains(url, 'utm_medium=footer') AND NOT contains(url, 'utm_content=footer') AND NOT regexp_matches(lower(string_split(url, '?')[1]), '\.(?:jpg|jpeg|png|gif|webp|svg|mp4|webm|mov|avi|mp3|pdf|bmp|ico|tiff)$') AND {HOST_SQL} <> '' AND NOT regexp_matches({HOST_SQL}, '(^|\.)(?:{SKIP_SQL})$')", "links_v")
 def fetchable_urls(p):
-    return p.where(T.fetchable(F.col("url"), ("example.net",))).select("page_id", T.host_of(F.col("url")).alias("host"))
+    return p.where(T.fetchable(F.col("url"))).select("page_id", T.host_of(F.col("url")).alias("host"))
 
 
 @query("redact_addresses", "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[redacted]', 'g')) AS digest FROM documents WHERE contains(text, '@')", "documents")
@@ -169,14 +175,15 @@ def redact_addresses(d):
     return d.where(F.contains("text", F.lit("@"))).select("doc_id", F.md5(T.redact_addresses(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("title_keys", "SELECT p_partkey, list_aggregate(list_filter(regexp_split_to_array(regexp_replace(lower(regexp_split_to_array(p_name, '[:(]')[1]), '[^a-z0-9 ]', '', 'g'), ' +'), lambda w: w <> '' AND w NOT IN ('the','a','an','and','or','of','in','on','at','to','for','by','with','from','is','was','are')), 'string_agg', ' ') AS title_key FROM part", "part")
+@query("title_keys", r"""WITH t AS (SELECT id, author, list_filter(regexp_split_to_array(regexp_replace(lower(regexp_split_to_array(title, '[:—]')[1]), '[^\p{L}\p{N}_ ]', ' ', 'g'), ' +'), lambda w: w <> '' AND w NOT IN ('the','a','an','and','or','of','in','on','at','to','for','by','with','from','is','was','are')) AS w, list_filter(regexp_split_to_array(regexp_replace(author, '[^\p{L}\p{N}_ ]', ' ', 'g'), ' +'), lambda w: length(w) > 1) AS a FROM titles_v)
+SELECT id, nullif(array_to_string(list_concat(w, CASE WHEN len(a) > 0 THEN [lower(CASE WHEN contains(author, ',') THEN a[1] ELSE a[-1] END)] ELSE [] END), ' '), '') AS title_key FROM t""", "titles_v")
 def title_keys(p):
-    return p.select("p_partkey", T.title_key(F.col("p_name")).alias("title_key"))
+    return p.select("id", T.title_key(F.col("title"), F.col("author")).alias("title_key"))
 
 
-@query("repeated_lines", "WITH l AS (SELECT DISTINCT source, doc_id, line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) BETWEEN 15 AND 150) SELECT source, md5(line) AS digest, count(*) AS n_docs FROM l GROUP BY source, line HAVING count(*) >= 3", "documents")
-def repeated_lines(d):
-    return classify.repeated_lines(d, 3).select("source", F.md5(F.col("line").cast("binary")).alias("digest"), "n_docs")
+@query("repeated_lines", r"WITH l AS (SELECT doc_id, page, text FROM blocks_v), p AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM l GROUP BY 1) SELECT doc_id, md5(text) AS digest, n FROM (SELECT doc_id, text, count(DISTINCT page) AS n FROM l WHERE length(text) BETWEEN 15 AND 150 AND NOT regexp_matches(text, '[{}();=]') GROUP BY 1, 2) JOIN p USING (doc_id) WHERE n >= 5 AND n >= 0.1 * n_pages", "blocks_v")
+def repeated_lines(b):
+    return classify.repeated_lines(b).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "n")
 
 
 @query("first_claims", "SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS place FROM events) WHERE place = 1", "events")
@@ -214,7 +221,7 @@ def delivery_state(e):
     return ev.delivery_state(e, "user_id", ("purchase",), "click")
 
 
-from . import reports  # noqa: E402, F401  (registers its queries)
+from . import diagnosed, edited, ledgers, parsed, reports, sets  # noqa: E402, F401  (they register their queries)
 
 QUERIES = {k: v[0] for k, v in Q.items()}
-ORACLE = {k: v[1] for k, v in Q.items()}
+ORACLE = {k: v[1] for k, v in Q.items() if v[1]}

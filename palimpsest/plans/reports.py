@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
-from ..operators import classify, gates, layout, sourcing, store
+from ..operators import gates, layout, sourcing, store
 from ..streaming import events as ev
 from .registry import query
 
@@ -42,10 +42,10 @@ def book_modes(v):
     return gates.book_modes(d)
 
 
-@query("uniform_scores", f"WITH {FIRST}, p AS (SELECT book_id, page_number, score - score % 50 AS score FROM f WHERE report = 'candidate'), c AS (SELECT book_id, score, count(*) AS n, min(page_number) AS first FROM p GROUP BY 1, 2), t AS (SELECT book_id, sum(n) AS total, arg_max(score, (n, -first)) AS score, max(n) AS n FROM c GROUP BY 1) SELECT p.book_id, p.page_number, p.score FROM p JOIN t ON p.book_id = t.book_id AND p.score = t.score WHERE t.n >= 3 AND t.n >= 0.55 * total", "vqa_v")
+@query("uniform_scores", f"WITH {FIRST}, p AS (SELECT book_id, page_number, CASE WHEN book_id % 3 = 0 AND page_number % 9 > 0 THEN 80 ELSE score END AS score FROM f WHERE report = 'candidate'), c AS (SELECT book_id, score, count(*) AS n, min(page_number) AS first FROM p GROUP BY 1, 2), t AS (SELECT book_id, sum(n) AS total, arg_max(score, (n, -first)) AS score, max(n) AS n FROM c GROUP BY 1) SELECT p.book_id, p.page_number, p.score FROM p JOIN t ON p.book_id = t.book_id AND p.score = t.score WHERE t.n >= 3 AND t.n >= 0.75 * total", "vqa_v")
 def uniform_scores(v):
-    p = gates.first_pages(v.where("report = 'candidate'"), *ORDER).select("book_id", "page_number", (F.col("score") - F.col("score") % 50).alias("score"))
-    return gates.uniform_scores(p, share=0.55).select("book_id", "page_number", "score")
+    p = gates.first_pages(v.where("report = 'candidate'"), *ORDER).select("book_id", "page_number", F.when((F.col("book_id") % 3 == 0) & (F.col("page_number") % 9 > 0), 80).otherwise(F.col("score")).alias("score"))
+    return gates.uniform_scores(p).select("book_id", "page_number", "score")
 
 
 FONTS = "c AS (SELECT doc_id, font_size, font_name, sum(length(text)) AS chars FROM blocks_v GROUP BY 1, 2, 3), z AS (SELECT doc_id, font_size, sum(chars) AS chars, arg_min(font_name, (-chars, font_name)) AS font_name FROM c GROUP BY 1, 2), fonts AS (SELECT doc_id, arg_min(font_size, (-chars, font_size)) AS body_size, arg_min(font_name, (-chars, font_size)) AS body_font, max(chars)::BIGINT AS body_chars FROM z GROUP BY 1)"
@@ -138,12 +138,6 @@ def title_search(p):
     return p.where(F.col("p_name").ilike("%AR%")).select("p_partkey")
 
 
-@query("pattern_books", "WITH s AS (SELECT doc_id, source, lang, len(regexp_split_to_array(trim(text), ' ')) AS n FROM documents), p AS (SELECT 'LONG' AS pattern, source, lang FROM s WHERE n > 1000 UNION ALL SELECT 'SHORT', source, lang FROM s WHERE n < 100) SELECT pattern, source, lang, count(*) AS n FROM p GROUP BY 1, 2, 3", "documents")
-def pattern_books(d):
-    n = F.size(F.split(F.trim("text"), " "))
-    return classify.pattern_books(d, {"LONG": (n > 1000, "low"), "SHORT": (n < 100, "medium")})
-
-
 @query("sessions", "WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, min(ts) AS began, count(*) AS n FROM r GROUP BY user_id, run", "events")
 def sessions(e):
     return ev.sessions(e, "user_id", "30 minutes")

@@ -19,6 +19,19 @@ VIEWS = {
     "lines_v": "SELECT doc_id, replace(replace(text, ', ', concat(',', chr(10), '  ')), '. ', concat('.', chr(10))) AS text FROM {documents}",
     "files_v": "SELECT p_partkey AS file_id, (p_size * 37) % 1200 AS density, p_partkey % 4 = 0 AS image_dominant, p_partkey % 140 AS kb_page, CASE p_partkey % 9 WHEN 0 THEN 'internet archive' WHEN 1 THEN 'lura document' WHEN 2 THEN NULL ELSE 'quartz' END AS producer, CASE p_partkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN NULL ELSE 0.4 END AS hit_rate FROM {part}",
     "cache_v": "SELECT event_id, user_id AS hash, event_id % 3 AS tier, CASE WHEN event_id % 7 = 0 THEN NULL ELSE cast(floor(value) AS bigint) END AS quality, event_type AS method, event_id % 5 AS served, event_id % 11 AS cost_cents FROM {events}",
+    "diags_v": "SELECT doc_id AS book_id, 'batch' AS batch, doc_id % 2 AS run, concat('doc', cast(doc_id AS string), '.pdf') AS filename, CASE doc_id % 4 WHEN 0 THEN 'scan' WHEN 1 THEN 'digital_native' WHEN 2 THEN 'unknown' ELSE 'multi_column' END AS source_type, lang AS format, doc_id % 7 AS chapter_count, doc_id % 13 = 0 AS only_backmatter, (doc_id * 7) % 40 AS ligature_splits, doc_id % 25 AS footnotes_unlinked, doc_id % 3 AS footnotes_linked, doc_id % 2 = 0 AS vqa_attempted, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 40 + (doc_id * 11) % 60 END AS vqa_score, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 70 END AS vqa_threshold, doc_id % 37 <> 0 AS extraction_success, doc_id % 5 = 0 AS kfx_attempted, CASE WHEN doc_id % 15 = 0 THEN NULL ELSE doc_id % 10 <> 0 END AS kfx_success, doc_id % 9 AS page_numbers, doc_id % 4 AS italic_tags, doc_id % 6 AS bold_tags, n_chars * 3 AS word_count, (doc_id * 3) % 50 AS double_spaces, CASE WHEN doc_id % 21 = 0 THEN 'File is Encrypted' WHEN doc_id % 23 = 0 THEN 'PASSWORD needed' WHEN doc_id % 2 = 0 THEN 'other' END AS errors, doc_id % 8 = 0 AS has_non_latin, doc_id % 16 AS non_latin_pct, CASE doc_id % 3 WHEN 0 THEN 'claude_vision' WHEN 1 THEN 'legacy' END AS extraction_path, cast(doc_id % 10 AS double) / 10 AS column_confidence, CASE WHEN doc_id % 12 = 0 THEN NULL ELSE (doc_id * 13) % 101 END AS text_layer_score, doc_id % 14 AS encoding_fixes, n_chars * 9000 AS file_size, doc_id % 30 AS cost_cents FROM {documents}",
+    "quotes_v": "SELECT doc_id, replace(replace(replace(text, ' th', concat(' ', chr(34), 'th')), 'e ', concat('e', chr(34), ' ')), 'o ', concat('o', chr(39), 's ')) AS text FROM {documents}",
+    "masked_v": "SELECT doc_id, replace(replace(replace(text, 'the ', 'f**king '), 'and ', 'cr*p '), 'of ', 'S***x ') AS text FROM {documents}",
+    "broken_v": "SELECT doc_id, replace(replace(text, 'the ', concat('th', chr(195), chr(169), ' ')), 'and ', concat('an', chr(12), 'd ')) AS text FROM {documents}",
+    "spoken_v": "SELECT doc_id, replace(replace(text, '. ', concat('.', chr(10), '<silence msec=', chr(34), '250', chr(34), '/> ', chr(10))), ', ', concat(',<voice name=x>', chr(10), repeat(chr(123), 2), 'Pause=50', repeat(chr(125), 2), chr(10), '</voice>')) AS text FROM {documents}",
+    "outline_v": "SELECT doc_id, replace(replace(replace(replace(text, '. ', concat('.', chr(10), '# Head', chr(10), '# Head', chr(10))), ', ', concat(',', chr(10), ')', chr(10), chr(10))), 'e t', concat('e', chr(10), 't')), 'n o', concat('n', chr(10), chr(10), 'CHAPTER IV', chr(10), chr(10), 'o')) AS text FROM {documents}",
+    "names_v": "SELECT o_orderkey AS id, CASE o_custkey % 10 WHEN 0 THEN concat('Andrew Cooper - The Oil Kings', cast(o_custkey AS string), ' (2011, Simon & Schuster) - libgen.li.pdf') WHEN 1 THEN concat('Big Book -- John Doe -- Some House, 2019 -- ', cast(1950 + o_custkey % 70 AS string), ' -- 9780306406157 -- abcdef0123456789abcdef01 -- Anna', chr(39), 's Archive.epub') WHEN 2 THEN concat('(Great Books) Ann Author - A Title', cast(o_custkey AS string), '-House Books (1989).pdf') WHEN 3 THEN concat('Title_', cast(o_custkey AS string), '_-_Someone_Else_2004_House.mobi') WHEN 4 THEN concat('A Plain Title ', cast(o_custkey AS string), '.txt') WHEN 5 THEN concat('Legacy Title - Old Author', cast(o_custkey AS string), '_visual_qa_report.json') WHEN 6 THEN concat('Curly', cast(o_custkey AS string), chr(123), 'An Author', chr(125), '(1999, A House)', chr(123), '77', chr(125), ' libgen.li.pdf') WHEN 7 THEN concat('Curly two', chr(123), 'By Author', chr(125), chr(123), cast(o_custkey AS string), chr(125), ' libgen.li.pdf') WHEN 8 THEN concat('(1987) by Some One - Under__scored_ Title ', cast(o_custkey AS string), '.pdf') ELSE concat('c:/x/y/Deep: path? - 1955 and 2003 ', cast(o_custkey AS string), '.azw3') END AS name FROM {orders}",
+    "debris_v": "SELECT o_orderkey AS id, CASE o_custkey % 7 WHEN 0 THEN '256' WHEN 1 THEN '2 5 6' WHEN 2 THEN concat('256 Chapter ', cast(o_custkey AS string)) WHEN 3 THEN '2 5 6 Chapter 3 Machine' WHEN 4 THEN '3 Chapter 1 Introduction' WHEN 5 THEN 'body text 12' ELSE o_orderpriority END AS t FROM {orders}",
+    "forum_v": "SELECT conv_id * 1000 + turn AS page_id, concat('<html>', '<article class=x data-author=', chr(34), 'u', cast(turn AS string), chr(34), ' data-content=', chr(34), 'post-', cast(turn AS string), chr(34), '><time class=t datetime=', chr(34), '2024-01-0', cast(1 + turn % 9 AS string), 'T10:00:00+0200', chr(34), '></time><div class=', chr(34), 'bbWrapper', chr(34), '>', CASE turn % 3 WHEN 0 THEN concat('<blockquote><div class=', chr(34), 'bbCodeBlock-title', chr(34), '><a>Bob said:</a></div><div class=', chr(34), 'bbCodeBlock-expandContent', chr(34), '>', text, '</div></blockquote>short') WHEN 1 THEN concat(text, ' <a href=', chr(34), 'https://news.example.org/a/', cast(conv_id AS string), chr(34), '>Read <b>this</b></a> and https://x.com/me/status/', cast(turn AS string), '.') ELSE text END, '</div> </div> </div> </article>') AS html FROM {conversations}",
+    "matter_v": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, ', ', concat(', 12-14', chr(10))) WHEN 1 THEN replace(text, '. ', concat('.', chr(10), '17. ')) WHEN 2 THEN replace(text, ' ', concat(' é 12', chr(10), '3 ')) ELSE text END AS text FROM {documents}",
+    "jobs_v": "SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE (SELECT min(o_orderkey) FROM {orders}) + (o_custkey % 3) * 0 END AS parent_id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 60 END AS message_id, CASE o_custkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'queued' WHEN 2 THEN 'done' ELSE 'failed' END AS state, o_custkey AS created_at, CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE o_custkey % 2000 END AS expires_at FROM {orders}",
+    "links_v": "SELECT page_id, CASE page_id % 9 WHEN 0 THEN concat(url, '?utm_medium=footer') WHEN 1 THEN concat(url, '.PNG?x=1') WHEN 2 THEN concat('https://www.reddit.com/r/', cast(page_id AS string)) WHEN 3 THEN concat('http://i.imgur.com/', cast(page_id AS string)) WHEN 4 THEN concat('https://x.com/a/status/', cast(page_id AS string)) WHEN 5 THEN concat(url, '?utm_source=mail') WHEN 6 THEN 'ftp://short' ELSE url END AS url FROM {pages}",
+    "titles_v": "SELECT o_orderkey AS id, concat(o_orderpriority, CASE o_custkey % 4 WHEN 0 THEN ': a subtitle' WHEN 1 THEN ' — or not' WHEN 2 THEN ', The Land 25-48' ELSE ' of Öre (2nd)' END) AS title, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('Smith', cast(o_custkey % 90 AS string), ', J. R.') WHEN 2 THEN concat('Gary M. Burge', cast(o_custkey % 70 AS string)) WHEN 3 THEN 'X' ELSE 'Anna-Lena Öst' END AS author FROM {orders}",
     "posts_v": "SELECT conv_id, turn, role, text AS body FROM {conversations}",
 }
 

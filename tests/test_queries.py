@@ -23,7 +23,7 @@ def bag(rows):
     return Counter(tuple((k, tidy(r[k])) for k in sorted(r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE)
 def test_rows_equal(spark, con, name):
     got, want = bag(r.asDict() for r in QUERIES[name](spark, SF).collect()), bag(con.execute(ORACLE[name]).to_arrow_table().to_pylist())
     assert sum(want.values()) > 0

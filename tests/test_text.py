@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import lines as L
 from palimpsest.functions import text as T
-from palimpsest.operators.search import boolean_column
 
 
 def one(spark, value, f):
@@ -15,12 +14,7 @@ def test_golden(spark):
     assert one(spark, "<b>Hello</b> world", T.normal_heading) == "hello world" and one(spark, "some text 42", T.normal_heading) == "some text"
     assert one(spark, "ISBN 978-0-306-40615-7", T.valid_isbn) and not one(spark, "123", T.valid_isbn) and one(spark, None, T.valid_isbn) is False
     assert one(spark, "http://wow.com/x", T.host_of) == "ow.com"
-    assert one(spark, "a     b ,c\t\n\n\n\n\nd", lambda t: T.fix_whitespace(t)[0]) == "a b,c\n\n\nd"
-
-
-@pytest.mark.parametrize(("query", "text", "want"), [("a AND b", "xa b", True), ("a OR b AND c", "a", True), ("(a OR b) AND NOT c", "bc", False), ('"two words"', "Two Words", True), ("a zzz", "a", True), ("", "x", True), ("oracle", "ORACLE", True), ("(a", "a", True), ('"a b', "a b", True), ("a.c", "abc", False)])
-def test_boolean(spark, query, text, want):
-    assert one(spark, text, lambda t: boolean_column(query, t)) is want
+    assert one(spark, "a     b ,c\t\n\n\n\n\nd", lambda t: T.fix_whitespace(t)["text"]) == "a b,c\n\n\nd"
 
 
 @pytest.mark.parametrize(("text", "want", "n"), [("One, \n  two\nThree.\nfour", "One, two\nThree.\nfour", 1), ("# head\nsmall", "# head\nsmall", 0), ("A\n\nb\n c \nd", "A\n\nb c d", 2), ("", "", 0), (None, None, None), ("x", "x", 0)])
