@@ -239,3 +239,103 @@ def chunks(text: Column, most: int = 100) -> Column:
 
 def _strip_all(x: Column) -> Column:
     return F.regexp_replace(x, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
+#: Headings of an index, what its entries look like, and the first words of scripture references.
+INDEX_HEADING = r"(?i)index|scripture|biblical|references|sources|concordance"
+VERSE = r"[0-9]{1,3}[.:][0-9]{1,3}(?:\s*[-–—]\s*[0-9]{1,3})?"
+ENTRY = r"^[A-Z][a-zA-Z\s'-]{2,},\s*[0-9]"
+FRAGMENT = r"^[0-9.\-–—,\s]{1,8}$"
+
+
+class IndexMender:
+    """Puts the pieces of a broken index together, one paragraph after another; the last piece that is not empty takes what belongs to it."""
+
+    def __init__(self, books: tuple[str, ...]):
+        import re
+
+        self.heading, self.verse, self.entry, self.fragment = (re.compile(p) for p in (INDEX_HEADING, VERSE, ENTRY, FRAGMENT))
+        self.books = books
+
+    def dense(self, sample: list[str]) -> bool:
+        """Whether paragraphs look like an index: shares of references, known books, entries and bare numbers."""
+        there = [x.strip() for x in sample if x.strip()]
+        n = max(1, len(there))
+        share = lambda test: sum(bool(test(x)) for x in there)
+        verses, entries, bits = share(self.verse.search), share(self.entry.match), share(self.fragment.match)
+        books = share(lambda x: " ".join(x.lower().split()[:3]).startswith(self.books)) if self.books else 0
+        return bool(sample) and (verses >= 0.3 * n or books >= 0.2 * n or entries >= 0.2 * n or (entries >= 1 and bits >= 0.2 * n))
+
+    def mend(self, text: str | None) -> tuple[str | None, int]:
+        """The text, and how many pieces found their place."""
+        if text is None:
+            return None, 0
+        parts = text.split("\n\n")
+        start = next((k + 1 for k in range(int(len(parts) * 0.4), len(parts) - 1) if self.heading.search(parts[k].strip()) and self.dense(parts[k + 1 : k + 16])), None)
+        if start is None:
+            return text, 0
+        n, held = 0, None  # the last paragraph of the index that is not empty
+        for k in range(start, len(parts)):
+            bare = parts[k].strip()
+            if not bare:
+                continue
+            before = parts[held].strip() if held is not None else ""
+            joint = None
+            if before and before[-1] in "-–—" and held == k - 1:
+                joint = ""
+            elif before and self.fragment.match(bare):
+                joint = "" if parts[held].rstrip()[-1] in "-–—" else " "
+            elif before and bare[0].isdigit() and len(bare) < 40 and (before[-1] == "," or self.verse.search(before)):
+                joint = " "
+            if joint is None:
+                held = k
+                continue
+            parts[held], parts[k] = parts[held].rstrip() + joint + bare, ""
+            n += 1
+        import re
+
+        return re.sub(r"(\n\n){2,}", "\n\n", "\n\n".join(parts)), n
+
+
+def fix_index(docs, books: tuple[str, ...] = ()):  # noqa: ANN001, ANN201
+    """doc_id, text and n after index fragments have found their place; a step from paragraph to paragraph, so it runs in Arrow batches."""
+    import pandas as pd
+
+    def each(parts):  # noqa: ANN001, ANN202
+        mender = IndexMender(books)
+        for p in parts:
+            got = [mender.mend(t) for t in p["text"]]
+            yield pd.DataFrame({"doc_id": p["doc_id"], "text": [g[0] for g in got], "n": [g[1] for g in got]})
+
+    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, text string, n long")
+
+
+def fix_reported(text: Column, issues: Column, most: int = 50) -> Column:
+    """Fixes that a report's issues (category, description) ask for, each category's issues in order: headings that lost their marks, sentences cut by lines, anchors of notes."""
+    asks = lambda category, *words: F.exists(issues, lambda i: (i["category"] == category) & F.lower(F.coalesce(i["description"], F.lit(""))).rlike("|".join(words)))
+    spaced = F.size(F.filter(issues, lambda i: (i["category"] == "text_integrity") & F.contains(F.lower(i["description"]), F.lit("space")) & F.contains(F.lower(i["description"]), F.lit("punctuation"))))
+
+    def headed(v: Column) -> Column:
+        lost = lambda x: (x["bare"] != "") & ~x["bare"].startswith("#") & _capitals(x["bare"]) & (F.length(x["bare"]) < 80) & x["bare"].rlike(HEADING)
+        return once(_rows(v["text"]), lambda r: F.struct(F.array_join(F.transform(r, lambda x: F.when(lost(x), F.concat(F.lit("## "), x["bare"])).otherwise(x["line"])), "\n").alias("text"), (v["n"] + F.size(F.filter(r, lost))).alias("n")))
+
+    def joined(v: Column) -> Column:
+        return once(merged(v["text"]), lambda m: F.struct(m["text"].alias("text"), (v["n"] + m["n_merged"]).alias("n")))
+
+    def anchored(v: Column) -> Column:
+        """The first mention of each of up to `most` notes."""
+        note = r"(?i)\bnote\s*([0-9]+)"
+        numbers = F.slice(F.array_distinct(F.regexp_extract_all(v["text"], F.lit(note), F.lit(1))), 1, most)
+        fresh = F.filter(numbers, lambda k: ~F.contains(v["text"], F.concat(F.lit('<a id="note'), k, F.lit('"></a>'))))
+        put = lambda t, k: F.regexp_replace(t, F.concat(F.lit(r"(?is)^(.*?)(\bnote\s*"), k, F.lit(r"(?![0-9]))")), F.concat(F.lit('$1<a id="note'), k, F.lit('"></a>$2')))
+        return once(fresh, lambda f: F.struct(F.aggregate(f, v["text"], put).alias("text"), (v["n"] + F.size(f)).alias("n")))
+
+    value = F.struct(text.alias("text"), F.coalesce(spaced, F.lit(0)).cast("long").alias("n"))
+    for wanted, stage in ((asks("heading_formatting", "unstyled", "missing"), headed), (asks("paragraph_flow", "split", "break"), joined), (asks("toc_navigation", "anchor"), anchored)):
+        value = once(value, _if(wanted, stage))
+    return value
+
+
+def _if(wanted: Column, stage: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    same = lambda v: F.struct(v["text"].alias("text"), v["n"].alias("n"))
+    return lambda v: F.when(F.coalesce(wanted, F.lit(False)), stage(v)).otherwise(same(v))

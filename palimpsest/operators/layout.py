@@ -35,20 +35,33 @@ def noise_texts(blocks: DataFrame) -> DataFrame:
     return at.unionByName(running).join(pages, "doc_id").where(F.col("n") > F.col("share") * F.col("n_pages")).select("doc_id", "key", "why", "n")
 
 
+#: How headings of chapters and sections begin.
+CHAPTERS = r"^(?:(?i:chapter|part)\s+[0-9]+|[0-9]+\.\s+[\p{L}\p{N}_]|[0-9]+\s+[A-Z]|[IVXLC]+\.\s+[\p{L}\p{N}_]|(?i:introduction|conclusion|preface|foreword|epilogue|prologue|appendix)\b)"
+
+
+def centered(x0: Column, x1: Column, width: Column, tolerance: float = 0.15) -> Column:
+    """A block of up to three quarters of the page's width whose middle is near the page's."""
+    return F.coalesce((width > 0) & ((x1 - x0) / width <= 0.75) & (F.abs((x0 + x1) / 2 - width / 2) / width < tolerance), F.lit(False))
+
+
 def heading_candidates(blocks: DataFrame, fonts: DataFrame) -> DataFrame:
-    """Blocks of 3 to 120 characters that are large, bold and larger than the body, or named as chapters; with their confidence."""
-    ratio, chapter = F.col("font_size") / F.col("body_size"), F.col("text").rlike("(?i)^(?:chapter|part|book|section) +[0-9ivxlc]+")
-    words = F.size(F.array_remove(F.split("text", " +"), ""))
-    d = blocks.join(fonts, "doc_id").where(F.length("text").between(3, 120) & ((ratio >= LARGE) | (F.col("is_bold") & (ratio >= LARGE_IF_BOLD)) | chapter))
+    """Blocks of 3 to 120 characters that are large, bold and larger than the body, or named as chapters; with their confidence in hundredths."""
+    ratio, chapter = F.when(F.col("body_size") > 0, F.col("font_size") / F.col("body_size")).otherwise(0.0), F.trim("text").rlike(CHAPTERS)
+    words = F.size(F.array_remove(F.split("text", r"\s+"), ""))
+    d = blocks.join(fonts, "doc_id").withColumns({"ratio": ratio, "chapter": chapter})
+    d = d.where(F.length(F.trim("text")).between(3, 120) & ((F.col("ratio") >= LARGE) | (F.col("is_bold") & (F.col("ratio") >= LARGE_IF_BOLD)) | F.col("chapter")))
     points = lambda c, n: F.when(c, n).otherwise(0)
-    return d.withColumn("confidence", F.least(F.lit(99), 30 + points(ratio >= LARGE, 30) + points(F.col("is_bold"), 20) + points(chapter, 30) + points(words <= 10, 10)).cast("long"))
+    sure = 30 + points(F.col("ratio") >= LARGE, 30) + points(F.col("is_bold"), 20) + points(F.col("chapter"), 30) + points(centered(F.col("x0"), F.col("x1"), F.col("page_width")), 10) + points(words <= 10, 10)
+    return d.withColumn("confidence", F.least(F.lit(99), sure).cast("long"))
 
 
-def heading_levels(headings: DataFrame, deepest: int = 3) -> DataFrame:
-    """Level by rank of the distinct font size in the document, the largest first."""
+def heading_levels(headings: DataFrame) -> DataFrame:
+    """Level 1: the document's largest size, or a chapter's name; 2: the second size, or bold two points above the body; 3: the third, or bold at its size; else 2."""
     sizes = headings.select("doc_id", "font_size").distinct()
-    ranked = sizes.withColumn("level", F.least(F.lit(deepest), F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.desc("font_size")))))
-    return headings.join(ranked, ["doc_id", "font_size"])
+    ranked = sizes.withColumn("_rank", F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.desc("font_size"))))
+    near = lambda to: F.col("is_bold") & (F.abs(F.col("font_size") - to) < 0.6)
+    level = F.when((F.col("_rank") == 1) | F.col("chapter"), 1).when((F.col("_rank") == 2) | near(F.col("body_size") + 2), 2).when((F.col("_rank") == 3) | near(F.col("body_size")), 3).otherwise(2)
+    return headings.join(ranked, ["doc_id", "font_size"]).withColumn("level", level).drop("_rank")
 
 
 def dedup_key(text: Column) -> Column:

@@ -98,17 +98,6 @@ def keep_better(entries: DataFrame, key: str, score: str, *order: str) -> DataFr
     return d.where("_place = 1").drop("_run", "_at", "_place")
 
 
-def recommend(books: DataFrame, conversions: DataFrame) -> DataFrame:
-    """The path for each book: its own best, else its publisher's, else the default; confidence grows with what it rests on."""
-    scored = conversions.where("score IS NOT NULL")
-    own = scored.groupBy("book_id", "path").agg(F.avg("score").alias("s"), F.count(F.lit(1)).alias("n"))
-    own = own.groupBy("book_id").agg(F.max(F.struct("s", "path")).alias("b"), F.sum("n").alias("n")).select("book_id", F.col("b.path").alias("own"), F.least(F.lit(95), 50 + 15 * F.col("n")).alias("own_sure"))
-    by = scored.join(books, "book_id").where("publisher IS NOT NULL").groupBy("publisher", "path").agg(F.avg("score").alias("s"), F.countDistinct("book_id").alias("n"))
-    by = by.groupBy("publisher").agg(F.max(F.struct("s", "path")).alias("b"), F.max("n").alias("n")).where("n >= 2").select("publisher", F.col("b.path").alias("theirs"), F.least(F.lit(70), 30 + 10 * F.col("n")).alias("their_sure"))
-    d = books.join(own, "book_id", "left").join(by, "publisher", "left")
-    return d.select("book_id", F.coalesce("own", "theirs", F.lit("default")).alias("path"), F.coalesce("own_sure", "their_sure", F.lit(30)).cast("long").alias("sure"))
-
-
 def cache_stats(entries: DataFrame) -> DataFrame:
     """Entries, serves and cost saved: in all, by tier and by method (null where not grouped by)."""
     return entries.groupingSets([[], ["tier"], ["method"]], "tier", "method").agg(F.count(F.lit(1)).alias("n"), F.sum("served").alias("served"), F.sum(F.when(F.col("served") > 0, F.col("cost_cents") * F.col("served")).otherwise(0)).alias("saved_cents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, runs, search, store
+from ..operators import classify, recipes, runs, search, store
 from ..streaming import events as ev
 from .registry import Q, query
 
@@ -97,12 +97,16 @@ def keep_better(c):
     return store.keep_better(c, "book_id", "score", "created_at", "l_orderkey", "l_partkey", "l_suppkey", "iteration", "cost_cents").select("book_id", "path", "score")
 
 
-@query("recommend", """WITH scored AS (SELECT * FROM conversions_v WHERE score IS NOT NULL),
-o AS (SELECT book_id, path, avg(score) AS s, count(*) AS n FROM scored GROUP BY 1, 2), own AS (SELECT book_id, arg_max(path, (s, path)) AS path, sum(n) AS n FROM o GROUP BY 1),
-p AS (SELECT publisher, path, avg(score) AS s, count(DISTINCT book_id) AS n FROM scored JOIN books_v USING (book_id) WHERE publisher IS NOT NULL GROUP BY 1, 2), pub AS (SELECT publisher, arg_max(path, (s, path)) AS path, max(n) AS n FROM p GROUP BY 1 HAVING max(n) >= 2)
-SELECT b.book_id, coalesce(own.path, pub.path, 'default') AS path, coalesce(least(95, 50 + 15 * own.n), least(70, 30 + 10 * pub.n), 30)::BIGINT AS sure FROM books_v b LEFT JOIN own USING (book_id) LEFT JOIN pub ON b.publisher = pub.publisher""", "books_v", "conversions_v")
+@query("recommend", """WITH c AS (SELECT book_id, path, score, publisher, format, source_type FROM conversions_v JOIN (SELECT book_id, publisher, format, CASE WHEN year % 9 = 0 THEN NULL ELSE 's' || year % 4 END AS source_type FROM books_v) USING (book_id) WHERE score IS NOT NULL AND (book_id % 4 < 2)),
+a AS (SELECT book_id, arg_max(path, (s, path)) AS p, sum(n) AS n FROM (SELECT book_id, path, avg(score) AS s, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT publisher, format, arg_max(path, (s, path)) AS p FROM (SELECT publisher, format, path, avg(score) AS s FROM c WHERE publisher IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2), bn AS (SELECT publisher, format, count(DISTINCT book_id) AS n FROM c WHERE publisher IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT book_id) >= 2),
+d AS (SELECT source_type, format, arg_max(path, (s, path)) AS p, sum(n) AS n FROM (SELECT source_type, format, path, avg(score) AS s, count(*) AS n FROM c WHERE source_type IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2),
+k AS (SELECT book_id, publisher, format, CASE WHEN year % 9 = 0 THEN NULL ELSE 's' || year % 4 END AS source_type FROM books_v)
+SELECT k.book_id, coalesce(a.p, CASE WHEN bn.n IS NOT NULL THEN b.p END, d.p) AS path, CASE WHEN a.p IS NOT NULL THEN least(95, 50 + 15 * a.n) WHEN bn.n IS NOT NULL THEN least(70, 30 + 10 * bn.n) WHEN d.p IS NOT NULL THEN least(50, 20 + 5 * d.n) ELSE 0 END::BIGINT AS sure, CASE WHEN a.p IS NOT NULL THEN 'book_history' WHEN bn.n IS NOT NULL THEN 'publisher_profile' WHEN d.p IS NOT NULL THEN 'source_type_profile' ELSE 'default' END AS basis
+FROM k LEFT JOIN a ON k.book_id = a.book_id LEFT JOIN b ON k.publisher = b.publisher AND k.format = b.format LEFT JOIN bn ON k.publisher = bn.publisher AND k.format = bn.format LEFT JOIN d ON k.source_type = d.source_type AND k.format = d.format""", "books_v", "conversions_v")
 def recommend(b, c):
-    return store.recommend(b, c)
+    b = b.withColumn("source_type", F.when(F.col("year") % 9 > 0, F.concat(F.lit("s"), (F.col("year") % 4).cast("string"))))
+    return recipes.recommended(b, c.where("book_id % 4 < 2"))
 
 
 @query("run_trend", "SELECT *, n_pass::DOUBLE / greatest(n, 1) AS pass_share FROM (SELECT run, count(*) AS n, count_if(status = 'PASS') AS n_pass, count_if(status = 'FAIL') AS n_fail FROM runs_v GROUP BY 1) ORDER BY run DESC LIMIT 20", "runs_v")
@@ -221,7 +225,7 @@ def delivery_state(e):
     return ev.delivery_state(e, "user_id", ("purchase",), "click")
 
 
-from . import diagnosed, edited, ledgers, parsed, reports, sets  # noqa: E402, F401  (they register their queries)
+from . import converted, diagnosed, edited, ledgers, parsed, reports, sets  # noqa: E402, F401  (they register their queries)
 
 QUERIES = {k: v[0] for k, v in Q.items()}
 ORACLE = {k: v[1] for k, v in Q.items() if v[1]}

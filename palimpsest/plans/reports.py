@@ -63,9 +63,10 @@ def noise_texts(b):
     return layout.noise_texts(b)
 
 
-HEADINGS = f"""WITH {FONTS}, r AS (SELECT *, font_size::DOUBLE / body_size AS ratio, regexp_matches(text, '(?i)^(?:chapter|part|book|section) +[0-9ivxlc]+') AS chapter, len(list_filter(regexp_split_to_array(text, ' +'), lambda w: w <> '')) AS n_words FROM blocks_v JOIN fonts USING (doc_id)),
-h AS (SELECT *, least(99, 30 + CASE WHEN ratio >= 1.5 THEN 30 ELSE 0 END + CASE WHEN is_bold THEN 20 ELSE 0 END + CASE WHEN chapter THEN 30 ELSE 0 END + CASE WHEN n_words <= 10 THEN 10 ELSE 0 END)::BIGINT AS confidence FROM r WHERE length(text) BETWEEN 3 AND 120 AND (ratio >= 1.5 OR (is_bold AND ratio >= 1.2) OR chapter)),
-l AS (SELECT *, least(3, dense_rank() OVER (PARTITION BY doc_id ORDER BY font_size DESC)) AS level FROM h)"""
+HEADINGS = rf"""WITH {FONTS}, r AS (SELECT *, font_size::DOUBLE / body_size AS ratio, regexp_matches(text, '^(?:(?i:chapter|part)\s+[0-9]+|[0-9]+\.\s+[\pL\pN_]|[0-9]+\s+[A-Z]|[IVXLC]+\.\s+[\pL\pN_]|(?i:introduction|conclusion|preface|foreword|epilogue|prologue|appendix)\b)') AS chapter, (x1 - x0) / page_width::DOUBLE <= 0.75 AND abs((x0 + x1) / 2.0::DOUBLE - page_width / 2.0::DOUBLE) / page_width < 0.15 AS centered, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n_words FROM blocks_v JOIN fonts USING (doc_id)),
+h AS (SELECT *, least(99, 30 + CASE WHEN ratio >= 1.5 THEN 30 ELSE 0 END + CASE WHEN is_bold THEN 20 ELSE 0 END + CASE WHEN chapter THEN 30 ELSE 0 END + CASE WHEN centered THEN 10 ELSE 0 END + CASE WHEN n_words <= 10 THEN 10 ELSE 0 END)::BIGINT AS confidence FROM r WHERE length(text) BETWEEN 3 AND 120 AND (ratio >= 1.5 OR (is_bold AND ratio >= 1.2) OR chapter)),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY font_size DESC) AS rank FROM h),
+l AS (SELECT *, CASE WHEN rank = 1 OR chapter THEN 1 WHEN rank = 2 OR (is_bold AND abs(font_size - (body_size + 2)) < 0.6) THEN 2 WHEN rank = 3 OR (is_bold AND abs(font_size - body_size) < 0.6) THEN 3 ELSE 2 END AS level FROM k)"""
 
 
 @query("headings", f"{HEADINGS} SELECT doc_id, page, text, level, confidence, count(*) AS n FROM l GROUP BY 1, 2, 3, 4, 5", "blocks_v")

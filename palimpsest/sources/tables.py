@@ -15,7 +15,7 @@ VIEWS = {
     "dirty_v": "SELECT doc_id, source, lang, CASE doc_id % 5 WHEN 0 THEN replace(replace(text, ', ', ' ,    '), 'the ', 'th e ') WHEN 1 THEN replace(text, '. ', concat('.  ', '�', ' ')) ELSE text END AS text FROM {documents}",
     "runs_v": "SELECT cast(extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS int) AS run, o_custkey AS file_id, CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' ELSE 'WARN' END AS status, o_orderkey FROM {orders}",
     "vqa_v": "SELECT l_suppkey % 50 AS book_id, l_partkey % 60 AS page_number, CASE l_returnflag WHEN 'R' THEN 'candidate' WHEN 'A' THEN 'baseline' ELSE 'other' END AS report, cast(l_quantity * 2 AS int) AS score, l_linenumber % 3 AS n_issues, CASE l_linenumber % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' WHEN 2 THEN 'moderate' WHEN 3 THEN 'minor' ELSE 'odd' END AS severity, CASE l_orderkey % 4 WHEN 0 THEN 'text_integrity' WHEN 1 THEN 'page_layout' WHEN 2 THEN 'paragraph_flow' END AS category, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM {lineitem}",
-    "blocks_v": "SELECT l_suppkey AS doc_id, l_partkey % 30 AS page, CASE l_linenumber WHEN 1 THEN concat('PART ', cast(l_suppkey % 7 AS string)) WHEN 2 THEN 'A  Running head' WHEN 3 THEN concat('Chapter ', cast(l_partkey % 90 AS string)) ELSE concat('words on a line ', cast(l_orderkey % 40 AS string)) END AS text, l_returnflag AS font_name, CASE l_linenumber WHEN 1 THEN 18 WHEN 3 THEN 15 ELSE 10 + l_partkey % 2 END AS font_size, l_linestatus = 'O' AS is_bold, CASE WHEN l_linenumber <= 2 THEN 50 ELSE cast(l_quantity * 10 AS int) END AS y0 FROM {lineitem}",
+    "blocks_v": "SELECT l_suppkey AS doc_id, l_partkey % 30 AS page, CASE l_linenumber WHEN 1 THEN concat('PART ', cast(l_suppkey % 7 AS string)) WHEN 2 THEN 'A  Running head' WHEN 3 THEN concat('Chapter ', cast(l_partkey % 90 AS string)) ELSE concat('words on a line ', cast(l_orderkey % 40 AS string)) END AS text, l_returnflag AS font_name, CASE l_linenumber WHEN 1 THEN 18 WHEN 3 THEN 15 ELSE 10 + l_partkey % 2 END AS font_size, l_linestatus = 'O' AS is_bold, CASE WHEN l_linenumber <= 2 THEN 50 ELSE cast(l_quantity * 10 AS int) END AS y0, (l_orderkey % 5) * 60 AS x0, 200 + (l_orderkey % 5) * 60 AS x1, 600 AS page_width FROM {lineitem}",
     "lines_v": "SELECT doc_id, replace(replace(text, ', ', concat(',', chr(10), '  ')), '. ', concat('.', chr(10))) AS text FROM {documents}",
     "files_v": "SELECT p_partkey AS file_id, (p_size * 37) % 1200 AS density, p_partkey % 4 = 0 AS image_dominant, p_partkey % 140 AS kb_page, CASE p_partkey % 9 WHEN 0 THEN 'internet archive' WHEN 1 THEN 'lura document' WHEN 2 THEN NULL ELSE 'quartz' END AS producer, CASE p_partkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN NULL ELSE 0.4 END AS hit_rate FROM {part}",
     "cache_v": "SELECT event_id, user_id AS hash, event_id % 3 AS tier, CASE WHEN event_id % 7 = 0 THEN NULL ELSE cast(floor(value) AS bigint) END AS quality, event_type AS method, event_id % 5 AS served, event_id % 11 AS cost_cents FROM {events}",
@@ -30,6 +30,8 @@ VIEWS = {
     "forum_v": "SELECT conv_id * 1000 + turn AS page_id, concat('<html>', '<article class=x data-author=', chr(34), 'u', cast(turn AS string), chr(34), ' data-content=', chr(34), 'post-', cast(turn AS string), chr(34), '><time class=t datetime=', chr(34), '2024-01-0', cast(1 + turn % 9 AS string), 'T10:00:00+0200', chr(34), '></time><div class=', chr(34), 'bbWrapper', chr(34), '>', CASE turn % 3 WHEN 0 THEN concat('<blockquote><div class=', chr(34), 'bbCodeBlock-title', chr(34), '><a>Bob said:</a></div><div class=', chr(34), 'bbCodeBlock-expandContent', chr(34), '>', text, '</div></blockquote>short') WHEN 1 THEN concat(text, ' <a href=', chr(34), 'https://news.example.org/a/', cast(conv_id AS string), chr(34), '>Read <b>this</b></a> and https://x.com/me/status/', cast(turn AS string), '.') ELSE text END, '</div> </div> </div> </article>') AS html FROM {conversations}",
     "matter_v": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, ', ', concat(', 12-14', chr(10))) WHEN 1 THEN replace(text, '. ', concat('.', chr(10), '17. ')) WHEN 2 THEN replace(text, ' ', concat(' é 12', chr(10), '3 ')) ELSE text END AS text FROM {documents}",
     "jobs_v": "SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE (SELECT min(o_orderkey) FROM {orders}) + (o_custkey % 3) * 0 END AS parent_id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 60 END AS message_id, CASE o_custkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'queued' WHEN 2 THEN 'done' ELSE 'failed' END AS state, o_custkey AS created_at, CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE o_custkey % 2000 END AS expires_at FROM {orders}",
+    "recipes_v": "SELECT p_partkey AS file_id, CASE p_partkey % 7 WHEN 0 THEN 'epub' WHEN 1 THEN 'mobi' ELSE 'pdf' END AS format, CASE p_size % 4 WHEN 0 THEN 'scan_no_text' WHEN 1 THEN 'scan_with_text' WHEN 2 THEN 'digital_native' ELSE 'unknown' END AS kind, cast(50 + p_partkey % 40 AS double) / 100 AS sure, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 101 END AS score, CASE WHEN p_partkey % 3 = 0 THEN 0.01 ELSE 0.4 END AS common_rate, p_partkey % 2 = 0 AS chapters_advised, CASE p_partkey % 5 WHEN 0 THEN 'viable' WHEN 1 THEN 'degraded' WHEN 2 THEN 'unusable' WHEN 3 THEN 'none' END AS footnotes, CASE p_partkey % 4 WHEN 0 THEN 'viable' WHEN 1 THEN 'degraded' END AS index, CASE p_partkey % 3 WHEN 0 THEN 'viable' WHEN 1 THEN 'none' END AS links, p_partkey % 11 = 0 AS two_columns, CASE p_partkey % 6 WHEN 0 THEN 'book_history' WHEN 1 THEN 'publisher_profile' WHEN 2 THEN 'source_type_profile' WHEN 3 THEN 'default' END AS history, 50 + p_partkey % 50 AS best_score, p_partkey % 4 = 0 AS prior_chapters, p_partkey % 8 = 0 AS prior_columns FROM {part}",
+    "book_v": "SELECT doc_id, concat('<h1>Preface</h1><p>by</p><h2>Chapter ', cast(doc_id % 9 AS string), '</h2><p>', substring(text, 1, 300), '<sup>3</sup><a href=', chr(34), 'http://x.org', chr(34), '>link</a></p><blockquote>said</blockquote><h2>More of <i>it</i></h2><p>', substring(text, 100, 200), '</p><h1>Index of names</h1><p>a</p><h2>Bibliography</h2><p>b</p>') AS html FROM {documents}",
     "links_v": "SELECT page_id, CASE page_id % 9 WHEN 0 THEN concat(url, '?utm_medium=footer') WHEN 1 THEN concat(url, '.PNG?x=1') WHEN 2 THEN concat('https://www.reddit.com/r/', cast(page_id AS string)) WHEN 3 THEN concat('http://i.imgur.com/', cast(page_id AS string)) WHEN 4 THEN concat('https://x.com/a/status/', cast(page_id AS string)) WHEN 5 THEN concat(url, '?utm_source=mail') WHEN 6 THEN 'ftp://short' ELSE url END AS url FROM {pages}",
     "titles_v": "SELECT o_orderkey AS id, concat(o_orderpriority, CASE o_custkey % 4 WHEN 0 THEN ': a subtitle' WHEN 1 THEN ' — or not' WHEN 2 THEN ', The Land 25-48' ELSE ' of Öre (2nd)' END) AS title, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('Smith', cast(o_custkey % 90 AS string), ', J. R.') WHEN 2 THEN concat('Gary M. Burge', cast(o_custkey % 70 AS string)) WHEN 3 THEN 'X' ELSE 'Anna-Lena Öst' END AS author FROM {orders}",
     "posts_v": "SELECT conv_id, turn, role, text AS body FROM {conversations}",
