@@ -3,16 +3,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
 NAMED = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-RAW = frozenset("script style noscript template svg iframe object math canvas".split())
+RAW = frozenset(("script", "style"))  # what they hold is no text; any other element's text is
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 #: A start tag on the left ends an open element on the right.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 SCOPE = frozenset("table ul ol dl div article section aside nav main form body".split())
+DEEP = 64  # open elements of a deeper path that count as features: the outer and the inner halves
 
 
 class Block(NamedTuple):
@@ -27,22 +29,72 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(f".{w}" for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", "".join(x or "" for x in m.groups()).lower()) if w)
 
 
-def _close(stack: list[tuple[str, tuple[str, ...]]], names: tuple[str, ...], scoped: bool) -> None:
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in names:
-            del stack[k:]
-            return
-        if scoped and stack[k][0] in SCOPE:
+class _Ends:
+    """Where tags end: the first > outside quotes. What follows from each > or quote is kept, so a page costs one scan however many tags have no end."""
+
+    def __init__(self, page: str):
+        self.page, self.known, self.at, self.next = page, {}, 0, -2
+
+    def event(self, at: int) -> int:
+        """The first > or quote from a place on, -1 without one."""
+        if not (self.next == -1 and at >= self.at) and not self.at <= at <= self.next:
+            m = EVENT.search(self.page, at)
+            self.at, self.next = at, m.start() if m else -1
+        return self.next
+
+    def end(self, at: int) -> int:
+        """Of the tag whose name ends at a place; -1 if it has none."""
+        path, e = [], self.event(at)
+        while e >= 0 and e not in self.known and self.page[e] != ">":
+            path.append(e)
+            close = self.page.find(self.page[e], e + 1)
+            e = self.event(close + 1) if close >= 0 else -1
+        out = e if e < 0 or self.page[e] == ">" else self.known[e]
+        for k in path:
+            self.known[k] = out
+        return out
+
+
+EVENT = re.compile("[>\"']")
+
+
+class _Stack:
+    """Open elements, and how many there are of each name."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, tuple[str, ...]]] = []
+        self.count: Counter[str] = Counter()
+
+    def push(self, name: str, names: tuple[str, ...]) -> None:
+        self.items.append((name, names))
+        self.count[name] += 1
+
+    def close(self, names: tuple[str, ...], scoped: bool) -> None:
+        """The innermost of the names, and what it holds, closes; scoped: not past an element that bounds it."""
+        if not any(self.count[n] for n in names):
             return
+        for k in range(len(self.items) - 1, -1, -1):
+            name = self.items[k][0]
+            if name in names:
+                for gone, _ in self.items[k:]:
+                    self.count[gone] -= 1
+                del self.items[k:]
+                return
+            if scoped and name in SCOPE:
+                return
+
+    def path(self) -> tuple[str, ...]:
+        s = self.items
+        return tuple(x for name, names in (s if len(s) <= DEEP else s[: DEEP // 2] + s[-DEEP // 2 :]) for x in (name, *names))
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Every run of text between block boundaries, references decoded, white space as one space; scripts, styles and comments are not text."""
+    """Every run of text between block boundaries, references decoded, white space as one space; scripts, styles and comments are not text. A < that begins no tag is text."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack, ends = _Stack(), _Ends(page)
     held: list[str] = []
-    link, path, at = 0, None, 0
+    link, path, at, begun = 0, None, 0, 0
 
     def text_of(raw: str) -> None:
         nonlocal path, link
@@ -50,9 +102,9 @@ def blocks(page: str | None) -> list[Block]:
             held.append(" ")
             return
         if path is None:
-            path = tuple(x for name, names in stack for x in (name, *names))
+            path = stack.path()
         held.append(raw)
-        if any(s[0] == "a" for s in stack[-4:]):
+        if any(s[0] == "a" for s in stack.items[-4:]):
             link += len(raw)
 
     def flush() -> None:
@@ -64,33 +116,47 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(path, text, link / max(1, len(raw))))
         held, path, link = [], None, 0
 
-    n = len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            text_of(page[at:])
+    n, last = len(page), page.rfind(">")
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            text_of(page[begun:])
             break
-        text_of(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        tag = NAME.match(page, at + 1)
+        if tag:
+            end = ends.end(tag.end())
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 2 if end >= 0 else n - 1
+        else:
+            end = page.find(">", at) if page[at + 1 : at + 2] in ("!", "?") and at < last else -1
+        if end < 0:
+            at += 1
+            continue
+        text_of(page[begun:at])
+        at = begun = end + 1
+        if not tag:
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = tag[2].lower()
+        if tag[1]:
             if name in BLOCK:
                 flush()
-            _close(stack, (name,), False)
+            stack.close((name,), False)
         elif name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            close = CLOSE[name].search(page, at)
+            at = begun = close.end() if close else n
         elif name == "br":
             held.append(" ")
         else:
             if name in BLOCK:
                 flush()
-                _close(stack, ("p",), True)
+                stack.close(("p",), True)
             if name in ENDS:
-                _close(stack, ENDS[name], True)
+                stack.close(ENDS[name], True)
             if name not in VOID:
-                stack.append((name, _names(m[3])))
+                stack.push(name, _names(page[tag.end() : end]))
     flush()
     return out
+
+
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}

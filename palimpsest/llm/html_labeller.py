@@ -5,8 +5,8 @@ and a few numbers; the network reads the whole page both ways and labels every b
 not. It is trained once in a process on TRAIN_PAGES pages made up from a fixed seed, in many layouts, whose labels are
 known as they are made; no row of the input is used. Texts are never shortened.
 
-Null html has no blocks: empty text. Repeated rows get equal texts. A null page_id or url stays null. Other columns are
-ignored. An empty table gives an empty result.
+Null html has no blocks: empty text. Repeated rows get equal texts. A null page_id or url stays null. A very long page is scored alone,
+in time and memory by its number of blocks. Other columns are ignored. An empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ from .html_blocks import Block, blocks
 PATHS, WORDS, NUMBERS = 192, 32, 5
 HIDDEN = 16
 TRAIN_PAGES, EPOCHS, BATCH = 800, 8, 16
+CELLS = 16_384  # blocks, padding included, that are scored together; a longer page is scored alone
 
 CONTENT = [["article"], ["main", "article"], ["div", ".content", "article"], ["div", ".main", ".content"], ["div", ".post", ".body"], ["div", ".entry", ".content"], ["section", ".article", ".text"], ["main"], ["div", ".story"], ["div", ".wrap", "article", ".post"], ["div", ".container", "main", "div", ".article", ".body"]]
 ASIDE = [["nav", "ul"], ["header"], ["footer"], ["aside"], ["div", ".sidebar"], ["div", ".ad"], ["div", ".ads"], ["div", ".advert"], ["div", ".banner"], ["div", ".sponsored"], ["div", ".promo"], ["div", ".cookie", ".notice"], ["div", ".cookies"], ["div", ".consent"], ["div", ".alert"], ["div", ".notice"], ["form"], ["form", ".search"], ["div", ".comments"], ["section", ".comments"], ["div", ".comment"], ["ol", ".commentlist"], ["div", ".menu"], ["ul", ".nav"], ["div", ".navigation"], ["div", ".breadcrumbs"], ["div", ".share"], ["div", ".social"], ["div", ".related"], ["div", ".newsletter"], ["div", ".footer"], ["div", ".header"], ["div", ".widget"], ["div", ".login"], ["div", ".popup"], ["div", ".toolbar"], ["div", ".copyright"], ["table", ".menu"], ["div", ".disclaimer"], ["div", ".subscribe"], ["section", ".reader", ".comments"]]
@@ -82,22 +83,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states of one direction for (steps, pages, inputs), and what the backward pass needs."""
-    steps, pages, _ = x.shape
+def _run(z_in: np.ndarray, u: np.ndarray, trace: list | None = None) -> np.ndarray:
+    """Hidden states of one direction for (steps, pages, gates); trace takes what the backward pass needs."""
+    steps, pages, _ = z_in.shape
     h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
-    states, trace = np.empty((steps, pages, HIDDEN), np.float32), []
-    z_in = x @ w + b
+    states = np.empty((steps, pages, HIDDEN), np.float32)
     for t in range(steps):
         z = z_in[t] + h @ u
         g = _sigmoid(z[:, : 3 * HIDDEN])
         i, f, o, a = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
         new = f * c + i * a
         tanh = np.tanh(new)
-        trace.append((h, c, i, f, o, a, tanh))
+        if trace is not None:
+            trace.append((h, c, i, f, o, a, tanh))
         h, c = o * tanh, new
         states[t] = h
-    return states, trace
+    return states
 
 
 def _back(x: np.ndarray, u: np.ndarray, trace: list, d_states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,13 +131,36 @@ def _flip(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return np.take_along_axis(x, turn[:, :, None], axis=0)
 
 
+def _head(weights: list[np.ndarray], ahead: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.concatenate((ahead, behind), axis=2)
+    return _sigmoid(both @ weights[6] + weights[7])[:, :, 0], both
+
+
 def _scores(weights: list[np.ndarray], pages: list[np.ndarray]) -> tuple[np.ndarray, tuple]:
+    """Scores of training pages, and what the backward pass needs."""
     x, mask, turn = _padded(pages)
-    back = _flip(x, turn)
-    ahead, trace1 = _run(x, *weights[:3])
-    behind, trace2 = _run(back, *weights[3:6])
-    both = np.concatenate((ahead, _flip(behind, turn)), axis=2)
-    return _sigmoid(both @ weights[6] + weights[7])[:, :, 0], (x, mask, turn, back, trace1, trace2, both)
+    back, trace1, trace2 = _flip(x, turn), [], []
+    ahead = _run(x @ weights[0] + weights[2], weights[1], trace1)
+    behind = _run(back @ weights[3] + weights[5], weights[4], trace2)
+    p, both = _head(weights, ahead, _flip(behind, turn))
+    return p, (x, mask, turn, back, trace1, trace2, both)
+
+
+def _score(weights: list[np.ndarray], pages: list[list[Block]]) -> np.ndarray:
+    """Scores of pages. Their vectors exist only for some blocks at a time: a block leaves its gates' inputs behind."""
+    n = np.array([len(p) for p in pages])
+    steps = int(n.max())
+    z = np.zeros((2, steps, len(pages), 4 * HIDDEN), np.float32)
+    for k, page in enumerate(pages):
+        for at in range(0, len(page), 2048):
+            v = vectors(page[at : at + 2048])
+            z[0, at : at + len(v), k] = v @ weights[0]
+            z[1, at : at + len(v), k] = v @ weights[3]
+    t = np.arange(steps)[:, None]
+    turn = np.where(t < n, n - 1 - t, t)
+    ahead = _run(z[0] + weights[2], weights[1])
+    behind = _run(_flip(z[1], turn) + weights[5], weights[4])
+    return _head(weights, ahead, _flip(behind, turn))[0]
 
 
 @functools.cache
@@ -169,13 +193,17 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 5) -> li
     return [w.astype(np.float32) for w in weights]
 
 
-def label_pages(weights: list[np.ndarray], pages: list[list[Block]], batch: int = 64) -> list[np.ndarray]:
-    """For each page the blocks that belong to the article."""
+def label_pages(weights: list[np.ndarray], pages: list[list[Block]], cells: int = CELLS) -> list[np.ndarray]:
+    """For each page the blocks that belong to the article. Pages of like length are scored together, as many as keep their padded blocks under cells."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
-    for at in range(0, len(order), batch):
-        some = order[at : at + batch]
-        p, _ = _scores(weights, [vectors(pages[k]) for k in some])
+    at = 0
+    while at < len(order):
+        some = [order[at]]
+        while at + len(some) < len(order) and (len(some) + 1) * len(pages[order[at + len(some)]]) <= cells:
+            some.append(order[at + len(some)])
+        at += len(some)
+        p = _score(weights, [pages[k] for k in some])
         for c, k in enumerate(some):
             out[k] = p[: len(pages[k]), c] > 0.5
     return out
