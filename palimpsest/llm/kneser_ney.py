@@ -8,6 +8,7 @@ a shard's pairs is spread over all shards by pair, so no word, however common, f
 task. Each shard is a file of sorted arrays in the shared folder (spark.checkpoint.dir, which all workers see);
 scoring tasks map the files and look up sorted, distinct keys, so pages are read in order and memory stays
 bounded. The driver gets N, V, four counts of counts for each order, and the spread contexts (at most 4 for each shard).
+The folder may be any that Arrow reaches by its address; files of one that is not mounted are read, not mapped.
 
 log10 p(w | v) = log10(max(c(v, w) - D, 0) / c(v) + g(v) * q(w)), q the continuation unigram, itself
 discounted and interpolated with 1 / (V + 1) for words never seen. A context never seen backs off to q.
@@ -18,12 +19,13 @@ columns are ignored. An empty table gives an empty result; with no training text
 from __future__ import annotations
 
 import functools
-import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import fit_in, shared_dir, stored
 
 SHARD_BYTES = 12_000_000  # text bytes that one shard's pairs come from
+MAPS = 96  # files that a worker holds open
 FLUSH = 3_000_000  # tokens counted in a task before its pairs move on
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -112,22 +115,19 @@ class Model(NamedTuple):
     word_kinds: tuple[int, int, int]
 
 
-def _local(path: str) -> str:
-    """The mounted path of the shared folder: workers map its files."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    if "://" in path:
-        raise ValueError(f"the model's files are memory-mapped: spark.checkpoint.dir must be a mounted folder that all workers see, not {path}")
-    return path
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The shared folder's file system, and the path in it: any that Arrow reaches by the same address as Spark."""
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
 def _save(path: str, **arrays: np.ndarray) -> None:
     """Each array as a file of its own, put in place by renaming: a task that runs again, or twice, does no harm."""
+    fs, at = _store(path)
     for name, a in arrays.items():
-        tmp = f"{path}.{name}.{TaskContext.get().taskAttemptId()}.tmp"
-        with open(tmp, "wb") as f:
-            f.write(a.tobytes())
-        os.replace(tmp, f"{path}.{name}")
+        tmp = f"{at}.{name}.{TaskContext.get().taskAttemptId()}.tmp"
+        with fs.open_output_stream(tmp) as f:
+            f.write(np.ascontiguousarray(a).data)
+        fs.move(tmp, f"{at}.{name}")
 
 
 def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[list[str | None]]:
@@ -237,7 +237,7 @@ def _merge_pairs(shards: int, path: str):  # noqa: ANN202
         words, *stats = _sum_by(words, *stats)
         of_counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
         rows = [(s, *b, None) for s, b in _dealt(_shard_of(words, shards), shards, words, np.stack(stats, 1).astype(np.uint32))]
-        return pd.DataFrame([*rows, (-1, None, None, of_counts.astype(np.int64).tobytes())], columns=["shard", "keys", "stats", "of_counts"])
+        return pd.DataFrame([*((*r[:3], None) for r in rows), (-1, None, None, [int(x) for x in of_counts])], columns=["shard", "keys", "stats", "of_counts"])
 
     return each
 
@@ -277,9 +277,9 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     shards = fit_in(docs.agg(F.sum(F.octet_length("text"))).first()[0], SHARD_BYTES, 24)
     path = shared_dir(spark)
-    at = _local(path)
-    os.makedirs(at, exist_ok=True)
-    words = docs.mapInPandas(_count_words(shards), "shard int, keys binary, n binary").groupBy("shard").applyInPandas(_merge_words, "shard int, keys binary, n binary, distinct long, total long")
+    fs, at = _store(path)
+    fs.create_dir(at)
+    words = docs.mapInPandas(_count_words(shards), "shard int, keys binary, n binary").repartition(shards, "shard").groupBy("shard").applyInPandas(_merge_words, "shard int, keys binary, n binary, distinct long, total long")
     words = stored(words, "none")
     n, v = words.agg(F.sum("total"), F.sum("distinct")).first()
     n, v = n or 0, v or 0
@@ -292,28 +292,38 @@ def train(docs: DataFrame) -> Model:
 
     spread = [r[0] for r in words.select("keys", "n").mapInPandas(common, "key long").collect()]  # at most 4 * shards: each holds over N / (4 * shards)
     spread = np.sort(np.append(np.array(spread, np.int64).view(np.uint64), START))
-    pairs = docs.mapInPandas(_count_pairs(shards, spread), "shard int, left binary, runs binary, right binary, n binary, wide binary")
-    said = stored(pairs.groupBy("shard").applyInPandas(_merge_pairs(shards, at), "shard int, keys binary, stats binary, of_counts binary"), "none")
-    of_pairs = np.zeros(4, np.int64)
-    for r in said.where("shard < 0").select("of_counts").toLocalIterator():
-        of_pairs += np.frombuffer(bytes(r[0]), np.int64)
+    pairs = docs.mapInPandas(_count_pairs(shards, spread), "shard int, left binary, runs binary, right binary, n binary, wide binary").repartition(shards, "shard")
+    said = stored(pairs.groupBy("shard").applyInPandas(_merge_pairs(shards, path), "shard int, keys binary, stats binary, of_counts array<long>"), "none")
+    of_pairs = [x or 0 for x in said.where("shard < 0").agg(*(F.sum(F.col("of_counts")[k]) for k in range(4))).first()]
     both = words.select("shard", "keys", "n", F.lit(None).cast("binary").alias("stats")).unionByName(said.where("shard >= 0").select("shard", "keys", F.lit(None).cast("binary").alias("n"), "stats"))
-    got = stored(both.groupBy("shard").applyInPandas(_merge_stats(at), "got array<long>"))
+    got = stored(both.repartition(shards, "shard").groupBy("shard").applyInPandas(_merge_stats(path), "got array<long>"))
     total = [x or 0 for x in got.agg(*(F.sum(F.col("got")[k]) for k in range(9))).first()]
-    return Model(at, shards, spread, n, v, discounts(of_pairs.tolist()), discounts(total[:4]), total[4], tuple(total[6:9]))
+    return Model(path, shards, spread, n, v, discounts(of_pairs), discounts(total[:4]), total[4], tuple(total[6:9]))
 
 
 class _Mapped:
-    """A model's files, mapped when they are first needed."""
+    """A model's files, mapped when they are first needed; of more than MAPS the one that was used longest ago is let go. A store that cannot be mapped is read into memory, by the same bound."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, {}
+        self.model, self.files = model, OrderedDict()
+        self.fs, self.at = _store(model.path)
 
     def file(self, name: str, dtype: str, width: int = 1) -> np.ndarray:
-        if name not in self.files:
-            path = f"{self.model.path}/{name}"
-            a = np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
-            self.files[name] = a.reshape(-1, width) if width > 1 else a
+        if name in self.files:
+            self.files.move_to_end(name)
+            return self.files[name]
+        path = f"{self.at}/{name}"
+        info = self.fs.get_file_info(path)
+        if not info.size:
+            a = np.zeros(0, dtype)
+        elif isinstance(self.fs, pafs.LocalFileSystem):
+            a = np.memmap(path, dtype, "r")
+        else:
+            with self.fs.open_input_file(path) as f:
+                a = np.frombuffer(f.read(), dtype)
+        self.files[name] = a.reshape(-1, width) if width > 1 else a
+        while len(self.files) > MAPS:
+            self.files.popitem(last=False)
         return self.files[name]
 
     def _look(self, kind: str, shard: np.ndarray, keys: np.ndarray, values: str, dtype: str, width: int) -> np.ndarray:
