@@ -133,6 +133,8 @@ def _by_heap(word: str, dropout: float, key: int) -> tuple[list[int], int]:
 LONG = 48  # words of more characters go to heaps, which grow better with length, and are not kept
 LANES = 4096
 NONE = np.int32(2**31 - 1)
+WIDE = 3 * LONG // 8  # bytes of a word's skips
+ALL = (1 << 8 * WIDE) - 1
 
 
 class Merges:
@@ -188,22 +190,33 @@ def _packed(got: tuple[list[int], int]) -> tuple[bytes, int]:
 
 def with_skips(words: list[tuple[str, int]]) -> list[tuple[bytes, int, int]]:
     """ids, skipped and all candidates of words of LONG characters or fewer. Bit c of the number beside a word tells to skip its candidate c; the agendas of up to LANES words of similar length advance in step, one candidate of each a round."""
+    skips = np.zeros((len(words), 8 * WIDE), bool)
+    some = [k for k, (_, x) in enumerate(words) if x]
+    if some:
+        skips[some] = np.unpackbits(np.frombuffer(b"".join([(words[k][1] & ALL).to_bytes(WIDE, "little") for k in some]), np.uint8).reshape(-1, WIDE), axis=1, bitorder="little")
+    return run_agendas([w for w, _ in words], skips)
+
+
+def run_agendas(words: list[str], skips: np.ndarray) -> list[tuple[bytes, int, int]]:
+    """with_skips, the skips of each word as a row of flags."""
     out: list[tuple[bytes, int, int]] = [(b"", 0, 0)] * len(words)
-    order = sorted(range(len(words)), key=lambda k: len(words[k][0]))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
     for k in range(0, len(order), LANES):
         some = order[k : k + LANES]
-        for at, got in zip(some, _in_step([words[i] for i in some]), strict=True):
+        width = max(1, 3 * int(size[some[-1]]))  # a word of n characters has fewer than 3 * n candidates
+        for at, got in zip(some.tolist(), _in_step([words[i] for i in some.tolist()], skips[some, :width]), strict=True):
             out[at] = got
     return out
 
 
-def _in_step(words: list[tuple[str, int]]) -> list[tuple[bytes, int, int]]:
+def _in_step(words: list[str], skip: np.ndarray) -> list[tuple[bytes, int, int]]:
     m = merges()
-    n, most = len(words), max(len(w) for w, _ in words)
+    n, most = len(words), max(len(w) for w in words)
     unknown, end = len(m.names), most
     sym = np.full((n, most + 1), -1, np.int32)  # -1: merged away, or past the word's end
-    ends = np.array([len(w) for w, _ in words])
-    code = np.frombuffer("".join([w for w, _ in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.fromiter(map(len, words), np.int64, n)
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     sym[np.arange(most + 1) < ends[:, None]] = np.where(code < len(m.of_char), m.of_char[np.minimum(code, len(m.of_char) - 1)], unknown)
     there = np.arange(1, most + 1) < ends[:, None]
     rank, into = np.full((n, most + 1), NONE, np.int32), np.zeros((n, most + 1), np.int32)
@@ -211,9 +224,6 @@ def _in_step(words: list[tuple[str, int]]) -> list[tuple[bytes, int, int]]:
     after = np.full((n, most + 1), end)
     after[:, :-1] = np.where(there, np.arange(1, most + 1), end)
     before = np.tile(np.arange(-1, most), (n, 1))
-    width = max(1, -(-3 * most // 8))  # a word of n characters has fewer than 3 * n candidates
-    low = (1 << 8 * width) - 1
-    skip = np.unpackbits(np.frombuffer(b"".join([(x & low).to_bytes(width, "little") for _, x in words]), np.uint8).reshape(n, width), axis=1, bitorder="little").astype(bool)
     skipped, met, rows, turn = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), 0
     dropping = bool(skip.any())
     flat_sym, flat_rank, flat_into, flat_after, flat_before = (x.ravel() for x in (sym, rank, into, after, before))
@@ -251,7 +261,7 @@ def _in_step(words: list[tuple[str, int]]) -> list[tuple[bytes, int, int]]:
     raw, cuts = flat.astype(np.uint16).tobytes(), (2 * begin).tolist()
     out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
     for row in odd.tolist():  # a symbol that is spelt in bytes
-        w = words[row][0]
+        w = words[row]
         ids = [i for c, x in enumerate(sym[row].tolist()) if x >= 0 for i in pieces().spell(m.names[x] if x < unknown else w[c])]
         out[row] = np.array(ids, np.uint16).tobytes()
     return list(zip(out, skipped.tolist(), met.tolist(), strict=True))
@@ -304,38 +314,69 @@ class Encoder:
         words = [WORDS.findall((" " + t).replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
         counts = list(map(len, words))
         every = list(itertools.chain.from_iterable(words))
-        nodes = [(w, 0) for w in dict.fromkeys(every)]  # a word and the skips so far
-        number = {w: k for k, (w, _) in enumerate(nodes)}
-        node = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        short = [k for k, (w, _) in enumerate(nodes) if len(w) <= LONG]
-        got: list[tuple] = [(b"", 0, -1)] * len(nodes)
-        for k, x in zip(short, self._learn([nodes[k] for k in short]), strict=True):
-            got[k] = x
-        candidates = np.array([x[2] for x in got], np.int64)
+        number: dict[str, int] = {}
+        put = number.setdefault
+        node = np.array([put(w, len(number)) for w in every], np.int64)
+        distinct = list(number)
+        times, size = np.bincount(node, minlength=len(distinct)), np.fromiter(map(len, distinct), np.int64, len(distinct))
         keys = self._keys(counts, doc_ids)
-        for k in np.flatnonzero(candidates[node] < 0).tolist() if len(short) < len(got) else []:
-            got.append(_packed(_by_heap(every[k], self.dropout, int(keys[k]))))
-            nodes.append(("", 0))
+        got: list[tuple] = [(b"", 0, 0)] * len(distinct)
+        once = np.flatnonzero((times[node] == 1) & (size[node] <= LONG))
+        for k, x in zip(node[once].tolist(), self._alone([every[k] for k in once.tolist()], keys[once]), strict=True):
+            got[k] = x
+        self._shared(node, distinct, times, size, keys, got)
+        ids, skipped = [x[0] for x in got], np.array([x[1] for x in got], np.int64)
+        raw, lost = list(map(ids.__getitem__, node.tolist())), np.concatenate(([0], np.cumsum(skipped[node])))
+        cuts = [0, *itertools.accumulate(counts)]
+        return [(np.frombuffer(b"".join(raw[a:b]), np.uint16), int(lost[b] - lost[a])) for a, b in zip(cuts, cuts[1:])]
+
+    def _alone(self, words: list[str], keys: np.ndarray) -> list[tuple[bytes, int, int]]:
+        """Words that a lot holds once: every skip that a key may draw is drawn at first, so one agenda is enough."""
+        tails = [w[-1] if self.apart and len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else "" for w in words]
+        bare = [w[:-1] if t else w for w, t in zip(words, tails, strict=True)]
+        skips = np.zeros((len(words), 8 * WIDE), bool)
+        if self.dropout:
+            most, row, draw = 3 * np.fromiter(map(len, bare), np.int64, len(bare)), np.arange(len(words)), 0
+            at = _gaps(keys, 0, self.dropout)
+            while len(row):
+                inside = at < most[row]
+                row, at, draw = row[inside], at[inside], draw + 1
+                skips[row, at] = True
+                at = at + 1 + _gaps(keys[row], draw, self.dropout)
+        out = run_agendas(bare, skips)
+        if any(tails):
+            mark = {c: _packed((pieces().spell(c), 0))[0] for c in ".,"}
+            out = [(x[0] + mark[t], x[1], x[2]) if t else x for x, t in zip(out, tails, strict=True)]
+        return out
+
+    def _shared(self, node: np.ndarray, distinct: list[str], times: np.ndarray, size: np.ndarray, keys: np.ndarray, got: list[tuple]) -> None:
+        """Words that a lot holds more than once, and long ones: results are kept by word and skips, one more skip a round. Changes node and got."""
+        nodes: dict[int, tuple[str, int]] = {}  # a word and the skips so far
+        often = [k for k in np.flatnonzero((times > 1) & (size <= LONG)).tolist()]
+        for k, x in zip(often, self._learn([(distinct[k], 0) for k in often]), strict=True):
+            got[k], nodes[k] = x, (distinct[k], 0)
+        for k in np.flatnonzero(size[node] > LONG).tolist():
+            got.append(_packed(_by_heap(distinct[node[k]], self.dropout, int(keys[k]))))
             node[k] = len(got) - 1
-        candidates = np.append(candidates, np.full(len(got) - len(candidates), -1))
-        going, draw = np.arange(len(every)), 0
-        at = _gaps(keys, 0, self.dropout) if self.dropout else np.full(len(every), NEVER)
-        while len(going):
+        if not self.dropout:
+            return
+        candidates = np.zeros(len(got), np.int64)
+        candidates[often] = [got[k][2] for k in often]
+        going, draw = np.flatnonzero(candidates[node] > 0), 0
+        at = _gaps(keys[going], 0, self.dropout)
+        while True:
             skip = at < candidates[node[going]]
             going, at, draw = going[skip], at[skip], draw + 1
             if not len(going):
-                break
+                return
             step, back = np.unique(node[going] << 8 | at, return_inverse=True)
             new = [(nodes[x >> 8][0], nodes[x >> 8][1] | 1 << (x & 255)) for x in step.tolist()]
-            node[going] = len(nodes) + back
-            nodes += new
-            got += self._learn(new)
-            candidates = np.append(candidates, [x[2] for x in got[len(candidates) :]])
+            node[going] = len(got) + back
+            nodes.update(zip(range(len(got), len(got) + len(new)), new, strict=True))
+            found = self._learn(new)
+            got += found
+            candidates = np.append(candidates, [x[2] for x in found])
             at = at + 1 + _gaps(keys[going], draw, self.dropout)
-        ids, skipped = [x[0] for x in got], np.array([x[1] for x in got], np.int64)
-        raw, lost = list(map(ids.__getitem__, node.tolist())), np.concatenate(([0], np.cumsum(skipped[node])))
-        cuts = [0, *itertools.accumulate(counts)]
-        return [(np.frombuffer(b"".join(raw[a:b]), np.uint16), int(lost[b] - lost[a])) for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.cache
