@@ -66,3 +66,10 @@ def over_limit(events: DataFrame, key: str, most: int, seconds: int) -> DataFram
     """Events that are more than the `most`-th of their key within the last `seconds`, in whole seconds."""
     at = F.unix_timestamp("ts")
     return events.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(key).orderBy(at).rangeBetween(1 - seconds, 0))).where(F.col("n") > most)
+
+
+def new_files(files: DataFrame, within: str) -> DataFrame:
+    """Files of an inbox, each content once; files may be a stream, whose copies within the time are dropped. files: hash, ts."""
+    if not files.isStreaming:
+        return first_claims(files, ["hash"], "ts", "path")
+    return files.withWatermark("ts", within).dropDuplicatesWithinWatermark(["hash"])
