@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import functools
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -149,6 +149,18 @@ def _dealt(shard: np.ndarray, shards: int, *arrays: np.ndarray) -> Iterator[tupl
             yield s, [a[order[at[s] : at[s + 1]]].tobytes() for a in arrays]
 
 
+def _by_shard(rows: DataFrame, shards: int, merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """merge of all rows of each shard. Shard k is partition k, so no task gets several by the chance of a hash."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        if held:
+            for _, p in pd.concat(held).groupby("shard"):
+                yield merge(p)
+
+    return rows.repartitionById(shards, F.col("shard")).mapInPandas(each, schema)
+
+
 def _count_words(shards: int):  # noqa: ANN202
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -279,7 +291,7 @@ def train(docs: DataFrame) -> Model:
     path = shared_dir(spark)
     fs, at = _store(path)
     fs.create_dir(at)
-    words = docs.mapInPandas(_count_words(shards), "shard int, keys binary, n binary").repartition(shards, "shard").groupBy("shard").applyInPandas(_merge_words, "shard int, keys binary, n binary, distinct long, total long")
+    words = _by_shard(docs.mapInPandas(_count_words(shards), "shard int, keys binary, n binary"), shards, _merge_words, "shard int, keys binary, n binary, distinct long, total long")
     words = stored(words, "none")
     n, v = words.agg(F.sum("total"), F.sum("distinct")).first()
     n, v = n or 0, v or 0
@@ -292,11 +304,11 @@ def train(docs: DataFrame) -> Model:
 
     spread = [r[0] for r in words.select("keys", "n").mapInPandas(common, "key long").collect()]  # at most 4 * shards: each holds over N / (4 * shards)
     spread = np.sort(np.append(np.array(spread, np.int64).view(np.uint64), START))
-    pairs = docs.mapInPandas(_count_pairs(shards, spread), "shard int, left binary, runs binary, right binary, n binary, wide binary").repartition(shards, "shard")
-    said = stored(pairs.groupBy("shard").applyInPandas(_merge_pairs(shards, path), "shard int, keys binary, stats binary, of_counts array<long>"), "none")
+    pairs = docs.mapInPandas(_count_pairs(shards, spread), "shard int, left binary, runs binary, right binary, n binary, wide binary")
+    said = stored(_by_shard(pairs, shards, _merge_pairs(shards, path), "shard int, keys binary, stats binary, of_counts array<long>"), "none")
     of_pairs = [x or 0 for x in said.where("shard < 0").agg(*(F.sum(F.col("of_counts")[k]) for k in range(4))).first()]
     both = words.select("shard", "keys", "n", F.lit(None).cast("binary").alias("stats")).unionByName(said.where("shard >= 0").select("shard", "keys", F.lit(None).cast("binary").alias("n"), "stats"))
-    got = stored(both.repartition(shards, "shard").groupBy("shard").applyInPandas(_merge_stats(path), "got array<long>"))
+    got = stored(_by_shard(both, shards, _merge_stats(path), "got array<long>"))
     total = [x or 0 for x in got.agg(*(F.sum(F.col("got")[k]) for k in range(9))).first()]
     return Model(path, shards, spread, n, v, discounts(of_pairs), discounts(total[:4]), total[4], tuple(total[6:9]))
 
