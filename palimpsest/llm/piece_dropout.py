@@ -22,11 +22,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import lots
+
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 OWN_MARK = "\udc81"  # stands for a mark that is in the text itself; no text that Spark holds has it
@@ -269,6 +272,8 @@ def _in_step(words: list[str], skip: np.ndarray) -> list[tuple[bytes, int, int]]
 
 #: A word begins at a mark that follows another character, and ends at a newline: no piece has such a mark or a newline inside.
 WORDS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
+#: Texts with these, or a blank or newline at an end, are cut by WORDS itself.
+PECULIAR, BLANK = ("  ", " \n", "\n ", "\n\n", MARK, "\x00"), (" ", "\n")
 
 
 class Encoder:
@@ -276,64 +281,94 @@ class Encoder:
         self.dropout, self.seed, self.cached = dropout, seed, cached
         self.cache: dict[tuple[str, int], tuple[bytes, int, int]] = {}
         self.old: dict[tuple[str, int], tuple[bytes, int, int]] = {}
+        self.mark = {c: _packed((pieces().spell(c), 0))[0] for c in ".,"}
         self.apart = not any(a.isalpha() and b in ".," for t in pieces().id for a, b in zip(t, t[1:]))
 
     def _learn(self, keys: list[tuple[str, int]]) -> list[tuple[bytes, int, int]]:
-        """with_skips by the cache. A comma or full stop after a letter is a word of its own where no piece joins the two."""
+        """with_skips by the cache."""
         if len(self.cache) > self.cached:
             self.cache, self.old = {}, self.cache
         cache, old = self.cache, self.old
-        missing = {k for k in keys if k not in cache}
-        ended = [(w, x) for w, x in missing if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()] if self.apart else []
-        missing.difference_update(ended)
-        for w, x in ended:
-            missing.add((w[:-1], x))
-            missing.add((w[-1], 0))
-        new = []
-        for k in missing:
-            if k not in cache:
-                if (got := old.get(k)) is not None:
-                    cache[k] = got
-                else:
-                    new.append(k)
-        cache.update(zip(new, with_skips(new), strict=True))
-        for w, x in ended:
-            a, b = cache[w[:-1], x], cache[w[-1], 0]
-            cache[w, x] = a[0] + b[0], a[1], a[2]
-        return [cache[k] for k in keys]
-
-    def _keys(self, counts: list[int], doc_ids: list[int | None]) -> np.ndarray:
+        found = list(map(cache.get, keys))
+        new: dict[tuple[str, int], None] = {}
+        unmet = [k for k, x in enumerate(found) if x is None]
+        for k in unmet:
+            if (got := old.get(keys[k])) is not None:
+                cache[keys[k]] = got
+            else:
+                new[keys[k]] = None
+        cache.update(zip(new, with_skips(list(new)), strict=True))
+        for k in unmet:
+            found[k] = cache[keys[k]]
+        return found
+
+    def _bare(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Words without the comma or full stop that ends them after a letter, and that mark; it is a word of its own where no piece joins the two."""
+        if not self.apart:
+            return words, [""] * len(words)
+        tails = [w[-1] if w[-1] in ".," and w[-2:-1].isalpha() else "" for w in words]
+        return [w[:-1] if t else w for w, t in zip(words, tails, strict=True)], tails
+
+    def _keys(self, counts: np.ndarray, doc_ids: list[int | None]) -> np.ndarray:
         """A key for each occurrence of a word: of the seed, its document and its place there."""
         of = np.array([xxhash.xxh64_intdigest(f"{self.seed}:{-1 if d is None else d}") for d in doc_ids], np.uint64)
         n = np.array(counts, np.int64)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return _mixed(np.repeat(of, n) + np.uint64(PLACE) * place.astype(np.uint64))
 
+    def _words(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The number of words of each text, the distinct words, and which of them each word is."""
+        texts = [t or "" for t in texts]
+        plain = [not (any(x in t for x in PECULIAR) or t[:1] in BLANK or t[-1:] in BLANK) for t in texts]
+        # Single blanks and newlines apart, with no mark in the text: Arrow cuts and numbers the words.
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(pa.array([t if p and t else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()), "\n", "\x00\n\x00"), " ", "\x00" + MARK), "\x00")
+        counts, flat, first = np.diff(lists.offsets.to_numpy()), lists.flatten(), lists.offsets.to_numpy()[:-1]
+        coded = pc.dictionary_encode(flat)
+        node, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        lead = np.flatnonzero(counts * np.array([bool(t) for t in texts]) * np.array(plain))
+        if len(lead):  # the first word of a text follows the blank that is put before it
+            words = [MARK + distinct[k] for k in node[first[lead]].tolist()]
+            number = {w: k for k, w in enumerate(distinct)}
+            node[first[lead]] = [number.setdefault(w, len(number)) for w in words]
+            distinct = list(number)
+        nothing = np.array([not w for w in distinct])
+        keep = ~nothing[node]
+        owner = np.repeat(np.arange(len(texts)), counts)[keep]
+        node, counts = node[keep], np.bincount(owner, minlength=len(texts))
+        odd = [k for k, p in enumerate(plain) if not p]
+        if odd:
+            number = {w: k for k, w in enumerate(distinct)}
+            put, parts = number.setdefault, np.split(node, np.cumsum(counts)[:-1])
+            for k in odd:
+                parts[k] = np.array([put(w, len(number)) for w in WORDS.findall((" " + texts[k]).replace(MARK, OWN_MARK).replace(" ", MARK))], np.int64)
+            node, counts, distinct = np.concatenate(parts), np.array([len(x) for x in parts]), list(number)
+        return counts, distinct, node
+
     def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[tuple[np.ndarray, int]]:
         """Of each text its ids and the number of skipped candidates."""
-        words = [WORDS.findall((" " + t).replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
-        counts = list(map(len, words))
-        every = list(itertools.chain.from_iterable(words))
-        number: dict[str, int] = {}
-        put = number.setdefault
-        node = np.array([put(w, len(number)) for w in every], np.int64)
-        distinct = list(number)
+        if not texts:
+            return []
+        counts, distinct, node = self._words(texts)
         times, size = np.bincount(node, minlength=len(distinct)), np.fromiter(map(len, distinct), np.int64, len(distinct))
         keys = self._keys(counts, doc_ids)
         got: list[tuple] = [(b"", 0, 0)] * len(distinct)
         once = np.flatnonzero((times[node] == 1) & (size[node] <= LONG))
-        for k, x in zip(node[once].tolist(), self._alone([every[k] for k in once.tolist()], keys[once]), strict=True):
+        alone = node[once].tolist()
+        for k, x in zip(alone, self._alone([distinct[k] for k in alone], keys[once]), strict=True):
             got[k] = x
         self._shared(node, distinct, times, size, keys, got)
-        ids, skipped = [x[0] for x in got], np.array([x[1] for x in got], np.int64)
-        raw, lost = list(map(ids.__getitem__, node.tolist())), np.concatenate(([0], np.cumsum(skipped[node])))
-        cuts = [0, *itertools.accumulate(counts)]
-        return [(np.frombuffer(b"".join(raw[a:b]), np.uint16), int(lost[b] - lost[a])) for a, b in zip(cuts, cuts[1:])]
+        sizes = np.fromiter((len(x[0]) for x in got), np.int64, len(got)) >> 1
+        starts, ids, skipped = np.cumsum(sizes) - sizes, np.frombuffer(b"".join([x[0] for x in got]), np.uint16), np.fromiter((x[1] for x in got), np.int64, len(got))
+        many = sizes[node]
+        ends = np.cumsum(many)
+        flat = ids[np.repeat(starts[node] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        at, lost = np.concatenate(([0], ends))[cuts], np.concatenate(([0], np.cumsum(skipped[node])))[cuts]
+        return [(flat[a:b], n) for a, b, n in zip(at[:-1].tolist(), at[1:].tolist(), np.diff(lost).tolist(), strict=True)]
 
     def _alone(self, words: list[str], keys: np.ndarray) -> list[tuple[bytes, int, int]]:
         """Words that a lot holds once: every skip that a key may draw is drawn at first, so one agenda is enough."""
-        tails = [w[-1] if self.apart and len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else "" for w in words]
-        bare = [w[:-1] if t else w for w, t in zip(words, tails, strict=True)]
+        bare, tails = self._bare(words)
         skips = np.zeros((len(words), 8 * WIDE), bool)
         if self.dropout:
             most, row, draw = 3 * np.fromiter(map(len, bare), np.int64, len(bare)), np.arange(len(words)), 0
@@ -343,18 +378,15 @@ class Encoder:
                 row, at, draw = row[inside], at[inside], draw + 1
                 skips[row, at] = True
                 at = at + 1 + _gaps(keys[row], draw, self.dropout)
-        out = run_agendas(bare, skips)
-        if any(tails):
-            mark = {c: _packed((pieces().spell(c), 0))[0] for c in ".,"}
-            out = [(x[0] + mark[t], x[1], x[2]) if t else x for x, t in zip(out, tails, strict=True)]
-        return out
+        return [(x[0] + self.mark[t], x[1], x[2]) if t else x for x, t in zip(run_agendas(bare, skips), tails, strict=True)]
 
     def _shared(self, node: np.ndarray, distinct: list[str], times: np.ndarray, size: np.ndarray, keys: np.ndarray, got: list[tuple]) -> None:
         """Words that a lot holds more than once, and long ones: results are kept by word and skips, one more skip a round. Changes node and got."""
-        nodes: dict[int, tuple[str, int]] = {}  # a word and the skips so far
-        often = [k for k in np.flatnonzero((times > 1) & (size <= LONG)).tolist()]
-        for k, x in zip(often, self._learn([(distinct[k], 0) for k in often]), strict=True):
-            got[k], nodes[k] = x, (distinct[k], 0)
+        nodes: dict[int, tuple[str, int, str]] = {}  # a word, the skips so far, and the mark behind it
+        often = np.flatnonzero((times > 1) & (size <= LONG)).tolist()
+        bare, tails = self._bare([distinct[k] for k in often])
+        for k, w, t, x in zip(often, bare, tails, self._learn([(w, 0) for w in bare]), strict=True):
+            got[k], nodes[k] = (x[0] + self.mark[t], x[1], x[2]) if t else x, (w, 0, t)
         for k in np.flatnonzero(size[node] > LONG).tolist():
             got.append(_packed(_by_heap(distinct[node[k]], self.dropout, int(keys[k]))))
             node[k] = len(got) - 1
@@ -370,11 +402,11 @@ class Encoder:
             if not len(going):
                 return
             step, back = np.unique(node[going] << 8 | at, return_inverse=True)
-            new = [(nodes[x >> 8][0], nodes[x >> 8][1] | 1 << (x & 255)) for x in step.tolist()]
+            new = [(n[0], n[1] | 1 << c, n[2]) for n, c in zip(map(nodes.__getitem__, (step >> 8).tolist()), (step & 255).tolist(), strict=True)]
             node[going] = len(got) + back
             nodes.update(zip(range(len(got), len(got) + len(new)), new, strict=True))
-            found = self._learn(new)
-            got += found
+            found = self._learn([n[:2] for n in new])
+            got += [(x[0] + self.mark[n[2]], x[1], x[2]) if n[2] else x for x, n in zip(found, new, strict=True)]
             candidates = np.append(candidates, [x[2] for x in found])
             at = at + 1 + _gaps(keys[going], draw, self.dropout)
 
@@ -393,14 +425,14 @@ def decode(ids: np.ndarray) -> str:
 def segment(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, ids (binary, 16-bit little-endian), n_tokens, n_skipped, ids_crc32 (as 32-bit little-endian), lossless (they decode to the text)."""
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(dropout, seed)
-        for p in parts:
-            for k in range(0, len(p), 500):
-                docs = [None if pd.isna(d) else int(d) for d in p["doc_id"].iloc[k : k + 500]]
-                texts, rows = p["text"].iloc[k : k + 500].tolist(), []
-                for doc, text, (ids, skipped) in zip(docs, texts, enc.encode(texts, docs), strict=True):
-                    rows.append((doc, ids.tobytes(), len(ids), skipped, zlib.crc32(ids.astype("<u4").tobytes()), decode(ids) == (text or "")))
-                yield pd.DataFrame(rows, columns=["doc_id", "ids", "n_tokens", "n_skipped", "ids_crc32", "lossless"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, "doc_id long, ids binary, n_tokens long, n_skipped long, ids_crc32 long, lossless boolean")
+        for b in lots(batches):
+            docs, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
+            found = enc.encode(texts, docs)
+            crc = [zlib.crc32(ids.astype("<u4")) for ids, _ in found]
+            same = [decode(ids) == (text or "") for text, (ids, _) in zip(texts, found, strict=True)]
+            columns = [b["doc_id"], pa.array([ids.tobytes() for ids, _ in found], pa.binary()), pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "n_skipped", "ids_crc32", "lossless"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, ids binary, n_tokens long, n_skipped long, ids_crc32 long, lossless boolean")
