@@ -33,11 +33,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder the cluster names; one is set only where none is named, as in tests."""
+    """A fresh path in the folder the cluster names; one is set only where none is named and all runs on one machine, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.palimpsest.shared.dir", "")
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = f"file:///tmp/palimpsest-{uuid.uuid4().hex}"
             spark.conf.set("spark.palimpsest.shared.dir", root)
     path = f"{root.rstrip('/')}/palimpsest/{uuid.uuid4().hex}"

@@ -11,7 +11,8 @@ paired: its members are filed under all 64-bit values within one flip, and those
 value are within two bits of each other, so a star through their least links exactly them.
 
 Null text has no words: fingerprint zero. Null doc_ids are nobody's least id (a component of only
-such rows has a null id). Repeated rows share a fingerprint. Other columns are ignored.
+such rows has a null id). Repeated rows share a fingerprint. A very long text costs a task the memory of its words. Other columns are ignored. An
+empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -177,9 +178,3 @@ def near_components(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFram
     met = of.join(lows, "root").select("fp", "component_id")
     classes = fps.join(met, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return every.join(stored(classes), "fp")
-
-
-def drop_near_copies(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFrame:
-    """The rows of docs whose doc_id is their component's least, with all their columns; rows of a component without any doc_id stay."""
-    d = near_components(docs, width, tau).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(d, docs["doc_id"].cast("long").eqNullSafe(d["_id"]), "left_semi")

@@ -11,7 +11,8 @@ the others are revisit records that refer to it and keep its headers and digests
 gzip members (about ARCHIVE bytes each) in the shared folder, so any store will do.
 
 Null html counts as an empty payload, a null url as "". Rows that repeat page_id and payload are all
-responses if they have the smallest page_id. A null page_id is never the smallest. Other columns are ignored.
+responses if they have the smallest page_id. A null page_id is never the smallest. A very long payload makes as many segments as it
+needs. Other columns are ignored. An empty table gives no archives and an empty result.
 """
 from __future__ import annotations
 

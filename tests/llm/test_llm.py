@@ -16,7 +16,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palimpsest.llm import exact_dedup, html_blocks, html_labeller, id_coder, kneser_ney, packing, pii, pii_model, piece_dropout, quality_rules, queries, simhash, token_output, tokens, warc
+from palimpsest.llm import exact_dedup, html_blocks, html_labeller, id_coder, kneser_ney, near_copies, packing, pii, pii_model, piece_dropout, quality_rules, queries, simhash, token_output, tokens, warc
 from palimpsest.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -317,8 +317,7 @@ def test_simhash_components(spark, odd, none):
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op7_simhash(spark, SF).collect()}
     assert got == {k: (f"{f:016x}", c) for k, (f, c) in enumerate(zip(fp, want))}
     assert simhash.near_components(odd).count() == odd.count() and simhash.near_components(none).count() == 0
-    kept = simhash.drop_near_copies(odd)
-    assert kept.columns == odd.columns
+    assert near_copies.drop_near_copies(odd).columns == odd.columns and near_copies.drop_near_copies(none).count() == 0
 
 
 def test_near_pairs_in_dense_buckets(spark):
@@ -527,6 +526,29 @@ def test_oracles_at_small_scale(spark):
         assert order(want) == order(got), name
 
 
+def similar_components(texts, width=5, similarity=0.8):
+    """The least place tied to each text by pairs of that Jaccard similarity or more, over all pairs that share a shingle."""
+    sets, parent, holders = [], list(range(len(texts))), collections.defaultdict(list)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().lower().decode())
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))})
+        both = collections.Counter()
+        for g in sets[i]:
+            both.update(holders[g])
+            holders[g].append(i)
+        for j, n in both.items():
+            if n / (len(sets[i]) + len(sets[j]) - n) >= similarity:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
 def test_pipeline(spark):
     docs = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     got = corpus_pipeline.run(spark, SF).collect()
@@ -537,9 +559,10 @@ def test_pipeline(spark):
     for k in sorted(clean):
         first.setdefault(SPACE.sub(" ", clean[k]), k)
     ids = sorted(first.values())
-    _, comp = plain_components([clean[k] for k in ids])
-    stay = {ids[c] for c in comp}
-    assert {r["doc_id"] for r in got} == stay
+    comp = similar_components([clean[k] for k in ids])
+    exact = {ids[c] for c in comp}
+    stay = {r["doc_id"] for r in got}  # every similar pair that fingerprints find is one of all pairs
+    assert stay >= exact and len(stay - exact) <= 0.02 * (len(ids) - len(exact))
     lengths = collections.defaultdict(int)
     for r in got:
         lengths[r["doc_id"]] += r["length"]
