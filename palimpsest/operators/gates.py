@@ -54,6 +54,21 @@ def book_modes(pages: DataFrame) -> DataFrame:
     return d.withColumn("mode", mode_of(F.col("share_a"), F.col("share_b")))
 
 
+def overall_mode(books: DataFrame) -> DataFrame:
+    """One row: the verdict over all books, by the shares of each family of modes; mixed without any."""
+    share = lambda *modes: F.coalesce(F.avg(F.when(F.col("mode").isin(*modes), 1.0).otherwise(0.0)), F.lit(0.0))
+    d = books.agg(share("a", "dominant-a").alias("share_a"), share("b", "dominant-b").alias("share_b"), F.count(F.lit(1)).alias("n_books"))
+    return d.withColumn("mode", mode_of(F.col("share_a"), F.col("share_b")))
+
+
+def roll_up(pages: DataFrame) -> DataFrame:
+    """pages: book_id, page_number, score, issues (category, severity, description). By book the mean score, rounded half to even, and its moderate or graver issues, each description once, in the order of pages."""
+    d = pages.groupBy("book_id").agg(F.bround(F.avg(F.coalesce("score", F.lit(0)))).cast("long").alias("score"), F.sort_array(F.collect_list(F.struct("page_number", "issues"))).alias("p"))
+    grave = F.filter(F.flatten(F.transform("p", lambda x: F.coalesce(x["issues"], F.array()))), lambda i: i["severity"].isin("moderate", "major", "critical"))
+    told = F.transform(grave, lambda i: i["description"])
+    return d.select("book_id", "score", F.array_distinct(told).alias("top_issues"))
+
+
 def uniform_scores(pages: DataFrame, least: int = 3, share: float = 0.75) -> DataFrame:
     """Pages at the score that `least` pages and `share` of their book's scored pages or more have; of equally common scores the one seen first counts."""
     d = pages.where("score IS NOT NULL").groupBy("book_id", "score").agg(F.count(F.lit(1)).alias("n"), F.min("page_number").alias("first"))

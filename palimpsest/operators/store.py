@@ -15,6 +15,28 @@ def source_profile(conversions: DataFrame, books: DataFrame) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_books"), F.sum("n").alias("n_conversions"), of("first", "n_first").alias("first_score"), of("score", "n_score").alias("mean_score"), (F.sum(F.col("last") * F.col("n")) / F.sum("n")).alias("mean_iterations"))
 
 
+def profiles(conversions: DataFrame, books: DataFrame, issues: DataFrame, by_decade: bool = False) -> DataFrame:
+    """Profiles by publisher, decade and format: counts and means, the best path, and the five most common issues as "category(n)".
+
+    What is counted is the publisher's and format's whole stock, so a publisher's decades share their figures, unless by_decade. Conversions and issues are summed by book
+    first; books: book_id, publisher, format, year.
+    """
+    key = ["publisher", "format"] + (["decade"] if by_decade else [])
+    b = books.select("book_id", F.coalesce("publisher", F.lit("")).alias("publisher"), F.coalesce("format", F.lit("")).alias("format"), F.coalesce(F.concat((F.floor(F.col("year") / 10) * 10).cast("string"), F.lit("s")), F.lit("")).alias("decade"))
+    first = F.when(F.col("iteration") == 1, F.col("score"))
+    per = conversions.groupBy("book_id", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("first"), F.count(first).alias("n_first"), F.sum("score").alias("s"), F.count("score").alias("n_s"), F.max("iteration").alias("last"))
+    by_path = per.join(b, "book_id").groupBy(*key, "path").agg(F.sum("s").alias("s"), F.sum("n_s").alias("n_s"))
+    best = by_path.where("n_s > 0").groupBy(*key).agg(F.max(F.struct((F.col("s") / F.col("n_s")).alias("mean"), "path")).alias("b")).select(*key, F.col("b.path").alias("best_path"))
+    by_book = per.groupBy("book_id").agg(*(F.sum(c).alias(c) for c in ("n", "first", "n_first", "s", "n_s")), F.max("last").alias("last"))
+    of = lambda a, n: F.sum(a) / F.when(F.sum(n) > 0, F.sum(n))
+    means = by_book.join(b, "book_id").groupBy(*key).agg(F.count(F.lit(1)).alias("n_books"), of("first", "n_first").alias("first_score"), of("s", "n_s").alias("mean_score"), (F.sum(F.col("last") * F.col("n")) / F.sum("n")).alias("mean_iterations"))
+    common = issues.groupBy("book_id", "category").agg(F.count(F.lit(1)).alias("n")).join(b, "book_id").groupBy(*key, "category").agg(F.sum("n").alias("n"))
+    common = common.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "category"))), 1, 5).alias("c"))  # a row for each category of issue
+    common = common.select(*key, F.array_join(F.transform("c", lambda x: F.concat(x["category"], F.lit("("), (-x["n"]).cast("string"), F.lit(")"))), ", ").alias("common_issues"))
+    d = means.join(best, key, "left").join(common, key, "left")
+    return d if by_decade else b.select(*key, "decade").distinct().join(d, key)
+
+
 def best_paths(conversions: DataFrame, books: DataFrame) -> DataFrame:
     """Paths of each publisher by mean score, best first; ties by name."""
     d = conversions.join(books, "book_id").where("score IS NOT NULL").groupBy(F.coalesce("publisher", F.lit("unknown")).alias("publisher"), "path").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"))

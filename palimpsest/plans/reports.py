@@ -35,13 +35,30 @@ def category_scores(v):
     return gates.category_scores(v)
 
 
-@query("book_modes", f"WITH {FIRST}, j AS (SELECT a.book_id, a.score >= 80 AND a.n_issues > 1 AS a, a.score >= 80 AND NOT a.n_issues > 1 AND b.n_issues > 0 AS b FROM f a JOIN f b ON a.book_id = b.book_id AND a.page_number = b.page_number AND a.report = 'candidate' AND b.report = 'baseline' WHERE a.score >= 75), s AS (SELECT book_id, avg(a::INT) AS share_a, avg(b::INT) AS share_b, count(*) AS n_pages FROM j GROUP BY 1) SELECT *, CASE WHEN share_a >= 0.7 THEN 'a' WHEN share_b >= 0.7 THEN 'b' WHEN share_a >= 0.55 THEN 'dominant-a' WHEN share_b >= 0.55 THEN 'dominant-b' ELSE 'mixed' END AS mode FROM s", "vqa_v")
+BOOK_MODES = f"WITH {FIRST}, j AS (SELECT a.book_id, a.score >= 80 AND a.n_issues > 1 AS a, a.score >= 80 AND NOT a.n_issues > 1 AND b.n_issues > 0 AS b FROM f a JOIN f b ON a.book_id = b.book_id AND a.page_number = b.page_number AND a.report = 'candidate' AND b.report = 'baseline' WHERE a.score >= 75), s AS (SELECT book_id, avg(a::INT) AS share_a, avg(b::INT) AS share_b, count(*) AS n_pages FROM j GROUP BY 1) SELECT *, CASE WHEN share_a >= 0.7 THEN 'a' WHEN share_b >= 0.7 THEN 'b' WHEN share_a >= 0.55 THEN 'dominant-a' WHEN share_b >= 0.55 THEN 'dominant-b' ELSE 'mixed' END AS mode FROM s"
+
+
+@query("book_modes", BOOK_MODES, "vqa_v")
 def book_modes(v):
     a, b = (gates.first_pages(v.where(F.col("report") == r), *ORDER) for r in ("candidate", "baseline"))
     d = a.where("score >= 75").select("book_id", "page_number", "score", (F.col("n_issues") > 1).alias("own_serious")).join(b.select("book_id", "page_number", (F.col("n_issues") > 0).alias("other_serious")), ["book_id", "page_number"])
     return gates.book_modes(d)
 
 
+@query("overall_mode", "WITH m AS (" + BOOK_MODES + ") SELECT avg((mode IN ('a', 'dominant-a'))::INT) AS share_a, avg((mode IN ('b', 'dominant-b'))::INT) AS share_b, count(*) AS n_books, CASE WHEN avg((mode IN ('a', 'dominant-a'))::INT) >= 0.7 THEN 'a' WHEN avg((mode IN ('b', 'dominant-b'))::INT) >= 0.7 THEN 'b' WHEN avg((mode IN ('a', 'dominant-a'))::INT) >= 0.55 THEN 'dominant-a' WHEN avg((mode IN ('b', 'dominant-b'))::INT) >= 0.55 THEN 'dominant-b' ELSE 'mixed' END AS mode FROM m", "vqa_v")
+def overall_mode(v):
+    return gates.overall_mode(book_modes(v))
+
+
+@query("roll_up", """WITH p AS (SELECT book_id, page_number, max(score) AS score, page_number % 3 AS k FROM vqa_v WHERE page_number < 30 GROUP BY book_id, page_number), t AS (SELECT book_id, round_even(avg(coalesce(score, 0)), 0)::BIGINT AS score FROM p GROUP BY 1), i AS (SELECT book_id, 'd' || page_number % 4 AS d, min(page_number) AS first FROM p WHERE k > 0 AND page_number % 5 > 1 GROUP BY 1, 2), l AS (SELECT book_id, string_agg(d, ',' ORDER BY first) AS top FROM i GROUP BY 1) SELECT t.book_id, t.score, coalesce(top, '') AS top FROM t LEFT JOIN l USING (book_id)""", "vqa_v")
+def roll_up(v):
+    p = v.where("page_number < 30").groupBy("book_id", "page_number").agg(F.max("score").alias("score"))
+    k = F.col("page_number")
+    issue = F.struct(F.lit("x").alias("category"), F.when(k % 5 == 0, "minor").when(k % 5 == 1, "odd").when(k % 5 == 2, "moderate").otherwise("critical").alias("severity"), F.concat(F.lit("d"), (k % 4).cast("string")).alias("description"))
+    d = gates.roll_up(p.withColumn("issues", F.when(k % 3 > 0, F.array(issue))))
+    return d.select("book_id", "score", F.array_join("top_issues", ",").alias("top"))
+
+
 @query("uniform_scores", f"WITH {FIRST}, p AS (SELECT book_id, page_number, CASE WHEN book_id % 3 = 0 AND page_number % 9 > 0 THEN 80 ELSE score END AS score FROM f WHERE report = 'candidate'), c AS (SELECT book_id, score, count(*) AS n, min(page_number) AS first FROM p GROUP BY 1, 2), t AS (SELECT book_id, sum(n) AS total, arg_max(score, (n, -first)) AS score, max(n) AS n FROM c GROUP BY 1) SELECT p.book_id, p.page_number, p.score FROM p JOIN t ON p.book_id = t.book_id AND p.score = t.score WHERE t.n >= 3 AND t.n >= 0.75 * total", "vqa_v")
 def uniform_scores(v):
     p = gates.first_pages(v.where("report = 'candidate'"), *ORDER).select("book_id", "page_number", F.when((F.col("book_id") % 3 == 0) & (F.col("page_number") % 9 > 0), 80).otherwise(F.col("score")).alias("score"))

@@ -264,3 +264,11 @@ def decades(b):
     from ..functions.naming import decade
 
     return b.select("book_id", decade(F.col("year")).alias("decade"))
+
+
+@query("profiles", """WITH b AS (SELECT book_id, coalesce(publisher, '') AS publisher, coalesce(format, '') AS format, (year // 10 * 10)::VARCHAR || 's' AS decade FROM books_v), l AS (SELECT book_id, max(iteration) AS last FROM conversions_v GROUP BY 1), c AS (SELECT * FROM conversions_v JOIN b USING (book_id) JOIN l USING (book_id)),
+m AS (SELECT publisher, format, count(DISTINCT book_id) AS n_books, avg(CASE WHEN iteration = 1 THEN score END) AS first_score, avg(score) AS mean_score, avg(last) AS mean_iterations FROM c GROUP BY 1, 2), p AS (SELECT publisher, format, arg_max(path, (s, path)) AS best_path FROM (SELECT publisher, format, path, avg(score) AS s FROM c WHERE score IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+i AS (SELECT publisher, format, string_agg(category || '(' || n || ')', ', ' ORDER BY n DESC, category) AS common_issues FROM (SELECT *, row_number() OVER (PARTITION BY publisher, format ORDER BY n DESC, category) AS place FROM (SELECT publisher, format, category, count(*) AS n FROM issues_v JOIN b USING (book_id) GROUP BY 1, 2, 3)) WHERE place <= 5 GROUP BY 1, 2)
+SELECT publisher, format, decade, n_books, first_score, mean_score, mean_iterations, best_path, common_issues FROM (SELECT DISTINCT publisher, format, decade FROM b) JOIN m USING (publisher, format) LEFT JOIN p USING (publisher, format) LEFT JOIN i USING (publisher, format)""", "conversions_v", "books_v", "issues_v")
+def profiles(c, b, i):
+    return store.profiles(c, b, i)
