@@ -91,9 +91,9 @@ def scene_break(paragraph: Column) -> Column:
 
 
 def joined_letters(text: Column, words: tuple[str, ...]) -> Column:
-    """Runs of three or more single letters with blanks between, at least three of them different, become a word of the list, if they spell one."""
+    """Runs of four or more single letters with blanks between, at least three of them different, become a word of the list, if they spell one."""
     known = F.array(*(F.lit(w.lower()) for w in words))
-    run = r"(?<![\p{L}\p{N}])\p{L}(?: \p{L}){2,}(?![\p{L}\p{N}])"
+    run = r"(?<![\p{L}\p{N}])\p{L}(?: \p{L}){3,}(?![\p{L}\p{N}])"
     found, between = F.regexp_extract_all(text, F.lit(run), F.lit(0)), F.split(text, run, -1)
 
     def whole(r: Column) -> Column:

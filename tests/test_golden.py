@@ -174,3 +174,47 @@ def test_small_verdicts(spark):
     assert one(spark, "a b", lambda t: pages.readable_bookmark(t)) and not one(spark, "7", lambda t: pages.readable_bookmark(t)) and not one(spark, None, lambda t: pages.readable_bookmark(t))
     assert one(spark, "x" * 10, lambda t: choose.debris(t)) == 0.0 and one(spark, "{a b", lambda t: choose.debris(t)) == 0.5
     assert one(spark, "", lambda t: choose.debris(t)) == 0.0
+
+
+def voice(spark, paragraphs, parts=(), chapters=(), **kw):
+    from palimpsest.functions import speech
+
+    ints = lambda x: F.array(*map(F.lit, x)).cast("array<int>")
+    return spark.createDataFrame([(paragraphs,)], "p array<string>").select(speech.voiced(F.col("p"), ints(parts), ints(chapters), **kw)).first()[0]
+
+
+def test_voice_marks(spark):
+    from palimpsest.functions import speech
+
+    P, sapi = speech.PAUSES, lambda ms: f'<silence msec="{ms}"/>'
+    assert voice(spark, ["Part One", "Chapter Two", "Body."], [0], [1]) == ["PART ONE" + sapi(P["part"]), "CHAPTER TWO" + sapi(P["chapter"]), "Body."]
+    assert voice(spark, ["Body text.", "***", "More body text."]) == ["Body text." + sapi(P["scene"]), "More body text."]
+    assert voice(spark, ["He walked into the room. He was alone."]) == ['He walked into the room. <rate speed="-1">He was alone.</rate>' + sapi(P["closer"])]
+    assert voice(spark, ["He walked. He was alone.", "***"]) == ['He walked. <rate speed="-1">He was alone.</rate>' + sapi(P["scene"])]
+    assert voice(spark, ["Chapter One", "He walked. He was alone."], (), [0], syntax="universal") == [f"CHAPTER ONE{{{{Pause={P['chapter']}}}}}", f"He walked. He was alone.{{{{Pause={P['closer']}}}}}"]
+    assert voice(spark, ["Chapter One", "***", "Body text."], (), [0], options=()) == ["CHAPTER ONE", "***", "Body text."]
+    assert voice(spark, ["The king arrived—his last refuge--before nightfall.", "See pages 10–20.", "The Paris–London express.", "a well-known one", '<silence msec="300"/>']) == [f"The king arrived{sapi(250)}his last refuge{sapi(250)}before nightfall.", "See pages 10–20.", f"The Paris{sapi(150)}London express.", "a well-known one", '<silence msec="300"/>']
+
+
+@pytest.mark.parametrize(("text", "want"), [("He walked into the room. The doors were closed. He was alone.", "He was alone."), ("He was alone.", None), ("He walked in. Was he alone?", None), ('He sat down. "He was alone."', None), ("He sat down. He froze.", None), ("He walked into the room. HE WAS ALONE.", None), ("He looked around. He was free!", "He was free!"), ("He walked in. " + "word " * 18 + "end.", None)])
+def test_closers(spark, text, want):
+    from palimpsest.functions import speech
+
+    assert one(spark, text, speech.closer) == want
+
+
+def test_spoken_spans_and_spaced_letters(spark):
+    from palimpsest.functions import speech
+    from palimpsest.operators.bookheads import joined_letters, sampled_pages, scene_break
+
+    assert one(spark, 'He said, "I never meant for this to happen." She nodded.', speech.spoken) == ["I never meant for this to happen."]
+    assert one(spark, 'She said "no" firmly. The sign read "1234, 5678, 9012." “This changes everything.”', speech.spoken) == ["This changes everything."]
+    j = lambda t: joined_letters(t, ("wilson", "paris", "exact"))
+    assert one(spark, "W i l s o n in P a r i s", j) == "Wilson in Paris" and one(spark, "W i ls on in P a r i s", j) == "W i ls on in Paris"
+    for same in (". . . . . . .", "a b", "U S A", "The quick brown fox"):
+        assert one(spark, same, j) == same
+    for yes in ("***", "* * *", "###", "---", "———", "— — —", "⁂", "~", "# # #"):
+        assert one(spark, yes, scene_break), yes
+    for no in ("", "Some text.", None):
+        assert not one(spark, no, scene_break)
+    assert sampled_pages(0) == [] and sampled_pages(5) == [1, 2, 3, 4, 5] and sampled_pages(100, 8) == sorted(sampled_pages(100, 8)) and len(sampled_pages(100, 8)) == 8 and sampled_pages(100, 8)[:3] == [1, 2, 3]
