@@ -32,6 +32,7 @@ from .common import stored
 SEGMENT = 16_384
 CHUNK = 4_096
 ARCHIVE = 4_000_000
+PIECE = 16_384  # bytes of an archive that are inflated at a time
 DATE = "2024-01-01T00:00:00Z"
 MIN_BYTES = 0
 
@@ -122,12 +123,21 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, segment: int =
     return stored(with_referrals(pages, min_bytes).mapInPandas(each, "part int, number int, data binary"), "none")
 
 
-def read_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw, data = z.decompress(data), z.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
+def read_members(data: bytes, segmented: bool | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of an archive; segmented: only records that are segments, or only whole ones."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at : at + PIECE]
+            if not len(piece):
+                raise ValueError("cut WARC archive")
+            out.append(z.decompress(piece))
+            at += len(piece)
+        at -= len(z.unused_data)
+        head, _, rest = b"".join(out).partition(b"\r\n\r\n")
+        if segmented is not None and (b"\r\nWARC-Segment-Number:" in head) != segmented:
+            continue
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
@@ -141,53 +151,66 @@ def read_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 RECORDS = "origin string, segment int, total long, page_id long, record_type string, refers_to long, stated string, block binary"
 
 
-def read_records(archives: DataFrame) -> DataFrame:
+def _number(fields: dict[str, str], name: str) -> int | None:
+    return int(fields[name]) if fields.get(name) else None
+
+
+def read_records(archives: DataFrame, segmented: bool | None = None) -> DataFrame:
     """A row for each record: origin is the id of the record that it begins or continues; segment is 0 for whole records."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for data in b["data"]:
                 rows = []
-                for f, block in read_members(data):
-                    number = lambda k, f=f: int(f[k]) if f.get(k) else None
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number("warc-segment-number") or 0, number("warc-segment-total-length"), number("x-page-id"), f["warc-type"], number("x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:"), block))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
-                yield out.astype({"total": "Int64", "page_id": "Int64", "refers_to": "Int64"})
+                for f, block in read_members(data, segmented):
+                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), _number(f, "warc-segment-number") or 0, _number(f, "warc-segment-total-length"), _number(f, "x-page-id"), f["warc-type"], _number(f, "x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:"), block))
+                if rows:
+                    yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")]).astype({"total": "Int64", "page_id": "Int64", "refers_to": "Int64"})
 
     return archives.select("data").mapInPandas(each, RECORDS)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records. Segments meet by origin: only these are shuffled, and a group is one record."""
-    whole = records.where("segment = 0").select("page_id", "record_type", "refers_to", "stated", "block")
+    """Whole records from segments. They meet by origin: a group is one record."""
     parts = records.where("segment > 0").groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"), *(F.first(c, True).alias(c) for c in ("page_id", "refers_to")), F.max(F.when(F.col("segment") == 1, F.col("stated"))).alias("stated")
     )
-    joined = F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
     numbers = F.transform("s", lambda x: x["segment"])
-    parts = parts.withColumn("block", joined)
+    parts = parts.withColumn("block", F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"])))
     good = (F.col("total") == F.octet_length("block")) & (numbers == F.sequence(F.lit(1), F.size("s")))
     checked = F.when(good, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments do not make up record "), F.col("origin"))).cast("binary"))
-    return whole.unionByName(parts.select("page_id", F.lit("response").alias("record_type"), "refers_to", "stated", checked.alias("block")))
+    return parts.select("page_id", F.lit("response").alias("record_type"), "refers_to", "stated", checked.alias("block"))
 
 
 PAGES = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _page(page: int | None, kind: str, to: int | None, stated: str, block: bytes) -> tuple:
+    """A row of PAGES from a whole record."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    length = int(head.lower().partition(b"x-payload-length:")[2].split(b"\r\n")[0])
+    payload = unchunked(body) if kind == "response" else None
+    if payload is not None and (len(payload) != length or digest(payload) != stated):
+        raise ValueError("payload and headers disagree")
+    return page, payload, length, stated, kind, to
+
+
+def _pages(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in PAGES.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+
 def read_pages(archives: DataFrame) -> DataFrame:
-    """PAGES: payloads decoded and held against the stated length and digest; null for revisits, whose length and digest are those of the response."""
+    """PAGES: payloads decoded and held against the stated length and digest; null for revisits, whose length and digest are those of the response. Whole records are decoded where they are read; segments are put together first."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for page, kind, to, stated, block in zip(b["page_id"], b["record_type"], b["refers_to"], b["stated"], b["block"], strict=True):
-                head, _, body = bytes(block).partition(b"\r\n\r\n")
-                length = int(head.lower().partition(b"x-payload-length:")[2].split(b"\r\n")[0])
-                payload = unchunked(body) if kind == "response" else None
-                if payload is not None and (len(payload) != length or digest(payload) != stated):
-                    raise ValueError("payload and headers disagree")
-                rows.append((page, payload, length, stated, kind, to))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in PAGES.split(", ")])
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return reassemble(read_records(archives)).mapInPandas(each, PAGES)
+            for data in b["data"]:
+                rows = [_page(_number(f, "x-page-id"), f["warc-type"], _number(f, "x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:"), block) for f, block in read_members(data, False)]
+                if rows:
+                    yield _pages(rows)
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _pages([_page(None if pd.isna(page) else int(page), kind, None if pd.isna(to) else int(to), stated, bytes(block)) for page, kind, to, stated, block in zip(b["page_id"], b["record_type"], b["refers_to"], b["stated"], b["block"], strict=True)])
+
+    return archives.select("data").mapInPandas(whole, PAGES).unionByName(reassemble(read_records(archives, True)).mapInPandas(joined, PAGES))
