@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def first_claims(events: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The first event of each key; later ones are repeats."""
-    return events.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
+    """The first event of each key; later ones are repeats. Summed before the shuffle, so a key with very many events is no hot one. Columns must be orderable."""
+    rest = [c for c in events.columns if c not in keys and c not in order]
+    d = events.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_e"))
+    return d.select(*(c if c in keys else F.col("_e")[c].alias(c) for c in events.columns))
 
 
 def rate_limited(events: DataFrame, key: str, most: int, unit: str = "minute") -> DataFrame:
@@ -46,11 +48,13 @@ def window_counts(events: DataFrame, length: str) -> DataFrame:
 
 
 def delivery_state(events: DataFrame, key: str, terminal: tuple[str, ...], delayed: str) -> DataFrame:
-    """The state each message ends in: the last event wins, but a delay after a terminal state changes nothing."""
-    w = W.partitionBy(key).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    seen = F.coalesce(F.max(F.when(F.col("event_type").isin(*terminal), 1).otherwise(0)).over(w), F.lit(0))
-    d = events.withColumn("_late", (F.col("event_type") == delayed) & (seen == 1)).where("NOT _late")
-    return d.groupBy(key).agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e")).select(key, F.col("e.event_type").alias("state"))
+    """The state each message ends in: the last event wins, but a delay after a terminal state changes nothing.
+
+    A terminal event is no delay and comes after every delay that counts, so with one the last event that is no delay wins, without one the last of all.
+    """
+    last = F.struct("ts", "event_id", "event_type")
+    d = events.groupBy(key).agg(F.max(last).alias("all"), F.max(F.when(F.col("event_type") != delayed, last)).alias("sure"), F.max(F.col("event_type").isin(*terminal)).alias("ended"))
+    return d.select(key, F.when(F.col("ended"), F.col("sure.event_type")).otherwise(F.col("all.event_type")).alias("state"))
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
