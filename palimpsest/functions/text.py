@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from .lines import once
 
 #: Letters torn apart where a ligature stood.
-LIGATURES = r"\b(?:[Tt]h (?:e|is|at|ey|en|ere|ose|us|an|eir|em|ese)\b|(?:fi|fl|ffi|ffl) [a-z])"
-#: White space in the Unicode sense, as a character class without its brackets; LINE_WHITE is without the newline.
-LINE_WHITE = r" \t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LIGATURES = r"[Tt](?<=\b[Tt])h (?:e|is|at|ey|en|ere|ose|us|an|eir|em|ese)\b|f(?<=\bf)(?:i|l|fi|fl) [a-z]"
+#: White space in the Unicode sense, as character classes without their brackets; LINE_WHITE is without the newline, NEAR_WHITE without what lies beyond Latin-1.
+NEAR_WHITE, FAR_WHITE = r" \t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}", r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_WHITE = NEAR_WHITE + FAR_WHITE
 WHITE = r"\n" + LINE_WHITE
 #: Stop words of title keys.
 TITLE_STOPS = ("the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "by", "with", "from", "is", "was", "are")
@@ -21,18 +22,26 @@ def count_of(text: Column, literal: str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(literal)))) / len(literal))
 
 
+def _by_white(text: Column, of: Callable[[str], Column]) -> Column:
+    """of the class of white space that the text needs: the one without far characters is matched much faster, and one range tells most texts that need no other."""
+    return F.when(text.rlike(r"[\x{1680}-\x{3000}]"), of(LINE_WHITE)).otherwise(of(NEAR_WHITE))
+
+
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WHITE}]+"))
+    return _by_white(text, lambda white: F.regexp_count(text, F.lit(rf"[^\n{white}]+")))
 
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+
+
 def penalties(text: Column) -> dict[str, Column]:
     """Counts from which the segment score is made."""
-    controls = "".join(map(chr, [*range(9), 11, 12, *range(14, 32)]))
-    return {"n_replaced": count_of(text, "�"), "n_ligatures": F.regexp_count(text, F.lit(LIGATURES)).cast("long"), "n_doubles": count_of(text, "  "), "n_controls": (F.length(text) - F.length(F.translate(text, controls, ""))).cast("long"), "n_words": word_count(text).cast("long")}
+    count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    return {"n_replaced": count_of(text, "�"), "n_ligatures": count(LIGATURES), "n_doubles": count_of(text, "  "), "n_controls": count(CONTROLS), "n_words": word_count(text).cast("long")}
 
 
 def segment_score(replaced: Column, ligatures: Column, doubles: Column, controls: Column, chars: Column) -> Column:
@@ -43,13 +52,15 @@ def segment_score(replaced: Column, ligatures: Column, doubles: Column, controls
 
 
 #: What whitespace editing replaces, and by what. Order matters: tabs become spaces after runs of spaces have gone.
-WHITESPACE = ((" {3,}", " "), (" +([.,;:!?])", "$1"), ("\n{4,}", "\n\n\n"), (f"(?md)[{LINE_WHITE}]+$", ""), ("\t", " "))
+WHITESPACE = ((" {3,}", " "), (" ++([.,;:!?])", "$1"), ("\n{4,}", "\n\n\n"), ("(?d)[{white}]++(?=\n|\\z)", ""), ("\t", " "))
 
 
 def edited(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     """Struct of the text after all replacements in order, and n, how many places they changed. Each stage is computed once."""
 
     def stage(pattern: str, to: str) -> Callable[[Column], Column]:
+        if len(pattern) == 1:  # a literal that takes another's place: no pattern is needed
+            return lambda v: F.struct(F.replace(v["text"], F.lit(pattern), F.lit(to)).alias("text"), (v["n"] + count_of(v["text"], pattern)).alias("n"))
         return lambda v: F.struct(F.regexp_replace(v["text"], pattern, to).alias("text"), (v["n"] + F.regexp_count(v["text"], F.lit(pattern))).alias("n"))
 
     value = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
@@ -59,7 +70,7 @@ def edited(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
 
 
 def fix_whitespace(text: Column) -> Column:
-    return edited(text, WHITESPACE)
+    return _by_white(text, lambda white: edited(text, tuple((p.replace("{white}", white), to) for p, to in WHITESPACE)))
 
 
 def clean_html(html: Column) -> Column:
