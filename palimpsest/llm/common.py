@@ -1,8 +1,9 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,18 @@ def seen_by_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """For what runs inside: Arrow batches of up to so many rows, as narrow rows allow; their bytes stay bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     seen_by_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, html_labeller, kneser_ney, packing, pii, piece_dropout, quality_rules, simhash, token_output, warc
+from . import alignment, collocations, exact_dedup, html_labeller, kneser_ney, packing, pii, piece_dropout, quality_rules, simhash, token_output, warc
 from .common import load
 
 
@@ -57,11 +57,15 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_dropout.segment(load(spark, sf_dir, "documents")).drop("ids")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(load(spark, sf_dir, "documents")).drop("groups")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_ids, op3_warc, op4_pii, op5_exact_dedup, op6_html_labeller, op7_simhash, op8_packing, op9_kneser_ney, op10_piece_dropout, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_ids, op3_warc, op4_pii, op5_exact_dedup, op6_html_labeller, op7_simhash, op8_packing, op9_kneser_ney, op10_piece_dropout, op12_collocations, op13_alignment)}
 
 _SPACE = "[\\x09-\\x0D ]"
 
@@ -94,4 +98,21 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM v
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op5_exact_dedup": OP5}
+#: Counts by positions within pieces; products as 128-bit integers.
+OP12 = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+pos AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+g AS (SELECT lang, w[i] AS phrase, 1 AS words FROM pos UNION ALL SELECT lang, w[i] || ' ' || w[i + 1], 2 FROM pos WHERE i + 1 <= len(w) UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 3 FROM pos WHERE i + 2 <= len(w)),
+f AS (SELECT lang, phrase, words, count(*) AS f FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY 1),
+c AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words >= 2 AND f >= 10),
+cuts AS (SELECT lang, phrase, a, 1 AS k, w[1] AS x, CASE WHEN words = 2 THEN w[2] ELSE w[2] || ' ' || w[3] END AS y FROM c UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE words = 3),
+s AS (SELECT cuts.*, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE words = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE words = 3) GROUP BY 1, 2),
+kept AS (SELECT worst.* FROM worst LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE = {"op12_collocations": OP12, "op1_quality_rules": OP1, "op5_exact_dedup": OP5}
