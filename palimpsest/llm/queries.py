@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, collocations, exact_dedup, html_labeller, kneser_ney, packing, pii, piece_dropout, quality_rules, simhash, token_output, warc
+from . import alignment, collocations, exact_dedup, html_labeller, kneser_ney, nn_descent, packing, pii, piece_dropout, quality_rules, simhash, token_output, warc
 from .common import load
 
 
@@ -57,6 +57,11 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_dropout.segment(load(spark, sf_dir, "documents")).drop("ids")
 
 
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return nn_descent.search(nn_descent.build(vectors, "vec_id", "embedding"), vectors.where("vec_id % 50 = 0"), "vec_id", "embedding")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(load(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(load(spark, sf_dir, "documents")).drop("groups")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_ids, op3_warc, op4_pii, op5_exact_dedup, op6_html_labeller, op7_simhash, op8_packing, op9_kneser_ney, op10_piece_dropout, op12_collocations, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_ids, op3_warc, op4_pii, op5_exact_dedup, op6_html_labeller, op7_simhash, op8_packing, op9_kneser_ney, op10_piece_dropout, op11_nn_descent, op12_collocations, op13_alignment)}
 
 _SPACE = "[\\x09-\\x0D ]"
 
