@@ -12,7 +12,6 @@ texts are cut into suffixes whole, in a lot of their own. Other columns, whateve
 """
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 LOT = 4_000_000  # bytes of text whose suffixes are counted together
 OUT = 100_000  # rows of a batch given back
 SAMPLE, HOT = 5000, 1 / 2000  # documents that hot words are looked for in; the share of suffixes from which on a word or pair is hot: at most 2 / HOT are
-SUFFIXES = "lang string, suffix string, salt long, whole int, n long"
-COUNTS = "lang string, phrase string, words int, f long"
+SUFFIXES = "key string, salt long, n long"
+COUNTS = "key string, words int, f long"
 
 #: 0 in a word, 1 blank, 2 end of a piece; and letters A-Z lowered.
 KIND = np.zeros(256, np.uint8)
@@ -64,56 +63,83 @@ def words_in(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 def suffixes_of(texts: pa.Array, max_n: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The dictionary of words; the distinct suffixes as rows of word numbers, -1 behind the last; how often each is there."""
     coded, piece = words_in(texts)
-    ids, kinds = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary) + 1
+    ids, bits = coded.indices.to_numpy(), len(coded.dictionary).bit_length()
+    if bits * max_n > 63:
+        return coded.dictionary, *_wide(ids, piece, max_n)
+    code = (ids + 1).astype(np.int64) << bits * (max_n - 1)
+    for k in range(1, max_n):  # one number, 0 behind the last word
+        n = max(len(ids) - k, 0)
+        code[:n] |= np.where(piece[:n] == piece[k:], ids[k:] + 1, 0).astype(np.int64) << bits * (max_n - 1 - k)
+    code.sort()
+    at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    one = code[at]
+    rows = np.stack([(one >> bits * (max_n - 1 - k) & (1 << bits) - 1) - 1 for k in range(max_n)])
+    return coded.dictionary, rows, np.diff(np.append(at, len(code)))
+
+
+def _wide(ids: np.ndarray, piece: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and counts where a suffix's word numbers do not fit one integer."""
     rows = np.full((max_n, len(ids)), -1, np.int64)
-    code, most = np.zeros(len(ids), np.int64), 1
     for k in range(max_n):
         n = max(len(ids) - k, 0)
         here = piece[:n] == piece[k:]
         rows[k, :n][here] = ids[k:][here]
-        if most * kinds >= 1 << 62:
-            every, code = np.unique(code, return_inverse=True)
-            most = len(every)
-        code, most = code * kinds + rows[k] + 1, most * kinds
-    _, at, n = np.unique(code, return_index=True, return_counts=True)
-    return coded.dictionary, rows[:, at], n
+    return np.unique(rows, axis=1, return_counts=True)
 
 
-def suffixes(docs: DataFrame, max_n: int, hot: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """SUFFIXES of lang and text: words with a blank behind each. whole: the least length of which this row's prefix is counted in one place."""
+def hashed(words: pa.Array) -> np.ndarray:
+    """A number for each of large strings, by its bytes alone."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.int64) + 1
+    place = np.arange(len(raw)) - np.repeat(at[:-1] - at[0], np.diff(at))
+    return np.add.reduceat(raw * (place * 2_654_435_761 + 1_000_003), at[:-1] - at[0]) if len(raw) else np.zeros(len(words), np.int64)
+
+
+def suffixes(docs: DataFrame, max_n: int, hot: tuple[str, ...] = ()) -> DataFrame:
+    """SUFFIXES of lang and text. key: the lang (blanks and tabs in it as %20 and %09), a tab, a digit, the words with a blank behind each. The digit is the least length of which this row's prefix is counted in one place: 1, or 2 and 3 behind a hot word and pair, which salt deals out by what follows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, pairs = ({(lang, x) for lang, x in hot if x.count(" ") == k} for k in range(2))
+        blank, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
         for b in lots(batches, LOT):
             for lang in pc.unique(b["lang"]).to_pylist():
                 words, rows, n = suffixes_of(pc.filter(b["text"], pc.equal(b["lang"], lang)), max_n)
-                salt, whole = np.zeros(len(n), np.int64), np.ones(len(n), np.int32)
-                number = dict(zip(words.to_pylist(), range(len(words)), strict=True)) if ones else {}
-                if mine := [number[w] for at, w in ones if at == lang and w in number]:
-                    mark = np.array([*(zlib.crc32(w.encode()) for w in number), 0], np.int64)
-                    at = np.isin(rows[0], mine)
-                    whole[at], salt[at] = 2, mark[rows[1, at]]
-                    both = [number[x] << 32 | number[y] for x, y in (p.split(" ") for where, p in pairs if where == lang) if x in number and y in number]
-                    at = np.isin(rows[0] << 32 | rows[1], both) & (rows[1] >= 0) & (max_n > 2)
-                    whole[at], salt[at] = 3, salt[at] << 31 ^ mark[rows[min(2, max_n - 1), at]]
+                salt, whole = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
+                heads = [h.split("\t")[1].split(" ") for h in hot if h.startswith(f"{lang}\t")]
+                if heads:
+                    marks = np.append(hashed(words), 0)
+                    found = lambda k, size: pc.index_in(pa.array([h[k] for h in heads if len(h) == size], pa.large_string()), words)
+                    warm = np.zeros(len(words), bool)
+                    warm[found(0, 1).drop_null().to_numpy()] = True
+                    at = np.flatnonzero(warm[rows[0]])
+                    whole[at], salt[at] = 2, marks[rows[1, at]]
+                    if max_n > 2:
+                        first, last = found(0, 2), found(1, 2)
+                        there = pc.and_(first.is_valid(), last.is_valid())
+                        pairs = pc.filter(first, there).to_numpy().astype(np.int64) << 32 | pc.filter(last, there).to_numpy()
+                        at = at[np.isin(rows[0, at] << 32 | rows[1, at], pairs) & (rows[1, at] >= 0)]
+                        whole[at], salt[at] = 3, salt[at] * 31 + marks[rows[2, at]]
+                head = pa.array([f"{lang}\t{k}" for k in range(4)], pa.large_string())
                 for k in range(0, len(n), OUT):
                     cut = slice(k, k + OUT)
-                    texts = [words.take(pa.array(r[cut], mask=r[cut] < 0)) for r in rows]
-                    joined = pc.binary_join_element_wise(*texts, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()), null_handling="skip")
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(joined)), joined.cast(pa.string()), pa.array(salt[cut]), pa.array(whole[cut]), pa.array(n[cut].astype(np.int64))], ["lang", "suffix", "salt", "whole", "n"])
+                    first = pc.binary_join_element_wise(head.take(pa.array(whole[cut])), words.take(pa.array(rows[0, cut])), none)
+                    joined = pc.binary_join_element_wise(first, *(words.take(pa.array(r[cut], mask=r[cut] < 0)) for r in rows[1:]), none, blank, null_handling="skip")
+                    yield pa.RecordBatch.from_arrays([joined.cast(pa.string()), pa.array(salt[cut]), pa.array(n[cut].astype(np.int64))], ["key", "salt", "n"])
 
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text")).mapInArrow(each, SUFFIXES)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    for x in "% \t":
+        lang = F.replace(lang, F.lit(x), F.lit(f"%{ord(x):02X}"))
+    return docs.select(lang.alias("lang"), text_or_empty().alias("text")).mapInArrow(each, SUFFIXES)
 
 
-def hot_heads(docs: DataFrame, sample: int = SAMPLE, share: float = HOT) -> tuple[tuple[str, str], ...]:
-    """(lang, word or pair of words) that begin a share of a sample's suffixes: at most 1 / share words and as many pairs."""
+def hot_heads(docs: DataFrame, sample: int = SAMPLE, share: float = HOT) -> tuple[str, ...]:
+    """Words and pairs of words, behind lang and tab, that begin a share of a sample's suffixes: at most 1 / share words and as many pairs."""
     n = docs.count()
     some = docs if n <= sample else docs.sample(sample / n, seed=1)
-    heads = F.array(*(F.struct(F.lit(k).alias("k"), F.substring_index("suffix", " ", k).alias("head")) for k in (1, 2)))
-    found = suffixes(some, 2).select("lang", "n", F.explode(heads).alias("x")).groupBy("lang", "x").agg(F.sum("n").alias("n"))
+    heads = F.array(*(F.struct(F.lit(k).alias("k"), F.substring_index("key", " ", k).alias("head")) for k in (1, 2)))
+    found = suffixes(some, 2).withColumn("key", F.regexp_replace("key", "\t1", "\t")).select("n", F.explode(heads).alias("x")).groupBy("x").agg(F.sum("n").alias("n"))
     total = found.where("x.k = 1").agg(F.sum("n")).first()[0] or 0
-    many = found.where((F.col("n") >= share * total) & ((F.col("x.k") == 1) | F.col("x.head").contains(" ") & ~F.col("x.head").endswith(" "))).select("lang", "x.head").collect()
-    return tuple(sorted((r["lang"], r["head"]) for r in many))
+    many = found.where((F.col("n") >= share * total) & ((F.col("x.k") == 1) | F.col("x.head").contains(" ") & ~F.col("x.head").endswith(" "))).select("x.head").collect()
+    return tuple(sorted(r["head"] for r in many))
 
 
 class Stack:
@@ -121,60 +147,66 @@ class Stack:
 
     def __init__(self, max_n: int, least: int):
         self.max_n, self.least = max_n, least
-        self.open: list[tuple[str, str, int, int] | None] = [None] * max_n  # lang, phrase, whole, count
+        self.open: list[tuple[str, int, int] | None] = [None] * max_n  # key, whole, count
 
     def put(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Prefixes that end within b."""
-        coded = pc.dictionary_encode(b["lang"])
-        lang, n, whole = coded.indices.to_numpy(), b["n"].to_numpy(), b["whole"].to_numpy()
-        lists = pc.split_pattern(b["suffix"].cast(pa.large_string()), " ")
-        size = pc.list_value_length(lists).to_numpy() - 1
-        flat = lists.flatten()
-        words, begin = pc.dictionary_encode(flat).indices.to_numpy(), np.cumsum(size + 1) - size - 1
-        new = np.concatenate(([True], lang[1:] != lang[:-1]))
-        out = []
+        """Prefixes that end within b; and for each lang a row of no words with the suffixes of b."""
+        n = b["n"].to_numpy()
+        lists = pc.split_pattern(b["key"], " ")
+        begin = lists.offsets.to_numpy()
+        size, begin, flat = np.diff(begin) - 1, begin[:-1] - begin[0], lists.flatten()
+        words = pc.dictionary_encode(flat).indices.to_numpy()
+        new = np.ones(len(n), bool)
+        new[1:] = False
+        blank, gone = pa.scalar(" "), []
         for k in range(self.max_n):
             has = size > k
-            w = np.where(has, words[np.minimum(begin + k, len(words) - 1)], -1)
-            new = new | np.concatenate(([True], w[1:] != w[:-1])) | ~has
+            w = words[np.minimum(begin + k, len(words) - 1)]
+            new[1:] |= w[1:] != w[:-1]
+            new |= ~has
             starts = np.flatnonzero(new)
             f = np.add.reduceat(n, starts)
+            keys = lambda at, k=k: pc.binary_join_element_wise(*(flat.take(pa.array(begin[at] + j)) for j in range(k + 1)), blank) if k else flat.take(pa.array(begin[at]))
+            if not k:
+                heads = pc.split_pattern(keys(starts), "\t", max_splits=1)
+                yield from self.totals(pc.list_element(heads, 0), f)
+                group = np.cumsum(new) - 1  # the first word's run of each row
+                whole = pc.utf8_slice_codeunits(pc.list_element(heads, 1), 0, 1).cast(pa.int64()).to_numpy()
             real = has[starts]
-            starts, f, last_real = starts[real], f[real], bool(has[-1])
-            at = [pa.array(begin[starts] + j) for j in range(k + 1)]
-            phrase = pc.binary_join_element_wise(*(flat.take(x) for x in at), pa.scalar(" ", pa.large_string())) if k else flat.take(at[0])
-            langs, wholes = coded.dictionary.take(pa.array(lang[starts])), whole[starts]
-            before = self.open[k]
-            if before and len(f) and starts[0] == 0 and (langs[0].as_py(), phrase[0].as_py()) == before[:2]:
-                f[0] += before[3]
-            elif before:
-                out.append(self.rows([before[0]], [before[1]], k, np.array([before[2]]), np.array([before[3]])))
-            self.open[k] = (langs[-1].as_py(), phrase[-1].as_py(), int(wholes[-1]), int(f[-1])) if last_real else None
-            keep = (f >= self.least) | (wholes > k + 1)
-            if last_real:
-                keep[-1] = False
-            keep = pa.array(keep)
-            out.append(self.rows(pc.filter(langs, keep), pc.filter(phrase, keep), k, pc.filter(pa.array(wholes), keep).to_numpy(), pc.filter(pa.array(f), keep).to_numpy()))
-        totals = np.bincount(lang, n, len(coded.dictionary)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.nulls(len(totals), pa.string()), pa.array(np.zeros(len(totals), np.int32)), pa.array(totals)], ["lang", "phrase", "words", "f"])
-        yield from out
+            starts, f = starts[real], f[real]
+            if self.open[k]:
+                key, w0, before = self.open[k]
+                if len(f) and starts[0] == 0 and keys(starts[:1])[0].as_py() == key:
+                    f[0] += before
+                else:
+                    gone.append((k, key, w0, before))
+            done = (f >= self.least) | (whole[group[starts]] > k + 1)
+            self.open[k] = None
+            if has[-1]:
+                self.open[k] = (keys(starts[-1:])[0].as_py(), int(whole[group[starts[-1]]]), int(f[-1]))
+                done[-1] = False
+            yield pa.RecordBatch.from_arrays([keys(starts[done]), pa.array(np.full(int(done.sum()), k + 1, np.int32)), pa.array(f[done])], ["key", "words", "f"])
+        yield from self.rows(gone)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        for k, x in enumerate(self.open):
-            if x:
-                yield self.rows([x[0]], [x[1]], k, np.array([x[2]]), np.array([x[3]]))
+        yield from self.rows([(k, *x) for k, x in enumerate(self.open) if x])
+
+    def rows(self, gone: list[tuple[int, str, int, int]]) -> Iterator[pa.RecordBatch]:
+        for k, key, whole, f in gone:
+            if f >= self.least or whole > k + 1:
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k + 1], pa.int32()), pa.array([f], pa.int64())], ["key", "words", "f"])
 
-    def rows(self, lang, phrase, k: int, whole: np.ndarray, f: np.ndarray) -> pa.RecordBatch:  # noqa: ANN001
-        keep = pa.array((f >= self.least) | (whole > k + 1))
-        lang, phrase = (pc.filter(x if isinstance(x, pa.Array) else pa.array(x, pa.large_string()), keep).cast(pa.string()) for x in (lang, phrase))
-        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(lang), k + 1, np.int32)), pc.filter(pa.array(f), keep)], ["lang", "phrase", "words", "f"])
+    def totals(self, langs: pa.Array, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        coded = pc.dictionary_encode(langs)
+        sums = np.bincount(coded.indices.to_numpy(), f, len(coded.dictionary)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.zeros(len(sums), np.int32)), pa.array(sums)], ["key", "words", "f"])
 
 
 def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10) -> DataFrame:
-    """COUNTS, stored: phrases of up to max_n words with f >= least; and for each lang a row without a phrase, whose f is the number of its words."""
+    """lang, phrase, words, f, stored: phrases of up to max_n words with f >= least; and for each lang a row of no words without a phrase, whose f is the number of its words."""
     spark = docs.sparkSession
     seen_by_workers(spark)
-    dealt = suffixes(docs, max_n, hot_heads(docs)).repartition("lang", F.substring_index("suffix", " ", 1), "salt").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    dealt = suffixes(docs, max_n, hot_heads(docs)).repartition(F.substring_index("key", " ", 1), "salt").sortWithinPartitions(F.desc("key"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = Stack(max_n, least)
@@ -183,8 +215,13 @@ def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10) -> DataFrame
         yield from stack.rest()
 
     with arrow_rows(spark, 100_000):
-        parts = stored(dealt.select("lang", "suffix", "whole", "n").mapInArrow(each, COUNTS))
-    return parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
+        parts = stored(dealt.select("key", "n").mapInArrow(each, COUNTS))
+    parts = parts.withColumn("key", F.regexp_replace("key", "\t[0-9]", "\t"))
+    lang = F.substring_index("key", "\t", 1)
+    for x in "\t %":
+        lang = F.replace(lang, F.lit(f"%{ord(x):02X}"), F.lit(x))
+    counted = parts.groupBy("key", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
+    return counted.select(lang.alias("lang"), F.when(F.col("words") > 0, F.expr("substr(key, instr(key, '\t') + 1)")).alias("phrase"), "words", "f")
 
 
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:

@@ -36,7 +36,7 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-ODD = [(None, "New York. new york, NEW YORK"), ("en", None), ("en", ""), ("en", " \t . , "), ("de", "a\x01 a b a\x00b a b\x01c")] * 6 + [("en", "the cat sat on the mat " * 40), ("en", "the cat\nsat on. the cat sat"), ("xx", "one"), ("de", "x y x y x y x y x y x y x y x y x y x y x y"), ("en", "Ä É ä é " * 12)]
+ODD = [("x 20%20\ty", "odd lang " * 7), (None, "New York. new york, NEW YORK"), ("en", None), ("en", ""), ("en", " \t . , "), ("de", "a\x01 a b a\x00b a b\x01c")] * 6 + [("en", "the cat sat on the mat " * 40), ("en", "the cat\nsat on. the cat sat"), ("xx", "one"), ("de", "x y x y x y x y x y x y x y x y x y x y x y"), ("en", "Ä É ä é " * 12)]
 
 
 @pytest.mark.parametrize("max_n", [2, 3, 4])
@@ -51,9 +51,9 @@ def test_hot_words_are_dealt_out_and_counted_whole(spark, monkeypatch):
     rows = [("en", " ".join(f"the w{(7 * k + j) % 40} the cat x{j % 9}" for j in range(60))) for k in range(30)]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     hot = C.hot_heads(docs)
-    assert ("en", "the") in hot and ("en", "the cat") in hot
+    assert "en\tthe" in hot and "en\tthe cat" in hot
     dealt = C.suffixes(docs, 3, hot)
-    assert dealt.where("suffix LIKE 'the cat %'").select("salt").distinct().count() == 9
+    assert dealt.where("key LIKE 'en\t3the cat %'").select("salt").distinct().count() == 9
     assert rows_of(C.collocations(docs)) == plain(rows)
     monkeypatch.setattr(C, "LOT", 100)  # runs go over many lots
     assert rows_of(C.collocations(docs)) == plain(rows)
@@ -61,12 +61,18 @@ def test_hot_words_are_dealt_out_and_counted_whole(spark, monkeypatch):
 
 def test_stack_over_lots():
     stack = C.Stack(2, 1)
-    lots = [[("b c ", 1), ("b a ", 2)], [("b a ", 3), ("b ", 1)], [("b ", 1), ("a ", 5)]]
+    lots = [[("en\t1b c ", 1), ("en\t1b a ", 2)], [("en\t1b a ", 3), ("en\t1b ", 1)], [("en\t1b ", 1), ("en\t1a ", 5)]]
     out = collections.Counter()
     for lot in lots:
-        b = pa.RecordBatch.from_pydict({"lang": ["en"] * len(lot), "suffix": [x for x, _ in lot], "whole": pa.array([1] * len(lot), pa.int32()), "n": [n for _, n in lot]})
+        b = pa.RecordBatch.from_pydict({"key": [x for x, _ in lot], "n": [n for _, n in lot]})
         for r in stack.put(b):
-            out.update({x["phrase"]: x["f"] for x in r.to_pylist()})
+            out.update({x["key"]: x["f"] for x in r.to_pylist()})
     for r in stack.rest():
-        out.update({x["phrase"]: x["f"] for x in r.to_pylist()})
-    assert out == {"b": 8, "b c": 1, "b a": 5, "a": 5, None: 13}
+        out.update({x["key"]: x["f"] for x in r.to_pylist()})
+    assert out == {"en\t1b": 8, "en\t1b c": 1, "en\t1b a": 5, "en\t1a": 5, "en": 13}
+
+
+def test_many_words_and_long_suffixes(spark):
+    rows = [("en", " ".join(f"w{k}" for k in range(70_000))), ("en", "a b c d e f " * 12)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    assert rows_of(C.collocations(docs, 4)) == plain(rows, 4)
