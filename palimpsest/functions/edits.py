@@ -1,9 +1,11 @@
 """Editing passes over a text: each gives a struct of the text and n, the number of places it changed."""
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lines import latest, merged, once
@@ -27,12 +29,27 @@ HEADING = r"(?i)^(?:CHAPTER|PART|INTRODUCTION|CONCLUSION|APPENDIX|EPILOGUE|PROLO
 #: Single marks that are litter on a line of their own.
 LITTER = (")", "]", ",", ".", "-", "–", "—", "(", "[")
 #: Masked swear words, in order.
-MASKED = tuple(
-    (rf"(?i)\b{p}\b", word)
-    for p, word in (
-        (r"f\*{2,3}", "fuck"), (r"fu\*{2}", "fuck"), (r"fuc\*", "fuck"), (r"f\*\*king", "fucking"), (r"fu\*\*ing", "fucking"), (r"f\*\*\*ing", "fucking"), (r"s\*{2,3}", "shit"), (r"sh\*t", "shit"), (r"a\*{2}", "ass"), (r"a\*\*hole", "asshole"),
-        (r"c\*{2,3}", "cunt"), (r"b\*{2,3}h", "bitch"), (r"d\*{2,2}", "damn"), (r"p\*{3,4}", "piss"), (r"c\*{2}k", "cock"), (r"d\*{3}k", "dick"), (r"b\*{6}", "bastard"), (r"m\*\*\*erf\*\*\*er", "motherfucker"), (r"wh\*{3}", "whore"), (r"cr\*p", "crap"),
-    )
+MASKED = (
+    (r"(?i)\bf\*{2,3}\b", "fuck"),
+    (r"(?i)\bfu\*{2}\b", "fuck"),
+    (r"(?i)\bfuc\*\b", "fuck"),
+    (r"(?i)\bf\*\*king\b", "fucking"),
+    (r"(?i)\bfu\*\*ing\b", "fucking"),
+    (r"(?i)\bf\*\*\*ing\b", "fucking"),
+    (r"(?i)\bs\*{2,3}\b", "shit"),
+    (r"(?i)\bsh\*t\b", "shit"),
+    (r"(?i)\ba\*{2}\b", "ass"),
+    (r"(?i)\ba\*\*hole\b", "asshole"),
+    (r"(?i)\bc\*{2,3}\b", "cunt"),
+    (r"(?i)\bb\*{2,3}h\b", "bitch"),
+    (r"(?i)\bd\*{2,2}\b", "damn"),
+    (r"(?i)\bp\*{3,4}\b", "piss"),
+    (r"(?i)\bc\*{2}k\b", "cock"),
+    (r"(?i)\bd\*{3}k\b", "dick"),
+    (r"(?i)\bb\*{6}\b", "bastard"),
+    (r"(?i)\bm\*\*\*erf\*\*\*er\b", "motherfucker"),
+    (r"(?i)\bwh\*{3}\b", "whore"),
+    (r"(?i)\bcr\*p\b", "crap"),
 )
 #: Speech markup.
 SPEECH_TAGS = rf'<voice[^>]*>|</voice>|<silence[{WHITE}]+msec="[0-9]+"[{WHITE}]*/?>|<rate[^>]*>|</rate>'
@@ -129,7 +146,7 @@ def fix_orphans(text: Column) -> Column:
 
 
 #: The passes in their order; the names are those of their counts.
-PASSES = {"whitespace": lambda t, html: fix_whitespace(t), "smart_quotes": lambda t, html: F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")) if html else fix_smart_quotes(t), "heading_formatting": fix_headings, "paragraph_spacing": fix_paragraphs, "orphan_fragments": lambda t, html: F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")) if html else fix_orphans(t)}
+PASSES = {"whitespace": lambda t, html: fix_whitespace(t), "smart_quotes": lambda t, html: F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")) if html else fix_smart_quotes(t), "heading_formatting": fix_headings, "paragraph_spacing": fix_paragraphs, "orphan_fragments": lambda t, html: fix_orphans(t)}
 
 
 def apply_fixes(text: Column, chosen: tuple[str, ...] = tuple(PASSES), html: bool = False) -> Column:
@@ -252,68 +269,77 @@ class IndexMender:
     """Puts the pieces of a broken index together, one paragraph after another; the last piece that is not empty takes what belongs to it."""
 
     def __init__(self, books: tuple[str, ...]):
-        import re
-
         self.heading, self.verse, self.entry, self.fragment = (re.compile(p) for p in (INDEX_HEADING, VERSE, ENTRY, FRAGMENT))
         self.books = books
 
     def dense(self, sample: list[str]) -> bool:
         """Whether paragraphs look like an index: shares of references, known books, entries and bare numbers."""
-        there = [x.strip() for x in sample if x.strip()]
+        there = [x for x in sample if x]
         n = max(1, len(there))
         share = lambda test: sum(bool(test(x)) for x in there)
         verses, entries, bits = share(self.verse.search), share(self.entry.match), share(self.fragment.match)
         books = share(lambda x: " ".join(x.lower().split()[:3]).startswith(self.books)) if self.books else 0
         return bool(sample) and (verses >= 0.3 * n or books >= 0.2 * n or entries >= 0.2 * n or (entries >= 1 and bits >= 0.2 * n))
 
-    def mend(self, text: str | None) -> tuple[str | None, int]:
-        """The text, and how many pieces found their place."""
-        if text is None:
-            return None, 0
-        parts = text.split("\n\n")
-        start = next((k + 1 for k in range(int(len(parts) * 0.4), len(parts) - 1) if self.heading.search(parts[k].strip()) and self.dense(parts[k + 1 : k + 16])), None)
-        if start is None:
-            return text, 0
-        n, held = 0, None  # the last paragraph of the index that is not empty
-        for k in range(start, len(parts)):
-            bare = parts[k].strip()
+    def joints(self, texts: list[str]) -> Iterator[tuple[int, int, str]]:
+        """(parent, piece, what the parent gets) for bare paragraphs in order; texts changes with it."""
+        start = next((k + 1 for k in range(int(len(texts) * 0.4), len(texts) - 1) if self.heading.search(texts[k]) and self.dense(texts[k + 1 : k + 16])), len(texts))
+        held = None  # the last paragraph of the index that is not empty
+        for k in range(start, len(texts)):
+            bare, before = texts[k], texts[held] if held is not None else ""
             if not bare:
                 continue
-            before = parts[held].strip() if held is not None else ""
             joint = None
             if before and before[-1] in "-–—" and held == k - 1:
                 joint = ""
             elif before and self.fragment.match(bare):
-                joint = "" if parts[held].rstrip()[-1] in "-–—" else " "
+                joint = "" if before[-1] in "-–—" else " "
             elif before and bare[0].isdigit() and len(bare) < 40 and (before[-1] == "," or self.verse.search(before)):
                 joint = " "
             if joint is None:
                 held = k
                 continue
-            parts[held], parts[k] = parts[held].rstrip() + joint + bare, ""
-            n += 1
-        import re
+            texts[held], texts[k] = before + joint + bare, ""
+            yield held, k, joint + bare
+
+    def mend(self, text: str | None) -> tuple[str | None, int]:
+        """The text, and how many pieces found their place: paragraphs of a page are its <p> elements, of plain text what blank lines part."""
+        if text is None:
+            return None, 0
+        return self.mend_html(text) if "<p>" in text or "<p " in text else self.mend_text(text)
 
-        return re.sub(r"(\n\n){2,}", "\n\n", "\n\n".join(parts)), n
+    def mend_text(self, text: str) -> tuple[str, int]:
+        parts, n = text.split("\n\n"), 0
+        for held, k, more in self.joints([x.strip() for x in parts]):
+            parts[held], parts[k] = parts[held].rstrip() + more, ""
+            n += 1
+        return (re.sub(r"(\n\n){2,}", "\n\n", "\n\n".join(parts)), n) if n else (text, 0)
+
+    def mend_html(self, text: str) -> tuple[str, int]:
+        parts, n = re.split(r"(?s)(<p[^>]*>.*?</p>)", text), 0
+        at = [k for k, x in enumerate(parts) if re.match("<p[^>]*>", x)]
+        for held, k, more in self.joints([re.sub("<[^>]+>", "", parts[k]).strip() for k in at]):
+            if parts[at[held]].endswith("</p>"):
+                parts[at[held]] = f"{parts[at[held]][:-4]}{more}</p>"
+            parts[at[k]] = ""
+            n += 1
+        return "".join(parts), n
 
 
-def fix_index(docs, books: tuple[str, ...] = ()):  # noqa: ANN001, ANN201
-    """doc_id, text and n after index fragments have found their place; a step from paragraph to paragraph, so it runs in Arrow batches."""
-    import pandas as pd
+def fix_index(docs: DataFrame, books: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and n after index fragments have found their place, and the other columns; a step from paragraph to paragraph, so it runs in Arrow batches."""
 
-    def each(parts):  # noqa: ANN001, ANN202
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mender = IndexMender(books)
         for p in parts:
             got = [mender.mend(t) for t in p["text"]]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "text": [g[0] for g in got], "n": [g[1] for g in got]})
+            yield p.assign(text=[g[0] for g in got], n=[g[1] for g in got])
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, text string, n long")
+    return docs.mapInPandas(each, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, n long")
 
 
 def fix_reported(text: Column, issues: Column, most: int = 50) -> Column:
-    """Fixes that a report's issues (category, description) ask for, each category's issues in order: headings that lost their marks, sentences cut by lines, anchors of notes."""
-    asks = lambda category, *words: F.exists(issues, lambda i: (i["category"] == category) & F.lower(F.coalesce(i["description"], F.lit(""))).rlike("|".join(words)))
-    spaced = F.size(F.filter(issues, lambda i: (i["category"] == "text_integrity") & F.contains(F.lower(i["description"]), F.lit("space")) & F.contains(F.lower(i["description"]), F.lit("punctuation"))))
+    """Fixes that a report's issues (category, description) ask for, one issue after another: headings that lost their marks, sentences cut by lines, anchors of notes; an issue of blanks before marks counts as mended."""
 
     def headed(v: Column) -> Column:
         lost = lambda x: (x["bare"] != "") & ~x["bare"].startswith("#") & _capitals(x["bare"]) & (F.length(x["bare"]) < 80) & x["bare"].rlike(HEADING)
@@ -323,17 +349,54 @@ def fix_reported(text: Column, issues: Column, most: int = 50) -> Column:
         return once(merged(v["text"]), lambda m: F.struct(m["text"].alias("text"), (v["n"] + m["n_merged"]).alias("n")))
 
     def anchored(v: Column) -> Column:
-        """The first mention of each of up to `most` notes."""
-        note = r"(?i)\bnote\s*([0-9]+)"
-        numbers = F.slice(F.array_distinct(F.regexp_extract_all(v["text"], F.lit(note), F.lit(1))), 1, most)
-        fresh = F.filter(numbers, lambda k: ~F.contains(v["text"], F.concat(F.lit('<a id="note'), k, F.lit('"></a>'))))
-        put = lambda t, k: F.regexp_replace(t, F.concat(F.lit(r"(?is)^(.*?)(\bnote\s*"), k, F.lit(r"(?![0-9]))")), F.concat(F.lit('$1<a id="note'), k, F.lit('"></a>$2')))
-        return once(fresh, lambda f: F.struct(F.aggregate(f, v["text"], put).alias("text"), (v["n"] + F.size(f)).alias("n")))
-
-    value = F.struct(text.alias("text"), F.coalesce(spaced, F.lit(0)).cast("long").alias("n"))
-    for wanted, stage in ((asks("heading_formatting", "unstyled", "missing"), headed), (asks("paragraph_flow", "split", "break"), joined), (asks("toc_navigation", "anchor"), anchored)):
-        value = once(value, _if(wanted, stage))
-    return value
+        """Anchors for up to `most` notes that have none, before the first place where the spelling stands in which each is met first, not counting ids."""
+        note = F.lit(r"""(?i)(?<!\bid=["'])(\bnote\s*([0-9]+))""")
+        spelt, numbers = (F.regexp_extract_all(v["text"], note, F.lit(k)) for k in (1, 2))
+        anchor = lambda k: F.concat(F.lit('<a id="note'), k, F.lit('"></a>'))
+
+        def put(t: Column, x: Column) -> Column:
+            at = F.instr(t, x["spelt"])
+            return F.concat(F.substr(t, F.lit(1), at - 1), anchor(x["k"]), F.substr(t, at))
+
+        def fresh(every: Column) -> Column:
+            named = F.transform(every, lambda x: x["k"])
+            return once(named, lambda ks: F.slice(F.filter(every, lambda x, i: (F.array_position(ks, x["k"]) == i + 1) & ~F.contains(v["text"], anchor(x["k"]))), 1, most))
+
+        notes = F.zip_with(spelt, numbers, lambda a, k: F.struct(a.alias("spelt"), k.alias("k")))
+        return once(once(notes, fresh), lambda f: F.struct(F.aggregate(f, v["text"], put).alias("text"), (v["n"] + F.size(f)).alias("n")))
+
+    def step(v: Column, i: Column) -> Column:
+        says = F.lower(F.coalesce(i["description"], F.lit("")))
+        asks = lambda category, *words: (i["category"] == category) & says.rlike("|".join(words))
+        spaced = (i["category"] == "text_integrity") & F.contains(says, F.lit("space")) & F.contains(says, F.lit("punctuation"))
+        v = F.struct(v["text"].alias("text"), (v["n"] + F.when(F.coalesce(spaced, F.lit(False)), 1).otherwise(0)).alias("n"))
+        for wanted, stage in ((asks("heading_formatting", "unstyled", "missing"), headed), (asks("paragraph_flow", "split", "break"), joined), (asks("toc_navigation", "anchor"), anchored)):
+            v = once(v, _if(wanted, stage))
+        return v
+
+    begin = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(F.coalesce(issues, F.array().cast("array<struct<category: string, description: string>>")), begin, step)
+
+
+def fix_documents(docs: DataFrame, chosen: tuple[str, ...] = (*PASSES, "index_fragments", "vqa_targeted"), books: tuple[str, ...] = (), dry_run: bool = False) -> DataFrame:
+    """All passes in their fixed order over docs (doc_id, text, is_html and issues, which may be null): doc_id, text, counts (passes that changed something), total, modified.
+
+    A dry run counts what would change and gives the text as it was. Passes that are not known are left out; quotes are not touched in pages.
+    """
+    column_passes = tuple(p for p in PASSES if p in chosen)
+    both = lambda html: apply_fixes(F.col("text"), column_passes, html)
+    d = docs.select("doc_id", F.col("text").alias("before"), "is_html", "issues", F.when(F.coalesce("is_html", F.lit(False)), both(True)).otherwise(both(False)).alias("f"))
+    d = d.select("doc_id", "before", "issues", F.col("f.text").alias("text"), F.col("f.counts").alias("counts"))
+    plus = lambda name, n: F.map_concat("counts", F.create_map(F.lit(name), n.cast("long")))
+    if "index_fragments" in chosen:
+        d = fix_index(d, books).withColumn("counts", plus("index_fragments", F.col("n"))).drop("n")
+    if "vqa_targeted" in chosen:
+        d = d.withColumn("f", fix_reported(F.col("text"), F.col("issues"))).withColumn("text", F.when(F.col("text").isNotNull(), F.col("f.text"))).withColumn("counts", plus("vqa_targeted", F.coalesce("f.n", F.lit(0)))).drop("f")
+    counts = F.map_filter("counts", lambda _, n: n > 0)
+    d = d.select("doc_id", "before", "text", counts.alias("counts"))
+    total = F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, n: a + n).alias("total")
+    changed = ~F.col("text").eqNullSafe(F.col("before"))
+    return d.select("doc_id", F.col("before" if dry_run else "text").alias("text"), "counts", total, (F.lit(not dry_run) & changed).alias("modified"))
 
 
 def _if(wanted: Column, stage: Callable[[Column], Column]) -> Callable[[Column], Column]:

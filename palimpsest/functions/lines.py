@@ -38,7 +38,12 @@ def merged(text: Column) -> Column:
 
 
 #: Common words by which readable text is told from garbled text.
-COMMON = "the and for that this with from have was are but not you all can had her one our out his has been were they will when who said each which their time very than other about into some could them would make like just over".split()
+COMMON = (
+    "the", "and", "for", "that", "this", "with", "from", "have", "was", "are", "but", "not",
+    "you", "all", "can", "had", "her", "one", "our", "out", "his", "has", "been", "were",
+    "they", "will", "when", "who", "said", "each", "which", "their", "time", "very", "than", "other",
+    "about", "into", "some", "could", "them", "would", "make", "like", "just", "over",
+)
 
 
 def common_share(text: Column, first: int = 200, least: int = 50) -> Column:

@@ -119,17 +119,19 @@ def host_of(url: Column) -> Column:
 
 #: Endings of media files, and hosts whose pages are not fetched.
 MEDIA = r"\.(?:jpg|jpeg|png|gif|webp|svg|mp4|webm|mov|avi|mp3|pdf|bmp|ico|tiff)$"
-SKIPPED_HOSTS = tuple("twitter.com x.com facebook.com instagram.com reddit.com youtube.com youtu.be tiktok.com discord.com discord.gg twitch.tv imgur.com giphy.com gfycat.com tenor.com i.ytimg.com cdn.drawception.com pbs.twimg.com schema.org xenforo.com dragonbyte-tech.com firesofheaven.org".split())
+SKIPPED_HOSTS = (
+    "twitter.com", "x.com", "facebook.com", "instagram.com", "reddit.com", "youtube.com", "youtu.be", "tiktok.com",
+    "discord.com", "discord.gg", "twitch.tv", "imgur.com", "giphy.com", "gfycat.com", "tenor.com", "i.ytimg.com",
+    "cdn.drawception.com", "pbs.twimg.com", "schema.org", "xenforo.com", "dragonbyte-tech.com", "firesofheaven.org",
+)
 
 
 def fetchable(url: Column, skipped: tuple[str, ...] = SKIPPED_HOSTS) -> Column:
     """A link worth fetching: long enough, no media file, no footer campaign, host and its parents not skipped."""
-    host = host_of(url)
-    on_list = F.lit(False)
-    for s in skipped:
-        on_list = on_list | (host == s) | host.endswith(f".{s}")
+    hosts = F.array(*map(F.lit, skipped))
+    listed = lambda h: F.when(h == "", True).otherwise(F.exists(hosts, lambda s: (h == s) | F.endswith(h, F.concat(F.lit("."), s))))
     footer = F.contains(url, F.lit("utm_medium=footer")) | F.contains(url, F.lit("utm_content=footer"))
-    return F.coalesce((F.length(url) >= 12) & url.startswith("http") & ~F.lower(F.split(url, r"\?", 2)[0]).rlike(MEDIA) & ~footer & (host != "") & ~on_list, F.lit(False))
+    return F.coalesce((F.length(url) >= 12) & url.startswith("http") & ~F.lower(F.split(url, r"\?", 2)[0]).rlike(MEDIA) & ~footer & ~once(host_of(url), listed), F.lit(False))
 
 
 def is_tweet(url: Column) -> Column:

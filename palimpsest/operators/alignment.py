@@ -1,11 +1,15 @@
 """Chapters of a source against the headings of its conversion: a greedy match by likeness of titles, then of what follows.
 
+Bookmarks choose in their order, each the free heading most like it. Most choose a title that is the same letter for letter, found by a table; for the others the letters that two titles share bound their
+likeness from above, so headings are looked at by that bound, the highest first, and no more of them once the best found is above the next bound. The rows are those of holding each against each.
 A document's bookmarks and headings are its own, so a group is small whatever the number of documents.
 """
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,21 +25,53 @@ def _alike(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def _matched(marks: pd.DataFrame, heads: pd.DataFrame) -> list[tuple[int | None, float]]:
-    """For each bookmark in order the free heading most like it (the first of equals), if like enough."""
-    free, out = dict(enumerate(heads["title"])), []
-    for title in marks["title"]:
+class Free:
+    """Headings that no bookmark has taken: by text, and as counts of their letters."""
+
+    def __init__(self, titles: list[str]):
+        self.titles, self.free = titles, np.ones(len(titles), bool)
+        self.same: dict[str, list[int]] = {}
+        for k in range(len(titles) - 1, -1, -1):
+            self.same.setdefault(titles[k], []).append(k)  # the first comes last
+        letters = sorted({c for t in titles for c in t})
+        self.letter = {c: k for k, c in enumerate(letters)}
+        self.counts = np.zeros((len(titles), len(letters)), np.int32)
+        for k, t in enumerate(titles):
+            for c, n in Counter(t).items():
+                self.counts[k, self.letter[c]] = n
+        self.size = np.array([len(t) for t in titles], np.int64)
+
+    def bounds(self, title: str) -> np.ndarray:
+        """No ratio of title with a heading is higher: twice the letters they share over all letters."""
+        known = {self.letter[c]: n for c, n in Counter(title).items() if c in self.letter}
+        shared = np.minimum(self.counts[:, list(known)], np.array(list(known.values()), np.int32)).sum(axis=1) if known else np.zeros(len(self.titles))
+        return np.where(self.free, 2.0 * shared / np.maximum(self.size + len(title), 1), -1.0)
+
+    def take(self, title: str) -> tuple[int | None, float]:
+        """The free heading most like title, the first of equals, if it is like enough."""
+        same = self.same.get(title, [])
+        if same:
+            k = same.pop()
+            self.free[k] = False
+            return k, 1.0
+        bound = self.bounds(title)
         best, score = None, 0.0
-        for k, t in free.items():
-            s = _alike(title, t)
-            if s > score:
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < max(score, LEAST_TITLE):
+                break
+            s = _alike(title, self.titles[k])
+            if s > score or s == score and best is not None and k < best:
                 best, score = k, s
         if best is None or score < LEAST_TITLE:
-            out.append((None, 0.0))
-        else:
-            del free[best]
-            out.append((best, score))
-    return out
+            return None, 0.0
+        self.free[best] = False
+        self.same[self.titles[best]].remove(best)
+        return best, score
+
+
+def _matched(marks: pd.DataFrame, heads: pd.DataFrame) -> list[tuple[int | None, float]]:
+    free = Free(heads["title"].tolist())
+    return [free.take(t) for t in marks["title"]]
 
 
 def _align(key: tuple, marks: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:

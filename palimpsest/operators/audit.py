@@ -27,6 +27,28 @@ def guards(sent: Column, answered: Column) -> Column:
     return F.array_compact(F.array(F.when(F.size(sent) != F.size(answered), "page count"), F.when(F.size(F.array_except(answered, sent)) > 0, "unknown page")))
 
 
+#: What a report's pages may hold.
+CATEGORIES = ("text_integrity", "heading_formatting", "paragraph_flow", "toc_navigation", "cover_images", "page_layout")
+SEVERITIES = ("critical", "major", "moderate", "minor")
+PAGE_TYPES = ("cover", "toc", "front_matter", "chapter_start", "body", "back_matter")
+ISSUE = "struct<category: string, severity: string, description: string, suggestion: string>"
+
+
+def schema_faults(text: Column) -> Column:
+    """What of an answer's JSON does not fit a report's schema: json, pages, or the names of fields that are missing or hold what they may not, each once, in the schema's order."""
+    pages = F.get_json_object(text, "$.pages")
+    read = F.from_json(text, f"struct<pages: array<struct<page_number: long, page_type: string, score: double, pass: boolean, issues: array<{ISSUE}>>>>")["pages"]
+    issues = F.flatten(F.transform(read, lambda p: F.coalesce(p["issues"], F.array().cast(f"array<{ISSUE}>"))))
+    any_page = lambda bad: F.exists(read, lambda p: F.coalesce(bad(p), F.lit(True)))
+    any_issue = lambda bad: F.exists(issues, lambda i: F.coalesce(bad(i), F.lit(True)))
+    faults = {
+        "page_number": any_page(lambda p: p["page_number"] < 1), "page_type": any_page(lambda p: ~p["page_type"].isin(*PAGE_TYPES)), "category": any_issue(lambda i: ~i["category"].isin(*CATEGORIES)), "severity": any_issue(lambda i: ~i["severity"].isin(*SEVERITIES)),
+        "description": any_issue(lambda i: i["description"].isNull()), "suggestion": any_issue(lambda i: i["suggestion"].isNull()), "score": any_page(lambda p: (p["score"] < 0) | (p["score"] > 100)), "pass": any_page(lambda p: p["pass"].isNull()), "issues": any_page(lambda p: p["issues"].isNull()),
+    }
+    named = F.array_compact(F.array(*(F.when(bad, name) for name, bad in faults.items())))
+    return F.when(F.coalesce(F.get_json_object(text, "$").isNull(), F.lit(True)), F.array(F.lit("json"))).when(pages.isNull() | read.isNull(), F.array(F.lit("pages"))).otherwise(named)
+
+
 def readable(rows: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that can be read, and the others as errors."""
     fine = F.coalesce(good, F.lit(False))
@@ -52,9 +74,24 @@ def updated(overrides: DataFrame, changes: DataFrame, allowed: tuple[str, ...])
     return overrides.join(new, "id", "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in known else F.col(c) for c in overrides.columns))
 
 
+def _grams(text: Column, size: Column | int) -> Column:
+    """The distinct runs of `size` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size) if isinstance(size, int) else size)))
+
+
 def found_by_name(wanted: DataFrame, books: DataFrame) -> DataFrame:
-    """wanted: name. The newest book of exactly that name, else the newest whose name holds it, whatever its case. One row for each wanted name that is found."""
-    exact = wanted.join(books, F.col("name") == F.col("title")).groupBy("name").agg(F.max("book_id").alias("book_id")).withColumn("way", F.lit(0))
-    rest = wanted.join(exact.select("name"), "name", "left_anti")
-    like = books.join(F.broadcast(rest), F.contains(F.lower("title"), F.lower("name"))).groupBy("name").agg(F.max("book_id").alias("book_id")).withColumn("way", F.lit(1)) if rest.count() <= 10_000 else None
-    return exact if like is None else exact.unionByName(like)
+    """wanted: name. The newest book of exactly that name, else the newest whose title holds it, whatever its case. One row for each wanted name that is found; an empty or null name finds nothing.
+
+    A name meets titles at one of its runs of three characters (the whole name, if it is shorter), the one that the fewest titles have; what meets is then looked through.
+    """
+    asked = wanted.select("name").where(F.length("name") > 0).distinct()
+    exact = asked.join(books, F.col("name") == F.col("title")).groupBy("name").agg(F.max("book_id").alias("book_id")).withColumn("way", F.lit(0))
+    rest = asked.join(exact.select("name"), "name", "left_anti").withColumn("low", F.lower("name"))
+    titles = books.select("book_id", F.lower("title").alias("title"))
+    runs = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.when(F.length("title") >= k, _grams(F.col("title"), k)).otherwise(F.array().cast("array<string>"))))
+    by_run = titles.select("book_id", "title", F.explode(runs).alias("run"))
+    common = by_run.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    own = rest.select("name", "low", F.explode(_grams(F.col("low"), F.least(F.lit(3), F.length("low")))).alias("run"))
+    rarest = own.join(common, "run", "left").groupBy("name", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x")).where("x.n > 0").select("name", "low", F.col("x.run").alias("run"))
+    like = rarest.join(by_run, "run").where(F.contains("title", "low")).groupBy("name").agg(F.max("book_id").alias("book_id")).withColumn("way", F.lit(1))
+    return exact.unionByName(like)

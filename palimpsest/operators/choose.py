@@ -84,9 +84,46 @@ def zipped(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return pairs.select(key, "pos", F.col("x._a").alias("page_a"), F.col("x._b").alias("page_b")), d.where(~even).select(key)
 
 
-def upload_verdict(name: Column, size: Column, most: int) -> Column:
-    """empty, too large, format or ok, the first that holds."""
-    return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > most, "too large").when(~F.coalesce(F.lower(name).rlike(r"\.(pdf|epub|mobi|azw|azw3)$"), F.lit(False)), "format").otherwise("ok")
+#: Limits of uploads in bytes by tier, the formats that a file may be told by its name, and what each tier may ask for.
+UPLOAD_BYTES = {"free": 20 * 1024 * 1024, "premium": 100 * 1024 * 1024}
+BY_NAME = ("mobi", "azw", "azw3", "djvu")
+OUTPUTS = {"free": ("epub", "mobi"), "premium": ("epub", "mobi", "kfx")}
+#: First characters of files of other kinds, which no name excuses.
+OTHER_KINDS = ("\x89PNG", "\xff\xd8\xff", "GIF8", "MZ", "Rar!", "7z\xbc\xaf", "\x1f\x8b", "BZh", "\x7fELF", "ID3", "RIFF", "%!", "{\\rtf")
+#: Where readers' devices take mail, its largest attachment in bytes, and the formats they read.
+DEVICE_DOMAINS, DEVICE_BYTES, DEVICE_FORMATS = ("kindle.com", "free.kindle.com"), 25 * 1024 * 1024, ("epub",)
+
+
+def file_kind(header: Column, name: Column) -> Column:
+    """pdf, epub or a format told by the name; null for what is not taken. header: the first bytes, one character for each (Latin-1)."""
+    other = F.lit(False)
+    for x in OTHER_KINDS:
+        other = other | header.startswith(x)
+    bare = F.regexp_replace(header, "^\xef\xbb\xbf", "")
+    zipped = F.substring(header, 1, 4).isin("PK\x03\x04", "PK\x05\x06", "PK\x07\x08")
+    ext = F.lower(F.regexp_extract(name, r"\.([^./\\]*)$", 1))
+    return F.when(bare.startswith("%PDF"), "pdf").when(zipped, "epub").when(~F.coalesce(other, F.lit(False)) & ext.isin(*BY_NAME), ext)
+
+
+def upload_verdict(header: Column, name: Column, size: Column, tier: Column, output: Column) -> Column:
+    """What is wrong with an upload, the first that holds, or ok: EMPTY_FILE, FILE_TOO_LARGE, INVALID_MIME, INVALID_OUTPUT_FORMAT. A tier that is not free is premium."""
+    free = tier == "free"
+    most = F.when(free, UPLOAD_BYTES["free"]).otherwise(UPLOAD_BYTES["premium"])
+    given = F.when(free, output.isin(*OUTPUTS["free"])).otherwise(output.isin(*OUTPUTS["premium"]))
+    wrong = ((F.coalesce(size, F.lit(0)) == 0, "EMPTY_FILE"), (size > most, "FILE_TOO_LARGE"), (file_kind(header, name).isNull(), "INVALID_MIME"), (~F.coalesce(given, F.lit(False)), "INVALID_OUTPUT_FORMAT"))
+    return F.coalesce(*(F.when(c, code) for c, code in wrong), F.lit("ok"))
+
+
+def recipient_verdict(address: Column) -> Column:
+    """INVALID_RECIPIENT_FORM for what is no bare address (a name, brackets, blanks, a plus in it), INVALID_RECIPIENT_DOMAIN for one of another domain, else ok."""
+    bare = F.lower(F.trim(F.coalesce(address, F.lit(""))))
+    form = bare.rlike(r"^[^\s@<>()\[\],;:\\\"+]+@[^\s@<>()\[\],;:\\\"]+$")
+    return F.when(~form, "INVALID_RECIPIENT_FORM").when(~F.regexp_extract(bare, "@(.*)$", 1).isin(*DEVICE_DOMAINS), "INVALID_RECIPIENT_DOMAIN").otherwise("ok")
+
+
+def attachment_verdict(output: Column, size: Column) -> Column:
+    """FORMAT_NOT_KINDLE_ELIGIBLE or OUTPUT_TOO_LARGE_FOR_KINDLE for what cannot be sent to a device, else ok."""
+    return F.when(~F.lower(F.coalesce(output, F.lit(""))).isin(*DEVICE_FORMATS), "FORMAT_NOT_KINDLE_ELIGIBLE").when(size > DEVICE_BYTES, "OUTPUT_TOO_LARGE_FOR_KINDLE").otherwise("ok")
 
 
 def cost(model: Column, tokens: Column, rates: dict[str, float], otherwise: float) -> Column:

@@ -16,7 +16,7 @@ NOTES = r"(?i)^(?:notes?|endnotes?|footnotes?)$"
 INDEX = r"(?i)^(?:index|indices|scripture\s+index|subject\s+index|author\s+index|name\s+index|search\s+items?\s+of\s+biblical\s+and\s+ancient\s+sources|index\s+of\s+.+)$"
 BIBLIOGRAPHY = r"(?i)^(?:bibliography|references?|works?\s+cited|sources?\s+cited|selected\s+bibliography|annotated\s+bibliography|further\s+reading|suggested\s+reading|recommended\s+reading|list\s+of\s+(?:works|references|sources)\s+cited)$"
 FRONT = r"(?i)^(?:preface|foreword|acknowledge?ments?|dedication|endorsements?|epigraph|contributors?|list\s+of\s+(?:illustrations|abbreviations|maps|tables)|translator'?s?\s+note|editor'?s?\s+note|introduction\s+to\s+the\s+series)$"
-BACK = r"(?i)^(?:notes?|endnotes?|footnotes?|bibliography|references?|index|works?\s+cited|further\s+reading|selected\s+bibliography|acknowledge?ments?|appendix|appendices|glossary|abbreviations?|scripture\s+index|subject\s+index|author\s+index|name\s+index|search\s+items?\s+of\s+biblical\s+and\s+ancient\s+sources)$"
+BACK = r"(?i)^(?:notes?|endnotes?|footnotes?|bibliography|references?|index|works?\s+cited|further\s+reading|selected\s+bibliography|acknowledge?ments?|appendix|appendices|glossary|abbreviations?|scripture\s+index|subject\s+index|author\s+index|name\s+index|search\s+items?\s+of\s+biblical\s+and\s+ancient\s+sources|about\s+the\s+authors?)$"
 SECTION = r"(?=<h[12](?:\s[^>]*)?>)"
 HEAD = r"^<h[12](?:\s[^>]*)?>(.*?)</h[12]>"
 
@@ -52,7 +52,7 @@ def filter_html(html: Column, profile: str = "full") -> Column:
         if name == "front_matter":
             # Only sections before the first that is no front matter.
             def before(s: Column) -> Column:
-                other = F.filter(F.transform(s, lambda x, i: F.when((_heading(x) != "") & ~_heading(x).rlike(FRONT) & ~F.lower(_heading(x)).startswith("front matter"), i)), lambda i: i.isNotNull())
+                other = F.filter(F.transform(s, lambda x, i: F.when(x.rlike(r"^<h[12][\s>]") & ~_heading(x).rlike(FRONT) & ~F.lower(_heading(x)).startswith("front matter"), i)), lambda i: i.isNotNull())
                 return once(F.coalesce(F.get(other, F.lit(0)), F.lit(1 << 30)), lambda first: F.filter(s, lambda x, i: (i >= first) | ~_heading(x).rlike(FRONT)))
 
             return cut(before)

@@ -5,10 +5,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lines import latest, once
 from ..functions.text import WHITE, count_of, penalties, word_count
 
 #: Tolerances of the baseline's measures.
-HEADING_TOLERANCE = 2
+HEADING_TOLERANCE, TOC_TOLERANCE, OUTPUT_TOLERANCE = 2, 5, 10
 #: Shares above which back matter and index are viable or degraded.
 NOTES, INDEX = (0.80, 0.50), (0.50, 0.25)
 
@@ -65,14 +66,16 @@ def columned(blocks: DataFrame, least_blocks: int = 4) -> DataFrame:
     return d.withColumn("columned", F.col("n_columned") >= F.least(F.lit(2), F.col("n_pages")))
 
 
-def font_inventory(blocks: DataFrame, risky: tuple[str, ...] = ("Symbol", "Wingdings", "Dingbats", "Type3"), most: int = 30) -> DataFrame:
-    """The first `most` fonts of each document by name, and whether any is risky."""
-    d = blocks.select("doc_id", "font_name").distinct()
-    d = d.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("font_name"))).where(F.col("_place") <= most)
-    risk = F.lit(False)
-    for r in risky:
-        risk = risk | F.contains(F.lower("font_name"), F.lit(r.lower()))
-    return d.groupBy("doc_id").agg(F.sort_array(F.collect_list("font_name")).alias("fonts"), F.bool_or(risk).alias("risky"))
+#: Parts of names of fonts whose characters may not be text.
+RISKY_FONTS = ("symbol", "zapfdingbats", "cid", "identity-h", "identity-v", "wingdings", "dingbats")
+
+
+def font_inventory(blocks: DataFrame, risky: tuple[str, ...] = RISKY_FONTS, most: int = 30) -> DataFrame:
+    """Each document's fonts: how many, the first `most` by name, and all that are risky."""
+    marked = lambda f: F.exists(F.array(*map(F.lit, risky)), lambda r: F.contains(F.lower(f), r))
+    d = blocks.where(F.length("font_name") > 0).groupBy("doc_id").agg(F.sort_array(F.collect_set("font_name")).alias("all"))
+    bad = F.filter("all", marked)
+    return d.select("doc_id", F.size("all").alias("n_fonts"), F.slice("all", 1, most).alias("fonts"), bad.alias("risky_fonts"), (F.size(bad) > 0).alias("risky"))
 
 
 def completeness(html: Column, total_pages: Column) -> Column:
@@ -117,10 +120,18 @@ def baseline(html: Column) -> dict[str, Column]:
     out = {f"h{k}_count": F.size(heads[f"h{k}_headings"]) for k in (1, 2, 3)} | {n: F.regexp_count(html, F.lit(p)) for n, p in BASELINE.items()} | {"h1_headings": heads["h1_headings"], "h2_headings": heads["h2_headings"]}
     marks = penalties(F.regexp_replace(text, r"\s+", " "))
     sections = F.slice(F.split(html, r"<h2(?:\s[^>]*)?>.*?</h2>"), 2, 1 << 30)
-    opening = lambda i: F.substring(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.array_join(F.slice(sections, i + 1, 1 << 30), "<h2></h2>"), "<p>(.*?)</p>", 1), "<[^>]+>", ""), r"^\s+|\s+$", ""), 1, 60)
+    titles = F.regexp_extract_all(html, F.lit(r"<h2(?:\s[^>]*)?>(.*?)</h2>"), F.lit(1))
+    said = lambda section: F.substring(F.regexp_replace(F.regexp_replace(F.regexp_extract(section, "<p>(.*?)</p>", 1), "<[^>]+>", ""), r"^\s+|\s+$", ""), 1, 60)
+
+    def openings(s: Column) -> Column:
+        """Each heading with the first paragraph of its own section, or else of the nearest later one that has any."""
+        marks = F.transform(F.reverse(s), lambda x, i: F.when(x.rlike("<p>.*?</p>"), i).otherwise(-1))
+        nearest = lambda at: F.transform(s, lambda _, i: F.struct(F.get(titles, i).alias("heading"), said(F.get(s, F.size(s) - 1 - F.get(at, F.size(s) - 1 - i))).alias("opening")))
+        return F.filter(once(latest(marks), nearest), lambda o: o["opening"] != "")
+
     return out | {
         "ligature_splits": marks["n_ligatures"], "double_spaces": count_of(bare, "  "), "word_count": word_count(text), "encoding_errors": count_of(text, "�"), "chapter_count": out["h1_count"] + out["h2_count"],
-        "has_front_matter_h1": F.exists(heads["h1_headings"], lambda h: F.contains(F.lower(h), F.lit("front matter"))), "chapter_openings": F.filter(F.transform(sections, lambda _, i: opening(i)), lambda o: o != ""),
+        "has_front_matter_h1": F.exists(heads["h1_headings"], lambda h: F.contains(F.lower(h), F.lit("front matter"))), "chapter_openings": once(sections, openings),
     }
 
 
@@ -133,14 +144,26 @@ def column_merge(html: Column) -> Column:
 
 
 def against_baseline(now: DataFrame, then: DataFrame, key: str) -> DataFrame:
-    """A row for each rule and page: rule, expected, actual, passed. Both frames hold the measures of baseline()."""
+    """A row for each rule and page: rule, expected, actual, passed. Both frames hold the measures of baseline().
+
+    Measures beyond the first six are held against each other where both frames have them: the entries of the table of contents (all headings), lists of second-level headings (as numbers, how many are missing), and the
+    output's size in KB, which may lie OUTPUT_TOLERANCE per cent off.
+    """
     old = then.select(F.col(key), *(F.col(c).alias(f"_{c}") for c in then.columns if c != key))
     d = now.join(old, key)
     row = lambda rule, c, ok: F.struct(F.lit(rule).alias("rule"), F.col(f"_{c}").cast("long").alias("expected"), F.col(c).cast("long").alias("actual"), ok.alias("passed"))
     within = [row(c, c, F.abs(F.col(c) - F.col(f"_{c}")) <= HEADING_TOLERANCE) for c in ("h1_count", "h2_count", "h3_count")]
     notes = F.when(F.col("_linked_footnotes") > 0, row("linked_footnotes", "linked_footnotes", F.col("linked_footnotes") >= F.col("_linked_footnotes")))
     most = [row(c, c, F.col(c) <= F.col(f"_{c}")) for c in ("ligature_splits", "double_spaces")]
-    return d.select(key, F.explode(F.array_compact(F.array(*within, notes, *most))).alias("r")).select(key, "r.*")
+    rules, both = [*within, notes, *most], set(now.columns) & set(then.columns)
+    if {"h2_headings", "toc_entries"} <= both:
+        rules.append(row("toc_entries", "toc_entries", F.abs(F.col("toc_entries") - F.col("_toc_entries")) <= TOC_TOLERANCE))
+        lost = F.size(F.array_except("_h2_headings", "h2_headings")).cast("long")
+        same = F.struct(F.lit("h2_headings").alias("rule"), F.lit(0).cast("long").alias("expected"), lost.alias("actual"), (F.col("h2_headings") == F.col("_h2_headings")).alias("passed"))
+        rules.append(F.when((F.size("h2_headings") > 0) & (F.size("_h2_headings") > 0), same))
+    if "output_kb" in both:
+        rules.append(F.when(F.col("_output_kb") > 0, row("output_kb", "output_kb", F.abs(F.col("output_kb") - F.col("_output_kb")) * 100 <= OUTPUT_TOLERANCE * F.col("_output_kb"))))
+    return d.select(key, F.explode(F.array_compact(F.array(*rules))).alias("r")).select(key, "r.*")
 
 
 def heading_changes(now: DataFrame, then: DataFrame, key: str) -> DataFrame:
@@ -150,10 +173,14 @@ def heading_changes(now: DataFrame, then: DataFrame, key: str) -> DataFrame:
 
 
 def openings_matched(now: DataFrame, then: DataFrame, key: str) -> DataFrame:
-    """How many chapter openings begin alike (40 characters), place by place."""
-    d = now.select(key, "chapter_openings").join(then.select(key, F.col("chapter_openings").alias("_old")), key)
-    same = F.filter(F.zip_with("chapter_openings", "_old", lambda a, b: F.substring(a, 1, 40) == F.substring(b, 1, 40)), lambda x: x)
-    return d.select(key, F.size(same).alias("matched"), F.least(F.size("chapter_openings"), F.size("_old")).alias("compared"))
+    """Of the headings that both have an opening for, how many openings begin alike (40 characters). Of equal headings the last counts."""
+
+    def each(d: DataFrame, name: str) -> DataFrame:
+        rows = d.select(key, F.posexplode("chapter_openings").alias("at", "o"))
+        return rows.groupBy(key, F.col("o.heading").alias("heading")).agg(F.max(F.struct("at", F.substring("o.opening", 1, 40).alias("text"))).alias("x")).select(key, "heading", F.col("x.text").alias(name))
+
+    same = F.when(F.col("new") == F.col("old"), 1).otherwise(0)
+    return each(now, "new").join(each(then, "old"), [key, "heading"]).groupBy(key).agg(F.sum(same).alias("matched"), F.count(F.lit(1)).alias("compared"))
 
 
 def sections(lines: DataFrame, heading: Column, *keys: str) -> DataFrame:

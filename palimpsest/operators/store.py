@@ -44,13 +44,15 @@ def best_paths(conversions: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def category_stats(issues: DataFrame) -> DataFrame:
+    """Issues of each category, and how many fixes of those that were tried worked, in percent to one place."""
     n = lambda c: F.sum(F.when(F.col(c), 1).otherwise(0))
-    d = issues.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n_issues"), n("fix_attempted").alias("attempted"), n("fix_succeeded").alias("succeeded"))
-    return d.withColumn("fix_rate", F.when(F.col("attempted") > 0, F.col("succeeded") / F.col("attempted")).otherwise(0.0))
+    d = issues.groupBy("category").agg(F.count(F.lit(1)).alias("n_issues"), n("fix_attempted").alias("attempted"), n("fix_succeeded").alias("succeeded"))
+    return d.withColumn("fix_rate_pct", F.when(F.col("attempted") > 0, F.round(F.col("succeeded") / F.col("attempted") * 100, 1)).otherwise(0.0))
 
 
 def cost_summary(conversions: DataFrame) -> DataFrame:
-    return conversions.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("book_id").alias("n_books"), F.sum("cost_cents").alias("cost_cents"), F.avg("cost_cents").alias("mean_cents"), F.max("seconds").alias("max_seconds"))
+    """One row: conversions, books, cost, tokens and the mean of the scores there are."""
+    return conversions.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("book_id").alias("n_books"), F.sum("cost_cents").alias("cost_cents"), F.avg("cost_cents").alias("mean_cents"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.avg("score").alias("mean_score"))
 
 
 def publisher_report(books: DataFrame, conversions: DataFrame, least: int) -> DataFrame:

@@ -9,11 +9,19 @@ from ..operators import reportfiles as R
 from ..sources.batches import inventory as by_extension
 from .registry import query
 
-HTML = "concat('<h2>Part One ', cast(doc_id % 50 AS string), '</h2><p class=\"chapter\">Chapter ', cast(doc_id % 40 AS string), '</p><p style=\"font-size: 2em\">Big ', cast(doc_id % 30 AS string), '</p><div>12. Words ', cast(doc_id % 20 AS string), '</div><p>part one ', cast(doc_id % 50 AS string), '</p><p>plain words</p>')"
+HTML = "concat('<h2>Part One ', lang, '</h2><p class=\"chapter\">Chapter of ', source, '</p><p style=\"font-size: 2em\">Big ', lang, '</p><div>12. Words of ', cast(n_chars AS string), '</div><p>part one ', lang, '</p><p>plain words</p><p>', replace(replace(text, chr(10), ' '), '<', ' '), '</p>')"
 
 
-@query("epub_headings", "SELECT doc_id, unnest(['Part One ' || doc_id % 50, 'Chapter ' || doc_id % 40, 'Big ' || doc_id % 30, '12. Words ' || doc_id % 20]) AS text, unnest([1, 2, 3, 4])::INT AS layer, unnest([2, 1, 2, 1])::INT AS level, unnest([95, 85, 75, 70])::INT AS confidence FROM documents", "documents")
-def epub_headings(d):
+@query("epub_headings", r"""WITH e AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-3][^>]*>.*?</h[1-3]>') AS h FROM pages), h AS (SELECT page_id, unnest(range(len(h))) AS i, unnest(h) AS x FROM e), t AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text, x[3:3]::INT AS level FROM h)
+SELECT page_id, text, 1 AS layer, level, 95 AS confidence FROM t WHERE length(text) BETWEEN 2 AND 120 QUALIFY row_number() OVER (PARTITION BY page_id, lower(text) ORDER BY level, i) = 1""", "pages")
+def epub_headings(p):
+    """Headings of the pages' own elements; the layers below them find nothing else in these pages."""
+    return B.epub_headings(p, "html", "page_id")
+
+
+@query("headings_by_layer", "SELECT doc_id, unnest(['Part One ' || lang, 'Chapter of ' || source, 'Big ' || lang, '12. Words of ' || n_chars]) AS text, unnest([1, 2, 3, 4])::INT AS layer, unnest([2, 1, 2, 1])::INT AS level, unnest([95, 85, 75, 70])::INT AS confidence FROM documents", "documents")
+def headings_by_layer(d):
+    """One heading for each layer, of the columns of each document; its text is no heading in any."""
     return B.epub_headings(d.selectExpr("doc_id", f"{HTML} AS html"), "html", "doc_id")
 
 
@@ -34,31 +42,52 @@ def joined_letters(d):
     return d.select("doc_id", F.md5(B.joined_letters(text, ("paris", "wilson", "ooo")).cast("binary")).alias("digest"))
 
 
-AUDIT = "a AS (SELECT book_id AS book, CASE WHEN book_id % 11 = 0 THEN 'skipped' WHEN book_id % 13 = 0 THEN 'skipped' WHEN book_id % 5 = 0 THEN 'skipped' WHEN book_id % 7 = 0 THEN 'skipped' WHEN book_id % 3 = 0 THEN 'mismatch' ELSE 'parity' END AS status, CASE WHEN book_id % 11 = 0 THEN 'load_error' WHEN book_id % 13 = 0 THEN 'schema_error' WHEN book_id % 5 = 0 THEN 'no_matching_output' WHEN book_id % 7 = 0 THEN 'conversion_error' END AS skip_reason FROM books_v)"
+#: Reports hold the lines of each part that were not returned, outputs those that were shipped late; a part without a discount has no readable report, one in full lots no valid one, one of cheap lines alone no readable output.
+AUDIT = """r AS (SELECT l_partkey AS book, CASE WHEN max(l_discount) > 0 THEN list_sort(list(DISTINCT l_linenumber) FILTER (l_returnflag <> 'R')) END AS pages, max(l_quantity) < 50 AS valid FROM lineitem GROUP BY 1),
+o AS (SELECT l_partkey AS book, CASE WHEN max(l_extendedprice) > 20000 THEN list_sort(list(DISTINCT l_linenumber)) END AS now FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+a AS (SELECT r.book, CASE WHEN pages IS NULL THEN 'load_error' WHEN NOT valid THEN 'schema_error' WHEN o.book IS NULL THEN 'no_matching_output' WHEN now IS NULL THEN 'conversion_error' END AS skip_reason, pages, now FROM r LEFT JOIN o USING (book)),
+s AS (SELECT book, CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN pages = now THEN 'parity' ELSE 'mismatch' END AS status, skip_reason FROM a)"""
 
 
-def _audited(b):
-    k = F.col("book_id")
-    reports = b.select(k.alias("book"), F.when(k % 11 > 0, F.array(F.lit(1), F.lit(3))).alias("pages"), (k % 13 > 0).alias("valid"))
-    outputs = b.where("book_id % 5 > 0").select(k.alias("book"), F.when(k % 7 == 0, F.lit(None)).when(k % 3 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(3), F.lit(1))).alias("pages"))
+def _audited(x):
+    pages = lambda c: F.collect_set(F.when(c, F.col("l_linenumber")))
+    kept = pages(F.col("l_returnflag") != "R")
+    reports = x.groupBy(F.col("l_partkey").alias("book")).agg(F.when((F.max("l_discount") > 0) & (F.size(kept) > 0), kept).alias("pages"), (F.max("l_quantity") < 50).alias("valid"))
+    outputs = x.where("l_linestatus = 'F'").groupBy(F.col("l_partkey").alias("book")).agg(F.when(F.max("l_extendedprice") > 20_000, pages(F.lit(True))).alias("pages"))
     return A.book_audit(reports, outputs)
 
 
-@query("book_audit", f"WITH {AUDIT} SELECT * FROM a", "books_v")
-def book_audit(b):
-    return _audited(b)
+@query("book_audit", f"WITH {AUDIT} SELECT * FROM s", "lineitem")
+def book_audit(x):
+    return _audited(x)
+
+
+@query("audit_exit_code", f"WITH {AUDIT} SELECT max(CASE WHEN skip_reason IN ('load_error', 'schema_error', 'conversion_error') THEN 3 WHEN status = 'mismatch' THEN 2 WHEN skip_reason = 'no_matching_output' THEN 1 ELSE 0 END) AS code FROM s", "lineitem")
+def audit_exit_code(x):
+    return A.exit_code(_audited(x))
+
+
+SENT = "s AS (SELECT book_id, list_sort(list(DISTINCT page_number) FILTER (report = 'candidate')) AS sent, list_sort(list(DISTINCT page_number) FILTER (report = 'baseline' OR severity = 'odd')) AS told FROM vqa_v GROUP BY 1)"
+
+
+def _sent(v):
+    of = lambda c: F.sort_array(F.collect_set(F.when(F.expr(c), F.col("page_number"))))
+    return v.groupBy("book_id").agg(of("report = 'candidate'").alias("sent"), of("report = 'baseline' OR severity = 'odd'").alias("told"))
 
 
-@query("audit_exit_code", f"WITH {AUDIT} SELECT max(CASE WHEN skip_reason IN ('load_error', 'schema_error', 'conversion_error') THEN 3 WHEN status = 'mismatch' THEN 2 WHEN skip_reason = 'no_matching_output' THEN 1 ELSE 0 END) AS code FROM a", "books_v")
-def audit_exit_code(b):
-    return A.exit_code(_audited(b))
+@query("answer_guards", f"WITH {SENT} SELECT book_id, array_to_string(list_filter([CASE WHEN len(coalesce(sent, [])) <> len(coalesce(told, [])) THEN 'page count' END, CASE WHEN len(list_filter(coalesce(told, []), lambda x: NOT list_contains(coalesce(sent, []), x))) > 0 THEN 'unknown page' END], lambda x: x IS NOT NULL), ',') AS wrong FROM s", "vqa_v")
+def answer_guards(v):
+    """Pages of a book's candidate report as those sent, of its baseline as those that an answer tells of."""
+    return _sent(v).select("book_id", F.array_join(A.guards(F.col("sent"), F.col("told")), ",").alias("wrong"))
 
 
-@query("answer_guards", "SELECT book_id, array_to_string(list_filter([CASE WHEN book_id % 2 = 0 THEN 'page count' END, CASE WHEN book_id % 3 = 0 THEN 'unknown page' END], lambda x: x IS NOT NULL), ',') AS wrong FROM books_v", "books_v")
-def answer_guards(b):
-    k = F.col("book_id")
-    answered = F.concat(F.array(F.when(k % 3 == 0, 9).otherwise(1)), F.when(k % 2 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(2))))
-    return b.select("book_id", F.array_join(A.guards(F.array(F.lit(1), F.lit(2)), answered), ",").alias("wrong"))
+@query("schema_guards", """WITH p AS (SELECT event_id, event_type, value, value < 30 AS bad_score, user_id % 3 AS k FROM events) SELECT event_id, array_to_string(list_filter([CASE WHEN event_type = 'click' THEN 'category' END, CASE WHEN k = 1 THEN 'severity' END, CASE WHEN bad_score THEN 'score' END], lambda x: x IS NOT NULL), ',') AS wrong FROM p""", "events")
+def schema_guards(e):
+    """An answer for each event whose category, severity and score follow the event's type, user and value."""
+    issue = F.struct(F.when(F.col("event_type") == "click", "other").otherwise("page_layout").alias("category"), F.when(F.col("user_id") % 3 == 1, "grave").otherwise("minor").alias("severity"), F.lit("d").alias("description"), F.lit("s").alias("suggestion"))
+    page = F.struct(F.lit(1).alias("page_number"), F.lit("body").alias("page_type"), F.when(F.col("value") < 30, F.lit(-1.0)).otherwise(F.least(F.lit(100.0), F.col("value"))).alias("score"), F.lit(True).alias("pass"), F.array(issue).alias("issues"))
+    text = F.to_json(F.struct(F.array(page).alias("pages")))
+    return e.select("event_id", F.array_join(A.schema_faults(text), ",").alias("wrong"))
 
 
 @query("report_heads", "SELECT book_id AS book, count(*) AS attempted, count(score) AS evaluated, round_even(avg(score), 0)::BIGINT AS score, round_even(avg(score), 0) >= 70 AS passed, CASE WHEN count(score) = count(*) THEN 'complete' ELSE 'partial' END AS state, sum(l_orderkey) * 3.0::DOUBLE / 1000000 + sum(l_partkey) * 15.0::DOUBLE / 1000000 AS cost FROM (SELECT *, CASE WHEN l_partkey % 9 > 0 THEN score END AS score FROM (SELECT * EXCLUDE (score), score + 10 AS score FROM vqa_v)) GROUP BY 1".replace("SELECT *, CASE WHEN l_partkey % 9 > 0 THEN score END AS score FROM (SELECT * EXCLUDE (score), score + 10 AS score FROM vqa_v)", "SELECT book_id, l_orderkey, l_partkey, CASE WHEN l_partkey % 9 > 0 THEN score + 10 END AS score FROM vqa_v"), "vqa_v")
@@ -73,10 +102,13 @@ def unreadable_books(b):
     return n(good, "read").unionByName(n(bad, "error"))
 
 
-@query("corrections", "SELECT book_id, 'a' || book_id AS old, 'b' AS new FROM books_v WHERE book_id % 3 = 0", "books_v")
-def corrections(b):
-    text = F.when(F.col("book_id") % 3 == 0, F.concat(F.lit('[{"old": "a'), F.col("book_id").cast("string"), F.lit('", "new": "b"}]'))).otherwise("no list")
-    return A.corrections(b.select("book_id", text.alias("corrections_json")))
+@query("corrections", "SELECT o_orderkey AS book_id, o_orderpriority AS old, o_custkey::VARCHAR AS new FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, 'status ' || o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'F'", "orders")
+def corrections(o):
+    """Overrides of orders: one correction, two if they are final; those in progress hold no list."""
+    one = F.struct(F.col("o_orderpriority").alias("old"), F.col("o_custkey").cast("string").alias("new"))
+    two = F.struct(F.concat(F.lit("status "), "o_orderstatus").alias("old"), F.col("o_orderpriority").alias("new"))
+    text = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("no list of "), "o_orderpriority")).when(F.col("o_orderstatus") == "F", F.to_json(F.array(one, two))).otherwise(F.to_json(F.array(one)))
+    return A.corrections(o.select(F.col("o_orderkey").alias("book_id"), text.alias("corrections_json")))
 
 
 @query("override_updates", "SELECT book_id AS id, CASE WHEN book_id % 2 = 0 THEN 'new' ELSE title END AS title, format FROM books_v", "books_v")
@@ -97,11 +129,10 @@ def file_inventory(n):
     return by_extension(n.select(F.col("name").alias("path"), (F.col("id") % 5000 * 1000).alias("size")))
 
 
-@query("aligned_answers", "SELECT book_id, CASE WHEN book_id % 2 = 0 THEN '5,6,3' ELSE '5,2,3' END AS pages FROM books_v", "books_v")
-def aligned_answers(b):
-    batch = F.when(F.col("book_id") % 2 == 0, F.array(F.lit(5), F.lit(6))).otherwise(F.array(F.lit(5)))
-    told = F.array(*(F.struct(F.lit(p).alias("page_number"), F.lit(p).alias("score")) for p in (1, 2, 3)))
-    return b.select("book_id", F.array_join(F.transform(R.aligned(batch, told), lambda x: x["page_number"]), ",").alias("pages"))
+@query("aligned_answers", f"WITH {SENT} SELECT book_id, array_to_string(list_transform(range(1, len(coalesce(told, [])) + 1), lambda i: CASE WHEN i <= len(coalesce(sent, [])) THEN sent[i] ELSE told[i] END), ',') AS pages FROM s", "vqa_v")
+def aligned_answers(v):
+    told = F.transform("told", lambda p: F.struct(p.alias("page_number"), p.alias("score")))
+    return _sent(v).select("book_id", F.array_join(F.transform(R.aligned(F.col("sent"), told), lambda x: x["page_number"]), ",").alias("pages"))
 
 
 @query("fallback_scores", "SELECT a.book_id, a.page_number, coalesce(b.score, a.score) AS score FROM (SELECT book_id, page_number, max(score) AS score FROM vqa_v WHERE report = 'candidate' GROUP BY 1, 2) a LEFT JOIN (SELECT book_id, page_number, min(score) AS score FROM vqa_v WHERE report = 'baseline' GROUP BY 1, 2) b USING (book_id, page_number)", "vqa_v")

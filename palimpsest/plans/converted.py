@@ -60,11 +60,12 @@ def clean_read_html(b):
     return d.select("doc_id", F.md5(F.col("f.html").cast("binary")).alias("digest"), F.col("f.removed")["index"].alias("index"), F.col("f.removed")["bibliography"].alias("bibliography"), F.col("f.removed")["hyperlinks"].alias("hyperlinks"))
 
 
-@query("filtered_text", r"WITH s AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10) || '# Notes' || chr(10)) || chr(10) || '## Chapter' || chr(10) || 'end', chr(10)) AS l FROM documents) SELECT doc_id, md5(l[1] || chr(10) || '## Chapter' || chr(10) || 'end') AS digest FROM s WHERE NOT contains(array_to_string(l, chr(10)), chr(10) || chr(10))", "documents")
+@query("filtered_text", rf"""WITH l AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10) || '# Notes' || chr(10)) || chr(10) || '## Chapter' || chr(10) || 'end', chr(10)) AS l FROM documents)),
+s AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^#{{1,3}}\s+.') THEN trim(regexp_extract(line, '^#{{1,3}}\s+(.+)', 1)) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS head FROM l)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM s WHERE head IS NULL OR NOT regexp_matches(head, '{X.NOTES}') AND NOT regexp_matches(head, '{X.INDEX}') AND NOT regexp_matches(head, '{X.FRONT.replace(chr(39), chr(39) * 2)}') GROUP BY 1""", "documents")
 def filtered_text(d):
     text = F.concat(F.replace("text", F.lit(". "), F.lit(".\n# Notes\n")), F.lit("\n## Chapter\nend"))
-    one = d.where(~F.contains(text, F.lit("\n\n"))).where(F.size(F.split("text", "\n")) >= 1)
-    return one.select("doc_id", F.md5(F.concat(F.split(X.filter_text(text, "clean-read"), "\n")[0], F.lit("\n## Chapter\nend")).cast("binary")).alias("digest"))
+    return d.select("doc_id", F.md5(X.filter_text(text, "clean-read").cast("binary")).alias("digest"))
 
 
 @query("chapter_alignment", None, "book_v")

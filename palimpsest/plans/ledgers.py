@@ -10,7 +10,7 @@ ACTION = "CASE event_type WHEN 'purchase' THEN 'mint' WHEN 'click' THEN 'consume
 
 
 def _token_events(e):
-    return e.selectExpr("user_id % 40 AS token", "unix_timestamp(ts) AS ts", "event_id AS seq", f"{ACTION} AS action")
+    return e.selectExpr("user_id AS token", "unix_timestamp(ts) AS ts", "event_id AS seq", f"{ACTION} AS action")
 
 
 @query("token_answers", None, "events")
@@ -78,9 +78,9 @@ def metadata_upserts(o):
     return L.replaced_fields(*_old_new(o), "id", ["producer", "pages"])
 
 
-@query("fix_counts", "SELECT category AS fix_type, count(*) AS times_applied, count(*) AS times_succeeded, min(book_id) AS first_seen_book_id, 0.0::DOUBLE AS success_rate FROM issues_v WHERE book_id % 3 > 0 GROUP BY 1", "issues_v")
+@query("fix_counts", "SELECT category AS fix_type, count(*) AS times_applied, count(*) AS times_succeeded, min(book_id) AS first_seen_book_id, 0.0::DOUBLE AS success_rate FROM issues_v WHERE fix_attempted GROUP BY 1", "issues_v")
 def fix_counts(i):
-    return L.fix_counts(i.withColumn("n", F.col("book_id") % 3))
+    return L.fix_counts(i.withColumn("n", F.col("fix_attempted").cast("int")))
 
 
 @query("invalidated_cache", "SELECT 'hash' AS way, count(*) AS n FROM cache_v WHERE hash IS DISTINCT FROM 7 UNION ALL SELECT 'version', count(*) FROM cache_v WHERE NOT coalesce(served < 3, false) UNION ALL SELECT 'nothing', count(*) FROM cache_v", "cache_v")

@@ -100,10 +100,10 @@ def enriched_posts(p):
 REPORT = "r AS (SELECT book_id, report, string_agg(page_number || ':' || severity || ':' || coalesce(category, ''), ',') AS x FROM vqa_v GROUP BY 1, 2)"
 
 
-@query("report_issues", "SELECT book_id, report, page_number, coalesce(category, 'unknown') AS category, severity, count(*) AS n FROM vqa_v WHERE page_number < 20 GROUP BY 1, 2, 3, 4, 5", "vqa_v")
+@query("report_issues", "SELECT book_id, report, page_number, coalesce(category, 'unknown') AS category, severity, count(*) AS n FROM vqa_v GROUP BY 1, 2, 3, 4, 5", "vqa_v")
 def report_issues(v):
     """Reports are written as JSON by book and read back: pages, then issues, exploded."""
-    d = R.report_issues(R.as_reports(v.where("page_number < 20")), "text")
+    d = R.report_issues(R.as_reports(v), "text")
     return d.groupBy("book_id", "report", "page_number", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -120,20 +120,21 @@ def run_history(r):
     return R.run_history(R.as_runs(latest), "text").select("run_id", "total", "passed", "pass_rate")
 
 
-@query("answers", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 0 ELSE page_id % 100 END AS score, page_id % 4 = 3 AS failed FROM pages", "pages")
-def answers(p):
-    k = F.col("page_id") % 4
-    good = F.concat(F.lit('{"score": '), (F.col("page_id") % 100).cast("string"), F.lit(', "issues": []}'))
-    text = F.when(k == 0, good).when(k == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k == 2, F.concat(F.lit("  "), good, F.lit("\n"))).otherwise("sorry, no")
-    return R.parsed_answers(p.select("page_id", text.alias("answer")), "answer").select("page_id", F.col("score").cast("long").alias("score"), "failed")
+@query("answers", "SELECT event_id, CASE WHEN event_type = 'view' THEN 0 ELSE floor(value)::BIGINT END AS score, event_type = 'view' AS failed FROM events", "events")
+def answers(e):
+    """An answer's text for each event: its value as the score and its type as the category, plain, fenced, with blanks round it, or no JSON."""
+    kind, good = F.col("event_type"), F.to_json(F.struct(F.floor("value").alias("score"), F.array(F.struct(F.col("event_type").alias("category"), F.col("props").alias("description"))).alias("issues")))
+    text = F.when(kind == "click", F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(kind == "view", F.concat(F.lit("sorry, "), "props")).when(kind == "purchase", F.concat(F.lit("  "), good, F.lit("\n"))).otherwise(good)
+    return R.parsed_answers(e.select("event_id", text.alias("answer")), "answer").select("event_id", F.col("score").cast("long").alias("score"), "failed")
 
 
-@query("log_lines", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pymupdf_columns' WHEN 1 THEN 'legacy' END AS path, CASE WHEN page_id % 2 = 0 THEN page_id % 50 END AS chunks, (page_id % 7)::DOUBLE / 4 AS cost FROM pages", "pages")
-def log_lines(p):
-    k = F.col("page_id") % 3
-    log = F.concat(F.when(k == 0, "x\n[EXTRACTION_PATH] pymupdf_columns (2 columns)\n").when(k == 1, "[EXTRACTION_PATH] legacy pymupdf_fallback: bad)\n").otherwise("none\n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("now chunking into "), (F.col("page_id") % 50).cast("string"), F.lit(" segments of 9\n"))).otherwise(""), F.lit("total cost: $"), ((F.col("page_id") % 7) / 4).cast("string"), F.lit(" done"))
-    d = p.select("page_id", log.alias("log"))
-    return d.select("page_id", *(c.alias(n) for n, c in R.log_facts(F.col("log")).items()))
+@query("log_lines", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority[3:] END AS path, CASE WHEN o_totalprice > 100000 THEN o_custkey END AS chunks, floor(o_totalprice * 100) / 100 AS cost FROM orders WHERE NOT contains(o_orderpriority, ' ')", "orders")
+def log_lines(o):
+    """A log for each order: its priority as the path, its customer as the number of chunks, its price as the cost. Priorities of two words are no paths."""
+    cost = F.format_string("%.2f", F.floor(F.col("o_totalprice") * 100) / 100)
+    log = F.concat(F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("x\n[EXTRACTION_PATH] "), F.expr("substr(o_orderpriority, 3)"), F.lit(" (2 columns)\n"))).otherwise("none\n"), F.when(F.col("o_totalprice") > 100_000, F.concat(F.lit("now chunking into "), F.col("o_custkey").cast("string"), F.lit(" segments of 9\n"))).otherwise(""), F.lit("total cost: $"), cost, F.lit(" done"))
+    d = o.where(~F.contains("o_orderpriority", F.lit(" "))).select("o_orderkey", log.alias("log"))
+    return d.select("o_orderkey", *(c.alias(n) for n, c in R.log_facts(F.col("log")).items()))
 
 
 @query("page_baseline", rf"""SELECT page_id, {', '.join(f"len(regexp_extract_all(html, '<h{k}(?:\\s[^>]*)?>(.+?)</h{k}>'))::INT AS h{k}_count" for k in (1, 2, 3))}, {', '.join(f"len(regexp_extract_all(html, '{p}'))::INT AS {n}" for n, p in P.BASELINE.items())}, len(regexp_extract_all(regexp_replace(html, '<[^>]+>', '', 'g'), '  '))::BIGINT AS double_spaces, len(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'))::INT AS word_count FROM pages""", "pages")

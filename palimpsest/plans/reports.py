@@ -50,9 +50,9 @@ def overall_mode(v):
     return gates.overall_mode(book_modes(v))
 
 
-@query("roll_up", """WITH p AS (SELECT book_id, page_number, max(score) AS score, page_number % 3 AS k FROM vqa_v WHERE page_number < 30 GROUP BY book_id, page_number), t AS (SELECT book_id, round_even(avg(coalesce(score, 0)), 0)::BIGINT AS score FROM p GROUP BY 1), i AS (SELECT book_id, 'd' || page_number % 4 AS d, min(page_number) AS first FROM p WHERE k > 0 AND page_number % 5 > 1 GROUP BY 1, 2), l AS (SELECT book_id, string_agg(d, ',' ORDER BY first) AS top FROM i GROUP BY 1) SELECT t.book_id, t.score, coalesce(top, '') AS top FROM t LEFT JOIN l USING (book_id)""", "vqa_v")
+@query("roll_up", """WITH p AS (SELECT book_id, page_number, max(score) AS score, page_number % 3 AS k FROM vqa_v GROUP BY book_id, page_number), t AS (SELECT book_id, round_even(avg(coalesce(score, 0)), 0)::BIGINT AS score FROM p GROUP BY 1), i AS (SELECT book_id, 'd' || page_number % 4 AS d, min(page_number) AS first FROM p WHERE k > 0 AND page_number % 5 > 1 GROUP BY 1, 2), l AS (SELECT book_id, string_agg(d, ',' ORDER BY first) AS top FROM i GROUP BY 1) SELECT t.book_id, t.score, coalesce(top, '') AS top FROM t LEFT JOIN l USING (book_id)""", "vqa_v")
 def roll_up(v):
-    p = v.where("page_number < 30").groupBy("book_id", "page_number").agg(F.max("score").alias("score"))
+    p = v.groupBy("book_id", "page_number").agg(F.max("score").alias("score"))
     k = F.col("page_number")
     issue = F.struct(F.lit("x").alias("category"), F.when(k % 5 == 0, "minor").when(k % 5 == 1, "odd").when(k % 5 == 2, "moderate").otherwise("critical").alias("severity"), F.concat(F.lit("d"), (k % 4).cast("string")).alias("description"))
     d = gates.roll_up(p.withColumn("issues", F.when(k % 3 > 0, F.array(issue))))

@@ -27,11 +27,13 @@ def resumed_run(r):
     return C.resumed(old, r.where("run = 199503").select("file_id", "status"), "file_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("chain_succeeded", "SELECT event_id, (event_id % 3 = 0 OR (event_id % 2 = 0 OR starts_with(CASE event_id % 5 WHEN 0 THEN 'skipped: x' WHEN 1 THEN 'disabled' ELSE 'bad' END, 'skipped') OR CASE event_id % 5 WHEN 1 THEN true ELSE false END)) AND event_id % 7 > 0 AS ok FROM events", "events")
-def chain_succeeded(e):
-    k = F.col("event_id")
-    message = F.when(k % 5 == 0, "skipped: x").when(k % 5 == 1, "disabled").otherwise("bad")
-    return e.select("event_id", C.chain_ok([(k % 3 != 0, k % 2 == 0, message), (F.lit(True), k % 7 > 0, F.lit("err"))]).alias("ok"))
+@query("chain_succeeded", "SELECT o_orderkey, (o_orderstatus = 'F' OR o_totalprice > 250000 OR starts_with(o_orderpriority, '1') OR o_orderpriority = '2-HIGH') AND (o_totalprice > 20000 OR starts_with(o_orderpriority, '5')) AS ok FROM orders", "orders")
+def chain_succeeded(o):
+    """Of each order two links: delivery unless it is final, and payment; urgent ones count as skipped, high ones as disabled."""
+    p, price = F.col("o_orderpriority"), F.col("o_totalprice")
+    message = F.when(p.startswith("1"), F.concat(F.lit("skipped: "), p)).when(p == "2-HIGH", "disabled").otherwise(p)
+    unpaid = F.when(p.startswith("5"), F.concat(F.lit("skipped by "), p)).otherwise("error")
+    return o.select("o_orderkey", C.chain_ok([(F.col("o_orderstatus") != "F", price > 250_000, message), (F.lit(True), price > 20_000, unpaid)]).alias("ok"))
 
 
 @query("headings_without_twin", r"WITH h AS (SELECT doc_id, text, trim(regexp_replace(lower(regexp_replace(text, '(?i)^(chapter|part|section)\s+[0-9ivxlc]+[.:)]*\s*', '')), '\s+', ' ', 'g')) AS k FROM (SELECT DISTINCT doc_id, text, font_size FROM blocks_v)) SELECT DISTINCT a.doc_id, a.text FROM h a WHERE NOT EXISTS (SELECT 1 FROM blocks_v b WHERE b.doc_id = a.doc_id AND b.page = 3 AND trim(regexp_replace(lower(regexp_replace(b.text, '(?i)^(chapter|part|section)\s+[0-9ivxlc]+[.:)]*\s*', '')), '\s+', ' ', 'g')) = a.k)", "blocks_v")
@@ -45,11 +47,11 @@ def stem_sets(c):
     return C.sides(c.where("path = 'R' AND book_id % 3 = 0").select("book_id"), c.where("path = 'A' AND book_id % 2 = 0").select("book_id")).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
-PAGES = "p AS (SELECT book_id, report, list_sort(list(DISTINCT page_number)) AS p FROM vqa_v WHERE page_number < 12 GROUP BY 1, 2), ab AS (SELECT a.book_id, a.p AS a, b.p AS b FROM p a JOIN p b ON a.book_id = b.book_id AND a.report = 'candidate' AND b.report = 'baseline')"
+PAGES = "p AS (SELECT book_id, report, list_sort(list(DISTINCT page_number)) AS p FROM vqa_v GROUP BY 1, 2), ab AS (SELECT a.book_id, a.p AS a, b.p AS b FROM p a JOIN p b ON a.book_id = b.book_id AND a.report = 'candidate' AND b.report = 'baseline')"
 
 
 def _pages_by_report(v):
-    d = v.where("page_number < 12").groupBy("book_id", "report").agg(F.sort_array(F.collect_set("page_number")).alias("p"))
+    d = v.groupBy("book_id", "report").agg(F.sort_array(F.collect_set("page_number")).alias("p"))
     side = lambda r, n: d.where(F.col("report") == r).select("book_id", F.col("p").alias(n))
     return side("candidate", "a").join(side("baseline", "b"), "book_id")
 
@@ -59,10 +61,12 @@ def page_sets(v):
     return _pages_by_report(v).select("book_id", C.same_set(F.col("a"), F.col("b")).alias("same"), R.coverage(F.col("a"), F.col("b")).alias("c")).select("book_id", "same", F.array_join("c.missing", ",").alias("missing"), "c.state")
 
 
-@query("signals", "SELECT book_id, array_to_string(list_filter(['bold', CASE WHEN book_id % 2 = 0 THEN 'large' END, CASE WHEN book_id % 3 = 0 THEN 'centered' END], lambda x: x IS NOT NULL), ',') AS signals FROM books_v", "books_v")
+@query("signals", "SELECT doc_id, page, text, y0, array_to_string(list_filter([CASE WHEN is_bold THEN 'bold' END, CASE WHEN font_size >= 15 THEN 'large' END, CASE WHEN x0 >= 120 THEN 'centered' END], lambda x: x IS NOT NULL), ',') AS signals, count(*) AS n FROM blocks_v GROUP BY ALL", "blocks_v")
 def signals(b):
-    k = F.col("book_id")
-    return b.select("book_id", F.array_join(C.ordered_signals(F.lit("bold"), F.when(k % 2 == 0, "large"), F.lit("bold"), F.when(k % 3 == 0, "centered"), F.when(k % 2 == 0, "large")), ",").alias("signals"))
+    """Signals of each block, some told twice."""
+    bold, large, centred = (F.when(F.expr(c), n) for c, n in (("is_bold", "bold"), ("font_size >= 15", "large"), ("x0 >= 120", "centered")))
+    d = b.select("doc_id", "page", "text", "y0", F.array_join(C.ordered_signals(bold, large, bold, centred, large), ",").alias("signals"))
+    return d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("latest_scored", "SELECT book_id, score, created_at FROM conversions_v WHERE score IS NOT NULL ORDER BY created_at DESC, l_orderkey, l_partkey, l_suppkey, iteration LIMIT 20", "conversions_v")
@@ -120,9 +124,9 @@ def override_lookup(s, b):
     return store.fallback_lookup(w, [(b, b["book_id"] == w["wanted"] * 7), (b, b["file_size"] == w["wanted"] + 200), (b, b["title"] == F.concat(F.lit("doc "), (w["wanted"] * 2).cast("string"))), (b, b["year"] == 1950 + w["wanted"])], "wanted")
 
 
-@query("zipped_pages", "WITH r AS (SELECT book_id, report, page_number, row_number() OVER (PARTITION BY book_id, report ORDER BY page_number) - 1 AS pos FROM (SELECT DISTINCT book_id, report, page_number FROM vqa_v WHERE page_number < 10)), n AS (SELECT book_id, report, count(*) AS n FROM r GROUP BY 1, 2) SELECT a.book_id, a.pos::INT AS pos, a.page_number AS page_a, b.page_number AS page_b FROM r a JOIN r b ON a.book_id = b.book_id AND a.pos = b.pos AND a.report = 'candidate' AND b.report = 'baseline' JOIN n x ON x.book_id = a.book_id AND x.report = 'candidate' JOIN n y ON y.book_id = a.book_id AND y.report = 'baseline' WHERE x.n = y.n", "vqa_v")
+@query("zipped_pages", "WITH r AS (SELECT book_id, report, page_number, row_number() OVER (PARTITION BY book_id, report ORDER BY page_number) - 1 AS pos FROM (SELECT DISTINCT book_id, report, page_number FROM vqa_v)), n AS (SELECT book_id, report, count(*) AS n FROM r GROUP BY 1, 2) SELECT a.book_id, a.pos::INT AS pos, a.page_number AS page_a, b.page_number AS page_b FROM r a JOIN r b ON a.book_id = b.book_id AND a.pos = b.pos AND a.report = 'candidate' AND b.report = 'baseline' JOIN n x ON x.book_id = a.book_id AND x.report = 'candidate' JOIN n y ON y.book_id = a.book_id AND y.report = 'baseline' WHERE x.n = y.n", "vqa_v")
 def zipped_pages(v):
-    d = v.where("page_number < 10").groupBy("book_id", "report").agg(F.sort_array(F.collect_set("page_number")).alias("p"))
+    d = v.groupBy("book_id", "report").agg(F.sort_array(F.collect_set("page_number")).alias("p"))
     side = lambda r: d.where(F.col("report") == r).select("book_id", "p")
     return C.zipped(side("candidate"), side("baseline"), "book_id")[0]
 
@@ -151,10 +155,11 @@ def text_chapters(d):
     return P.chapters(lines, "doc_id")
 
 
-@query("readable_bookmarks", r"SELECT event_id, length(trim(t)) >= 2 AND regexp_matches(t, '\pL') AS readable FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '12 34' WHEN 1 THEN ' a ' WHEN 2 THEN event_type ELSE ' ' END AS t FROM events)", "events")
-def readable_bookmarks(e):
-    k = F.col("event_id") % 4
-    return e.select("event_id", P.readable_bookmark(F.when(k == 0, "12 34").when(k == 1, " a ").when(k == 2, F.col("event_type")).otherwise(" ")).alias("readable"))
+@query("readable_bookmarks", r"SELECT page_id, readable, count(*) AS n FROM (SELECT page_id, coalesce(length(t) >= 2 AND length(regexp_replace(t, '[\p{C}\p{Zl}\p{Zp}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', '', 'g'))::DOUBLE / length(t) >= 0.7 AND regexp_matches(t, '\pL'), false) AS readable FROM (SELECT page_id, trim(unnest(string_split(regexp_replace(html, '<[^>]+>', '|', 'g'), '|')), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM pages)) GROUP BY 1, 2", "pages")
+def readable_bookmarks(p):
+    """Every text between the tags of each page, as if it were a bookmark."""
+    d = p.select("page_id", F.explode(F.split(F.regexp_replace("html", "<[^>]+>", "|"), r"\|", -1)).alias("t"))
+    return d.groupBy("page_id", P.readable_bookmark(F.col("t")).alias("readable")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sample_places", "WITH s AS (SELECT book_id, n, floor(n * 0.1::DOUBLE)::INT AS a, floor(n * 0.9::DOUBLE)::INT AS b FROM (SELECT book_id, file_size % 400 AS n FROM books_v)) SELECT book_id, CASE WHEN b <= a THEN array_to_string(range(least(10, n)), ',') ELSE array_to_string(list_filter(list_transform(range(10), lambda i: a + i * greatest(1, (b - a) // 10)), lambda p: p < b), ',') END AS places FROM s", "books_v")
@@ -192,11 +197,6 @@ def columned(x):
     return P.columned(x.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_partkey") % 5).alias("page"), x0.alias("x0"), (x0 + 250).alias("x1"), F.lit(600).alias("page_width")))
 
 
-@query("font_inventory", "SELECT doc_id, array_to_string(list_sort(list(DISTINCT font_name)), ',') AS fonts, false AS risky FROM blocks_v GROUP BY 1", "blocks_v")
-def font_inventory(b):
-    return P.font_inventory(b).select("doc_id", F.array_join("fonts", ",").alias("fonts"), "risky")
-
-
 MEASURES = "SELECT p_partkey AS id, (p_size * {k}) % 9 AS h1_count, p_size % 11 AS h2_count, (p_size * {k}) % 4 AS h3_count, (p_partkey * {k}) % 5 AS linked_footnotes, p_partkey % 6 AS ligature_splits, (p_partkey * {k}) % 8 AS double_spaces FROM part"
 
 
@@ -214,11 +214,6 @@ def audit_codes(v):
     return gates.exit_codes(v, "book_id", {"text_integrity": 3, "page_layout": 2, "paragraph_flow": 1}, "category")
 
 
-@query("upload_checks", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'empty' WHEN page_id % 200 > 100 THEN 'too large' WHEN NOT regexp_matches(lower(url), '\\.(pdf|epub|mobi|azw|azw3)$') THEN 'format' ELSE 'ok' END AS verdict FROM pages", "pages")
-def upload_checks(p):
-    return p.select("page_id", C.upload_verdict(F.col("url"), F.when(F.col("page_id") % 5 == 0, 0).otherwise((F.col("page_id") % 200) * 1_048_576), 100 * 1_048_576).alias("verdict"))
-
-
 @query("model_costs", "SELECT event_id, CASE event_type WHEN 'view' THEN 0.00025::DOUBLE WHEN 'click' THEN 0.003::DOUBLE ELSE 0.015::DOUBLE END * user_id AS cost FROM events", "events")
 def model_costs(e):
     name = F.when(F.col("event_type") == "view", "x-haiku").when(F.col("event_type") == "click", "a-sonnet-4").otherwise("opus")
@@ -230,9 +225,9 @@ def footnote_blocks(b):
     return b.groupBy("doc_id").agg(F.sum(F.when(layout.footnote(F.col("y0") / 800, F.col("font_size") / 12), 1).otherwise(0)).alias("n"))
 
 
-@query("toc_levels", "SELECT doc_id, CASE WHEN count(*) > 5 AND bool_and(level = 1) THEN 2 ELSE min(level) END AS top FROM (SELECT l_suppkey AS doc_id, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE l_linenumber END AS level FROM lineitem WHERE l_partkey % 9 = 0) GROUP BY 1", "lineitem")
+@query("toc_levels", "SELECT doc_id, CASE WHEN count(*) > 5 AND bool_and(level = 1) THEN 2 ELSE min(level) END AS top FROM (SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'N' THEN 1 ELSE l_linenumber END AS level FROM lineitem) GROUP BY 1", "lineitem")
 def toc_levels(x):
-    d = x.where("l_partkey % 9 = 0").select(F.col("l_suppkey").alias("doc_id"), F.when(F.col("l_suppkey") % 2 == 0, 1).otherwise(F.col("l_linenumber")).alias("level"))
+    d = x.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_returnflag") == "N", 1).otherwise(F.col("l_linenumber")).alias("level"))
     return layout.demoted(d, "doc_id").groupBy("doc_id").agg(F.min("level").alias("top"))
 
 

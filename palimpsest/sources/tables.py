@@ -29,10 +29,18 @@ VIEWS = {
     "debris_v": "SELECT o_orderkey AS id, CASE o_custkey % 7 WHEN 0 THEN '256' WHEN 1 THEN '2 5 6' WHEN 2 THEN concat('256 Chapter ', cast(o_custkey AS string)) WHEN 3 THEN '2 5 6 Chapter 3 Machine' WHEN 4 THEN '3 Chapter 1 Introduction' WHEN 5 THEN 'body text 12' ELSE o_orderpriority END AS t FROM {orders}",
     "forum_v": "SELECT conv_id * 1000 + turn AS page_id, concat('<html>', '<article class=x data-author=', chr(34), 'u', cast(turn AS string), chr(34), ' data-content=', chr(34), 'post-', cast(turn AS string), chr(34), '><time class=t datetime=', chr(34), '2024-01-0', cast(1 + turn % 9 AS string), 'T10:00:00+0200', chr(34), '></time><div class=', chr(34), 'bbWrapper', chr(34), '>', CASE turn % 3 WHEN 0 THEN concat('<blockquote><div class=', chr(34), 'bbCodeBlock-title', chr(34), '><a>Bob said:</a></div><div class=', chr(34), 'bbCodeBlock-expandContent', chr(34), '>', text, '</div></blockquote>short') WHEN 1 THEN concat(text, ' <a href=', chr(34), 'https://news.example.org/a/', cast(conv_id AS string), chr(34), '>Read <b>this</b></a> and https://x.com/me/status/', cast(turn AS string), '.') ELSE text END, '</div> </div> </div> </article>') AS html FROM {conversations}",
     "matter_v": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, ', ', concat(', 12-14', chr(10))) WHEN 1 THEN replace(text, '. ', concat('.', chr(10), '17. ')) WHEN 2 THEN replace(text, ' ', concat(' é 12', chr(10), '3 ')) ELSE text END AS text FROM {documents}",
-    "jobs_v": "SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE (SELECT min(o_orderkey) FROM {orders}) + (o_custkey % 3) * 0 END AS parent_id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 60 END AS message_id, CASE o_custkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'queued' WHEN 2 THEN 'done' ELSE 'failed' END AS state, o_custkey AS created_at, CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE o_custkey % 2000 END AS expires_at FROM {orders}",
+    "jobs_v": "SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_orderkey - o_custkey % 7 END AS parent_id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 60 END AS message_id, CASE o_custkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'queued' WHEN 2 THEN 'done' ELSE 'failed' END AS state, o_custkey AS created_at, CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE o_custkey % 2000 END AS expires_at FROM {orders}",
     "recipes_v": "SELECT p_partkey AS file_id, CASE p_partkey % 7 WHEN 0 THEN 'epub' WHEN 1 THEN 'mobi' ELSE 'pdf' END AS format, CASE p_size % 4 WHEN 0 THEN 'scan_no_text' WHEN 1 THEN 'scan_with_text' WHEN 2 THEN 'digital_native' ELSE 'unknown' END AS kind, cast(50 + p_partkey % 40 AS double) / 100 AS sure, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 101 END AS score, CASE WHEN p_partkey % 3 = 0 THEN 0.01 ELSE 0.4 END AS common_rate, p_partkey % 2 = 0 AS chapters_advised, CASE p_partkey % 5 WHEN 0 THEN 'viable' WHEN 1 THEN 'degraded' WHEN 2 THEN 'unusable' WHEN 3 THEN 'none' END AS footnotes, CASE p_partkey % 4 WHEN 0 THEN 'viable' WHEN 1 THEN 'degraded' END AS index, CASE p_partkey % 3 WHEN 0 THEN 'viable' WHEN 1 THEN 'none' END AS links, p_partkey % 11 = 0 AS two_columns, CASE p_partkey % 6 WHEN 0 THEN 'book_history' WHEN 1 THEN 'publisher_profile' WHEN 2 THEN 'source_type_profile' WHEN 3 THEN 'default' END AS history, 50 + p_partkey % 50 AS best_score, p_partkey % 4 = 0 AS prior_chapters, p_partkey % 8 = 0 AS prior_columns FROM {part}",
-    "book_v": "SELECT doc_id, concat('<h1>Preface</h1><p>by</p><h2>Chapter ', cast(doc_id % 9 AS string), '</h2><p>', substring(text, 1, 300), '<sup>3</sup><a href=', chr(34), 'http://x.org', chr(34), '>link</a></p><blockquote>said</blockquote><h2>More of <i>it</i></h2><p>', substring(text, 100, 200), '</p><h1>Index of names</h1><p>a</p><h2>Bibliography</h2><p>b</p>') AS html FROM {documents}",
+    "book_v": "SELECT doc_id, concat('<h1>Preface</h1><p>by</p><h2>Chapter ', cast(doc_id % 9 AS string), '</h2><p>', text, '<sup>3</sup><a href=', chr(34), 'http://x.org', chr(34), '>link</a></p><blockquote>said</blockquote><h2>More of <i>it</i></h2><p>', source, ' ', replace(text, chr(10), ' '), '</p><h1>Index of names</h1><p>a</p><h2>Bibliography</h2><p>b</p>') AS html FROM {documents}",
     "links_v": "SELECT page_id, CASE page_id % 9 WHEN 0 THEN concat(url, '?utm_medium=footer') WHEN 1 THEN concat(url, '.PNG?x=1') WHEN 2 THEN concat('https://www.reddit.com/r/', cast(page_id AS string)) WHEN 3 THEN concat('http://i.imgur.com/', cast(page_id AS string)) WHEN 4 THEN concat('https://x.com/a/status/', cast(page_id AS string)) WHEN 5 THEN concat(url, '?utm_source=mail') WHEN 6 THEN 'ftp://short' ELSE url END AS url FROM {pages}",
+    "fonts_v": "SELECT l_suppkey AS doc_id, CASE WHEN l_partkey % 53 = 0 THEN 'ZapfDingbats' WHEN l_partkey % 59 = 0 THEN 'ABCDEF+CIDFont' WHEN l_partkey % 61 = 0 THEN 'Zed-Identity-H' WHEN l_partkey % 67 = 0 THEN '' ELSE concat('Font-', cast(l_partkey % 47 AS string)) END AS font_name FROM {lineitem}",
+    "uploads_v": "SELECT page_id, concat(CASE page_id % 5 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN concat('PK', chr(3), chr(4)) WHEN 2 THEN concat(chr(137), 'PNG') ELSE '' END, substring(html, 1, 260)) AS header, CASE page_id % 4 WHEN 0 THEN concat(url, '.MOBI') WHEN 1 THEN concat(url, '.djvu') WHEN 2 THEN concat(url, '.exe') ELSE url END AS name, CASE WHEN length(html) % 9 = 0 THEN 0 ELSE cast(length(html) AS bigint) * 6000 END AS size, CASE WHEN page_id % 3 = 0 THEN 'free' ELSE 'premium' END AS tier, CASE length(html) % 4 WHEN 0 THEN 'epub' WHEN 1 THEN 'mobi' WHEN 2 THEN 'kfx' ELSE 'pdf' END AS output FROM {pages}",
+    "recipients_v": "SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN concat('  ', c_name, '@Kindle.com ') WHEN 1 THEN concat('<', c_name, '@kindle.com>') WHEN 2 THEN concat('a+', c_name, '@kindle.com') WHEN 3 THEN concat(c_name, ' <x@kindle.com>') WHEN 4 THEN concat(c_name, '@free.kindle.com') WHEN 5 THEN concat(c_name, '@example.org') WHEN 6 THEN '@kindle.com' WHEN 7 THEN concat(c_name, '@kindle.com.example.org') END AS address FROM {customer}",
+    "calls_v": "SELECT user_id AS client, event_id AS call_id, cast(floor(event_id / 8) AS bigint) AS called_at, event_type <> 'purchase' AS failed FROM {events}",
+    "chapters_v": "SELECT doc_id, concat('<h1>Preface</h1><h2>Empty</h2><h2 class=x>Chapter ', cast(doc_id % 9 AS string), '</h2><p>', replace(text, '. ', '.</p><h2>Part</h2><p>'), '</p><h3>Of <i>it</i></h3><p>', source, '</p><h2>Last</h2>') AS html FROM {documents}",
+    "later_v": "SELECT doc_id, concat('<h1>Preface</h1><h2>Chapter ', cast(doc_id % 9 AS string), '</h2><p>', replace(replace(text, '. ', '.</p><h2>Part</h2><p>'), 'e ', CASE WHEN doc_id % 3 = 0 THEN 'a  ' ELSE 'e ' END), '</p>', CASE WHEN doc_id % 4 = 0 THEN '<h2>New</h2>' ELSE '' END, '<p>', source, '</p>') AS html FROM {documents}",
+    "scanned_v": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, ' that ', ' t h a t ') WHEN 1 THEN replace(text, 'tion ', concat('ti-', chr(10), 'on ')) WHEN 2 THEN CASE WHEN doc_id % 50 = 2 THEN replace(text, 'm', 'rn') ELSE text END ELSE text END AS text FROM {documents}",
+    "wide_v": "SELECT doc_id, concat('<p>', replace(CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(text, ', ', concat(',', chr(10))) END, '. ', '.</p><p class=a>'), '</p>') AS html FROM {documents}",
     "titles_v": "SELECT o_orderkey AS id, concat(o_orderpriority, CASE o_custkey % 4 WHEN 0 THEN ': a subtitle' WHEN 1 THEN ' — or not' WHEN 2 THEN ', The Land 25-48' ELSE ' of Öre (2nd)' END) AS title, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('Smith', cast(o_custkey % 90 AS string), ', J. R.') WHEN 2 THEN concat('Gary M. Burge', cast(o_custkey % 70 AS string)) WHEN 3 THEN 'X' ELSE 'Anna-Lena Öst' END AS author FROM {orders}",
     "posts_v": "SELECT conv_id, turn, role, text AS body FROM {conversations}",
 }
