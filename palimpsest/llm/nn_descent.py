@@ -144,7 +144,7 @@ def first_lists(codes: DataFrame, width: int, most: int = LIST) -> DataFrame:
                     if n < 1:
                         continue
                     s = (x[part] @ x[part].T).astype(np.int64)
-                    np.fill_diagonal(s, np.iinfo(np.int64).min)
+                    np.fill_diagonal(s, -4 * UNIT * UNIT)  # below any other, and no number that overflows
                     top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(part) - 1 else np.argsort(-s, axis=1)[:, :n]
                     yield lists_of(np.repeat(nodes[part], n), nodes[part][top].ravel(), np.take_along_axis(s, top, 1).ravel(), np.ones(top.size, bool), most)
 

@@ -84,3 +84,15 @@ def test_odd_rows_and_queries_from_outside(spark):
     assert nn_descent.search(nn_descent.build(none, "vec_id", "embedding"), none, "vec_id", "embedding").count() == 0
     one = table.where("vec_id = 2")
     assert nn_descent.search(nn_descent.build(one, "vec_id", "embedding"), one, "vec_id", "embedding").count() == 0
+
+
+def test_first_lists_are_the_nearest_of_their_blocks(spark):
+    x = np.random.default_rng(2).standard_normal((500, 12))
+    index = nn_descent.build(spark.createDataFrame([(k, v.tolist(), 0, "") for k, v in enumerate(x)], SCHEMA), "vec_id", "embedding")
+    lists = {r["node"]: r for r in nn_descent.merged(nn_descent.first_lists(index.codes, 12)).collect()}  # one block holds all
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    for k, r in lists.items():
+        assert k not in r["nbrs"] and len(r["nbrs"]) == nn_descent.LIST and r["sims"] == sorted(r["sims"], reverse=True)
+        assert len(set(r["nbrs"]) & set(np.argsort(-s[k])[: nn_descent.LIST].tolist())) >= nn_descent.LIST - 2
