@@ -125,3 +125,45 @@ def fallback_pages(pages: DataFrame, high: int = 80, phrases: tuple[str, ...] =
     grave = F.exists(issues, lambda i: F.coalesce(i["severity"], F.lit("minor")).isin("critical", "major", "moderate"))
     test = F.when(F.col("_empty") & (F.col("_top") >= high), 3).when(none & (score >= high), 1).when(F.coalesce(phrase, F.lit(False)), 2).when(F.coalesce(same, F.lit(False)), 4).when(F.coalesce((score > ceiling) & ~grave, F.lit(False)), 5)
     return d.withColumn("test", test).where("test IS NOT NULL").select("batch", "page_number", "test")
+
+
+ALL_PATHS = ("html_extraction", "legacy", "column_aware")
+TOC_LEAST = 60  # a table of contents that scores less asks for chapters
+
+
+def recommendations(books: DataFrame, conversions: DataFrame, issues: DataFrame) -> DataFrame:
+    """What to try for each book, in order, and why: paths, flags, sure (percent), reason, basis, best_prior_score, prior_conversions.
+
+    From the book's own scored conversions: its paths by mean score (ties: by the best, then by name). Else from its publisher's with its format, of two books or more: the best path, then the others. Else from its source type's
+    with its format: paths of two conversions or more by mean score. Chapters are asked for if the book has none, if the contents of its best conversion scored low, or if contents are among its publisher's five most common issues;
+    columns are forced if the column path won. books: book_id, publisher, source_type, format, chapter_count; conversions: book_id, path, score, toc (null: not scored); issues: book_id, category.
+    """
+    scored = conversions.where("score IS NOT NULL")
+    ranked = lambda d, key: d.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("s") / F.col("n")).alias("mean"), (-F.col("best")).alias("best"), "path", "n"))), lambda x: F.struct(x["path"].alias("path"), (-x["mean"]).alias("mean"), x["n"].alias("n"))).alias("r"), F.sum("n").alias("n"))  # noqa: E731  a row for each path
+    per = scored.groupBy("book_id", "path").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    top = scored.groupBy("book_id").agg(F.max(F.struct("score", F.coalesce("toc", F.lit(100)).alias("toc"))).alias("t"))
+    own = ranked(per, ["book_id"]).join(top, "book_id").select("book_id", F.col("r").alias("r1"), F.col("n").alias("n1"), F.col("t.score").alias("best_prior_score"), F.col("t.toc").alias("toc"))
+    wide = per.join(books.select("book_id", "publisher", "source_type", "format"), "book_id")
+    key2, key3 = ["publisher", "format"], ["source_type", "format"]
+    sums = lambda d, key: d.groupBy(*key, "path").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("best").alias("best"))
+    house = wide.where("publisher IS NOT NULL")
+    of_house = house.groupBy(*key2).agg(F.countDistinct("book_id").alias("books"), (F.sum("s") / F.sum("n")).alias("mean2")).where("books >= 2")
+    common = issues.join(books.where("publisher IS NOT NULL").select("book_id", *key2), "book_id").groupBy(*key2, "category").agg(F.count(F.lit(1)).alias("n")).groupBy(*key2).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "category"))), 1, 5).alias("c"))
+    house = ranked(sums(house, key2), key2).select(*key2, F.col("r").alias("r2")).join(of_house, key2).join(common, key2, "left").select(*key2, "r2", "books", "mean2", F.coalesce(F.exists("c", lambda x: x["category"] == "toc_navigation"), F.lit(False)).alias("toc2"))
+    kind = ranked(sums(wide.where("source_type IS NOT NULL"), key3).where("n >= 2"), key3).select(*key3, F.col("r").alias("r3"), F.col("n").alias("n3"))
+    d = books.join(own, "book_id", "left").join(house, key2, "left").join(kind, key3, "left")
+    level = F.when(F.col("r1").isNotNull(), 1).when(F.col("r2").isNotNull(), 2).when(F.col("r3").isNotNull(), 3).otherwise(4)
+    first = lambda r: F.get(r, F.lit(0))
+    whole = lambda x: F.bround(x).cast("long").cast("string")
+    names = lambda r: F.transform(r, lambda x: x["path"])
+    rest = F.array_union(F.array(first("r2")["path"]), F.array(*map(F.lit, ALL_PATHS)))
+    chapters = F.when(level == 1, (F.coalesce("chapter_count", F.lit(0)) == 0) | (F.col("toc") < TOC_LEAST)).when(level == 2, F.col("toc2")).otherwise(False)
+    columns = (level == 1) & (first("r1")["path"] == "column_aware")
+    second = F.when(F.size("r1") > 1, F.concat(F.lit("; vs "), F.get("r1", F.lit(1))["path"], F.lit(" avg "), whole(F.get("r1", F.lit(1))["mean"]))).otherwise("")
+    reason = F.when(level == 1, F.concat(first("r1")["path"], F.lit(" scored avg "), whole(first("r1")["mean"]), second, F.when(chapters, "; no chapters detected in prior runs").otherwise("")))
+    reason = reason.when(level == 2, F.concat("publisher", F.lit(" books avg "), whole(F.col("mean2")), F.lit(" with "), first("r2")["path"], F.lit(" ("), F.col("books").cast("string"), F.lit(" books)")))
+    reason = reason.when(level == 3, F.concat("source_type", F.lit(" PDFs avg "), whole(first("r3")["mean"]), F.lit(" with "), first("r3")["path"], F.lit(" ("), first("r3")["n"].cast("string"), F.lit(" conversions)"))).otherwise("no historical data available")
+    sure = F.when(level == 1, F.least(F.lit(95), 50 + 15 * F.col("n1"))).when(level == 2, F.least(F.lit(70), 30 + 10 * F.col("books"))).when(level == 3, F.least(F.lit(50), 20 + 5 * F.col("n3"))).otherwise(0)
+    paths = F.when(level == 1, names("r1")).when(level == 2, rest).when(level == 3, names("r3")).otherwise(F.array().cast("array<string>"))
+    basis = F.get(F.array(*map(F.lit, ("book_history", "publisher_profile", "source_type_profile", "default"))), level - 1)
+    return d.select("book_id", paths.alias("paths"), F.coalesce(chapters, F.lit(False)).alias("UseClaudeChapters"), F.coalesce(columns, F.lit(False)).alias("ForceColumns"), sure.cast("long").alias("sure"), reason.alias("reason"), basis.alias("basis"), "best_prior_score", F.coalesce("n1", F.lit(0)).cast("long").alias("prior_conversions"))

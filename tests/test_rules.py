@@ -44,3 +44,22 @@ def test_uploads_and_recipients(spark):
     said = {" X@Kindle.com ": "ok", "x@free.kindle.com": "ok", "<x@kindle.com>": form, "x @kindle.com": form, "(c)x@kindle.com": form, "Bob <x@kindle.com>": form, "a+b@kindle.com": form, "@kindle.com": form, "x": form, "": form, "x@evil-kindle.com": domain, "x@kindle.com.org": domain}
     d = spark.createDataFrame([(k,) for k in said], "a string").select("a", choose.recipient_verdict(F.col("a")).alias("v"))
     assert {r["a"]: r["v"] for r in d.collect()} == said
+
+
+def test_reports_as_files(spark, tmp_path):
+    from palimpsest.operators import diagnostics, written
+    from palimpsest.sources.tables import view
+
+    d = diagnostics.diagnose(view(spark, "/root/testdata/sf0.001", "diags_v").withColumn("filename", F.when(F.col("book_id") == 3, "a <b> & c | d" + "x" * 50).otherwise(F.col("filename"))))
+    v = spark.createDataFrame([("f", (1.5, 80.0, True, 0.25)), ("g", (1.0, 90.0, False, 0.5))], "filename string, v struct<std_dev: double, mean: double, high_variance: boolean, worst_position: double>")
+    runs = spark.createDataFrame([("r1", 3, 2, 66.7)], "run_id string, total int, passed int, pass_rate double")
+    rows = written.report(d, "one", v, runs)
+    for form, name in (("markdown", "md"), ("html", "html")):
+        written.write(rows, str(tmp_path / name), form)
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "md").glob("part-*")))
+    page = "\n".join(p.read_text() for p in sorted((tmp_path / "html").glob("part-*")))
+    assert text.startswith("# Batch report one\nBooks processed: 200 |") and "- f: std_dev=1.5, mean=80.0, worst section at 25%" in text and "| r1 | 3 | 2 | 66.7 |" in text
+    assert "| a <b> & c \\| d" in text and "<td>a &lt;b&gt; &amp; c | d" in page and "..." in text
+    assert text.index("### ") < text.index("| 90-100") < text.index("| doc1.pdf") and "- g" not in text
+    none = written.markdown(written.report(d.limit(0), "none")).collect()
+    assert [r["line"] for r in none][:2] == ["# Batch report none", "Books processed: 0 | Passed: 0 | Warnings: 0 | Failed: 0 | Errors: 0  "]
