@@ -139,6 +139,18 @@ def scripts(text: Column) -> dict[str, Column]:
     return {"greek": n(r"\p{IsGreek}"), "latin_ext": n(r"[\x{100}-\x{24f}]"), "accented": F.bround(n(r"[\x{c0}-\x{24f}]") * 100 / F.greatest(F.length(text), F.lit(1)), 2)}
 
 
+#: The scripts told apart, by their Unicode names.
+SCRIPTS = ("Latin", "Greek", "Cyrillic", "Hebrew", "Arabic", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul")
+
+
+def script_shares(text: Column) -> dict[str, Column]:
+    """Share in percent of a text's letters that are of each script, of all but the Latin ones together, and of its characters that were lost."""
+    letters = F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
+    shares = {s.lower(): F.bround(F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")) * 100 / letters, 1) for s in SCRIPTS}
+    others = [shares[s.lower()] for s in SCRIPTS if s != "Latin"]
+    return shares | {"replaced": F.bround(F.regexp_count(text, F.lit("�")) * 100 / F.greatest(F.length(text), F.lit(1)), 2), "non_latin": F.bround(reduce(lambda a, b: a + b, others), 1)}
+
+
 def debris(text: Column) -> Column:
     """Share of tokens with braces, bars, backslashes, shouts, brackets inside words or replacement characters."""
     words = F.filter(F.split(text, "[ \t\n\r\f\x0b]+"), lambda w: w != "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import latest, once
 from ..functions.text import WHITE, count_of, penalties, word_count
+from .diagnostics import backmatter_only, quality_variance
 
 #: Tolerances of the baseline's measures.
 HEADING_TOLERANCE, TOC_TOLERANCE, OUTPUT_TOLERANCE = 2, 5, 10
@@ -143,6 +144,14 @@ def column_merge(html: Column) -> Column:
     return (F.size(seen) > 10) & (long / F.greatest(F.lit(1), F.size(seen)) > 0.3)
 
 
+def structure(html: Column, multicolumn: Column, path: Column) -> dict[str, Column]:
+    """All that a page tells: baseline(), whether its headings are back matter alone, how its quality varies over its text (null for a short one), and whether columns may have run together, which is asked only of
+    a source in columns that was not read by columns."""
+    out, body = baseline(html), F.regexp_replace(html, "<[^>]+>", " ")
+    merged = F.coalesce(multicolumn, F.lit(False)) & (F.coalesce(path, F.lit("")) != "pymupdf_columns") & column_merge(html)
+    return out | {"only_backmatter": backmatter_only(F.concat(out["h1_headings"], out["h2_headings"])), "quality_variance": quality_variance(body), "possible_column_merge": merged}
+
+
 def against_baseline(now: DataFrame, then: DataFrame, key: str) -> DataFrame:
     """A row for each rule and page: rule, expected, actual, passed. Both frames hold the measures of baseline().
 

@@ -225,7 +225,7 @@ def delivery_state(e):
     return ev.delivery_state(e, "user_id", ("purchase",), "click")
 
 
-from . import audits, converted, diagnosed, edited, gated, ledgers, parsed, reports, sets, told  # noqa: E402, F401  (they register their queries)
+from . import audits, converted, diagnosed, edited, gated, ledgers, marked, parsed, reports, sets, told  # noqa: E402, F401  (they register their queries)
 
 QUERIES = {k: v[0] for k, v in Q.items()}
 ORACLE = {k: v[1] for k, v in Q.items() if v[1]}

@@ -40,6 +40,8 @@ VIEWS = {
     "chapters_v": "SELECT doc_id, concat('<h1>Preface</h1><h2>Empty</h2><h2 class=x>Chapter ', cast(doc_id % 9 AS string), '</h2><p>', replace(text, '. ', '.</p><h2>Part</h2><p>'), '</p><h3>Of <i>it</i></h3><p>', source, '</p><h2>Last</h2>') AS html FROM {documents}",
     "later_v": "SELECT doc_id, concat('<h1>Preface</h1><h2>Chapter ', cast(doc_id % 9 AS string), '</h2><p>', replace(replace(text, '. ', '.</p><h2>Part</h2><p>'), 'e ', CASE WHEN doc_id % 3 = 0 THEN 'a  ' ELSE 'e ' END), '</p>', CASE WHEN doc_id % 4 = 0 THEN '<h2>New</h2>' ELSE '' END, '<p>', source, '</p>') AS html FROM {documents}",
     "scanned_v": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, ' that ', ' t h a t ') WHEN 1 THEN replace(text, 'tion ', concat('ti-', chr(10), 'on ')) WHEN 2 THEN CASE WHEN doc_id % 50 = 2 THEN replace(text, 'm', 'rn') ELSE text END ELSE text END AS text FROM {documents}",
+    "scripts_v": "SELECT doc_id, CASE lang WHEN 'fr' THEN translate(text, 'aeiou', 'αεиוא') WHEN 'de' THEN translate(text, 'nrst', '漢あカ�') WHEN 'es' THEN translate(text, 'dlmc', 'अ한جж') ELSE text END AS text FROM {documents}",
+    "marked_v": "SELECT doc_id, concat('<h1>', source, '</h1><h2 id=x>', lang, '</h2><p><b>', replace(replace(text, '. ', '.</p><p class=a>'), 'q', concat('�', '<strong>q</strong>')), '</p>') AS html FROM {documents}",
     "wide_v": "SELECT doc_id, concat('<p>', replace(CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(text, ', ', concat(',', chr(10))) END, '. ', '.</p><p class=a>'), '</p>') AS html FROM {documents}",
     "titles_v": "SELECT o_orderkey AS id, concat(o_orderpriority, CASE o_custkey % 4 WHEN 0 THEN ': a subtitle' WHEN 1 THEN ' — or not' WHEN 2 THEN ', The Land 25-48' ELSE ' of Öre (2nd)' END) AS title, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('Smith', cast(o_custkey % 90 AS string), ', J. R.') WHEN 2 THEN concat('Gary M. Burge', cast(o_custkey % 70 AS string)) WHEN 3 THEN 'X' ELSE 'Anna-Lena Öst' END AS author FROM {orders}",
     "posts_v": "SELECT conv_id, turn, role, text AS body FROM {conversations}",
