@@ -28,20 +28,28 @@ def _by_white(text: Column, of: Callable[[str], Column]) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return _by_white(text, lambda white: F.regexp_count(text, F.lit(rf"[^\n{white}]+")))
+    """Words between white space: the parts that it cuts a text into, without the empty ones at its ends."""
+
+    def parts(white: str) -> Column:
+        empty = lambda c: F.when(c.rlike(rf"[\n{white}]"), 1).otherwise(0)
+        return F.size(F.split(text, rf"[\n{white}]+", -1)) - empty(F.substring(text, 1, 1)) - empty(F.substring(text, -1, 1))
+
+    return F.when(F.length(text) > 0, _by_white(text, parts)).when(text.isNotNull(), 0)
 
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
+#: Where LIGATURES may match, found by the blank in it; every match of theirs holds one of these.
+MAYBE_LIGATURE = r" (?:(?<=\b[Tt]h )(?:e|is|at|ey|en|ere|ose|us|an|eir|em|ese)\b|(?<=\bf(?:i|l|fi|fl) )[a-z])"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
 def penalties(text: Column) -> dict[str, Column]:
     """Counts from which the segment score is made."""
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
-    return {"n_replaced": count_of(text, "�"), "n_ligatures": count(LIGATURES), "n_doubles": count_of(text, "  "), "n_controls": count(CONTROLS), "n_words": word_count(text).cast("long")}
+    return {"n_replaced": count_of(text, "�"), "n_ligatures": F.when(text.rlike(MAYBE_LIGATURE), count(LIGATURES)).when(text.isNotNull(), 0).cast("long"), "n_doubles": count_of(text, "  "), "n_controls": count(CONTROLS), "n_words": word_count(text).cast("long")}
 
 
 def segment_score(replaced: Column, ligatures: Column, doubles: Column, controls: Column, chars: Column) -> Column:
@@ -61,7 +69,9 @@ def edited(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     def stage(pattern: str, to: str) -> Callable[[Column], Column]:
         if len(pattern) == 1:  # a literal that takes another's place: no pattern is needed
             return lambda v: F.struct(F.replace(v["text"], F.lit(pattern), F.lit(to)).alias("text"), (v["n"] + count_of(v["text"], pattern)).alias("n"))
-        return lambda v: F.struct(F.regexp_replace(v["text"], pattern, to).alias("text"), (v["n"] + F.regexp_count(v["text"], F.lit(pattern))).alias("n"))
+        # Most stages find nothing in most texts; then the count alone has looked.
+        changed = lambda v, n: F.when(n > 0, F.struct(F.regexp_replace(v["text"], pattern, to).alias("text"), (v["n"] + n).alias("n"))).otherwise(F.struct(v["text"].alias("text"), v["n"].alias("n")))
+        return lambda v: once(F.regexp_count(v["text"], F.lit(pattern)), lambda n: changed(v, n))
 
     value = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     for pattern, to in rules:
@@ -80,7 +90,7 @@ def clean_html(html: Column) -> Column:
     html = F.regexp_replace(html, "<[^>]+>", " ")
     for entity, to in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&nbsp;", " ")):
         html = F.replace(html, F.lit(entity), F.lit(to))
-    return F.trim(F.regexp_replace(F.regexp_replace(html, "&#[0-9]+;", ""), f"[{WHITE}]+", " "))
+    return F.trim(once(F.regexp_replace(html, "&#[0-9]+;", ""), lambda t: _by_white(t, lambda white: F.regexp_replace(t, rf"[\n{white}]+", " "))))
 
 
 def redact_addresses(text: Column) -> Column:
@@ -138,7 +148,16 @@ def is_tweet(url: Column) -> Column:
     return F.coalesce(host_of(url).isin("twitter.com", "x.com") & url.rlike("/status/[0-9]+"), F.lit(False))
 
 
-def structure(html: Column) -> dict[str, Column]:
-    """Structural counts of a page's HTML."""
+TAGS = {"h1_count": ("h1",), "h2_count": ("h2",), "h3_count": ("h3",), "paragraphs": ("p",), "list_items": ("li",), "em_tags": ("em", "i"), "bold_tags": ("b", "strong"), "blockquotes": ("blockquote",)}
+
+
+def structure(html: Column) -> Column:
+    """Struct of the structural counts of a page's HTML: names of tags are found in one scan and counted in a small array."""
     count = lambda p: F.regexp_count(html, F.lit(p)).cast("long")
-    return {"h1_count": count("(?i)<h1[ >]"), "h2_count": count("(?i)<h2[ >]"), "h3_count": count("(?i)<h3[ >]"), "paragraphs": count("(?i)<p[ >]"), "list_items": count("(?i)<li[ >]"), "em_tags": count("(?i)<(?:em|i)[ >]"), "bold_tags": count("(?i)<(?:b|strong)[ >]"), "blockquotes": count("(?i)<blockquote[ >]"), "page_numbers": count("(?i)<p[^>]*>[0-9]{1,3}</p>"), "links": count("(?i)<a [^>]*href"), "double_spaces": count("  +")}
+    names = F.transform(F.regexp_extract_all(html, F.lit("(?i)<(h[123]|p|li|em|i|b|strong|blockquote)[ >]"), F.lit(1)), lambda t: F.lower(t))
+
+    def of(found: Column, tags: tuple[str, ...]) -> Column:
+        return F.size(F.filter(found, lambda x: x.isin(*tags))).cast("long")
+
+    others = {"page_numbers": count("(?i)<p[^>]*>[0-9]{1,3}</p>"), "links": count("(?i)<a [^>]*href"), "double_spaces": count("  +")}
+    return once(names, lambda found: F.struct(*(of(found, tags).alias(n) for n, tags in TAGS.items()), *(c.alias(n) for n, c in others.items())))

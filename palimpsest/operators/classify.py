@@ -40,9 +40,8 @@ CODE = "[{}();=]"
 
 
 def repeated_lines(blocks: DataFrame, least_pages: int = 5, density: float = 0.1, low: int = 15, high: int = 150) -> DataFrame:
-    """Running headers: texts of low to high characters, not code, on `least_pages` pages and that share of the document's pages or more. Only hashes are shuffled until the texts that count are known."""
-    lines = blocks.where(F.length("text").between(low, high) & ~F.col("text").rlike(CODE)).select("doc_id", "page", "text", F.xxhash64("text").alias("h"))
-    pages = blocks.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
-    met = lines.select("doc_id", "h", "page").distinct().groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    met = met.join(pages, "doc_id").where(F.col("n") >= density * F.col("n_pages")).select("doc_id", "h", "n")
-    return lines.join(met, ["doc_id", "h"]).groupBy("doc_id", "text").agg(F.first("n").alias("n"))
+    """Running headers: texts of low to high characters, not code, on `least_pages` pages and that share of the document's pages or more. A text counts once a page before it is shuffled."""
+    lines = blocks.where(F.length("text").between(low, high) & ~F.col("text").rlike(CODE)).select("doc_id", "page", "text").distinct()
+    pages = blocks.select("doc_id", "page").distinct().groupBy("doc_id").agg(F.count("page").alias("n_pages"))
+    met = lines.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    return met.join(pages, "doc_id").where(F.col("n") >= density * F.col("n_pages")).select("doc_id", "text", "n")

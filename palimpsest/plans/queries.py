@@ -162,7 +162,7 @@ COUNTS = {"h1_count": "<h1[ >]", "h2_count": "<h2[ >]", "h3_count": "<h3[ >]", "
 
 @query("html_structure", "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '(?i){p}'))::BIGINT AS {n}" for n, p in COUNTS.items()) + " FROM pages", "pages")
 def html_structure(p):
-    return p.select("page_id", *(c.alias(n) for n, c in T.structure(F.col("html")).items()))
+    return p.select("page_id", T.structure(F.col("html")).alias("s")).select("page_id", "s.*")
 
 
 HOST_SQL = r"regexp_replace(lower(regexp_extract(url, 'https?://([^/]+)', 1)), '^[w.]+', '')"

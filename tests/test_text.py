@@ -26,3 +26,15 @@ def test_merge_continuations(spark, text, want, n):
 def test_merge_continuations_in_a_long_text(spark):
     got = one(spark, "Begin\n" + "so it goes\n" * 50_000 + "on", L.merged)
     assert got["n_merged"] == 50_001 and "\n" not in got["text"]
+
+
+def test_counts_of_words_and_torn_letters(spark):
+    import re
+
+    odd = ["", " ", "\n", "a", " a", "a ", "\ta\x0bb \n", "a b", "　a b", "th e", "Th e the re", "with e", "fi x fl y", "f i x", "fi fl x", "th\ne", "of i x", "th at th ey", "word " * 9 + "fi n"]
+    d = spark.createDataFrame([(t,) for t in [*odd, None]], "t string")
+    got = {r["t"]: (r["w"], r["n"]) for r in d.select("t", T.word_count(F.col("t")).alias("w"), T.penalties(F.col("t"))["n_ligatures"].alias("n")).collect()}
+    plain = re.compile(r"\b[Tt]h (?:e|is|at|ey|en|ere|ose|us|an|eir|em|ese)\b|\bf(?:i|l|fi|fl) [a-z]")
+    for t in odd:
+        assert got[t] == (len(t.split()), len(plain.findall(t))), t
+    assert got[None] == (None, None)
