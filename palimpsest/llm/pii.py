@@ -3,7 +3,7 @@
 Base spans (leftmost, not overlapping, by kind): email, ip, card, phone. On top of them, generators
 of high recall propose spans that may overlap: bare phone numbers, written-out e-mail addresses,
 loosely grouped card numbers, social security numbers, IBANs, and keys or passwords. Each candidate gets features
-of its form and of the CONTEXT characters on both sides; boosted trees (see pii_model) score it as
+of its form and of the CONTEXT characters on both sides; boosted trees (see pii_model), fitted in windows of the documents themselves, score it as
 one Column expression, and the threshold of its kind, calibrated on held-out rows, selects it.
 Base spans stand; a selected span may overlap them, and only one equal to a base span in kind, start and end is dropped.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import pii_model
 from .common import boxed, let, text_or_empty, unboxed
 
-CONTEXT = 24
+CONTEXT = pii_model.CONTEXT
 PAGE = 1024  # characters of the pieces that a text is redacted by
 
 #: Base kinds, in the order of the results. A start inside a run that an earlier start covers cannot
@@ -131,26 +131,41 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast(EMPTY))
 
 
+def _form_holds(name: str, m: Column, digits: Column) -> Column:
+    """Whether a candidate's own form is one that the real thing has."""
+    if name == "bare_phone":
+        return digits.rlike(pii_model.PHONE_FORM)
+    if name == "spelt_email":
+        return F.lower(m).rlike(pii_model.EMAIL_FORM)
+    if name == "ssn":
+        return m.rlike(pii_model.SSN_FORM)
+    if name != "iban":
+        return F.lit(False)
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    letters = F.split(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4)), "")
+    return F.aggregate(letters, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97) == 1
+
+
 def _features(name: str, c: Column) -> Column:
-    """Numbers of a candidate's form and of what stands around it, in pii_model.FEATURES's order."""
+    """Numbers of a candidate's form and of what stands around it, in the order of pii_model.features()."""
     m, before, after = c["c"]["text"], F.lower(c["before"]), F.lower(c["after"])
     digits = _digits(m)
-    size = F.length(m)
-    has = lambda x, words: x.rlike("(?:" + "|".join(words) + ")").cast("int")
     return F.array(
         *(F.lit(int(name == g)) for g in GENERATORS),
-        size,
+        F.length(m),
         F.length(digits),
         F.regexp_count(m, F.lit("[A-Z]")),
         F.regexp_count(m, F.lit("[a-z]")),
         F.regexp_count(m, F.lit("[^A-Za-z0-9]")),
         F.regexp_count(m, F.lit("(?:[0-9][A-Z]|[A-Z][0-9])")),
         F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False).cast("int"),
-        has(before, pii_model.CLUES),
-        has(before, pii_model.COUNTER),
-        has(after, pii_model.COUNTER),
+        before.rlike(pii_model.NEAR_CLUE).cast("int"),
+        before.rlike(pii_model.COUNTER_BEFORE).cast("int"),
+        before.rlike(pii_model.NEAR_COUNTER).cast("int"),
+        after.rlike(pii_model.COUNTER_AFTER).cast("int"),
         F.substring(before, -1, 1).rlike("[#$%/=]").cast("int"),
         F.substring(after, 1, 1).rlike("[%/=_]").cast("int"),
+        F.coalesce(_form_holds(name, m, digits), F.lit(False)).cast("int"),
     ).cast("array<double>")
 
 
@@ -181,9 +196,18 @@ def candidate_spans(text: Column, model: pii_model.Model) -> Column:
     return F.when(text.rlike("[0-9]{3}|[=:@\\[(]|[A-Z0-9_]{16}"), F.flatten(F.array(*out))).otherwise(F.array().cast(EMPTY))
 
 
+def windows(docs: DataFrame, most: int = pii_model.TRAIN_WINDOWS) -> tuple[str, ...]:
+    """A window of text around a place of each of up to `most` documents, chosen by hashes: the contexts that the classifier is fitted in."""
+    text = F.col("text").cast("string")
+    h = F.xxhash64("text")
+    place = F.pmod(h, F.greatest(F.length(text) - 2 * CONTEXT, F.lit(1)))
+    some = docs.where(F.length(text) > 2 * CONTEXT).select(h.alias("h"), F.substr(text, (place + 1).cast("int"), F.lit(2 * CONTEXT)).alias("w"))
+    return tuple(r["w"] for r in some.orderBy("h", "w").limit(most).collect())
+
+
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = (), model: pii_model.Model | None = None) -> DataFrame:
     """doc_id, the columns in keep, base (spans of the base kinds) and spans (base and selected ones, by kind and start)."""
-    model = model or pii_model.fitted()
+    model = model or pii_model.fitted(windows(docs.select("text")))
     d = docs.select("doc_id", *keep, text_or_empty().alias("_t"))
     t = F.col("_t")
 

@@ -38,3 +38,12 @@ def test_very_many_spans_and_long_addresses(spark):
     assert red[2] == "mail [EMAIL] now"
     assert red[3] == " ".join(["[PHONE] call [PHONE],"] * 20_000)
     assert red[4] == "😀 [EMAIL] é [EMAIL]" and red[5] == ""
+
+
+def test_counter_words_count_only_beside_a_span(spark):
+    taken = ["she said to call 555-123-4567", "we did call him at 555-123-4567", "the department's phone 415-555-0123", "share my number 555-123-4567 please", "his ssn, he said, is 123-45-6789", "the id is bob and password=hunter2secret", "write to bob [at] example [dot] com", "in part because 415.555.0123 rang", "iban DE89 3704 0044 0532 0130 00 it is"]
+    left = ["order no. 555-123-4567 came", "serial: 123-45-6789", "part 555-123-4567", "sha AB12CD34EF56GH78IJ90", "the range 000-12-3456 ends", "call CONSTANT_NAME_HERE_X now"]
+    d = spark.createDataFrame(list(enumerate(taken + left)), "doc_id long, text string")
+    spans = {r[0]: r[1] for r in pii.find_pii(d).select("doc_id", pii.told("spans")).collect()}
+    assert all(spans[k] for k in range(len(taken))), [taken[k] for k in range(len(taken)) if not spans[k]]
+    assert not any(spans[len(taken) + k] for k in range(len(left))), [(left[k], spans[len(taken) + k]) for k in range(len(left)) if spans[len(taken) + k]]
