@@ -171,13 +171,11 @@ def read_records(archives: DataFrame, segmented: bool | None = None) -> DataFram
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records from segments. They meet by origin: a group is one record."""
+    """Whole records from segments. They meet by origin: a group is one record, whose blocks are put together at once."""
     parts = records.where("segment > 0").groupBy("origin").agg(
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"), *(F.first(c, True).alias(c) for c in ("page_id", "refers_to")), F.max(F.when(F.col("segment") == 1, F.col("stated"))).alias("stated")
+        F.expr("listagg(block) WITHIN GROUP (ORDER BY segment)").alias("block"), F.sort_array(F.collect_list("segment")).alias("numbers"), F.max("total").alias("total"), *(F.first(c, True).alias(c) for c in ("page_id", "refers_to")), F.max(F.when(F.col("segment") == 1, F.col("stated"))).alias("stated")
     )
-    numbers = F.transform("s", lambda x: x["segment"])
-    parts = parts.withColumn("block", F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"])))
-    good = (F.col("total") == F.octet_length("block")) & (numbers == F.sequence(F.lit(1), F.size("s")))
+    good = (F.col("total") == F.octet_length("block")) & (F.col("numbers") == F.sequence(F.lit(1), F.size("numbers")))
     checked = F.when(good, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments do not make up record "), F.col("origin"))).cast("binary"))
     return parts.select("page_id", F.lit("response").alias("record_type"), "refers_to", "stated", checked.alias("block"))
 
