@@ -25,15 +25,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fit_in, shared_dir, stored
+from .tokens import lots
 
 SHARD_BYTES = 12_000_000  # text bytes that one shard's pairs come from
 MAPS = 96  # files that a worker holds open
+SCORED = 6_000_000  # bytes of text whose tokens are looked up together, so that each shard is gone through once for them
 FLUSH = 3_000_000  # tokens counted in a task before its pairs move on
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -121,13 +124,24 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _save(path: str, **arrays: np.ndarray) -> None:
-    """Each array as a file of its own, put in place by renaming: a task that runs again, or twice, does no harm."""
+    """Each array as a file of its own, put in place by renaming: a task that runs again, or twice, finds its file there and leaves it, as it would write the same."""
     fs, at = _store(path)
     for name, a in arrays.items():
+        if _there(fs, f"{at}.{name}"):
+            continue
         tmp = f"{at}.{name}.{TaskContext.get().taskAttemptId()}.tmp"
         with fs.open_output_stream(tmp) as f:
             f.write(np.ascontiguousarray(a).data)
-        fs.move(tmp, f"{at}.{name}")
+        try:
+            fs.move(tmp, f"{at}.{name}")
+        except OSError:  # some stores do not replace a file
+            if not _there(fs, f"{at}.{name}"):
+                raise
+            fs.delete_file(tmp)
+
+
+def _there(fs: pafs.FileSystem, path: str) -> bool:
+    return fs.get_file_info(path).type == pafs.FileType.File
 
 
 def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[list[str | None]]:
@@ -317,7 +331,7 @@ class _Mapped:
     """A model's files, mapped when they are first needed; of more than MAPS the one that was used longest ago is let go. A store that cannot be mapped is read into memory, by the same bound."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, OrderedDict()
+        self.model, self.files, self.looked = model, OrderedDict(), 0  # looked: how often a shard was gone through
         self.fs, self.at = _store(model.path)
 
     def file(self, name: str, dtype: str, width: int = 1) -> np.ndarray:
@@ -341,11 +355,11 @@ class _Mapped:
     def _look(self, kind: str, shard: np.ndarray, keys: np.ndarray, values: str, dtype: str, width: int) -> np.ndarray:
         out = np.zeros((len(keys), width), np.int64)
         order = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        for s in range(self.model.shards):
-            mine = order[at[s] : at[s + 1]]
+        met, at = np.unique(shard[order], return_index=True)
+        for s, mine in zip(met.tolist(), np.split(order, at[1:]), strict=True):  # shards that a key falls into; no other is opened
             there = self.file(f"{kind}-{s}.keys", "<u8")
-            if not len(mine) or not len(there):
+            self.looked += 1
+            if not len(there):
                 continue
             k = np.minimum(np.searchsorted(there, keys[mine]), len(there) - 1)
             hit = there[k] == keys[mine]
@@ -407,17 +421,16 @@ def score_tokens(model: Model, tokens: np.ndarray, n: np.ndarray) -> tuple[np.nd
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, perplexity for each row."""
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for k in range(0, len(p), 2000):
-                some = p.iloc[k : k + 2000]
-                tokens, n = hashed_tokens(some["text"].tolist())
-                known, base, kn = score_tokens(model, tokens, n)
-                at = np.concatenate(([0], np.cumsum(n)[:-1]))
-                got = {"n_tokens": n, "n_known": np.add.reduceat(known.astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(kn, at)}
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(), **got, "perplexity": 10 ** np.minimum(-got["score"] / n, 300)}).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in lots(batches, SCORED):
+            tokens, n = hashed_tokens(b["text"].to_pylist())
+            known, base, kn = score_tokens(model, tokens, n)
+            at = np.concatenate(([0], np.cumsum(n)[:-1]))
+            score = np.add.reduceat(kn, at)
+            columns = [n, np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(base, at), score, 10 ** np.minimum(-score / n, 300)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c) for c in columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:

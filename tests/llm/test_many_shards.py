@@ -23,6 +23,10 @@ def test_three_hundred_shards_under_256_descriptors(spark, monkeypatch, tmp_path
         _, _, kn = kneser_ney.score_tokens(many, tokens, n)
     finally:
         resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    looked = kneser_ney._mapped(many).looked
+    assert looked <= 2 * many.shards  # once through each file for all texts together
+    kneser_ney.score_tokens(many, *kneser_ney.hashed_tokens(["one or two"]))
+    assert kneser_ney._mapped(many).looked - looked <= 9  # a few keys open a few files
     got = np.add.reduceat(kn, np.concatenate(([0], np.cumsum(n)[:-1])))
     assert np.allclose(got, [want[k] for k in range(len(texts))])
     assert kneser_ney.score(docs.where(F.col("doc_id") < 3), many).count() == 3
