@@ -4,6 +4,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -68,10 +69,8 @@ def best_by(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct(*columns)).alias("b")).select(key, f"b.{columns[-1]}")
 
 
-def applicable_fixes(outcomes: DataFrame, least: float) -> DataFrame:
+def applicable_fixes(outcomes: DataFrame, least: float = 0.7) -> DataFrame:
     """Fixes by success rate, then by how often they were tried; a row for each category of fix."""
-    from pyspark.sql import Window as W
-
     d = outcomes.where("fix_attempted").groupBy(F.col("category").alias("fix")).agg(F.count(F.lit(1)).alias("times_applied"), F.avg(F.col("fix_succeeded").cast("int")).alias("success_rate")).where(F.col("success_rate") >= least)
     return d.withColumn("place", F.row_number().over(W.orderBy(F.desc("success_rate"), F.desc("times_applied"), "fix")))
 

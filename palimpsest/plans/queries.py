@@ -195,9 +195,10 @@ def first_claims(e):
     return ev.first_claims(e, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "ts", "event_id")
 
 
-@query("rate_limited", "SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS n, count(*) - 4 AS n_refused FROM events GROUP BY 1, 2 HAVING count(*) > 4", "events")
-def rate_limited(e):
-    return ev.rate_limited(e, "event_type", 4, "hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+@query("rate_limited", "SELECT client, make_timestamp(called_at // 60 * 60000000) AS window_start, count(*) AS n, count(*) - 5 AS n_refused FROM calls_v GROUP BY 1, 2 HAVING count(*) > 5", "calls_v")
+def rate_limited(c):
+    """Calls of each client over the five a minute that one parent is allowed."""
+    return ev.rate_limited(c.withColumn("ts", F.timestamp_seconds("called_at")), "client", 5).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("breaker_openings", "WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR NOT lag(event_type <> 'purchase') OVER w OR epoch(ts)::BIGINT - epoch(lag(ts) OVER w)::BIGINT > 86400 THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS n FROM r WHERE event_type <> 'purchase') SELECT user_id, ts AS opened_at FROM n WHERE n = 3", "events")

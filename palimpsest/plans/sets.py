@@ -75,9 +75,9 @@ def latest_scored(c):
     return C.newest(c.where("score IS NOT NULL"), "created_at", 20, "l_orderkey", "l_partkey", "l_suppkey", "iteration").select("book_id", "score", "created_at")
 
 
-@query("applicable_fixes", "SELECT fix, times_applied, success_rate, row_number() OVER (ORDER BY success_rate DESC, times_applied DESC, fix) AS place FROM (SELECT category AS fix, count(*) AS times_applied, avg(fix_succeeded::INT) AS success_rate FROM issues_v WHERE fix_attempted GROUP BY 1) WHERE success_rate >= 0.3", "issues_v")
+@query("applicable_fixes", "SELECT fix, times_applied, success_rate, row_number() OVER (ORDER BY success_rate DESC, times_applied DESC, fix) AS place FROM (SELECT category AS fix, count(*) AS times_applied, avg(fix_succeeded::INT) AS success_rate FROM issues_v WHERE fix_attempted GROUP BY 1) WHERE success_rate >= 0.7", "issues_v")
 def applicable_fixes(i):
-    return C.applicable_fixes(i, 0.3)
+    return C.applicable_fixes(i)
 
 
 @query("failing_types", "SELECT publisher, n FROM (SELECT coalesce(publisher, 'unknown') AS publisher, count(*) AS n FROM conversions_v JOIN books_v USING (book_id) WHERE score < 30 GROUP BY 1) ORDER BY n DESC, publisher LIMIT 3", "conversions_v", "books_v")

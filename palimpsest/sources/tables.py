@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "books_v": "SELECT doc_id AS book_id, concat('doc ', cast(doc_id AS string)) AS title, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source END AS publisher, lang AS format, n_chars AS file_size, 1950 + doc_id % 75 AS year, doc_id % 5 AS chapter_count FROM {documents}",
     "conversions_v": "SELECT l_partkey % (SELECT count(*) FROM {documents}) AS book_id, l_linenumber AS iteration, l_returnflag AS path, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE cast(l_quantity * 2 AS int) END AS score, cast(floor(l_extendedprice / 100) AS bigint) AS cost_cents, cast(floor(l_discount * 1000) AS bigint) AS seconds, l_shipdate AS created_at, l_orderkey, l_partkey, l_suppkey FROM {lineitem}",
-    "issues_v": "SELECT event_id AS issue_id, event_id % (SELECT count(*) FROM {documents}) AS book_id, event_type AS category, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, event_id % 3 = 0 AS fix_attempted, event_id % 6 = 0 AS fix_succeeded FROM {events}",
+    "issues_v": "SELECT event_id AS issue_id, event_id % (SELECT count(*) FROM {documents}) AS book_id, event_type AS category, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, event_id % 3 = 0 AS fix_attempted, event_id % 3 = 0 AND CASE WHEN event_type = 'click' THEN value > 5 ELSE event_id % 6 = 0 END AS fix_succeeded FROM {events}",
     "dirty_v": "SELECT doc_id, source, lang, CASE doc_id % 5 WHEN 0 THEN replace(replace(text, ', ', ' ,    '), 'the ', 'th e ') WHEN 1 THEN replace(text, '. ', concat('.  ', '�', ' ')) ELSE text END AS text FROM {documents}",
     "runs_v": "SELECT cast(extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS int) AS run, o_custkey AS file_id, CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' ELSE 'WARN' END AS status, o_orderkey FROM {orders}",
     "vqa_v": "SELECT l_suppkey % 50 AS book_id, l_partkey % 60 AS page_number, CASE l_returnflag WHEN 'R' THEN 'candidate' WHEN 'A' THEN 'baseline' ELSE 'other' END AS report, cast(l_quantity * 2 AS int) AS score, l_linenumber % 3 AS n_issues, CASE l_linenumber % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' WHEN 2 THEN 'moderate' WHEN 3 THEN 'minor' ELSE 'odd' END AS severity, CASE l_orderkey % 4 WHEN 0 THEN 'text_integrity' WHEN 1 THEN 'page_layout' WHEN 2 THEN 'paragraph_flow' END AS category, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM {lineitem}",
