@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
 NAMED = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HUMP = re.compile("(?<=[a-z0-9])(?=[A-Z])")  # where a name in camel case begins its next word
 RAW = frozenset(("script", "style"))  # what they hold is no text; any other element's text is
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -26,7 +27,7 @@ class Block(NamedTuple):
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
-    return tuple(f".{w}" for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", "".join(x or "" for x in m.groups()).lower()) if w)
+    return tuple(f".{w}" for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", HUMP.sub(" ", "".join(x or "" for x in m.groups())).lower()) if w)
 
 
 class _Ends:
