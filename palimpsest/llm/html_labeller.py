@@ -23,7 +23,7 @@ from .html_blocks import Block, blocks
 
 PATHS, WORDS, NUMBERS = 192, 32, 5
 HIDDEN = 16
-TRAIN_PAGES, EPOCHS, BATCH = 1400, 8, 16
+TRAIN_PAGES, EPOCHS, BATCH = 1400, 10, 16
 CELLS = 16_384  # blocks, padding included, that are scored together; a longer page is scored alone
 
 CONTENT = [["article"], ["main", "article"], ["div", ".content", "article"], ["div", ".main", ".content"], ["div", ".post", ".body"], ["div", ".entry", ".content"], ["section", ".article", ".text"], ["main"], ["div", ".story"], ["div", ".wrap", "article", ".post"], ["div", ".container", "main", "div", ".article", ".body"], ["div", ".body", ".content"], ["div"], ["table", "tbody", "tr", "td"], ["table", "tr", "td", ".content"], ["div", ".story", ".text"], []]
@@ -68,11 +68,13 @@ def _made_page(rng: np.random.Generator, share: float = 0.0) -> tuple[list[Block
         words = ["".join(map(chr, rng.integers(97, 123, int(rng.integers(2, 9))))) for _ in range(max(1, n))]
         return " ".join(words) + ("." if sentence else "")
 
+    brief = rng.random() < 0.07  # an article of short lines
+
     def some(prefix: list[str], label: int, n: int) -> list[tuple[Block, int]]:
         made = []
         for _ in range(n):
             end = (IN_CONTENT if label else IN_ASIDE)[int(rng.integers(len(IN_CONTENT if label else IN_ASIDE)))]
-            long = rng.random() < (0.85 if label else 0.3)
+            long = rng.random() < ((0.3 if brief else 0.85) if label else 0.3)
             linked = float(not label and ("a" in end))
             made.append((Block((*prefix, *end), say(int(rng.integers(8, 60)) if long else int(rng.integers(1, 7)), long), linked), label))
         return made
@@ -178,7 +180,7 @@ def _score(weights: list[np.ndarray], pages: list[list[Block]]) -> np.ndarray:
 @functools.cache
 def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 5) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    made = [_made_page(rng, float(min(1.0, max(0.0, 2.2 * rng.random() - 0.9)))) for _ in range(pages)]  # two pages of five know all names, one none
+    made = [_made_page(rng, float(min(1.0, max(0.0, 2 * rng.random() - 0.95)))) for _ in range(pages)]  # nearly half of the pages know all names
     xs, ys = [vectors(p) for p, _ in made], [np.array(y, np.float32) for _, y in made]
     n_in = PATHS + WORDS + NUMBERS
     shapes = [(n_in, 4 * HIDDEN), (HIDDEN, 4 * HIDDEN), (4 * HIDDEN,)] * 2 + [(2 * HIDDEN, 1), (1,)]
