@@ -1,7 +1,7 @@
 """Event logs: what happens over time, as batch plans and as streams."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,10 +19,15 @@ def rate_limited(events: DataFrame, key: str, most: int, unit: str = "minute") -
     return d.withColumn("n_refused", F.greatest(F.lit(0), F.col("n") - most)).where("n_refused > 0")
 
 
+def whole_seconds(ts: str) -> Column:
+    """A time as seconds since 1970, rounded to the nearest, halves to the even one."""
+    return F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).cast("long")
+
+
 def breaker_openings(events: DataFrame, key: str, failed: str, threshold: int = 5, gap_seconds: int = 60) -> DataFrame:
-    """Times at which each key's breaker opens: `threshold` failures in a row, no success and no longer gap between them."""
+    """Times at which each key's breaker opens: `threshold` failures in a row, no success and no longer gap (in rounded seconds) between them."""
     w = W.partitionBy(key).orderBy("ts", "event_id")
-    late = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w)) > gap_seconds
+    late = whole_seconds("ts") - F.lag(whole_seconds("ts")).over(w) > gap_seconds
     start = F.when(~F.lag(F.col(failed)).over(w) | late | F.lag("ts").over(w).isNull(), 1).otherwise(0)
     d = events.withColumn("_start", start).withColumn("_run", F.sum("_start").over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col(failed))
     return d.withColumn("_n", F.row_number().over(W.partitionBy(key, "_run").orderBy("ts", "event_id"))).where(F.col("_n") == threshold).select(key, F.col("ts").alias("opened_at"))
