@@ -1,7 +1,8 @@
 """Rows that the small tables do not hold."""
 from datetime import datetime
 
-from palimpsest.operators import store
+from palimpsest.operators import bookheads, store
+from palimpsest.plans.audits import HTML
 from palimpsest.streaming import events as ev
 
 
@@ -20,3 +21,9 @@ def test_exit_without_a_score_takes_the_first_later_one(spark):
     rows = [(1, 1, None, 2500), (1, 2, 54, 10), (1, 3, 90, 10), (2, 1, None, 2500)]
     got = store.converge_exit(spark.createDataFrame(rows, "book_id long, iteration int, score int, cost_cents long"))
     assert sorted((r["book_id"], r["iteration"], r["score"], r["reason"]) for r in got.collect()) == [(1, 1, 54, "COST"), (2, 1, None, "COST")]
+
+
+def test_text_is_no_heading(spark):
+    docs = spark.createDataFrame([(1, "4703443633947811 Ach ist.", "de", "web", 25), (2, "12. Words", "de", "web", 9), (3, None, "de", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = bookheads.epub_headings(docs.selectExpr("doc_id", f"{HTML} AS html"), "html", "doc_id").collect()
+    assert sorted((r["doc_id"], r["layer"]) for r in got) == [(d, k) for d in (1, 2, 3) for k in (1, 2, 3, 4)]
