@@ -23,6 +23,11 @@ def test_exit_without_a_score_takes_the_first_later_one(spark):
     assert sorted((r["book_id"], r["iteration"], r["score"], r["reason"]) for r in got.collect()) == [(1, 1, 54, "COST"), (2, 1, None, "COST")]
 
 
+def test_headings_of_elements_alone(spark):
+    pages = spark.createDataFrame([(1, "<h1>Ab</h1><p>4129332095140658 He said.</p>")], "page_id long, html string")
+    assert [r["text"] for r in bookheads.epub_headings(pages, "html", "page_id", (1,), 2).collect()] == ["Ab"]
+
+
 def test_text_is_no_heading(spark):
     docs = spark.createDataFrame([(1, "4703443633947811 Ach ist.", "de", "web", 25), (2, "12. Words", "de", "web", 9), (3, None, "de", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     got = bookheads.epub_headings(docs.selectExpr("doc_id", f"{HTML} AS html"), "html", "doc_id").collect()
