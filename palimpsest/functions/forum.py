@@ -84,10 +84,23 @@ def links(block: Column) -> Column:
     return once(clean, every)
 
 
+def blocks(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
+    """place and block of each post of each page."""
+    return pages.select(*keys, F.posexplode(F.slice(F.split(html, POST), 2, 1 << 30)).alias("place", "block"))
+
+
+def post_id(block: Column) -> Column:
+    return F.regexp_extract(block, r'data-content="(post-[0-9]+)"', 1)
+
+
+def linked(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
+    """place, id, links and tweets of each post of each page, however short the post is."""
+    return blocks(pages, html, *keys).select(*keys, "place", post_id(F.col("block")).alias("id"), links(F.col("block")).alias("l")).select(*keys, "place", "id", "l.links", "l.tweets")
+
+
 def posts(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
     """A row for each post of each page: username, id, date, datetime, quotes, body, links, tweets. Posts of under LEAST_BODY characters without quotes, and those that are one URL, are left out."""
-    d = pages.select(*keys, F.posexplode(F.slice(F.split(html, POST), 2, 1 << 30)).alias("place", "block"))
-    d = d.select(*keys, "place", F.regexp_extract("block", 'data-author="([^"]+)"', 1).alias("username"), F.regexp_extract("block", r'data-content="(post-[0-9]+)"', 1).alias("id"), F.regexp_extract("block", r'<time[^>]+datetime="([^"]+)"', 1).alias("datetime"), quotes(F.col("block")).alias("quotes"), body(F.col("block")).alias("body"), links(F.col("block")).alias("l"))
+    d = blocks(pages, html, *keys).select(*keys, "place", F.regexp_extract("block", 'data-author="([^"]+)"', 1).alias("username"), post_id(F.col("block")).alias("id"), F.regexp_extract("block", r'<time[^>]+datetime="([^"]+)"', 1).alias("datetime"), quotes(F.col("block")).alias("quotes"), body(F.col("block")).alias("body"), links(F.col("block")).alias("l"))
     d = d.where((F.col("username") != "") & ((F.length("body") >= LEAST_BODY) | (F.size("quotes") > 0)) & ~F.col("body").rlike(r"^https?://\S+$"))
     return d.select(*keys, "place", "username", "id", F.substring("datetime", 1, 10).alias("date"), "datetime", "quotes", "body", "l.links", "l.tweets")
 

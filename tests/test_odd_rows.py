@@ -1,6 +1,7 @@
 """Rows that the small tables do not hold."""
 from datetime import datetime
 
+from palimpsest.functions import forum
 from palimpsest.operators import bookheads, store
 from palimpsest.plans.audits import HTML
 from palimpsest.streaming import events as ev
@@ -23,6 +24,13 @@ def test_exit_without_a_score_takes_the_first_later_one(spark):
     assert sorted((r["book_id"], r["iteration"], r["score"], r["reason"]) for r in got.collect()) == [(1, 1, 54, "COST"), (2, 1, None, "COST")]
 
 
+def test_links_of_short_posts(spark):
+    page = '<html><article class=x data-author="u1" data-content="post-1"><div class="bbWrapper">Hi <a href="https://news.example.org/a/1">Read this</a></div> </div> </div> </article>'
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert [(r["id"], [x["url"] for x in r["links"]]) for r in forum.linked(pages, "html", "page_id").collect()] == [("post-1", ["https://news.example.org/a/1"])]
+    assert forum.posts(pages, "html", "page_id").count() == 0
+
+
 def test_headings_of_elements_alone(spark):
     pages = spark.createDataFrame([(1, "<h1>Ab</h1><p>4129332095140658 He said.</p>")], "page_id long, html string")
     assert [r["text"] for r in bookheads.epub_headings(pages, "html", "page_id", (1,), 2).collect()] == ["Ab"]
