@@ -72,8 +72,8 @@ def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
 
 
 def over_limit(events: DataFrame, key: str, most: int, seconds: int) -> DataFrame:
-    """Events that are more than the `most`-th of their key within the last `seconds`, in whole seconds."""
-    at = F.unix_timestamp("ts")
+    """Events that are more than the `most`-th of their key within the last `seconds`, in rounded seconds."""
+    at = whole_seconds("ts")
     return events.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(key).orderBy(at).rangeBetween(1 - seconds, 0))).where(F.col("n") > most)
 
 

@@ -18,6 +18,11 @@ def test_breaker_gap_is_in_rounded_seconds(spark):
     assert [ev.breaker_openings(e, "user_id", "failed", 3, 86_400).count() for e in (late, kept)] == [0, 1]
 
 
+def test_sliding_limit_counts_rounded_seconds(spark):
+    within = lambda *times: ev.over_limit(_events(spark, *times), "user_id", 1, 86_400).count()
+    assert within("01 00:00:00.400", "01 23:59:59.600") == 0 and within("01 00:00:00.600", "01 23:59:59.900") == 1
+
+
 def test_exit_without_a_score_takes_the_first_later_one(spark):
     rows = [(1, 1, None, 2500), (1, 2, 54, 10), (1, 3, 90, 10), (2, 1, None, 2500)]
     got = store.converge_exit(spark.createDataFrame(rows, "book_id long, iteration int, score int, cost_cents long"))
