@@ -13,6 +13,10 @@ copies has; a bucket that may be large is dealt to salted parts with leaders of
 filed and no group is paired. A tie counts only if the exact similarity of both whole sets reaches the limit. Connected ties
 make components.
 
+What these ties leave out is found exactly: two sets of the similarity share a shingle among the first of each, in any one order of all
+shingles, if as many are taken as a set may lack and one more. So the first shingles of every set are filed, frequent ones last in the
+order, and those of different components that meet are held against each other, whole; what is in one component already is not paired.
+
 Words are as in simhash (ASCII white space apart, A-Z lowered). A text of fewer words than a shingle is one
 shingle, so equal ones are copies; texts without words equal each other. Equal sets are one node. Null doc_ids are nobody's least
 id. Repeated rows are alike. A very long text costs a row of its set. Other columns are ignored; an empty table gives an empty result.
@@ -37,6 +41,7 @@ WIDTH, SIMILARITY, FOUND = 5, 0.8, 0.9
 WORDS = 8  # 64-bit words of a fingerprint
 BITS = 64 * WORDS
 LISTED = 200_000  # hot values that may be broadcast (8 bytes each)
+FREQUENT = 16  # sets whose first shingles hold one, beyond which it comes last in the order of shingles
 CROWD, SALTS = 5_000, 64  # texts with one value of a part beyond which its buckets are dealt to salted parts
 NODE = ", ".join(["id long", *(f"w{k} long" for k in range(WORDS))])
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
@@ -276,12 +281,54 @@ def verified(ties: DataFrame, docs: DataFrame, every: DataFrame, width: int, sim
     return both.where(overlap >= similarity * (F.size("x") + F.size("y") - overlap) - 1e-9).select("a", "b")
 
 
+def _first_shingles(docs: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
+    """id, n (its size) and first: as many shingles of each set as it may lack and one more, by hash, those in `late` behind the others."""
+    late = np.sort(late.view(np.uint64))
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            h, n = shingle_sets(p["text"].tolist(), width)
+            if not len(n):
+                continue
+            of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, np.isin(h, late, kind="sort"), of)) if len(late) else np.arange(len(h))
+            take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+            begin = np.cumsum(n) - n
+            yield pd.DataFrame({"id": _ids(h, n), "n": n, "first": [h[order[b : b + k]].view(np.int64) for b, k in zip(begin, take, strict=True)]})
+
+    return docs.select(F.col("text").cast("string")).mapInPandas(each, "id long, n long, first array<long>")
+
+
+def remaining_ties(docs: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b: every two sets in different components whose sizes and first shingles allow the similarity. roots: node, root."""
+    plain = _first_shingles(docs, width, similarity, np.zeros(0, np.int64)).select(F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    # any list of late shingles gives the same ties in the end; a good one keeps chance meetings few
+    late = plain.where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "h").limit(LISTED).toArrow()["h"].to_numpy()
+    first = _first_shingles(docs, width, similarity, late).join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "first", F.coalesce("root", "id").alias("comp"))
+    first = stored(first)
+    filed = first.select("id", "n", "comp", F.explode("first").alias("h"))
+    mixed = filed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
+    met = stored(filed.join(mixed, "h").distinct())
+    # the component that a shingle meets most is not paired with itself, so a large family costs its size
+    most = met.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m")).select("h", F.col("m.comp").alias("most"))
+    few = met.join(most, "h").where("comp <> most").select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "most")
+    near = (F.col("n") >= similarity * F.col("n_a") - 1e-9) & (F.col("n_a") >= similarity * F.col("n") - 1e-9)
+    once = (F.col("comp") == F.col("most")) | (F.col("comp_a") < F.col("comp"))
+    both = few.join(met, "h").where(once & (F.col("comp") != F.col("comp_a")) & near).groupBy("a", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n_a").alias("n_a"), F.first("n").alias("n"))
+    # of two sets one's first shingles end no later, so that one shares with the other those counted and no more than its others
+    others = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
+    enough = F.col("c") + F.greatest(others("n_a"), others("n")) >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n")) - 1e-9
+    return both.where(enough).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
 def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id (the least doc_id that the row's text is tied to) for each row of docs."""
     every = stored(_described(docs, width))
     nodes = stored(every.groupBy("id").agg(*(F.first(f"w{k}").alias(f"w{k}") for k in range(WORDS))))
     ties = stored(candidate_ties(nodes, similarity))
-    roots = connected_components(verified(ties, docs, every, width, similarity))
+    links = stored(verified(ties, docs, every, width, similarity))
+    rest = stored(remaining_ties(docs, connected_components(links), width, similarity))
+    roots = connected_components(links.unionByName(verified(rest, docs, every, width, similarity)))
     lows = every.groupBy("id").agg(F.min("doc_id").alias("low")).join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("comp"), "low")
     lows = stored(lows)
     least = lows.groupBy("comp").agg(F.min("low").alias("component_id"))

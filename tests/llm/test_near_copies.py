@@ -111,3 +111,22 @@ def test_stage_drops_copies_with_few_words_changed(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
     kept = corpus_pipeline.near(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
+
+
+def test_no_pair_is_left_out(spark, monkeypatch):
+    """Pairs just at the limit, which fingerprints find with probability FOUND only, beside lines that many texts hold."""
+    rng = random.Random(3)
+    line = [f"line{k}" for k in range(30)]
+    rows = []
+    for k in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(96)]
+        v = list(w)
+        for at in (20, 60):  # ten of 92 shingles differ: 82 / 102 = 0.804
+            v[at] = f"new{k}_{at}"
+        rows += [" ".join(w), " ".join(v)]
+    rows += [" ".join([*(f"x{k}_{j}" for j in range(14)), *line]) for k in range(60)]
+    monkeypatch.setattr(near_copies, "FREQUENT", 4)
+    assert held_against_all_pairs(spark, list(enumerate(rows))) == 1
+    found = near_copies.candidate_ties
+    monkeypatch.setattr(near_copies, "candidate_ties", lambda nodes, similarity: found(nodes, similarity).where("false"))
+    assert held_against_all_pairs(spark, list(enumerate(rows))) == 1
