@@ -124,15 +124,15 @@ def baseline(html: Column) -> dict[str, Column]:
     titles = F.regexp_extract_all(html, F.lit(r"<h2(?:\s[^>]*)?>(.*?)</h2>"), F.lit(1))
     said = lambda section: F.substring(F.regexp_replace(F.regexp_replace(F.regexp_extract(section, "<p>(.*?)</p>", 1), "<[^>]+>", ""), r"^\s+|\s+$", ""), 1, 60)
 
-    def openings(s: Column) -> Column:
+    def openings(t: Column, s: Column) -> Column:
         """Each heading with the first paragraph of its own section, or else of the nearest later one that has any."""
         marks = F.transform(F.reverse(s), lambda x, i: F.when(x.rlike("<p>.*?</p>"), i).otherwise(-1))
-        nearest = lambda at: F.transform(s, lambda _, i: F.struct(F.get(titles, i).alias("heading"), said(F.get(s, F.size(s) - 1 - F.get(at, F.size(s) - 1 - i))).alias("opening")))
+        nearest = lambda at: F.transform(s, lambda _, i: F.struct(F.get(t, i).alias("heading"), said(F.get(s, F.size(s) - 1 - F.get(at, F.size(s) - 1 - i))).alias("opening")))
         return F.filter(once(latest(marks), nearest), lambda o: o["opening"] != "")
 
     return out | {
         "ligature_splits": marks["n_ligatures"], "double_spaces": count_of(bare, "  "), "word_count": word_count(text), "encoding_errors": count_of(text, "�"), "chapter_count": out["h1_count"] + out["h2_count"],
-        "has_front_matter_h1": F.exists(heads["h1_headings"], lambda h: F.contains(F.lower(h), F.lit("front matter"))), "chapter_openings": once(sections, openings),
+        "has_front_matter_h1": F.exists(heads["h1_headings"], lambda h: F.contains(F.lower(h), F.lit("front matter"))), "chapter_openings": once(titles, lambda t: once(sections, lambda s: openings(t, s))),
     }
 
 
