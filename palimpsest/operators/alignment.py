@@ -7,10 +7,11 @@ A document's bookmarks and headings are its own, so a group is small whatever th
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +20,11 @@ from ..functions.text import normal_heading
 LEAST_TITLE, TITLE_ONLY, ALIGNED = 0.5, 0.7, 0.6
 TITLE_WEIGHT, BODY_WEIGHT, COMPARED, SNIPPET = 0.4, 0.6, 150, 200
 MATCHES = "doc_id long, place int, heading int, title_score double, body_score double, combined double, status string"
+TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string())
 
 
 def _alike(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
 class Free:
@@ -69,29 +71,35 @@ class Free:
         return best, score
 
 
-def _matched(marks: pd.DataFrame, heads: pd.DataFrame) -> list[tuple[int | None, float]]:
-    free = Free(heads["title"].tolist())
-    return [free.take(t) for t in marks["title"]]
-
-
-def _align(key: tuple, marks: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-    marks, heads = marks.sort_values("place"), heads.sort_values("place")
-    rows = []
-    for (_, m), (k, title) in zip(marks.iterrows(), _matched(marks, heads), strict=True):
+def _align(doc: int, marks: list[dict], heads: list[dict]) -> Iterator[tuple]:
+    free = Free([h["title"] for h in heads])
+    for m in marks:
+        k, title = free.take(m["title"])
         if k is None:
-            rows.append((m["doc_id"], m["place"], None, 0.0, 0.0, 0.0, "unmatched"))
+            yield doc, m["place"], None, 0.0, 0.0, 0.0, "unmatched"
             continue
-        h = heads.iloc[k]
+        h = heads[k]
         body = _alike(m["body"][:COMPARED], h["body"][:COMPARED]) if m["body"] and h["body"] else 0.0
         both = TITLE_WEIGHT * title + BODY_WEIGHT * body
-        rows.append((m["doc_id"], m["place"], int(h["place"]), round(title, 3), round(body, 3), round(both, 3), "aligned" if both >= ALIGNED else "title_only" if title >= TITLE_ONLY else "misaligned"))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in MATCHES.split(", ")]).astype({"heading": "Int32"})
+        yield doc, m["place"], h["place"], round(title, 3), round(body, 3), round(both, 3), "aligned" if both >= ALIGNED else "title_only" if title >= TITLE_ONLY else "misaligned"
 
 
 def aligned(bookmarks: DataFrame, headings: DataFrame) -> DataFrame:
     """bookmarks and headings: doc_id, place, title, body. A row for each bookmark."""
-    plain = lambda d: d.select("doc_id", F.col("place").cast("int").alias("place"), normal_heading(F.col("title")).alias("title"), normal_heading(F.col("body")).alias("body"))
-    return plain(bookmarks).groupBy("doc_id").cogroup(plain(headings).groupBy("doc_id")).applyInPandas(_align, MATCHES)
+
+    def listed(d: DataFrame, name: str) -> DataFrame:
+        entry = F.struct(F.col("place").cast("int").alias("place"), normal_heading(F.col("title")).alias("title"), normal_heading(F.col("body")).alias("body"))
+        return d.select("doc_id", entry.alias("e")).groupBy("doc_id").agg(F.sort_array(F.collect_list("e")).alias(name))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in MATCHES.split(", ")]
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                rows = [r for d in b.slice(at, 1000).to_pylist() for r in _align(d["doc_id"], d["marks"], d["heads"] or [])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), TYPES, strict=True)], names)
+
+    heads = listed(headings, "heads").withColumnRenamed("doc_id", "_doc")
+    return listed(bookmarks, "marks").join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc").mapInArrow(each, MATCHES)
 
 
 def alignment_scores(matches: DataFrame) -> DataFrame:
