@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lines import once
 from ..functions.text import penalties, segment_score
 from .classify import detect_issues
 
@@ -143,9 +144,12 @@ def quality_variance(text: Column) -> Column:
 
     def score(p: float) -> Column:
         start = F.greatest(F.lit(0), F.floor(n * F.lit(p)).cast("int") - F.floor(window / 2).cast("int"))
-        sample = F.substring(text, start + 1, window)
-        m = penalties(sample)
-        return segment_score(m["n_replaced"], m["n_ligatures"], m["n_doubles"], m["n_controls"], F.length(sample))
+
+        def judged(sample: Column) -> Column:
+            m = penalties(sample)
+            return segment_score(m["n_replaced"], m["n_ligatures"], m["n_doubles"], m["n_controls"], F.length(sample))
+
+        return once(F.substring(text, start + 1, window), judged)
 
     def told(s: Column) -> Column:
         mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / len(PLACES)

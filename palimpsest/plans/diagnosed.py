@@ -81,7 +81,7 @@ SAMPLE = "substring(text, (greatest(0, floor(length(text) * p)::BIGINT - least(2
 @query("quality_variance", f"""WITH p AS (SELECT doc_id, list_transform([0.10::DOUBLE, 0.25::DOUBLE, 0.50::DOUBLE, 0.75::DOUBLE, 0.90::DOUBLE], lambda p: {SAMPLE}) AS x FROM dirty_v WHERE length(text) >= 2500), s AS (SELECT doc_id, list_transform(x, lambda t: {score_sql('t')}) AS s FROM p)
 SELECT doc_id, array_to_string(s, ',') AS scores, round(list_sum(s)::DOUBLE / 5, 1) AS mean, round(list_stddev_pop(s), 1) AS std_dev, list_stddev_pop(s) > 15 AS high_variance, [0.10::DOUBLE, 0.25::DOUBLE, 0.50::DOUBLE, 0.75::DOUBLE, 0.90::DOUBLE][list_position(s, list_min(s))] AS worst_position FROM s""", "dirty_v")
 def quality_variance(d):
-    v = d.select("doc_id", D.quality_variance(F.col("text")).alias("v")).where("v IS NOT NULL")
+    v = d.where("length(text) >= 2500").select("doc_id", D.quality_variance(F.col("text")).alias("v"))  # shorter ones have none; a filter on v would make it twice
     return v.select("doc_id", F.array_join("v.scores", ",").alias("scores"), "v.mean", "v.std_dev", "v.high_variance", "v.worst_position")
 
 
