@@ -229,33 +229,36 @@ def mail_subject(title: Column, path: Column, convert: Column, part: Column, par
     return F.when((part > 0) & (parts > 0), F.concat(head, F.lit(" (Part "), part, F.lit(" of "), parts, F.lit(")"))).otherwise(head)
 
 
-def chunks(text: Column, most: int = 100) -> Column:
-    """Pieces of up to `most` words: sentences packed as they fit, clauses of longer sentences, words of longer clauses."""
-    words = lambda x: F.regexp_count(x, F.lit(f"[^{WHITE}]+"))
-    units = lambda x, marks: F.filter(F.transform(F.split(x, rf"(?<=[{marks}])[{WHITE}]+"), _strip_all), lambda u: u != "")
-
-    def packed(u: Column) -> Column:
-        """Greedy packing needs only where each piece begins: a fold over word counts that keeps piece numbers."""
-        begin = F.struct(F.lit(0).alias("held"), F.lit("").alias("text"), F.array().cast("array<string>").alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            n = words(x)
-            full = (a["held"] + n > most) & (a["text"] != "")
-            return F.struct(F.when(full, n).otherwise(a["held"] + n).alias("held"), F.when(full | (a["text"] == ""), x).otherwise(F.concat(a["text"], F.lit(" "), x)).alias("text"), F.when(full, F.concat(a["out"], F.array(a["text"]))).otherwise(a["out"]).alias("out"))
+def _packed(text: str, marks: str, most: int) -> list[str]:
+    """What ends with one of the marks before white space, packed in order into pieces of up to `most` words; what is longer stays alone."""
+    out, held = [], 0
+    for unit in filter(None, map(str.strip, re.split(rf"(?<=[{marks}])\s+", text))):
+        n = len(unit.split())
+        if not out or held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(unit)
+        held += n
+    return [" ".join(units) for units in out]
+
+
+def chunked_text(text: str, most: int) -> list[str]:
+    """Python's white space is the class WHITE."""
+    out = []
+    for piece in _packed(text, ".!?", most):
+        for part in [piece] if len(piece.split()) <= most else _packed(piece, ";,:", most):
+            words = part.split()
+            out += [part] if len(words) <= most else [" ".join(words[k : k + most]) for k in range(0, len(words), most)]
+    return out
 
-        return F.aggregate(u, begin, step, lambda a: F.when(a["text"] != "", F.concat(a["out"], F.array(a["text"]))).otherwise(a["out"]))
 
-    def hard(x: Column) -> Column:
-        return once(F.filter(F.split(x, f"[{WHITE}]+"), lambda w: w != ""), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(w) / most).cast("int") - 1)), lambda k: F.array_join(F.slice(w, k * most + 1, most), " ")))
-
-    def finer(c: Column, then) -> Column:  # noqa: ANN001
-        return F.flatten(F.transform(c, lambda x: F.when(words(x) <= most, F.array(x)).otherwise(then(x))))
-
-    return finer(packed(units(text, ".!?")), lambda x: finer(packed(units(x, ";,:")), hard))
+def chunks(text: Column, most: int = 100) -> Column:
+    """Pieces of up to `most` words: sentences packed as they fit, clauses of longer sentences, words of longer clauses. A step from sentence to sentence, so it runs in Arrow batches."""
 
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else chunked_text(t, most) for t in texts], dtype=object)
 
-def _strip_all(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.pandas_udf(each, "array<string>")(text)
 
 
 #: Headings of an index, what its entries look like, and the first words of scripture references.
