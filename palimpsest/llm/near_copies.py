@@ -15,7 +15,8 @@ make components.
 
 What these ties leave out is found exactly: two sets of the similarity share a shingle among the first of each, in any one order of all
 shingles, if as many are taken as a set may lack and one more. So the first shingles of every set are filed, frequent ones last in the
-order, and those of different components that meet are held against each other, whole; what is in one component already is not paired.
+order; sets that meet none of another component there have no partner. Of the others all shingles are counted and the rarest come first, those of one component alone before all; two of different
+components that meet are held against each other, whole, unless too few shingles are left behind the place where they meet. What is in one component already is not paired.
 
 Words are as in simhash (ASCII white space apart, A-Z lowered). A text of fewer words than a shingle is one
 shingle, so equal ones are copies; texts without words equal each other. Equal sets are one node. Null doc_ids are nobody's least
@@ -269,12 +270,17 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInPandas(each, "id long, hashes array<long>")
 
 
-def verified(ties: DataFrame, docs: DataFrame, every: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The ties whose sets are similar enough. Only texts that are in a tie are read again."""
-    met = ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct()
+def _sets_of(met: DataFrame, docs: DataFrame, every: DataFrame, width: int) -> DataFrame:
+    """id, hashes: the whole sets of the ids in met. Only texts that have one of them are read again."""
     rows = every.join(met, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
     some = docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["_id"]), "left_semi")
-    sets = stored(_sets(some, width).join(met, "id").groupBy("id").agg(F.first("hashes").alias("hashes")))
+    return stored(_sets(some, width).join(met, "id").groupBy("id").agg(F.first("hashes").alias("hashes")))
+
+
+def verified(ties: DataFrame, docs: DataFrame, every: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ties whose sets are similar enough."""
+    met = ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct()
+    sets = _sets_of(met, docs, every, width)
     of = lambda c, name: sets.select(F.col("id").alias(c), F.col("hashes").alias(name))
     both = ties.join(of("b", "y"), "b").join(of("a", "x"), "a")
     overlap = F.size(F.array_intersect("x", "y"))
@@ -299,26 +305,33 @@ def _first_shingles(docs: DataFrame, width: int, similarity: float, late: np.nda
     return docs.select(F.col("text").cast("string")).mapInPandas(each, "id long, n long, first array<long>")
 
 
-def remaining_ties(docs: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
-    """a, b: every two sets in different components whose sizes and first shingles allow the similarity. roots: node, root."""
+def _mixed(filed: DataFrame) -> DataFrame:
+    """h, c: the shingles that sets of different components hold, and how many sets do."""
+    return filed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high").select("h", "c")
+
+
+def remaining_ties(docs: DataFrame, every: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b: every two sets in different components whose sizes and first shingles allow the similarity. every: doc_id, id; roots: node, root."""
     plain = _first_shingles(docs, width, similarity, np.zeros(0, np.int64)).select(F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     # any list of late shingles gives the same ties in the end; a good one keeps chance meetings few
     late = plain.where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "h").limit(LISTED).toArrow()["h"].to_numpy()
-    first = _first_shingles(docs, width, similarity, late).join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "first", F.coalesce("root", "id").alias("comp"))
-    first = stored(first)
-    filed = first.select("id", "n", "comp", F.explode("first").alias("h"))
-    mixed = filed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
-    met = stored(filed.join(mixed, "h").distinct())
+    first = _first_shingles(docs, width, similarity, late).join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("comp"), "first")
+    filed = stored(first).select("id", "comp", F.explode("first").alias("h"))
+    # no other set has a partner elsewhere; of those that may, all shingles are counted, which gives the order in which first shingles are rarest
+    live = stored(filed.join(_mixed(filed), "h").select("id", "comp").distinct())
+    held = _sets_of(live.select("id"), docs, every, width).join(live, "id").select("id", "comp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    own = W.partitionBy("id")
+    # shingles of one component alone come before those that others hold, and those by how many sets do
+    at = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "h")) - 1
+    met = stored(held.join(stored(_mixed(held)), "h").withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)).select("h", "id", "n", "comp", "at"))
     # the component that a shingle meets most is not paired with itself, so a large family costs its size
     most = met.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m")).select("h", F.col("m.comp").alias("most"))
-    few = met.join(most, "h").where("comp <> most").select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "most")
-    near = (F.col("n") >= similarity * F.col("n_a") - 1e-9) & (F.col("n_a") >= similarity * F.col("n") - 1e-9)
+    few = met.join(most, "h").where("comp <> most").select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("at").alias("at_a"), "most")
     once = (F.col("comp") == F.col("most")) | (F.col("comp_a") < F.col("comp"))
-    both = few.join(met, "h").where(once & (F.col("comp") != F.col("comp_a")) & near).groupBy("a", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n_a").alias("n_a"), F.first("n").alias("n"))
-    # of two sets one's first shingles end no later, so that one shares with the other those counted and no more than its others
-    others = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
-    enough = F.col("c") + F.greatest(others("n_a"), others("n")) >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n")) - 1e-9
-    return both.where(enough).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    # behind the first shingle that two sets share, each has so many as they must share, or they are not similar
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n")) - 1e-9
+    both = few.join(met, "h").where(once & (F.col("comp") != F.col("comp_a")) & enough)
+    return both.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
 def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -327,7 +340,7 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     nodes = stored(every.groupBy("id").agg(*(F.first(f"w{k}").alias(f"w{k}") for k in range(WORDS))))
     ties = stored(candidate_ties(nodes, similarity))
     links = stored(verified(ties, docs, every, width, similarity))
-    rest = stored(remaining_ties(docs, connected_components(links), width, similarity))
+    rest = stored(remaining_ties(docs, every, connected_components(links), width, similarity))
     roots = connected_components(links.unionByName(verified(rest, docs, every, width, similarity)))
     lows = every.groupBy("id").agg(F.min("doc_id").alias("low")).join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("comp"), "low")
     lows = stored(lows)

@@ -130,3 +130,23 @@ def test_no_pair_is_left_out(spark, monkeypatch):
     found = near_copies.candidate_ties
     monkeypatch.setattr(near_copies, "candidate_ties", lambda nodes, similarity: found(nodes, similarity).where("false"))
     assert held_against_all_pairs(spark, list(enumerate(rows))) == 1
+
+
+def test_a_family_just_below_the_limit_is_not_paired(spark, monkeypatch):
+    """Each text lacks 35 of 296 shingles that the others share, so no two are similar: there is nothing to verify pair by pair."""
+    rng = random.Random(8)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(300)], []
+    for k in range(150):
+        v = list(base)
+        for at in range(7):
+            v[5 + 40 * at + (k * 7 + at * 3) % 33] = f"own{k}_{at}"
+        rows.append((k, " ".join(v)))
+    real, met = near_copies.verified, []
+
+    def counted(ties, *rest):
+        met.append(ties.count())
+        return real(ties, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    got = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got) and met[-1] <= len(rows)
