@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,12 +57,17 @@ MASKED = (
 SPEECH_TAGS = rf'<voice[^>]*>|</voice>|<silence[{WHITE}]+msec="[0-9]+"[{WHITE}]*/?>|<rate[^>]*>|</rate>'
 
 
+def _inked(x: Column, *ends: int) -> Column:
+    """Whether these ends of a line are visible ASCII, as most are: then no pattern need look for white space there."""
+    return reduce(and_, (F.substring(x, at, 1).between("!", "~") for at in ends))
+
+
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{LINE_WHITE}]+|[{LINE_WHITE}]+$", "")
+    return F.when(_inked(x, 1, -1), x).otherwise(F.regexp_replace(x, f"^[{LINE_WHITE}]+|[{LINE_WHITE}]+$", ""))
 
 
 def _rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, f"[{LINE_WHITE}]+$", "")
+    return F.when(_inked(x, -1), x).otherwise(F.regexp_replace(x, f"[{LINE_WHITE}]+$", ""))
 
 
 def _rows(text: Column) -> Column:
@@ -73,7 +80,14 @@ def _capitals(x: Column) -> Column:
 
 
 def fix_smart_quotes(text: Column) -> Column:
-    return edited(text, QUOTES)
+    """Texts without one of the marks need none of its rules."""
+
+    def stage(mark: str) -> Callable[[Column], Column]:
+        rules = tuple(r for r in QUOTES if mark in r[0])
+        both = lambda v, r: F.struct(r["text"].alias("text"), (v["n"] + r["n"]).alias("n"))
+        return lambda v: F.when(F.contains(v["text"], F.lit(mark)), once(edited(v["text"], rules), lambda r: both(v, r))).otherwise(F.struct(v["text"].alias("text"), v["n"].alias("n")))
+
+    return once(once(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")), stage('"')), stage("'"))
 
 
 def unmask(text: Column) -> Column:
@@ -91,25 +105,27 @@ def fix_headings(text: Column, html: bool = False) -> Column:
         return once(latest(starts), lambda first: once(F.transform(rows, lambda x, i: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), ((i - F.get(first, i)) % 2 == 1).alias("gone"))), place))
 
     def place(r: Column) -> Column:
-        # The first of a pair is kept as it is; a heading without a twin gets its blank lines.
+        # The first of a pair is kept as it is; a heading without a twin gets its blank lines. What a line is, is told once and not at each use.
         paired = lambda i: F.coalesce(F.get(r, i + 1)["gone"], F.lit(False))
-        marked = lambda x, i: x["bare"].startswith("#") & ~paired(i)
+        told = F.transform(r, lambda x, i: once(paired(i), lambda two: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), x["gone"].alias("gone"), two.alias("paired"), (x["bare"].startswith("#") & ~two).alias("head"))))
+        return once(told, spaced)
 
-        def full_before(i: Column) -> Column:
-            """The last line put out is not blank."""
+    def spaced(r: Column) -> Column:
+        def around(i: Column) -> Column:
+            """Whether the last line put out and the next are not blank."""
             before = F.get(r, i - 1)
-            return F.coalesce(F.when(before["gone"], True).when(marked(before, i - 1), False).otherwise(before["bare"] != ""), F.lit(False))
+            full_before = F.when(before["gone"], True).when(before["head"], False).otherwise(before["bare"] != "")
+            return F.struct(F.coalesce(full_before, F.lit(False)).alias("before"), F.coalesce(F.get(r, i + 1)["bare"] != "", F.lit(False)).alias("after"))
 
-        def each(x: Column, i: Column) -> Column:
-            next_full = F.coalesce(F.get(r, i + 1)["bare"] != "", F.lit(False))
-            head = marked(x, i)
-            promoted = ~head & ~paired(i) & _capitals(x["bare"]) & (F.length(x["bare"]) < 80) & x["bare"].rlike(HEADING) & ~full_before(i) & ~next_full
-            before, after = head & full_before(i), head & next_full
-            n = x["gone"].cast("int") + (~x["gone"] & before).cast("int") + (~x["gone"] & after).cast("int") + (~x["gone"] & promoted).cast("int")
-            out = F.when(promoted, F.concat(F.lit("## "), x["bare"])).otherwise(F.concat(F.when(before, "\n").otherwise(""), x["line"], F.when(after, "\n").otherwise("")))
-            return F.struct(F.when(~x["gone"], out).alias("out"), n.alias("n"))
+        def put(x: Column, full: Column) -> Column:
+            heading = ~x["paired"] & ~full["before"] & ~full["after"] & (F.length(x["bare"]) < 80) & _capitals(x["bare"]) & x["bare"].rlike(HEADING)
+            out = lambda line, n: F.struct(line.alias("out"), n.cast("int").alias("n"))
+            blank = lambda there: F.when(there, "\n").otherwise("")
+            parted = out(F.concat(blank(full["before"]), x["line"], blank(full["after"])), full["before"].cast("int") + full["after"].cast("int"))
+            return F.when(x["gone"], out(F.lit(None).cast("string"), F.lit(1))).when(x["head"], parted).when(heading, out(F.concat(F.lit("## "), x["bare"]), F.lit(1))).otherwise(out(x["line"], F.lit(0)))
 
-        return once(F.transform(r, each), lambda o: F.struct(F.array_join(F.transform(o, lambda x: x["out"]), "\n").alias("text"), F.aggregate(o, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n")))
+        each = F.transform(r, lambda x, i: once(around(i), lambda full: put(x, full)))
+        return once(each, lambda o: F.struct(F.array_join(F.transform(o, lambda x: x["out"]), "\n").alias("text"), F.aggregate(o, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n")))
 
     return once(_rows(text), run)
 
@@ -345,7 +361,7 @@ def fix_reported(text: Column, issues: Column, most: int = 50) -> Column:
     """Fixes that a report's issues (category, description) ask for, one issue after another: headings that lost their marks, sentences cut by lines, anchors of notes; an issue of blanks before marks counts as mended."""
 
     def headed(v: Column) -> Column:
-        lost = lambda x: (x["bare"] != "") & ~x["bare"].startswith("#") & _capitals(x["bare"]) & (F.length(x["bare"]) < 80) & x["bare"].rlike(HEADING)
+        lost = lambda x: (x["bare"] != "") & ~x["bare"].startswith("#") & (F.length(x["bare"]) < 80) & _capitals(x["bare"]) & x["bare"].rlike(HEADING)
         return once(_rows(v["text"]), lambda r: F.struct(F.array_join(F.transform(r, lambda x: F.when(lost(x), F.concat(F.lit("## "), x["bare"])).otherwise(x["line"])), "\n").alias("text"), (v["n"] + F.size(F.filter(r, lost))).alias("n")))
 
     def joined(v: Column) -> Column:

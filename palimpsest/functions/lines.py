@@ -59,7 +59,7 @@ def latest(marks: Column) -> Column:
         begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(some, begin, lambda a, x: F.struct(F.greatest(a["at"], x).alias("at"), F.concat(a["out"], F.array(F.greatest(a["at"], x))).alias("out")), lambda a: a["out"])
 
-    def over(size: Column) -> Column:
+    def over(marks: Column, size: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / size).cast("int")), lambda k: F.slice(marks, k * size + 1, size))
 
         def joined(b: Column) -> Column:
@@ -68,4 +68,5 @@ def latest(marks: Column) -> Column:
 
         return once(blocks, joined)
 
-    return F.when(F.size(marks) > 0, once(F.ceil(F.sqrt(F.size(marks))).cast("int"), over)).otherwise(F.array().cast("array<int>"))
+    # marks may be a long expression: it is computed once and not for each block
+    return once(marks, lambda m: F.when(F.size(m) > 0, once(F.ceil(F.sqrt(F.size(m))).cast("int"), lambda size: over(m, size))).otherwise(F.array().cast("array<int>")))
