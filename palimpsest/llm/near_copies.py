@@ -14,8 +14,8 @@ filed and no group is paired. A tie counts only if the exact similarity of both
 make components.
 
 What these ties leave out is found exactly: two sets of the similarity share a shingle among the first of each, in any one order of all
-shingles, if as many are taken as a set may lack and one more. So the first shingles of every set are filed, frequent ones last in the
-order; sets that meet none of another component there have no partner. Of the others all shingles are counted and the rarest come first, those of one component alone before all; two of different
+shingles, if as many are taken as a set may lack and one more; if each takes k more, they share k + 1. So the first shingles of every set and a tenth of it more are filed, frequent ones last in the
+order; sets that meet too few of other components there have no partner. Of the others all shingles are counted and the rarest come first, those of one component alone before all; two of different
 components that meet are held against each other, whole, unless too few shingles are left behind the place where they meet. What is in one component already is not paired.
 
 Words are as in simhash (ASCII white space apart, A-Z lowered). A text of fewer words than a shingle is one
@@ -42,6 +42,7 @@ WIDTH, SIMILARITY, FOUND = 5, 0.8, 0.9
 WORDS = 8  # 64-bit words of a fingerprint
 BITS = 64 * WORDS
 LISTED = 200_000  # hot values that may be broadcast (8 bytes each)
+AHEAD = 0.1  # share of a set's shingles that is filed beyond those it may lack: a set without a partner seldom meets so many, and what is filed grows by half
 FREQUENT = 16  # sets whose first shingles hold one, beyond which it comes last in the order of shingles
 CROWD, SALTS = 5_000, 64  # texts with one value of a part beyond which its buckets are dealt to salted parts
 NODE = ", ".join(["id long", *(f"w{k} long" for k in range(WORDS))])
@@ -288,7 +289,7 @@ def verified(ties: DataFrame, docs: DataFrame, every: DataFrame, width: int, sim
 
 
 def _first_shingles(docs: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
-    """id, n (its size) and first: as many shingles of each set as it may lack and one more, by hash, those in `late` behind the others."""
+    """id, n (its size) and first: as many shingles of each set as it may lack and one more, and AHEAD of its size, by hash, those in `late` behind the others."""
     late = np.sort(late.view(np.uint64))
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,7 +299,7 @@ def _first_shingles(docs: DataFrame, width: int, similarity: float, late: np.nda
                 continue
             of = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((h, np.isin(h, late, kind="sort"), of)) if len(late) else np.arange(len(h))
-            take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+            take = np.minimum(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1 + np.floor(AHEAD * n).astype(np.int64))
             begin = np.cumsum(n) - n
             yield pd.DataFrame({"id": _ids(h, n), "n": n, "first": [h[order[b : b + k]].view(np.int64) for b, k in zip(begin, take, strict=True)]})
 
@@ -315,10 +316,14 @@ def remaining_ties(docs: DataFrame, every: DataFrame, roots: DataFrame, width: i
     plain = _first_shingles(docs, width, similarity, np.zeros(0, np.int64)).select(F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     # any list of late shingles gives the same ties in the end; a good one keeps chance meetings few
     late = plain.where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "h").limit(LISTED).toArrow()["h"].to_numpy()
-    first = _first_shingles(docs, width, similarity, late).join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("comp"), "first")
-    filed = stored(first).select("id", "comp", F.explode("first").alias("h"))
+    first = _first_shingles(docs, width, similarity, late).join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("comp"), "first")
+    first = stored(first)
+    filed = first.select("id", "comp", F.explode("first").alias("h"))
+    # a set shares one more than the smaller of the two took ahead, and a partner has no fewer shingles than the set must share
+    need = F.floor(AHEAD * F.ceil(similarity * F.col("n") - 1e-9)) + 1
     # no other set has a partner elsewhere; of those that may, all shingles are counted, which gives the order in which first shingles are rarest
-    live = stored(filed.join(_mixed(filed), "h").select("id", "comp").distinct())
+    shared = filed.join(_mixed(filed).select("h"), "h").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    live = stored(first.select("id", "n", "comp").distinct().join(shared, "id").where(F.col("shared") >= need).select("id", "comp"))
     held = _sets_of(live.select("id"), docs, every, width).join(live, "id").select("id", "comp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     own = W.partitionBy("id")
     # shingles of one component alone come before those that others hold, and those by how many sets do

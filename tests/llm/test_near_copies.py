@@ -150,3 +150,33 @@ def test_a_family_just_below_the_limit_is_not_paired(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "verified", counted)
     got = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["doc_id"] == r["component_id"] for r in got) and met[-1] <= len(rows)
+
+
+def test_texts_that_share_a_tenth_are_not_read_whole(spark, monkeypatch):
+    """Ten texts each hold one passage, 26 of their 296 shingles: some are among the first of each, too few for a partner."""
+    rng = random.Random(9)
+    say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passages = [say(30) for _ in range(12)]
+    rows = [(k, " ".join([*say(100), *passages[k % 12], *say(170)])) for k in range(120)]
+    real, read = near_copies._sets_of, []
+
+    def counted(met, *rest):
+        read.append(met.count())
+        return real(met, *rest)
+
+    monkeypatch.setattr(near_copies, "_sets_of", counted)
+    got = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got) and max(read) <= len(rows) // 10
+
+
+def test_no_pair_of_unequal_size_is_left_out(spark, monkeypatch):
+    """A text and its start, at the limit and just below it, of any size; the shorter took fewer shingles ahead."""
+    rng = random.Random(10)
+    rows = []
+    for k in range(160):
+        n = rng.randrange(1, 130)
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        rows += [" ".join(w), " ".join(w[: math.ceil(0.8 * n) + 4 - k % 2])]
+    found = near_copies.candidate_ties
+    monkeypatch.setattr(near_copies, "candidate_ties", lambda nodes, similarity: found(nodes, similarity).where("false"))
+    assert held_against_all_pairs(spark, list(enumerate(rows))) == 1
