@@ -6,7 +6,9 @@ forward on both sides is taken, document by document; a heading that is left ove
 """
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 SHORT, BAND, LEAST = 15, 8, 2
 EXACT, WITHIN = 1000, 400  # weight of a pair; within a paragraph the share of its words that the title has counts too
 MATCHES = "doc_id long, place int, paragraph int, exact boolean"
+TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
 
 
 def words(text: Column) -> Column:
@@ -27,9 +30,11 @@ def pairs(headings: DataFrame, paragraphs: DataFrame) -> DataFrame:
     h = h.select("doc_id", "place", F.size("w").alias("n"), F.array_join("w", " ").alias("title")).where(F.length("title") >= LEAST)
     h = h.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "title").orderBy("place")))
     p = paragraphs.select("doc_id", F.col("place").cast("int").alias("paragraph"), words(F.col("text")).alias("w")).withColumn("size", F.size("w")).where("size > 0")
+    # runs of other lengths than the document's titles have are no title, and without titles there is nothing to meet
+    p = p.join(h.groupBy("doc_id").agg(F.collect_set("n").alias("lengths")), "doc_id")
     runs = lambda k: F.transform(F.sequence(F.lit(1), F.col("size") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
-    held = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.col("size")), runs)))
-    p = p.select("doc_id", "paragraph", "size", F.explode(F.when(F.col("size") <= SHORT, held).otherwise(F.array(F.array_join("w", " ")))).alias("title"))
+    held = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda k: k <= F.col("size")), runs)))
+    p = p.select("doc_id", "paragraph", "size", F.explode(F.when(F.col("size") <= SHORT, held).when(F.array_contains("lengths", F.col("size")), F.array(F.array_join("w", " ")))).alias("title"))
     asked = h.select("doc_id", "title").distinct()
     p = p.join(asked, ["doc_id", "title"], "left_semi").withColumn("at", F.row_number().over(W.partitionBy("doc_id", "title").orderBy("paragraph")))
     exact = F.col("n") == F.col("size")
@@ -65,21 +70,29 @@ def chain(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _matched(p: pd.DataFrame) -> pd.DataFrame:
-    rows = list(zip(p["place"], p["paragraph"], p["weight"], strict=True))
-    exact = dict(zip(zip(p["place"], p["paragraph"], strict=True), p["exact"], strict=True))
-    taken = dict(chain(rows))
+def _matched(doc: int, met: list[dict]) -> Iterator[tuple]:
+    exact = {(x["place"], x["paragraph"]): x["exact"] for x in met}
+    taken = dict(chain([(x["place"], x["paragraph"], x["weight"]) for x in met]))
     used = set(taken.values())
     for place, paragraph in sorted(k for k, e in exact.items() if e):
         if place not in taken and paragraph not in used:
             taken[place] = paragraph
             used.add(paragraph)
-    return pd.DataFrame([(p["doc_id"].iloc[0], a, b, exact[a, b]) for a, b in sorted(taken.items())], columns=["doc_id", "place", "paragraph", "exact"])
+    return ((doc, a, b, exact[a, b]) for a, b in sorted(taken.items()))
 
 
 def matched(headings: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """MATCHES: a row for each heading that has a paragraph. A group is one document's pairs, at most BAND + 1 for a heading."""
-    return pairs(headings, paragraphs).groupBy("doc_id").applyInPandas(_matched, MATCHES)
+    """MATCHES: a row for each heading that has a paragraph. What meets in a row is one document's pairs, at most BAND + 1 for a heading."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in MATCHES.split(", ")]
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                rows = [r for d in b.slice(at, 1000).to_pylist() for r in _matched(d["doc_id"], d["met"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), TYPES, strict=True)], names)
+
+    met = F.sort_array(F.collect_list(F.struct("place", "paragraph", "weight", "exact"))).alias("met")
+    return pairs(headings, paragraphs).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(met).mapInArrow(each, MATCHES)
 
 
 def roles(headings: DataFrame, matches: DataFrame) -> DataFrame:

@@ -150,9 +150,9 @@ BLOCKS = r"(?is)<(h[1-3]|p|li)(?:\s[^>]*)?>(.*?)</\1>"
 
 
 def _blocks(p):
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(BLOCKS), F.lit(1)).alias("tag"), F.regexp_extract_all("html", F.lit(BLOCKS), F.lit(2)).alias("text"))
-    d = p.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("place", "b"))
-    return d.select("doc_id", "place", F.regexp_extract("b.tag", "[1-3]", 0).alias("level"), F.trim(F.regexp_replace("b.text", "<[^>]+>", " ")).alias("text"))
+    d = p.select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit(BLOCKS), F.lit(0))).alias("place", "b"))
+    part = lambda k: F.regexp_extract("b", BLOCKS, k)
+    return d.select("doc_id", "place", F.regexp_extract(part(1), "[1-3]", 0).alias("level"), F.trim(F.regexp_replace(part(2), "<[^>]+>", " ")).alias("text"))
 
 
 @query("heading_paragraphs", None, "pages")

@@ -59,3 +59,14 @@ def test_many_headings_of_one_title(spark):
     p = spark.range(3000).selectExpr("1L AS doc_id", "cast(id AS int) AS place", "'notes' AS text")
     assert H.pairs(h, p).count() <= 3000 * (H.BAND + 1)
     assert H.matched(h, p).where("place = paragraph").count() == 3000
+
+
+def test_documents_go_through_together(spark):
+    """Titles of 3 and of 16 words; no task is a document's, and only runs of a title's length are held against titles."""
+    long = " ".join(f"long{k}" for k in range(16))
+    h = spark.createDataFrame([(k, n, t) for k in range(60) for n, t in enumerate(("a b c", long))], "doc_id long, place int, title string")
+    p = spark.createDataFrame([(k, n, t) for k in range(60) for n, t in enumerate(("x a b c y z", "a b", long, f"{long} more"))], "doc_id long, place int, text string")
+    met = H.matched(h, p)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    assert sorted(map(tuple, met.collect())) == sorted(x for k in range(60) for x in ((k, 0, 0, False), (k, 1, 2, True)))
