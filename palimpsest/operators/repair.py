@@ -65,14 +65,14 @@ def spaced_words(docs: DataFrame, known: DataFrame) -> DataFrame:
     parts = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("letters") - i)), lambda k: F.struct(i.alias("at"), k.alias("size"), F.substr(F.lower("letters"), i + 1, k).alias("word")))))
     met = runs.select("run", F.explode(parts).alias("p")).select("run", "p.*").where((F.col("size") > 1) | F.col("word").isin("a", "i"))
     met = met.join(known, "word").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("at", "size", "n"))).alias("found"))
-    total = known.agg(F.sum("n")).first()[0] or 1
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("total"))  # a row beside each run: no pass over the texts of its own
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [[(x["at"], x["size"], x["n"]) for x in f] if f is not None else [] for f in b["found"]]
-            yield pd.DataFrame({"run": b["run"], "letters": b["letters"], "words": [cut_words(t, f, total) for t, f in zip(b["letters"], found, strict=True)]})
+            yield pd.DataFrame({"run": b["run"], "letters": b["letters"], "words": [cut_words(t, f, n) for t, f, n in zip(b["letters"], found, b["total"], strict=True)]})
 
-    d = runs.join(met, "run", "left").select("run", "letters", "found").mapInPandas(each, "run string, letters string, words string")
+    d = runs.join(met, "run", "left").crossJoin(F.broadcast(total)).select("run", "letters", "found", "total").mapInPandas(each, "run string, letters string, words string")
     made = F.coalesce("words", F.when(F.col("letters") == F.upper("letters"), F.col("letters")))
     tail = F.replace(F.regexp_extract("run", r" ?['’] ?\p{L}$", 0), F.lit(" "), F.lit(""))
     return d.where(made.isNotNull()).select("run", F.concat(made, tail).alias("fix"))
@@ -80,9 +80,8 @@ def spaced_words(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def cut_lines(docs: DataFrame, known: DataFrame) -> DataFrame:
     """cut, fix: words cut at the ends of lines, joined if the whole is known and at least as common as the same with a hyphen, with the hyphen if that is the more common."""
-    pairs = F.arrays_zip(_all(F.col("text"), CUT, 1).alias("a"), _all(F.col("text"), CUT, 2).alias("b"))
-    cuts = docs.select(F.explode(pairs).alias("x")).select("x.a", "x.b").distinct()
-    hyphened = vocabulary(docs, r"(?<!\p{L})\p{L}+-\p{L}+(?!\p{L})").select(F.col("word").alias("two"), F.col("n").alias("n_two"))
+    cuts = docs.where(F.col("text").contains("-\n")).select(F.explode(_all(F.col("text"), CUT)).alias("x")).distinct().select(F.split("x", "-\n").alias("x")).select(F.get("x", 0).alias("a"), F.get("x", 1).alias("b"))
+    hyphened = vocabulary(docs.where(F.col("text").contains("-")), r"(?<!\p{L})\p{L}+-\p{L}+(?!\p{L})").select(F.col("word").alias("two"), F.col("n").alias("n_two"))
     d = cuts.withColumns({"word": F.lower(F.concat("a", "b")), "two": F.lower(F.concat_ws("-", "a", "b"))}).join(known, "word", "left").join(hyphened, "two", "left")
     one, two = F.coalesce("n", F.lit(0)), F.coalesce("n_two", F.lit(0))
     fix = F.when((one >= LEAST) & (one >= two), F.concat("a", "b")).when(two >= LEAST, F.concat_ws("-", "a", "b"))
@@ -103,8 +102,8 @@ def taken_for(words: DataFrame) -> DataFrame:
 
 
 def _own(docs: DataFrame, found: Column, key: str, table: DataFrame, name: str) -> DataFrame:
-    """doc_id and an array of the document's own corrections, the longest first."""
-    mine = docs.select("doc_id", F.explode(F.array_distinct(found)).alias(key)).distinct().join(table, key)
+    """doc_id and an array of the document's own corrections, the longest first. table has a key once; only what has a correction is compared."""
+    mine = docs.select("doc_id", F.explode(F.array_distinct(found)).alias(key)).join(table, key).distinct()
     order = F.struct((-F.length(key)).alias("size"), F.col(key).alias("old"), F.col("fix").alias("new"))
     return mine.groupBy("doc_id").agg(F.sort_array(F.collect_list(order)).alias(name))
 
@@ -118,7 +117,7 @@ def repaired(docs: DataFrame) -> DataFrame:
     words = vocabulary(docs)
     known = words.where(F.col("n") >= LEAST)
     literal = spaced_words(docs, known).select(F.col("run").alias("key"), "fix", F.lit(True).alias("spaced")).unionByName(cut_lines(docs, known).select(F.col("cut").alias("key"), F.concat("fix", F.lit("\n")).alias("fix"), F.lit(False).alias("spaced")))
-    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(_all(F.col("text"), RUN), _all(F.col("text"), CUT)))).alias("key")).join(literal, "key")
+    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(_all(F.col("text"), RUN), F.when(F.col("text").contains("-\n"), _all(F.col("text"), CUT)).otherwise(F.array().cast("array<string>"))))).alias("key")).join(literal, "key")
     n = lambda c: F.count_if(c).cast("long")
     whole = seen.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.length("key")).alias("size"), F.col("key").alias("old"), F.col("fix").alias("new")))).alias("literal"), n(F.col("spaced")).alias("n_spaced"), n(~F.col("spaced")).alias("n_cut"))
     wrong = _own(docs, _all(F.lower("text"), WORD), "word", taken_for(words), "wrong")
@@ -126,8 +125,9 @@ def repaired(docs: DataFrame) -> DataFrame:
     # a cut word's line ends behind it, and the blank that stood there goes
     none = F.array().cast("array<struct<size: int, old: string, new: string>>")
     text = F.aggregate(F.coalesce("literal", none), F.col("text"), lambda t, x: F.when(x["new"].endswith("\n"), F.replace(F.replace(t, F.concat(x["old"], F.lit(" ")), x["new"]), x["old"], F.regexp_replace(x["new"], "\n$", ""))).otherwise(F.replace(t, x["old"], x["new"])))
-    bracketed = F.array_join(F.zip_with(F.split(text, BRACKETS, -1), _all(text, BRACKETS), lambda a, b: F.concat(a, F.replace(F.coalesce(b, F.lit("")), F.lit(" "), F.lit("")))), "")
-    d = d.withColumn("text", F.when(F.col("text").isNotNull(), bracketed))
+    d = d.withColumn("text", F.when(F.col("literal").isNotNull(), text).otherwise(F.col("text")))
+    bracketed = F.array_join(F.zip_with(F.split("text", BRACKETS, -1), _all(F.col("text"), BRACKETS), lambda a, b: F.concat(a, F.replace(F.coalesce(b, F.lit("")), F.lit(" "), F.lit("")))), "")
+    d = d.withColumn("text", F.when(F.col("text").contains("[ "), bracketed).otherwise(F.col("text")))
     table = F.map_from_entries(F.transform("wrong", lambda x: F.struct(x["old"], x["new"])))
     pieces = F.regexp_extract_all("text", F.lit(rf"{WORD}|[^\p{{L}}01]+"), F.lit(0))
     mended = F.array_join(F.transform(pieces, lambda w: F.coalesce(_cased(w, F.try_element_at("fixes", F.lower(w))), w)), "")

@@ -42,6 +42,15 @@ def test_scanned_texts_come_back(spark):
     assert QUERIES["repaired_texts"](spark, SF).count() == len(whole)
 
 
+def test_texts_are_not_counted_before_the_query_runs(spark):
+    docs = spark.createDataFrame([(k, f"{KNOWN} " * 30) for k in range(3)] + [(9, "self-\nmade W i l s o n [ 1 2 ]"), (10, None)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("repair is built", "")
+    got = repair.repaired(docs)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("repair is built")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["doc_id"]: r["text"] for r in got.where("doc_id > 8").collect()} == {9: "self-\nmade Wilson [12]", 10: None}
+
+
 @pytest.mark.parametrize(
     ("text", "want", "n"),
     [
