@@ -70,3 +70,43 @@ def test_documents_go_through_together(spark):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
     assert sorted(map(tuple, met.collect())) == sorted(x for k in range(60) for x in ((k, 0, 0, False), (k, 1, 2, True)))
+
+
+def _plain(titles, texts):
+    """All headings against all paragraphs, one by one."""
+    split = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    met = {}
+    for a, t in enumerate(map(split, titles)):
+        for b, p in enumerate(map(split, texts)):
+            if t == p:
+                met[a, b] = H.EXACT
+            elif len(p) <= H.SHORT and any(p[k : k + len(t)] == t for k in range(len(p))):
+                met[a, b] = int(H.WITHIN + 100 * len(t) / len(p))
+    taken = dict(H.chain([(a, b, w) for (a, b), w in met.items()]))
+    for (a, b), w in sorted(met.items()):
+        if w == H.EXACT and a not in taken and b not in taken.values():
+            taken[a] = b
+    return sorted((a, b, met[a, b] == H.EXACT) for a, b in taken.items())
+
+
+def test_every_heading_of_a_title_meets_every_paragraph(spark):
+    """A title that many paragraphs hold before the one that is it; headings before their k-th and after their last paragraph; and odd mixtures."""
+    rng = random.Random(4)
+    docs = [(["Notes"], [*(f"notes on {k}" for k in range(12)), "Notes"]), (["Notes", "Chapter 1", "Notes"], ["Chapter 1", "Notes"]), (["Notes"] * 14 + ["End"], ["x", *["Notes"] * 30, "End", "Notes"])]
+    docs += [([rng.choice(("ab", "cd", "ab cd", "ef")) for _ in range(rng.randrange(1, 25))], [rng.choice(("ab", "cd", "ab cd", "ab cd ef", "cd ef gh", "ef")) for _ in range(rng.randrange(1, 40))]) for _ in range(40)]
+    h = spark.createDataFrame([(k, n, t) for k, (hs, _) in enumerate(docs) for n, t in enumerate(hs)], "doc_id long, place int, title string")
+    p = spark.createDataFrame([(k, n, t) for k, (_, ps) in enumerate(docs) for n, t in enumerate(ps)], "doc_id long, place int, text string")
+    got = H.matched(h, p).collect()
+    assert [(x["paragraph"], x["exact"]) for x in got if x["doc_id"] == 0] == [(12, True)]
+    for k, (titles, texts) in enumerate(docs):
+        assert sorted(tuple(x)[1:] for x in got if x["doc_id"] == k) == _plain(titles, texts), k
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_unlisted_pairs_give_the_same_chain(fan, monkeypatch):
+    monkeypatch.setattr(H, "FAN", fan)
+    rng = random.Random(fan)
+    for _ in range(150):
+        offers = {(k,): {p: rng.choice((400, 450, 1000)) for p in rng.sample(range(30), rng.randrange(1, 20))} for k in range(4)}
+        of = {place: (rng.randrange(4),) for place in rng.sample(range(60), rng.randrange(1, 40))}
+        assert H.long_chain(of, offers) == H.chain([(place, p, w) for place, kind in of.items() for p, w in offers[kind].items()])
