@@ -38,7 +38,7 @@ def best_paths(c, b):
     return store.best_paths(c, b)
 
 
-@query("category_stats", "SELECT category, count(*) AS n_issues, count_if(fix_attempted) AS attempted, count_if(fix_succeeded) AS succeeded, CASE WHEN count_if(fix_attempted) > 0 THEN round(count_if(fix_succeeded)::DOUBLE / count_if(fix_attempted) * 100, 1) ELSE 0 END AS fix_rate_pct FROM issues_v GROUP BY 1", "issues_v")
+@query("category_stats", "SELECT category, severity, grouping(severity) AS grouping, count(*) AS n_issues, count_if(fix_attempted) AS attempted, count_if(fix_succeeded) AS succeeded, CASE WHEN count_if(fix_attempted) > 0 THEN round(count_if(fix_succeeded)::DOUBLE / count_if(fix_attempted) * 100, 1) ELSE 0 END AS fix_rate_pct FROM issues_v GROUP BY GROUPING SETS ((category), (category, severity))", "issues_v")
 def category_stats(i):
     return store.category_stats(i)
 

@@ -45,3 +45,11 @@ def test_text_is_no_heading(spark):
     docs = spark.createDataFrame([(1, "4703443633947811 Ach ist.", "de", "web", 25), (2, "12. Words", "de", "web", 9), (3, None, "de", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     got = bookheads.epub_headings(docs.selectExpr("doc_id", f"{HTML} AS html"), "html", "doc_id").collect()
     assert sorted((r["doc_id"], r["layer"]) for r in got) == [(d, k) for d in (1, 2, 3) for k in (1, 2, 3, 4)]
+
+
+def test_category_stats_by_severity_too(spark):
+    """All of a category, and each of its severities, issues without one among them."""
+    rows = [("a", "low", True, True), ("a", "low", True, False), ("a", "high", True, False), ("a", "high", False, False), ("a", None, False, False), ("b", "low", None, None)]
+    got = store.category_stats(spark.createDataFrame(rows, "category string, severity string, fix_attempted boolean, fix_succeeded boolean")).collect()
+    want = {("a", None, 1, 5, 3, 1, 33.3), ("a", "low", 0, 2, 2, 1, 50.0), ("a", "high", 0, 2, 1, 0, 0.0), ("a", None, 0, 1, 0, 0, 0.0), ("b", None, 1, 1, 0, 0, 0.0), ("b", "low", 0, 1, 0, 0, 0.0)}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
